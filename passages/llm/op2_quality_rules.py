@@ -32,7 +32,7 @@ RULES = {
     "few_words": "n_words < 50",
     "repeated_windows": "100 * n_repeat_words > 50 * n_words",
     "symbols": "100 * n_symbols > 10 * n_words",
-    "duplicate_lines": "100 * n_dup_lines > 30 * n_lines",
+    "duplicate_lines": "100 * n_dup_lines > 60 * n_lines",
     "exclamations": "100 * n_bangs > 20 * n_words",
     "long_words": "word_chars > 20 * n_words",
     "short_words": "2 * word_chars < 3 * n_words",
@@ -142,7 +142,7 @@ m AS (SELECT d.doc_id, coalesce(n_words, 0) AS n_words, coalesce(word_chars, 0)
     coalesce(n_repeat_words, 0) AS n_repeat_words, coalesce(n_lines, 0) AS n_lines, length(text) - length(replace(text, '!', '')) AS n_bangs
   FROM d LEFT JOIN wc USING (r) LEFT JOIN lc USING (r)),
 f AS (SELECT *, (n_words < 50)::BIGINT + 2 * (100 * n_repeat_words > 50 * n_words)::BIGINT + 4 * (100 * n_symbols > 10 * n_words)::BIGINT
-    + 8 * (100 * n_dup_lines > 30 * n_lines)::BIGINT + 16 * (100 * n_bangs > 20 * n_words)::BIGINT
+    + 8 * (100 * n_dup_lines > 60 * n_lines)::BIGINT + 16 * (100 * n_bangs > 20 * n_words)::BIGINT
     + 32 * (word_chars > 20 * n_words)::BIGINT + 64 * (2 * word_chars < 3 * n_words)::BIGINT AS fail_bits FROM m)
 SELECT doc_id, n_words::BIGINT AS n_words, word_chars::BIGINT AS word_chars, n_symbols::BIGINT AS n_symbols, n_dup_lines::BIGINT AS n_dup_lines,
   n_repeat_words::BIGINT AS n_repeat_words, fail_bits & 3 <> 0 AS base_failed, fail_bits = 0 AS kept, fail_bits::BIGINT AS fail_bits FROM f
