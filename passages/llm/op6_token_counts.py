@@ -162,9 +162,10 @@ def counted(text: Column, edits: Column | None, path: str) -> Column:
     """Struct n_tokens, n_edits, n_tokens_after, n_reencoded. edits: array of (start, stop, new) structs; None:
     the redactions of the text."""
 
-    def count(batches: Iterator[tuple[pd.Series, ...]]) -> Iterator[pd.DataFrame]:
+    def count(batches: Iterator) -> Iterator[pd.DataFrame]:
         encoder = Encoder(path)
-        for columns in batches:
+        for batch in batches:
+            columns = batch if isinstance(batch, tuple) else (batch,)
             texts = [t if isinstance(t, str) else "" for t in columns[0]]
             rows = []
             for a, b in chunks(texts):
@@ -182,6 +183,7 @@ def counted(text: Column, edits: Column | None, path: str) -> Column:
                     rows.append((before, len(own), after, renewed))
             yield pd.DataFrame(rows, columns=["n_tokens", "n_edits", "n_tokens_after", "n_reencoded"], dtype="int64")
 
+    count.__annotations__["batches"] = Iterator[pd.Series] if edits is None else Iterator[tuple[pd.Series, pd.Series]]
     made = F.pandas_udf(count, "n_tokens long, n_edits long, n_tokens_after long, n_reencoded long")
     return made(text) if edits is None else made(text, edits)
 
