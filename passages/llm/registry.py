@@ -11,6 +11,7 @@ from passages.llm import (
     op2_quality_rules,
     op3_byte_bpe,
     op4_toxicity,
+    op5_html_extraction,
     op6_token_counts,
     op7_embedding_dedup,
     op8_jaccard_join,
@@ -18,7 +19,7 @@ from passages.llm import (
     op10_packing,
 )
 
-MODULES = (op1_url_filter, op2_quality_rules, op3_byte_bpe, op4_toxicity, op6_token_counts, op7_embedding_dedup, op8_jaccard_join, op9_lm_scoring, op10_packing)
+MODULES = (op1_url_filter, op2_quality_rules, op3_byte_bpe, op4_toxicity, op5_html_extraction, op6_token_counts, op7_embedding_dedup, op8_jaccard_join, op9_lm_scoring, op10_packing)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
