@@ -80,7 +80,7 @@ class Rounds:
         self.total = sum(totals.values())
         self.n = [totals[q] for q in self.queues]
         if targets is None:
-            self.share, self.whole = self.n, max(1, -(-self.total // window))
+            self.share, self.whole = [window * n for n in self.n], max(1, self.total)
         else:
             self.share = [window * max(1, targets.get(q, 0)) for q in self.queues]
             self.whole = sum(max(1, targets.get(q, 0)) for q in self.queues)
