@@ -5,6 +5,7 @@ grows, and a hub's links are aggregated before the shuffle. Rounds grow with the
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -40,3 +41,21 @@ def components(links: DataFrame) -> DataFrame:
         now = written(small_star(large_star(now)), "links")
     # stable: every node points at its component's least node
     return now.select(F.col("u").alias("node"), F.col("v").alias("component")).union(now.select(F.col("v").alias("node"), F.col("v").alias("component"))).distinct()
+
+
+def forest(u: np.ndarray, v: np.ndarray) -> list[tuple[int, int]]:
+    """A subset of the links (u, v) that connects what they connect."""
+    parent: dict[int, int] = {}
+
+    def root(x: int) -> int:
+        while (up := parent.setdefault(x, x)) != x:
+            parent[x] = x = parent.setdefault(up, up)
+        return x
+
+    kept = []
+    for x, y in zip(u.tolist(), v.tolist()):
+        a, b = root(x), root(y)
+        if a != b:
+            parent[max(a, b)] = min(a, b)
+            kept.append((x, y))
+    return kept

@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from passages.llm.common import table, written
-from passages.llm.components import components
+from passages.llm.components import components, forest
 
 NAME = "op7_embedding_dedup"
 
@@ -63,24 +63,6 @@ def possible(a: np.ndarray, b: np.ndarray, threshold: float) -> tuple[np.ndarray
     return np.nonzero(product * sa[:, None] * sb[None, :] + slack >= threshold)
 
 
-def forest(u: np.ndarray, v: np.ndarray) -> list[tuple[int, int]]:
-    """A subset of the links (u, v) that connects what they connect."""
-    parent: dict[int, int] = {}
-
-    def root(x: int) -> int:
-        while (up := parent.setdefault(x, x)) != x:
-            parent[x] = x = parent.setdefault(up, up)
-        return x
-
-    kept = []
-    for x, y in zip(u.tolist(), v.tolist()):
-        a, b = root(x), root(y)
-        if a != b:
-            parent[max(a, b)] = min(a, b)
-            kept.append((x, y))
-    return kept
-
-
 def usable(vectors: DataFrame) -> DataFrame:
     fine = F.col("embedding").isNotNull() & F.col("label").isNotNull() & F.col("vec_id").isNotNull() & (F.size("embedding") > 0)
     finite = F.forall("embedding", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
