@@ -8,7 +8,7 @@ from importlib import import_module
 from pyspark.sql import DataFrame, SparkSession
 
 #: Modules with QUERIES and ORACLE dictionaries.
-MODULES: tuple[str, ...] = ()
+MODULES: tuple[str, ...] = ("retrieval", "tables")
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -23,3 +23,8 @@ def oracle_sql() -> dict[str, str]:
     for name in MODULES:
         found |= import_module(f"passages.plans.{name}").ORACLE
     return found
+
+
+def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Batched retrieval of all benchmark queries with fusion and neighbours."""
+    return queries()["ctx10_retrieve"](spark, sf_dir)
