@@ -10,7 +10,8 @@ Training is distributed. (1) One pass over all training texts gathers the words'
 feature, how often each class and group followed it: the gradient of the log-likelihood at the model without
 context. The first update is iterative scaling on that gradient, damped towards no effect for rare
 features. (2) STEPS Newton updates of the six scales (one for each kind of feature and each softmax), from
-gradients and curvatures summed over the tasks of a bounded sample of FIT_ROWS training rows.
+gradients and curvatures summed over the tasks of a bounded sample of FIT_ROWS training rows whose contexts
+step 1 left out.
 
 Word counts stay in a table. Scoring uses them from a broadcast of sorted arrays up to VOCABULARY_ROWS words;
 a larger vocabulary is joined by shuffle to the words of each text instead. The tables of weights have a
@@ -44,6 +45,9 @@ KINDS = 3
 #: Pseudo-count that pulls a feature's weights to no effect.
 PRIOR = 8.0
 FIT_ROWS, STEPS = 2000, 3
+#: One in so many training rows gives its words but not its contexts, so the scales are fitted on contexts that
+#: the weights haven't seen.
+DEVELOPMENT = 16
 VOCABULARY_ROWS = 8_000_000
 SLICE = 1 << 12
 #: Tokens scored at once.
@@ -88,7 +92,7 @@ def rows_of(context: np.ndarray, kind: np.ndarray) -> tuple[np.ndarray, np.ndarr
 
 
 def gathered(docs: DataFrame) -> DataFrame:
-    """Rows of what a task counts: kind 0 word and count; kind 1 and 2 slices of the two tables of counts."""
+    """docs (text, development) -> rows of what a task counts: kind 0 word and count; kind 1 and 2 slices of the two tables of counts."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         by_class = np.zeros(CLASS_ROWS * CLASSES, dtype=np.int64)
@@ -105,10 +109,11 @@ def gathered(docs: DataFrame) -> DataFrame:
             for a, b in chunks(texts):
                 tokens, bounds = sequences(texts[a:b])
                 kind, member = split(tokens)
+                counted = np.repeat(~batch["development"].to_numpy(bool)[a:b], np.diff(bounds))
                 for context in features(tokens, bounds):
                     row, inner = rows_of(context, kind)
-                    by_class += np.bincount(row * CLASSES + kind, minlength=len(by_class))
-                    by_member += np.bincount(inner * MEMBERS + member, minlength=len(by_member))
+                    by_class += np.bincount((row * CLASSES + kind)[counted], minlength=len(by_class))
+                    by_member += np.bincount((inner * MEMBERS + member)[counted], minlength=len(by_member))
                 held.append(tokens)
                 size += len(tokens)
             if size > 6_000_000:
@@ -120,7 +125,7 @@ def gathered(docs: DataFrame) -> DataFrame:
             some = np.flatnonzero(parts.any(1))
             yield pd.DataFrame({"kind": code, "word": some, "c": 0, "cells": [parts[i].tobytes() for i in some.tolist()]})
 
-    return docs.select("text").mapInPandas(run, "kind int, word long, c long, cells binary")
+    return docs.select("text", "development").mapInPandas(run, "kind int, word long, c long, cells binary")
 
 
 def summed(found: DataFrame, kind: int, size: int) -> np.ndarray:
@@ -202,7 +207,7 @@ def vocabulary(found: DataFrame) -> DataFrame:
 def learn(docs: DataFrame, training: Column) -> tuple[Model, DataFrame, np.ndarray, int, int]:
     """(model, vocabulary (word, c), log10 of the denominators of each group, N, V) of the training rows."""
     spark = docs.sparkSession
-    rows = docs.where(training).select("doc_id", "text")
+    rows = docs.where(training).select("doc_id", "text", (remainder(F.col("doc_id"), DEVELOPMENT) == 0).alias("development"))
     found = written(gathered(rows), "lm-counts")
     words = written(vocabulary(found), "lm-vocabulary")
     group = F.shiftrightunsigned("word", 53).bitwiseAND(F.lit(CLASSES * MEMBERS - 1))
@@ -211,7 +216,7 @@ def learn(docs: DataFrame, training: Column) -> tuple[Model, DataFrame, np.ndarr
     for r in totals:
         c[r["g"]], v[r["g"]] = r["c"], r["v"]
     model = Model(summed(found, 1, CLASS_ROWS * CLASSES), summed(found, 2, MEMBER_ROWS * MEMBERS), c.reshape(CLASSES, MEMBERS).astype(np.float64))
-    chosen = rows.select("doc_id").orderBy(F.xxhash64("doc_id"), "doc_id").limit(FIT_ROWS)
+    chosen = rows.where("development").select("doc_id").orderBy(F.xxhash64("doc_id"), "doc_id").limit(FIT_ROWS)
     sample = written(rows.join(F.broadcast(chosen), "doc_id", "left_semi"), "lm-sample")
     for _ in range(STEPS):
         shared = spark.sparkContext.broadcast(model)
