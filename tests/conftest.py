@@ -51,8 +51,8 @@ def rows(found) -> list:
     def plain(x):
         if hasattr(x, "tolist"):
             x = x.tolist()
-        if x is None or x != x or str(x) in ("<NA>", "NaT"):
+        if x is None or str(x) in ("<NA>", "NaT", "nan"):
             return "~"
-        return repr(round(x, 9)) if isinstance(x, float) else str(x)
+        return str(int(x)) if isinstance(x, float) and x == int(x) else repr(round(x, 9)) if isinstance(x, float) else str(x)
 
     return sorted(tuple(map(plain, r)) for r in found.itertuples(index=False))
