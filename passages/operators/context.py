@@ -115,7 +115,8 @@ def retrieve(queries: DataFrame, chunks: DataFrame, config: Config = Config()) -
         "fts": channels.fts(queries, chunks, config.pool),
     }
     columns = ("query_id", "chunk_id", "score", "rank", "channel")
-    candidates = lanes["bm25"].select(*columns).unionByName(lanes["fts"].select(*columns))
+    # pool rows for each query and lane: kept, since fusion, neighbours and trace all start from them
+    candidates = lanes["bm25"].select(*columns).unionByName(lanes["fts"].select(*columns)).persist()
     fused = fusion.rrf(candidates, config.rrf_c, config.pool)
     best = annotate(fused.where(F.col("rank") <= config.k).withColumn("score_type", F.lit("hybrid")))
     place = chunks.select("chunk_id", "file_id", "user_id", "source", "chapter_no", "chunk_no")
@@ -124,4 +125,5 @@ def retrieve(queries: DataFrame, chunks: DataFrame, config: Config = Config()) -
     both = primary.select("query_id", "chunk_id", "file_id", "source", "chapter_no", "chunk_no", "rrf", "rank", "neighbor").unionByName(
         around.select("query_id", "chunk_id", "file_id", "source", "chapter_no", "chunk_no", F.lit(None).cast("double").alias("rrf"), F.lit(None).cast("int").alias("rank"), F.lit(True).alias("neighbor"))
     )
-    return reading_order(both), trace({"bm25": lanes["bm25"], "fts": lanes["fts"], "rrf": fused, "final": best})
+    stages = {name: candidates.where(F.col("channel") == name) for name in lanes}
+    return reading_order(both), trace(stages | {"rrf": fused, "final": best})
