@@ -50,8 +50,8 @@ WORD_CHARS = 6
 BROADCAST_IDS = 1_000_000
 #: Tokens in a tile of a family, and columns of a product at once.
 TILE_TOKENS, COLUMNS = 60_000, 4096
-#: Documents of fewer tokens only link to equal ones, at this threshold.
-LEAST = 5
+#: Documents of fewer tokens only link to equal ones, at this threshold: 4 tokens still link to the 5 that contain them.
+LEAST = 4
 
 
 def texts_of(batch: pd.Series) -> list[str]:

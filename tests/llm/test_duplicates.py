@@ -107,6 +107,30 @@ def test_prefix_signatures_meet():
         assert any(len(np.intersect1d(a, b)) for a, b in zip(own, other))
 
 
+@pytest.mark.parametrize("load", [0, 64])
+def test_four_shingles_link_to_five(spark, load):
+    """A set of 4 shingles and one of 5 that contains it have a Jaccard of 0.8; at load 0 all tokens are frequent."""
+    texts = {}
+    for k in range(6):
+        own = [f"{k}{c}" for c in "abcdefghi"]
+        texts |= {10 * k: " ".join(own), 10 * k + 1: " ".join(own[k % 2 :][:8]), 10 * k + 2: " ".join(own[:7]), 10 * k + 3: " ".join(own[1:8])}
+    sets = {i: shingles(t) for i, t in texts.items()}
+    assert {len(sets[0]), len(sets[1]), len(sets[2])} == {5, 4, 3}
+    want = classes_by_force(sets, lambda a, b: 100 * len(a & b) >= 80 * len(a | b))
+    found = jaccard.classes(spark.createDataFrame(list(texts.items()), "doc_id long, text string"), load).collect()
+    assert {r.doc_id: r.component_id for r in found} == want and want[1] == want[0] and want[2] != want[0]
+
+
+def test_four_and_five_signatures_meet():
+    draw = np.random.default_rng(10)
+    for _ in range(500):
+        y = np.unique(draw.integers(0, 2**63, 5, dtype=np.uint64))
+        x = np.delete(y, draw.integers(5))
+        packed = np.packbits(draw.random(1 << 8) < draw.choice([0.0, 0.5, 1.0]))
+        own, other = (jaccard.signatures(s, packed, 8) for s in (x, y))
+        assert any(len(np.intersect1d(a, b)) for a, b in zip(own, other))
+
+
 def test_empty_jaccard(spark):
     assert jaccard.classes(spark.createDataFrame([], "doc_id long, text string")).count() == 0
 
