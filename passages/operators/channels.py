@@ -121,10 +121,10 @@ def tokenize_query(query: Column, most: int = 8, phrases: tuple[str, ...] = STOP
 
 def lexical(queries: DataFrame, chunks: DataFrame, k: int, most: int = 8) -> DataFrame:
     """Share of a query's tokens that occur in a chunk (as lower-cased substrings), weighted 0.85, plus 0.15
-    times the share of its trigrams that occur.
+    times the share of its trigrams that occur; every chunk that holds a token gets the whole score.
 
-    queries (query_id, query) are tokenised; chunks are pruned by the trigrams of the tokens, so only chunks that
-    share one are compared."""
+    queries (query_id, query) are tokenised; chunks are pruned by the first two characters of the tokens, so only
+    chunks that share them are compared."""
     tokens = queries.select("query_id", F.lower("query").alias("query"), tokenize_query(F.col("query"), most).alias("tokens")).where(F.size("tokens") > 0)
     each = tokens.select("query_id", F.size("tokens").alias("n"), F.explode("tokens").alias("token"))
     keyed = each.withColumn("term", F.substring("token", 1, 2))
@@ -133,16 +133,21 @@ def lexical(queries: DataFrame, chunks: DataFrame, k: int, most: int = 8) -> Dat
     pairs = ngram_rows(lowered.select("chunk_id", "low"), "low", 2, 2).join(wanted, "term", "left_semi").distinct()
     near = pairs.join(small(keyed, BROADCAST_TERMS), "term").join(lowered, "chunk_id").where(F.contains(F.col("low"), F.col("token")))
     score = near.groupBy("query_id", "n", "chunk_id").agg(F.countDistinct("token").alias("c"))
-    best = top_k(score.select("query_id", "chunk_id", (F.col("c") / F.col("n")).alias("score")), 4 * k, "coverage").select("query_id", "chunk_id", F.col("score").alias("coverage"))
-    joined = best.join(tokens.select("query_id", "query"), "query_id").join(lowered, "chunk_id")
-    total = 0.85 * F.col("coverage") + 0.15 * word_similarity(F.col("query"), F.col("low"))
+    score = score.select("query_id", "chunk_id", (F.col("c") / F.col("n")).alias("coverage"))
+    grams = small(tokens.select("query_id", ngrams(F.col("query"), 3).alias("grams")), BROADCAST_TERMS)
+    joined = score.join(grams, "query_id").join(lowered, "chunk_id")
+    total = 0.85 * F.col("coverage") + 0.15 * gram_share(F.col("grams"), F.col("low"))
     return top_k(joined.select("query_id", "chunk_id", F.greatest(F.lit(0.0), F.least(F.lit(1.0), total)).alias("score")), k, "lexical")
 
 
+def gram_share(grams: Column, content: Column) -> Column:
+    """Share of distinct trigrams that occur in the content; 0 without trigrams."""
+    return F.when(F.size(grams) > 0, F.size(F.filter(grams, lambda g: F.contains(content, g))) / F.size(grams)).otherwise(F.lit(0.0))
+
+
 def word_similarity(query: Column, content: Column) -> Column:
     """Share of the query's distinct character trigrams that occur in the content, both lower-cased."""
-    mine = ngrams(query, 3)
-    return F.when(F.size(mine) > 0, F.size(F.filter(mine, lambda g: F.contains(content, g))) / F.size(mine)).otherwise(F.lit(0.0))
+    return gram_share(ngrams(query, 3), content)
 
 
 def choose_lane(queries: DataFrame, use_bm25: bool = True, use_coverage: bool = True) -> DataFrame:
