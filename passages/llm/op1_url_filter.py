@@ -3,8 +3,9 @@
 Reputation is empirical Bayes. Labelled page outcomes (bad or not) are counted by host, registered
 domain and suffix. The corpus mean is the prior mean of a suffix, a suffix's posterior mean that of its
 domains, a domain's that of its hosts; how strongly each level pulls (the prior's pseudo-count) comes from
-the spread between the units of that level (moment estimate of the beta-binomial over-dispersion). A host
-is blocked when a lower bound of its posterior bad rate exceeds max_bad, so unknown hosts are let through.
+the spread between the labelled units of that level (moment estimate of the beta-binomial over-dispersion).
+A host is blocked when a lower bound of its posterior bad rate exceeds max_bad. A host without labels has its
+domain's posterior mean, else its suffix's, else the corpus mean, under the same bound.
 
 Defined results: a null url or one without "://" has empty host and path, fits no rule and gets the
 method's verdict for the empty host. Labels that are null or of unknown pages are left out; when a page
@@ -99,23 +100,29 @@ def strength(units: DataFrame) -> DataFrame:
     return sums.select(F.greatest(F.lit(LEAST), F.least(F.lit(MOST), F.coalesce(s, F.lit(MOST)))).alias("s"))
 
 
-def reputation(outcomes: DataFrame, suffixes=SUFFIXES, z: float = Z) -> DataFrame:
-    """outcomes (host, bad 0/1) -> one row per host: host, n, bad_mean, bad_low (lower posterior bound)."""
+def reputation(outcomes: DataFrame, suffixes=SUFFIXES, z: float = Z, others: DataFrame | None = None) -> DataFrame:
+    """outcomes (host, bad 0/1) -> one row per host: host, n, bad_mean, bad_low (lower posterior bound).
+
+    Hosts of others (host) that have no outcomes get a row with n = 0."""
+    seen = outcomes.select("host", F.lit(1).alias("n"), F.col("bad").alias("k"))
+    if others is not None:
+        seen = seen.unionByName(others.select("host", F.lit(0).alias("n"), F.lit(0).alias("k")).distinct())
+    labelled = F.col("n") > 0
     hosts = (
-        outcomes.groupBy("host")
-        .agg(F.count(F.lit(1)).alias("n"), F.sum("bad").alias("k"))
+        seen.groupBy("host")
+        .agg(F.sum("n").alias("n"), F.sum("k").alias("k"))
         .withColumn("domain", registered_domain(F.col("host"), suffixes))
         .withColumn("suffix", suffix(F.col("host"), suffixes))
     )
     domains = hosts.groupBy("domain", "suffix").agg(F.sum("n").alias("n"), F.sum("k").alias("k"))
     tops = domains.groupBy("suffix").agg(F.sum("n").alias("n"), F.sum("k").alias("k"))
-    whole = tops.agg(F.coalesce(F.sum("k") / F.sum("n"), F.lit(PRIOR_MEAN)).alias("mean0"))
+    whole = tops.agg(F.coalesce(F.expr("sum(k) / nullif(sum(n), 0)"), F.lit(PRIOR_MEAN)).alias("mean0"))
     one = lambda df: F.broadcast(df)  # noqa: E731  a global aggregate: one row
-    tops = tops.crossJoin(one(whole)).crossJoin(one(strength(tops)))
+    tops = tops.crossJoin(one(whole)).crossJoin(one(strength(tops.where(labelled))))
     tops = tops.select("suffix", ((F.col("s") * F.col("mean0") + F.col("k")) / (F.col("s") + F.col("n"))).alias("mean1"))
-    low = domains.join(tops, "suffix").crossJoin(one(strength(domains)))
+    low = domains.join(tops, "suffix").crossJoin(one(strength(domains.where(labelled))))
     low = low.select("domain", ((F.col("s") * F.col("mean1") + F.col("k")) / (F.col("s") + F.col("n"))).alias("mean2"))
-    last = hosts.join(low, "domain").crossJoin(one(strength(hosts)))
+    last = hosts.join(low, "domain").crossJoin(one(strength(hosts.where(labelled))))
     a, b = F.col("s") * F.col("mean2") + F.col("k"), F.col("s") * (1 - F.col("mean2")) + F.col("n") - F.col("k")
     last = last.select("host", "n", (a / (a + b)).alias("bad_mean"), (a + b).alias("weight"))
     sd = F.sqrt(F.col("bad_mean") * (1 - F.col("bad_mean")) / (F.col("weight") + 1))
@@ -132,7 +139,7 @@ def judge(pages: DataFrame, outcomes: DataFrame, rules=RULES, suffixes=SUFFIXES,
         .join(parsed.select("page_id", "host"), "page_id")
         .select("host", "bad")
     )
-    ranked = parsed.join(reputation(known, suffixes), "host", "left")
+    ranked = parsed.join(reputation(known, suffixes, others=parsed), "host", "left")
     rule = longest_rule(F.col("host"), F.col("path"), rules)
     own = F.when(F.col("bad_low") > max_bad, "block").otherwise("allow")
     return ranked.withColumn("_r", rule).select(

@@ -37,6 +37,21 @@ def test_reputation_blocks_a_bad_host_and_spares_unknown_ones(spark):
     assert urls.judge(pages.limit(0), outcomes.limit(0)).count() == 0
 
 
+def test_hosts_without_labels_have_the_reputation_of_their_domain_or_suffix(spark):
+    given = [(i, f"http://h{i % 8}.bad.tld/x") for i in range(160)] + [(200 + i, f"http://h{i % 8}.good.org/x") for i in range(160)]
+    given += [(900, "http://fresh.bad.tld/"), (901, "http://fresh.good.org/"), (902, "http://new.tld/"), (903, "http://new.org/"), (904, "http://new.net/"), (905, None)]
+    pages = spark.createDataFrame(given, "page_id long, url string")
+    outcomes = spark.createDataFrame([(i, 1) for i in range(160)] + [(200 + i, 0) for i in range(160)], "page_id long, bad int")
+    found = {r.page_id: (r.verdict, r.n_labelled) for r in urls.judge(pages, outcomes, rules=()).collect()}
+    assert found[900] == ("block", 0) and found[901] == ("allow", 0) and found[904] == found[905] == ("allow", 0) and len(found) == len(given)
+    known = outcomes.join(pages.select("page_id", urls.url_host(pages.url).alias("host")), "page_id")
+    hosts = spark.createDataFrame([("fresh.bad.tld",), ("new.tld",), ("new.org",), ("new.net",), ("h1.bad.tld",)], "host string")
+    means = {r.host: r.bad_mean for r in urls.reputation(known, others=hosts).collect()}
+    own = {r.host: r.bad_mean for r in urls.reputation(known).collect()}
+    assert all(abs(means[h] - own[h]) < 1e-12 for h in own) and len(means) == len(own) + 4
+    assert means["h1.bad.tld"] > means["fresh.bad.tld"] > means["new.tld"] > means["new.net"] > means["new.org"] and abs(means["new.net"] - 0.5) < 1e-12
+
+
 def repeated_words(words: list[str]) -> int:
     windows = [tuple(words[i : i + 3]) for i in range(len(words) - 2)]
     return len({j for i, w in enumerate(windows) if windows.count(w) > 1 for j in range(i, i + 3)})
