@@ -9,11 +9,15 @@ are cut into sequences of 2048; the rest at the end is cut into powers of two, s
 
 Jobs: (1) tokenise once and write ids (two bytes each where the vocabulary allows) with each document's place
 in its queue within its task; (2) sum tokens by task and queue, and prefix-sum over the tasks; (3) read the
-ids again, add the offsets and cut. Ids are never shuffled unless the offsets outgrow a broadcast.
+ids again, add the offsets and cut. Ids are never shuffled unless the offsets or the queues outgrow a broadcast.
+
+Up to QUEUES queues, every task knows all totals and finds the places itself. Beyond, totals travel with the
+documents, every document is cut at its rounds, and prefix sums over the pieces, by round and queue, give the
+same places; only then are the ids shuffled.
 
 Without targets the proportions are those of the corpus, so every queue ends with the last window. With
-targets, queues that end early leave their share to the others in proportion. Sources named in targets
-have a queue each; all others are dealt to QUEUES queues by hash, which bounds the work for a window.
+targets, queues that end early leave their share to the others in proportion; a source that targets don't
+name has a weight of 1. Queues are served in the order of their sources, the null source first.
 
 Defined results: a null text is empty and has the end id alone; a null source is a queue like others; null or
 repeated doc_ids are packed as rows of their own; an empty table gives no pieces; extra columns are ignored.
@@ -39,27 +43,29 @@ NAME = "op10_packing"
 VOCABULARY = "byte_bpe_50k.tiktoken"
 END = 1
 LENGTH = 2048
-QUEUES = 64
-#: Rows of offsets up to which they are broadcast (24 bytes each).
+#: Queues up to which every task holds their totals, and cells of a table of windows by queues.
+QUEUES, CELLS = 1024, 1 << 18
+#: Rows of offsets up to which they are broadcast (about 60 bytes each).
 BROADCAST_ROWS = 200_000
+#: Rounds whose tokens are summed together before the sums are added up.
+ROUNDS = 4096
 
-TOKENS = "part int, queue int, doc_id long, doc_tokens long, place long, ids binary"
+TOKENS = "part int, queue string, doc_id long, doc_tokens long, place long, ids binary"
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 
 
-def queue_of(source: str | None, named: dict[str, int]) -> int:
-    if source in named:
-        return named[source]
-    return len(named) + zlib.crc32(("\0" if source is None else source).encode("utf-8", "surrogatepass")) % QUEUES
+def queue_of(source: str | None) -> str:
+    """The queue of a source: every source has its own, and so have rows without one."""
+    return "-" if source is None else "=" + source
 
 
-def tokenised(docs: DataFrame, path: str, named: dict[str, int]) -> DataFrame:
+def tokenised(docs: DataFrame, path: str) -> DataFrame:
     """One row per document: its ids, its queue, and its place in the queue among the documents of its task."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         encoder, part, places = Encoder(path), TaskContext.get().partitionId(), {}
         for batch in batches:
-            queues = [queue_of(s, named) for s in batch["source"].where(batch["source"].notna(), None)]
+            queues = [queue_of(s) for s in batch["source"].where(batch["source"].notna(), None)]
             ids, sizes, at = [], [], []
             for queue, own in zip(queues, encoder.encode([t if isinstance(t, str) else "" for t in batch["text"]])):
                 raw = np.append(own, END).astype("<u2")
@@ -72,55 +78,102 @@ def tokenised(docs: DataFrame, path: str, named: dict[str, int]) -> DataFrame:
     return docs.select("doc_id", "source", "text").mapInPandas(run, TOKENS)
 
 
-class Rounds:
+def kind_of(n: list[int], share: list[int], whole: int) -> type:
+    """The type in which rounds are reckoned: Python's integers where products would overflow."""
+    most = max([1, *n, *share]) * max(whole, *(-(-a * whole // b) for a, b in zip(n, share)), 1)
+    return np.int64 if 4 * most < 2**63 else object
+
+
+def served(rounds: np.ndarray, n: np.ndarray, share: np.ndarray, whole: int) -> np.ndarray:
+    """Tokens that queues of n tokens and quanta of share / whole have handed over after so many rounds."""
+    return np.minimum(n, rounds.astype(share.dtype) * share // whole).astype(np.int64)
+
+
+def round_of(token: np.ndarray, share: np.ndarray, whole: int) -> np.ndarray:
+    """The round, from 0, in which a queue hands over a token."""
+    return (-(-(token.astype(share.dtype) + 1) * whole // share) - 1).astype(np.int64)
+
+
+def turns(start: np.ndarray, size: np.ndarray, n: np.ndarray, share: np.ndarray, whole: int) -> tuple[np.ndarray, ...]:
+    """Runs of tokens cut at their rounds: (run, round, first token of the queue's turn, first and end of the piece).
+
+    A queue of less than a token a round is followed token by token, any other round by round."""
+    slow = share < whole
+    first, last = round_of(start, share, whole), round_of(start + size - 1, share, whole)
+    run, step = repeated(np.where(slow, size, last - first + 1).astype(np.int64))
+    rounds = first[run] + step
+    single = slow[run].astype(bool)
+    rounds[single] = round_of((start[run] + step)[single], share[run][single], whole)
+    n, share = n[run], share[run]
+    low, high = served(rounds, n, share, whole), served(rounds + 1, n, share, whole)
+    begin, end = np.maximum(start[run], low), np.minimum((start + size)[run], high)
+    some = end > begin
+    return tuple(x[some] for x in (run, rounds, low, begin, end))
+
+
+class Stream:
+    """Sequences of a stream of so many tokens."""
+
+    def __init__(self, total: int):
+        self.total = total
+        self.full, rest = divmod(total, LENGTH)
+        ends, self.tails = self.full * LENGTH, []
+        for bit in reversed(range(LENGTH.bit_length())):
+            if rest >> bit & 1:
+                self.tails.append(ends)
+                ends += 1 << bit
+        self.tails = np.array(self.tails, dtype=np.int64)
+
+    def sequences(self, place: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(sequence, first place of the sequence) of places in the stream."""
+        number = place // LENGTH
+        begin = number * LENGTH
+        late = place >= self.full * LENGTH
+        if late.any():
+            k = np.searchsorted(self.tails, place[late], side="right") - 1
+            number[late], begin[late] = self.full + k, self.tails[k]
+        return number, begin
+
+    def ends(self, number: np.ndarray) -> np.ndarray:
+        """Place after the last token of sequences."""
+        bounds = np.append(self.tails, self.total)
+        return np.where(number < self.full, (number + 1) * LENGTH, bounds[np.clip(number - self.full + 1, 0, len(bounds) - 1)])
+
+
+class Rounds(Stream):
     """Places of tokens in the served stream, for queues with the given totals and quanta."""
 
-    def __init__(self, totals: dict[int, int], targets: dict[int, int] | None = None, window: int = LENGTH):
+    def __init__(self, totals: dict, targets: dict | None = None, window: int = LENGTH):
+        super().__init__(sum(totals.values()))
         self.queues = sorted(q for q, n in totals.items() if n)
-        self.total = sum(totals.values())
         self.n = [totals[q] for q in self.queues]
         if targets is None:
             self.share, self.whole = [window * n for n in self.n], max(1, self.total)
         else:
             self.share = [window * max(1, targets.get(q, 0)) for q in self.queues]
             self.whole = sum(max(1, targets.get(q, 0)) for q in self.queues)
-        most = max([1, *self.n, *self.share]) * max(self.whole, *(-(-n * self.whole // s) for n, s in zip(self.n, self.share)), 1)
-        self.kind = np.int64 if 4 * most < 2**63 else object  # Python's integers where products would overflow
+        self.kind = kind_of(self.n, self.share, self.whole)
         self.index = {q: i for i, q in enumerate(self.queues)}
-        self.full, rest = divmod(self.total, LENGTH)
-        ends, self.tails = self.full * LENGTH, []
-        for bit in reversed(range(LENGTH.bit_length())):
-            if rest >> bit & 1:
-                self.tails.append(ends)
-                ends += 1 << bit
-        self.tails = np.array(self.tails, dtype=np.int64)
 
     def served(self, rounds: np.ndarray, i: np.ndarray) -> np.ndarray:
         """Tokens that queues (by index) have handed over after so many rounds."""
         share, n = np.array(self.share, dtype=self.kind), np.array(self.n, dtype=self.kind)
-        return np.minimum(n[i], rounds.astype(self.kind) * share[i] // self.whole).astype(np.int64)
-
-    def round_of(self, token: np.ndarray, i: np.ndarray) -> np.ndarray:
-        """The round, from 0, in which a queue hands over a token."""
-        share = np.array(self.share, dtype=self.kind)[i]
-        return (-(-(token.astype(self.kind) + 1) * self.whole // share) - 1).astype(np.int64)
+        return served(rounds, n[i], share[i], self.whole)
 
     def pieces(self, queue: np.ndarray, start: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, ...]:
         """Pieces of runs of tokens: (run, first token in the run, length, place in the stream)."""
         i = np.array([self.index[q] for q in queue.tolist()], dtype=np.int64)
-        first, last = self.round_of(start, i), self.round_of(start + size - 1, i)
-        run, step = repeated(last - first + 1)
-        rounds, i = first[run] + step, i[run]
-        low, high = self.served(rounds, i), self.served(rounds + 1, i)
-        begin, end = np.maximum(start[run], low), np.minimum((start + size)[run], high)
-        some = end > begin
-        run, rounds, i, low, begin, end = (x[some] for x in (run, rounds, i, low, begin, end))
+        share, n = np.array(self.share, dtype=self.kind), np.array(self.n, dtype=self.kind)
+        run, rounds, low, begin, end = turns(start, size, n[i], share[i], self.whole)
+        i = i[run]
         windows, inverse = np.unique(rounds, return_inverse=True)
         every = np.arange(len(self.queues))
         place = np.empty(len(run), dtype=np.int64)
-        for a in range(0, len(windows), 4096):  # the windows' tables, some at a time
-            own = np.flatnonzero((inverse >= a) & (inverse < a + 4096)) if len(windows) > 4096 else slice(None)
-            w = windows[a : a + 4096, None]
+        order, most = np.argsort(inverse, kind="stable"), max(1, CELLS // max(1, len(every)))
+        ordered = inverse[order]
+        for a in range(0, len(windows), most):  # the windows' tables, some at a time
+            own = order[slice(*np.searchsorted(ordered, (a, a + most)))]
+            w = windows[a : a + most, None]
             before = self.served(w, every[None, :])
             turn = self.served(w + 1, every[None, :]) - before
             at = before.sum(1)[:, None] + np.cumsum(turn, 1) - turn
@@ -128,21 +181,6 @@ class Rounds:
         place += begin - low
         return run, begin - start[run], end - begin, place
 
-    def sequences(self, place: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(sequence, first place of the sequence) of places in the stream."""
-        number = place // LENGTH
-        begin = number * LENGTH
-        late = place >= self.full * LENGTH
-        if late.any():
-            k = np.searchsorted(self.tails, place[late], side="right") - 1
-            number[late], begin[late] = self.full + k, self.tails[k]
-        return number, begin
-
-    def ends(self, number: np.ndarray) -> np.ndarray:
-        """Place after the last token of sequences."""
-        bounds = np.append(self.tails, self.total)
-        return np.where(number < self.full, (number + 1) * LENGTH, bounds[np.clip(number - self.full + 1, 0, len(bounds) - 1)])
-
 
 def repeated(counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(index, step) of range(count) for each count."""
@@ -150,6 +188,27 @@ def repeated(counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return index, np.arange(len(index)) - np.repeat(np.cumsum(counts) - counts, counts)
 
 
+def sequenced(stream: Stream, batch: pd.DataFrame, doc: np.ndarray, start: np.ndarray, length: np.ndarray, place: np.ndarray, skip: np.ndarray) -> pd.DataFrame:
+    """Pieces, each of a row (doc) of batch, cut at the ends of sequences. skip: tokens before each row's ids."""
+    first, _ = stream.sequences(place)
+    last, _ = stream.sequences(place + length - 1)
+    piece, step = repeated(last - first + 1)
+    number = first[piece] + step
+    _, begin = stream.sequences(place[piece])
+    begin = np.where(step > 0, stream.ends(number - 1), begin)
+    low = np.maximum(place[piece], begin)
+    high = np.minimum((place + length)[piece], stream.ends(number))
+    start = start[piece] + low - place[piece]
+    doc = doc[piece]
+    ids = [memoryview(np.frombuffer(x, "<u2").astype("<u4").tobytes()) for x in batch["ids"]]
+    at = start - skip[doc]
+    sums = [zlib.crc32(ids[d][4 * a : 4 * b]) for d, a, b in zip(doc.tolist(), at.tolist(), (at + high - low).tolist())]
+    return pd.DataFrame({
+        "doc_id": batch["doc_id"].astype("Int64").to_numpy()[doc], "start": start, "length": high - low, "ids_crc32": sums,
+        "doc_tokens": batch["doc_tokens"].to_numpy(np.int64)[doc], "sequence_id": number, "offset": low - begin,
+    })
+
+
 def cut(rounds: Rounds):
     """mapInPandas function: documents with ids and their place in the queue -> pieces."""
 
@@ -159,40 +218,70 @@ def cut(rounds: Rounds):
                 continue
             sizes = batch["doc_tokens"].to_numpy(np.int64)
             doc, start, length, place = rounds.pieces(batch["queue"].to_numpy(), batch["place"].to_numpy(np.int64), sizes)
-            first, _ = rounds.sequences(place)
-            last, _ = rounds.sequences(place + length - 1)
-            piece, step = repeated(last - first + 1)
-            number = first[piece] + step
-            _, begin = rounds.sequences(place[piece])
-            begin = np.where(step > 0, rounds.ends(number - 1), begin)
-            low = np.maximum(place[piece], begin)
-            high = np.minimum((place + length)[piece], rounds.ends(number))
-            start = start[piece] + low - place[piece]
-            doc = doc[piece]
-            ids = [memoryview(np.frombuffer(x, "<u2").astype("<u4").tobytes()) for x in batch["ids"]]
-            sums = [zlib.crc32(ids[d][4 * a : 4 * b]) for d, a, b in zip(doc.tolist(), start.tolist(), (start + high - low).tolist())]
-            yield pd.DataFrame({
-                "doc_id": batch["doc_id"].astype("Int64").to_numpy()[doc], "start": start, "length": high - low, "ids_crc32": sums,
-                "doc_tokens": sizes[doc], "sequence_id": number, "offset": low - begin,
-            })
+            yield sequenced(rounds, batch, doc, start, length, place, np.zeros(len(batch), dtype=np.int64))
 
     return run
 
 
-def pack(docs: DataFrame, path: str, targets: dict[str, int] | None = None) -> DataFrame:
+def cut_by_sums(placed: DataFrame, total: int, whole: int) -> DataFrame:
+    """What cut gives, without a table of queues: placed also has each queue's n and share."""
+
+    def deal(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            if not len(batch):
+                continue
+            kind = kind_of(batch["n"].tolist(), batch["share"].tolist(), whole)
+            n, share = (np.array(batch[c].tolist(), dtype=kind) for c in ("n", "share"))
+            place = batch["place"].to_numpy(np.int64)
+            run, rounds, _, begin, end = turns(place, batch["doc_tokens"].to_numpy(np.int64), n, share, whole)
+            start, ids = begin - place[run], batch["ids"].tolist()
+            own = [ids[d][2 * a : 2 * b] for d, a, b in zip(run.tolist(), start.tolist(), (start + end - begin).tolist())]
+            named = batch[["doc_id", "doc_tokens", "queue"]].astype({"doc_id": "Int64"}).iloc[run].reset_index(drop=True)
+            yield named.assign(round=rounds, begin=begin, start=start, length=end - begin, ids=own)
+
+    def finish(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        stream = Stream(total)
+        for batch in batches:
+            if len(batch):
+                start, length, place = (batch[c].to_numpy(np.int64) for c in ("start", "length", "place"))
+                yield sequenced(stream, batch, np.arange(len(batch)), start, length, place, start)
+
+    made = "doc_id long, doc_tokens long, queue string, round long, begin long, start long, length long, ids binary"
+    dealt = written(placed.mapInPandas(deal, made), "packing-turns")
+    before = lambda w: F.coalesce(F.sum("length").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    rounds = dealt.groupBy("round").agg(F.sum("length").alias("length")).withColumn("block", F.floor(F.col("round") / ROUNDS))
+    rounds = written(rounds, "packing-rounds")
+    blocks = rounds.groupBy("block").agg(F.sum("length").alias("length"))  # one row for ROUNDS * LENGTH tokens
+    blocks = blocks.select("block", before(Window.orderBy("block")).alias("base"))
+    rounds = rounds.withColumn("inner", before(Window.partitionBy("block").orderBy("round"))).join(blocks, "block")
+    rounds = rounds.select("round", (F.col("base") + F.col("inner")).alias("base"))
+    found = dealt.withColumn("inner", before(Window.partitionBy("round").orderBy("queue", "begin"))).join(rounds, "round")
+    return found.select("doc_id", "doc_tokens", "start", "length", (F.col("base") + F.col("inner")).alias("place"), "ids").mapInPandas(finish, PIECES)
+
+
+def pack(docs: DataFrame, path: str, targets: dict[str, int] | None = None, most: int = QUEUES) -> DataFrame:
     """docs (doc_id, source, text) -> pieces. targets: source -> weight; None: the corpus's own proportions."""
-    named = {s: k for k, s in enumerate(sorted(targets or {}))}
-    tokens = written(tokenised(docs, path, named), "packing-ids")
+    tokens = written(tokenised(docs, path), "packing-ids")
     sums = tokens.groupBy("part", "queue").agg(F.sum("doc_tokens").alias("n"))
     before = Window.partitionBy("queue").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     offsets = written(sums.withColumn("base", F.coalesce(F.sum("n").over(before), F.lit(0))), "packing-offsets")
-    totals = {r["queue"]: r["n"] for r in offsets.groupBy("queue").agg(F.sum("n").alias("n")).collect()}  # one row a queue
-    rows = offsets.count()
+    totals = offsets.groupBy("queue").agg(F.sum("n").alias("n"))
+    rows, few = offsets.count(), totals.limit(most + 1).collect()
+    weights = None if targets is None else {queue_of(s): w for s, w in targets.items()}
     right = offsets.select("part", "queue", "base")
+    if len(few) > most:
+        if weights is None:
+            totals = totals.withColumn("weight", F.col("n"))
+        else:
+            given = docs.sparkSession.createDataFrame(list(weights.items()), "queue string, weight long")
+            totals = totals.join(F.broadcast(given), "queue", "left").withColumn("weight", F.greatest(F.lit(1), F.coalesce("weight", F.lit(1))))
+        total, whole = totals.agg(F.sum("n"), F.sum("weight")).first()
+        right = right.join(totals.select("queue", "n", (F.lit(LENGTH) * F.col("weight")).alias("share")), "queue")
     placed = tokens.join(F.broadcast(right) if rows <= BROADCAST_ROWS else right, ["part", "queue"])
-    placed = placed.select("doc_id", "queue", "doc_tokens", (F.col("place") + F.col("base")).alias("place"), "ids")
-    weights = None if targets is None else {q: targets[s] for s, q in named.items()}
-    return placed.mapInPandas(cut(Rounds(totals, weights)), PIECES)
+    placed = placed.withColumn("place", F.col("place") + F.col("base")).drop("part", "base")
+    if len(few) > most:
+        return cut_by_sums(placed, total, whole)
+    return placed.mapInPandas(cut(Rounds({r["queue"]: r["n"] for r in few}, weights)), PIECES)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

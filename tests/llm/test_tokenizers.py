@@ -112,6 +112,32 @@ def test_packing_rebuilds_documents(spark, targets):
     assert packing.pack(docs.limit(0), public_tokenizers.path(packing.VOCABULARY)).count() == 0
 
 
+@pytest.mark.parametrize("targets", [None, {"s003": 40, "s017": 5}])
+def test_every_source_has_its_share(spark, targets):
+    """More sources than hashes would keep apart, each in a stretch of the table, one with less than a token a window."""
+    draw = random.Random(3)
+    given = [(10 * k + i, "".join(draw.choice("abc de\n") for _ in range(900)), f"s{k:03d}") for k in range(90) for i in range(3)] + [(2000, "tiny", None), (2001, "small one", "é")]
+    docs = spark.createDataFrame(given, "doc_id long, text string, source string").repartition(1).sortWithinPartitions("source", "doc_id")
+    path = public_tokenizers.path(packing.VOCABULARY)
+    found = packing.pack(docs, path, targets).toPandas()
+    by_sums = packing.pack(docs, path, targets, most=5).toPandas()  # the way of many queues gives the same
+    order = ["doc_id", "start"]
+    assert found.sort_values(order).reset_index(drop=True).equals(by_sums.sort_values(order).reset_index(drop=True))
+    if targets is None:
+        own = found.merge(docs.toPandas()[["doc_id", "source"]].fillna("-"), on="doc_id")
+        total = own.length.sum()
+        held = own.pivot_table(index="sequence_id", columns="source", values="length", aggfunc="sum").reindex(range(total // 2048)).fillna(0).cumsum()
+        for source, n in own.groupby("source").length.sum().items():
+            quantum = 2048 * n / total
+            assert (held[source] - quantum * (held.index + 1)).abs().max() <= quantum + 1, source
+
+
+def test_slow_queues_are_followed_token_by_token():
+    rounds = packing.Rounds({"big": 10**9, "tiny": 3})
+    run, first, length, _ = rounds.pieces(np.array(["tiny"]), np.array([0]), np.array([3]))
+    assert run.tolist() == [0, 0, 0] and first.tolist() == [0, 1, 2] and length.tolist() == [1, 1, 1]
+
+
 def test_rounds_in_large_numbers():
     """Exact integers beyond 64 bits: places are still one to one."""
     rounds = packing.Rounds({0: 10**15 + 7, 1: 3 * 10**14 + 1, 5: 12})
