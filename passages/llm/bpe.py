@@ -5,15 +5,18 @@ from __future__ import annotations
 import base64
 import functools
 import heapq
+import json
+import re
 from collections.abc import Iterator
-from itertools import chain
+from typing import NamedTuple
 
 import numpy as np
 
-from passages.llm.pretok import chunks, split_batch
+from passages.llm.pretok import chunks, cut_points
+from passages.llm.shingles import constants, mixed, powers
 
-#: Pre-tokens kept per worker; a full cache is emptied.
-CACHE_SIZE = 500_000
+#: Pre-tokens kept per worker, in a table of so many places; a full cache is emptied.
+CACHE_SIZE, CACHE_BITS = 1_000_000, 21
 #: Stands for the rank of a pair that is no token.
 NEVER = np.int32(2**31 - 1)
 #: Pre-tokens of up to so many bytes are merged side by side.
@@ -92,37 +95,30 @@ def merge_batch(pieces: list[bytes], path: str) -> list[bytes]:
         raw = np.frombuffer(b"".join([pieces[i].ljust(width, b"\0") for i in rows.tolist()]), dtype=np.uint8).reshape(-1, width)
         own = np.where(np.arange(width) < sizes[rows, None], single[raw], np.int32(-1))
         left = sizes[rows].copy()
-        ranked = pair_ranks(own[:, :-1], own[:, 1:], keys, values)
-        live = np.arange(len(rows))
-        part, part_ranked = own, ranked
-        columns = np.arange(width - 1)
-        while len(live):
-            best = part_ranked.argmin(1)
-            rank = part_ranked[np.arange(len(live)), best]
+        part, ranked, live = own, pair_ranks(own[:, :-1], own[:, 1:], keys, values), np.arange(len(rows))
+        for w in range(width, 1, -1):  # all live rows have had as many merges, so w places are left
+            best = ranked.argmin(1)
+            rank = ranked[np.arange(len(live)), best]
             going = rank != NEVER
             if not going.all():
-                done = live[~going]
-                own[done] = part[~going]
-                live, part, part_ranked, best, rank = live[going], part[going], part_ranked[going], best[going], rank[going]
-                if not len(live):
-                    break
+                done = ~going
+                own[live[done], :w] = part[done]
+                live, part, ranked, best, rank = live[going], part[going], ranked[going], best[going], rank[going]
+            if not len(live):
+                break
             line = np.arange(len(live))
-            moved = columns[None, :] + (columns[None, :] > best[:, None])  # without the column after best
-            shifted = np.full_like(part, -1)
-            shifted[:, :-1] = np.take_along_axis(part, moved, 1)
-            shifted[line, best] = rank
-            part = shifted
-            moved_ranks = np.full_like(part_ranked, NEVER)
-            moved_ranks[:, :-1] = np.take_along_axis(part_ranked, moved[:, :-1], 1)
-            part_ranked = moved_ranks
+            part[line, best] = rank
+            rest = np.ones(part.shape, dtype=bool)
+            rest[line, best + 1] = False
+            part = part[rest].reshape(len(live), w - 1)
+            rest = rest[:, 1:]
+            ranked = ranked[rest].reshape(len(live), w - 2)
             left[live] -= 1
-            after = part[line, np.minimum(best + 1, width - 1)]
-            after = np.where(best + 1 < width, after, -1)
-            inside = best < width - 1
-            part_ranked[line[inside], best[inside]] = pair_ranks(rank, after, keys, values)[inside]
-            inside = best > 0
-            before = part[line, np.maximum(best - 1, 0)]
-            part_ranked[line[inside], best[inside] - 1] = pair_ranks(before, rank, keys, values)[inside]
+            on = np.flatnonzero(best < w - 2)
+            ranked[on, best[on]] = pair_ranks(rank[on], part[on, best[on] + 1], keys, values)
+            on = np.flatnonzero(best > 0)
+            ranked[on, best[on] - 1] = pair_ranks(part[on, best[on] - 1], rank[on], keys, values)
+        own[live, : part.shape[1]] = part
         flat = own[np.arange(width) < left[:, None]].astype("<u4").tobytes()
         ends = (np.cumsum(left) * 4).tolist()
         for i, a, b in zip(rows.tolist(), [0, *ends], ends):
@@ -156,28 +152,130 @@ def merge_long(piece: bytes, known: dict[bytes, int]) -> list[int]:
     return [known[p] for p in parts if p]
 
 
+@functools.cache
+def added_tokens(path: str) -> dict[str, int]:
+    """Added tokens of a tokenizer file in JSON, which are matched in texts before anything else."""
+    with open(path, encoding="utf-8") as f:
+        return {t["content"]: t["id"] for t in json.load(f)["added_tokens"]}
+
+
+class Pieces(NamedTuple):
+    """Texts as pre-tokens: characters and ids of each, first pre-token of each text and of the end, all ids."""
+
+    sizes: np.ndarray
+    counts: np.ndarray
+    bounds: np.ndarray
+    ids: np.ndarray
+
+
 class Encoder:
-    """Encodes texts with the ranks of a file; keeps the ids of the pre-tokens it has met."""
+    """Encodes texts with the ranks of a file; keeps the ids of the pre-tokens it has met.
+
+    Pre-tokens are never made into strings: a 64-bit hash of each slice, from one running sum over the bytes,
+    is looked up in an open-addressed table, for all slices at once; only slices that miss are merged. Two of
+    the CACHE_SIZE pre-tokens of a worker share a hash with a probability of about 3e-8."""
+
+    def __init__(self, path: str, added: dict[str, int] | None = None):
+        self.path, self.added = path, added or {}
+        self.pattern = re.compile("(" + "|".join(map(re.escape, sorted(self.added, key=len, reverse=True))) + ")") if self.added else None
+        self.clear()
 
-    def __init__(self, path: str):
-        self.path, self.cache = path, {}
+    def clear(self) -> None:
+        self.keys = np.zeros(1 << CACHE_BITS, dtype=np.uint64)  # 0: free
+        self.at = np.zeros(1 << CACHE_BITS, dtype=np.int32)
+        self.first, self.count, self.flat = np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64), np.zeros(0, dtype="<u4")
 
-    def learn(self, pieces: set[str]) -> None:
-        """Put the ids of all these pre-tokens in the cache."""
-        new = [p for p in pieces if p not in self.cache]
-        if len(self.cache) + len(new) > CACHE_SIZE:
-            self.cache.clear()
-            new = list(pieces)
-        self.cache.update(zip(new, merge_batch([p.encode("utf-8", "surrogatepass") for p in new], self.path)))
+    def find(self, h: np.ndarray) -> np.ndarray:
+        """Number of each hash in the cache, or -1."""
+        place = (h >> np.uint64(64 - CACHE_BITS)).astype(np.int64)
+        seen = self.keys[place]
+        found = np.where(seen == h, self.at[place], -1)
+        open_ = np.flatnonzero((seen != h) & (seen != 0))
+        while len(open_):
+            place[open_] = (place[open_] + 1) & ((1 << CACHE_BITS) - 1)
+            seen = self.keys[place[open_]]
+            hit = seen == h[open_]
+            found[open_[hit]] = self.at[place[open_[hit]]]
+            open_ = open_[~hit & (seen != 0)]
+        return found
 
-    def ids(self, pieces: list[str]) -> np.ndarray:
-        """Ids of pre-tokens that have been learned."""
-        return np.frombuffer(b"".join(map(self.cache.__getitem__, pieces)), dtype="<u4")
+    def learn(self, h: np.ndarray, pieces: list[bytes]) -> None:
+        """Put the ids of new pre-tokens, with distinct hashes, into the cache."""
+        made = merge_batch(pieces, self.path)
+        count = np.fromiter(map(len, made), np.int64, len(made)) // 4
+        number = np.arange(len(made)) + len(self.first)
+        self.first = np.concatenate([self.first, len(self.flat) + np.cumsum(count) - count])
+        self.count = np.concatenate([self.count, count])
+        self.flat = np.concatenate([self.flat, np.frombuffer(b"".join(made), dtype="<u4")])
+        place = (h >> np.uint64(64 - CACHE_BITS)).astype(np.int64)
+        while len(h):
+            free = self.keys[place] == 0
+            self.keys[place[free]] = h[free]  # of several for one place the last stays
+            placed = self.keys[place] == h
+            self.at[place[placed]] = number[placed]
+            h, number, place = h[~placed], number[~placed], (place[~placed] + 1) & ((1 << CACHE_BITS) - 1)
+
+    def pieces(self, texts: list[str]) -> Pieces:
+        """Pre-tokens and ids of some texts at once."""
+        data, places, points, bounds, _ = cut_points(texts)
+        buffer = np.frombuffer(data, dtype=np.uint8)
+        words, _, _, _ = constants(folded=False)
+        up, down = powers(1 << max(16, (len(buffer) + 1).bit_length()))
+        sums = np.zeros(len(buffer) + 1, dtype=np.uint64)
+        np.cumsum(words[buffer] * up[: len(buffer)], out=sums[1:])
+        start, size = places[:-1], np.diff(places)
+        inside = np.ones(len(start), dtype=bool)
+        inside[bounds[1:] - 1] = False  # the marks
+        own, sizes = np.flatnonzero(inside), np.diff(points)[inside]
+        start, size = start[own], size[own]
+        h = mixed((sums[start + size] - sums[start]) * down[start] + size.astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93)) | np.uint64(1)
+        found = self.find(h)
+        missing = np.flatnonzero(found < 0)
+        if len(missing):
+            if len(self.first) + len(missing) > CACHE_SIZE:
+                self.clear()
+                missing = np.arange(len(h))
+            new, first = np.unique(h[missing], return_index=True)
+            if len(new) > CACHE_SIZE:  # a text beyond any cache
+                self.keys, self.at = np.zeros(0), np.zeros(0)
+                return self.at_once(data, start, size, sizes, bounds)
+            first = missing[first]
+            self.learn(new, [data[a : a + n] for a, n in zip(start[first].tolist(), size[first].tolist())])
+            found[missing] = self.find(h[missing])
+        counts = self.count[found]
+        total = np.cumsum(counts)
+        ids = self.flat[np.repeat(self.first[found] - total + counts, counts) + np.arange(total[-1] if len(total) else 0)]
+        return Pieces(sizes, counts, bounds - np.arange(len(bounds)), ids)
+
+    def at_once(self, data: bytes, start: np.ndarray, size: np.ndarray, sizes: np.ndarray, bounds: np.ndarray) -> Pieces:
+        """The same without the cache."""
+        self.clear()
+        made = merge_batch([data[a : a + n] for a, n in zip(start.tolist(), size.tolist())], self.path)
+        counts = np.fromiter(map(len, made), np.int64, len(made)) // 4
+        return Pieces(sizes, counts, bounds - np.arange(len(bounds)), np.frombuffer(b"".join(made), dtype="<u4"))
+
+    def plain(self, texts: list[str]) -> Iterator[np.ndarray]:
+        for a, b in chunks(texts):
+            found = self.pieces(texts[a:b])
+            ends = np.concatenate([[0], np.cumsum(found.counts)])[found.bounds].tolist()
+            for x, y in zip(ends, ends[1:]):
+                yield found.ids[x:y]
 
     def encode(self, texts: list[str]) -> Iterator[np.ndarray]:
         """Ids of each text."""
-        for a, b in chunks(texts):
-            split = split_batch(texts[a:b])
-            self.learn(set(chain.from_iterable(split)))
-            for pieces in split:
-                yield self.ids(pieces)
+        if self.pattern is None:
+            yield from self.plain(texts)
+            return
+        cut = [self.pattern.split(t) if any(a in t for a in self.added) else [t] for t in texts]
+        parts = self.plain([p for own in cut for p in own[::2]])
+        for own in cut:
+            if len(own) == 1:
+                yield next(parts)
+            else:
+                yield np.concatenate([next(parts) if i % 2 == 0 else np.array([self.added[p]], dtype="<u4") for i, p in enumerate(own)])
+
+
+@functools.lru_cache(maxsize=2)
+def encoder(path: str, added_path: str | None = None) -> Encoder:
+    """The worker's encoder: it lasts over tasks, and with it the pre-tokens it has met."""
+    return Encoder(path, added_tokens(added_path) if added_path else None)

@@ -19,7 +19,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from passages.llm.bpe import Encoder, token_bytes
+from passages.llm.bpe import encoder, token_bytes
 from passages.llm.common import table
 
 NAME = "op3_byte_bpe"
@@ -41,11 +41,11 @@ def digests(docs: DataFrame, path: str, text: str = "text") -> DataFrame:
 
     @F.pandas_udf("n_tokens long, ids_sha256 string, decoded_sha256 string")
     def digest(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-        encoder = Encoder(path)
+        own = encoder(path)
         written = [b"%d" % i for i in range(len(token_bytes(path)))]
         for texts in batches:
             rows = []
-            for ids in (x.tolist() for x in encoder.encode([t or "" for t in texts])):
+            for ids in (x.tolist() for x in own.encode([t or "" for t in texts])):
                 listed = b",".join(map(written.__getitem__, ids))
                 rows.append((len(ids), hashlib.sha256(listed).hexdigest(), hashlib.sha256(decode(ids, path)).hexdigest()))
             yield pd.DataFrame(rows, columns=["n_tokens", "ids_sha256", "decoded_sha256"])
@@ -58,9 +58,8 @@ def encode_column(path: str):
 
     @F.pandas_udf("array<int>")
     def encoded(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        encoder = Encoder(path)
         for texts in batches:
-            yield pd.Series([x.astype("int32") for x in encoder.encode([t or "" for t in texts])])
+            yield pd.Series([x.astype("int32") for x in encoder(path).encode([t or "" for t in texts])])
 
     return encoded
 

@@ -1,91 +1,131 @@
 """Operator 6, edit-aware token counts.
 
-build() keeps a tree for each document: its leaves are the pre-tokens (characters and tokens of each), its
-inner nodes the sums of their subtrees. An edit (start, end, new text) finds the leaves it touches by
-descending the sums of characters, splits anew from the leaf that holds the third character before it, and
-stops at the first boundary that the old text has too; only those leaves are encoded, and the sums above
-them are updated. Splitting from a boundary never looks back, and a token looks at most two characters
-ahead, so the count is that of a full recount.
-
-Defined results: a null text is empty and has no tokens; edits are given in the offsets of the old text, in
-order, and must not overlap (an edit that begins before the last one's end is left out); edits beyond the
-text end are clipped; null edits change nothing; repeated rows give repeated rows; extra columns stay.
+build() makes a table of trees, one a document, that is written and kept: the leaves of a tree are the
+pre-tokens (characters and tokens of each), blocks of up to FAN leaves hold the sums of theirs, and groups of FAN
+blocks the sums of those. revise() applies a round of edits (start, end, new text) to such a table: it finds the
+leaves an edit touches by descending the sums of characters, splits anew from the leaf that holds the third
+character before it, and stops at the first boundary that the old text has too. Only these stretches are
+encoded; their leaves take the place of the old ones, the sums of the blocks they lie in and of the groups
+above are renewed, and all other blocks stay as they are. The result is a table of trees again, for the next
+round. Splitting from a boundary never looks back, and a token looks at most two characters ahead, so the count
+is that of a full recount.
+
+Defined results: a null text is empty and has no tokens; edits are given in the offsets of the text they meet,
+in order, and must not overlap (an edit that begins before the last one's end is left out); edits beyond the
+text end are clipped; null edits change nothing; a null new text removes; repeated rows give repeated rows (edits
+go by doc_id, so all rows of an id take them); extra columns stay, but for those whose names the result needs.
 """
 
 from __future__ import annotations
 
 import re
 from collections.abc import Iterator
-from itertools import chain
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from passages.llm.bpe import Encoder
-from passages.llm.common import table
-from passages.llm.pretok import chunks, split_batch
+from passages.llm.bpe import Encoder, encoder
+from passages.llm.common import table, written
+from passages.llm.pretok import chunks
 
 NAME = "op6_token_counts"
 VOCABULARY = "byte_bpe_50k.tiktoken"
 #: Characters before an edit, and after it, on which boundaries can depend.
 REACH = 3
+#: Leaves in a block, and blocks in a group, of a fresh tree; an edited block may have fewer.
+FAN = 32
+#: Characters read after an edit at first; four times as many whenever no boundary is found.
+SPAN = 32
 #: What the query's edits replace, and by what: addresses of mail, and digits of seven places or more.
 REDACTIONS = ((r"[^\s@]{1,64}@[^\s@]{1,255}", "[mail]"), (r"[0-9]{7,}", "[number]"))
+TREE = "struct<leaves:binary,blocks:binary>"
+MADE = {"text", "tree", "edits", "n_tokens", "n_edits", "n_tokens_after", "n_reencoded", "_r"}
+
+
+def packed(rows: np.ndarray) -> bytes:
+    """Columns of numbers in the narrowest type, whose size leads."""
+    kind = np.min_scalar_type(int(rows.max(initial=0)))
+    return bytes([kind.itemsize]) + np.ascontiguousarray(rows.T).astype(kind.newbyteorder("<")).tobytes()
+
+
+def unpacked(raw: bytes, columns: int) -> np.ndarray:
+    return np.frombuffer(raw, dtype=f"<u{raw[0]}", offset=1).reshape(columns, -1).T.astype(np.int64)
 
 
 class Tree:
     """Sums of characters and tokens over the pre-tokens of a text."""
 
-    def __init__(self, sizes: np.ndarray, counts: np.ndarray):
-        self.leaves = 1 << max(0, len(sizes) - 1).bit_length()
-        self.used = len(sizes)
-        self.sums = np.zeros((2 * self.leaves, 2), dtype=np.int64)
-        self.sums[self.leaves : self.leaves + len(sizes), 0] = sizes
-        self.sums[self.leaves : self.leaves + len(sizes), 1] = counts
-        low = self.leaves
-        while low > 1:
-            self.sums[low // 2 : low] = self.sums[low : 2 * low : 2] + self.sums[low + 1 : 2 * low : 2]
-            low //= 2
-
-    @property
-    def tokens(self) -> int:
-        return int(self.sums[1, 1])
-
-    def find(self, place: int) -> tuple[int, int]:
-        """(leaf, its first character) of the leaf that holds the character at place."""
-        node, begin = 1, 0
-        while node < self.leaves:
-            left = int(self.sums[2 * node, 0])
-            node = 2 * node
-            if place >= begin + left:
-                begin, node = begin + left, node + 1
-        return node - self.leaves, begin
-
-    def size(self, leaf: int) -> int:
-        return int(self.sums[self.leaves + leaf, 0])
-
-    def count(self, first: int, last: int, tokens: int) -> None:
-        """Leaves first..last - 1 together have so many tokens from now on: kept at the first."""
-        changed = np.arange(first, last) + self.leaves
-        self.sums[changed, 1] = 0
-        self.sums[changed[0], 1] = tokens
-        nodes = np.unique(changed // 2)
-        while nodes[0] >= 1:
-            self.sums[nodes, 1] = self.sums[2 * nodes, 1] + self.sums[2 * nodes + 1, 1]
-            nodes = np.unique(nodes // 2)
-
-
-def grouped(text: str, edits) -> list[list[tuple[int, int, str]]]:
-    """Edits in order, those near each other together."""
+    def __init__(self, leaves: np.ndarray, blocks: np.ndarray | None = None):
+        """leaves: characters and tokens of each; blocks: leaves, characters and tokens of each, if known."""
+        self.leaves = leaves
+        self.blocks = cut_in_blocks(leaves) if blocks is None else blocks
+        self.groups = np.add.reduceat(self.blocks, np.arange(0, len(self.blocks), FAN)) if len(self.blocks) else self.blocks
+        self.tokens = int(self.groups[:, 2].sum())
+
+    @classmethod
+    def load(cls, row) -> Tree:
+        return cls(unpacked(row["leaves"], 2), unpacked(row["blocks"], 3))
+
+    def dump(self) -> dict[str, bytes]:
+        return {"leaves": packed(self.leaves), "blocks": packed(self.blocks)}
+
+    def find(self, place: int) -> tuple[int, int, int]:
+        """(block, leaf, its first character) of the leaf that holds the character at place, or of the last."""
+        leaf = begin = low = 0
+        for level, fan in ((self.groups, FAN), (self.blocks, 1)):
+            own = level[low : low + FAN] if fan == 1 else level
+            ends = np.cumsum(own[:, 1])
+            k = min(int(np.searchsorted(ends, place - begin, side="right")), len(own) - 1)
+            leaf += int(own[:k, 0].sum())
+            begin += int(ends[k - 1]) if k else 0
+            low = (low + k) * fan
+        own = self.leaves[leaf : leaf + int(self.blocks[low, 0]), 0]
+        ends = np.cumsum(own)
+        k = min(int(np.searchsorted(ends, place - begin, side="right")), len(own) - 1)
+        return low, leaf + k, begin + (int(ends[k - 1]) if k else 0)
+
+    def replaced(self, spans: list[tuple[int, int, np.ndarray]]) -> Tree:
+        """The tree with the leaves first..last - 1 of each span replaced; spans are in order and apart."""
+        ends = np.cumsum(self.blocks[:, 0])
+        leaves, blocks, leaf, block, k = [], [], 0, 0, 0
+        while k < len(spans):
+            first, last, _ = spans[k]
+            low = min(int(np.searchsorted(ends, first, side="right")), len(ends) - 1)
+            high = min(int(np.searchsorted(ends, max(first, last - 1), side="right")), len(ends) - 1)
+            at = int(ends[low - 1]) if low else 0
+            leaves.append(self.leaves[leaf:at])  # blocks that no edit touches
+            blocks.append(self.blocks[block:low])
+            own = []
+            while k < len(spans) and spans[k][0] < ends[high] or k == len(spans) - 1 and high == len(ends) - 1:
+                first, last, new = spans[k]
+                own += [self.leaves[at:first], new]
+                at, k = last, k + 1
+                high = max(high, min(int(np.searchsorted(ends, max(first, last - 1), side="right")), len(ends) - 1))
+            leaf, block = int(ends[high]), high + 1
+            made = np.concatenate([*own, self.leaves[at:leaf]])
+            leaves.append(made)
+            blocks.append(cut_in_blocks(made))
+        return Tree(np.concatenate([*leaves, self.leaves[leaf:]]), np.concatenate([*blocks, self.blocks[block:]]))
+
+
+def cut_in_blocks(leaves: np.ndarray) -> np.ndarray:
+    if not len(leaves):
+        return np.zeros((0, 3), dtype=np.int64)
+    at = np.arange(0, len(leaves), FAN)
+    return np.concatenate([np.diff(at, append=len(leaves))[:, None], np.add.reduceat(leaves, at)], axis=1)
+
+
+def grouped(text: str, edits, gap: int) -> list[list[tuple[int, int, str]]]:
+    """Edits in order, those less than gap characters apart together."""
     groups: list[list[tuple[int, int, str]]] = []
     end = 0
     for start, stop, new in edits:
-        start, stop = min(max(start, 0), len(text)), min(max(stop, 0), len(text))
+        start, stop = min(max(start or 0, 0), len(text)), min(max(stop or 0, 0), len(text))
         if start < end or stop < start:
             continue
-        if groups and start - end < 64:
+        if groups and start - end < gap:
             groups[-1].append((start, stop, new or ""))
         else:
             groups.append([(start, stop, new or "")])
@@ -102,51 +142,62 @@ def edited(text: str, group, low: int, high: int) -> str:
     return "".join([*parts, text[at:high]])
 
 
-def recount(tree: Tree, text: str, edits, encoder: Encoder) -> tuple[int, int]:
-    """(tokens of the edited text, pre-tokens encoded anew). The tree is updated to the new counts."""
-    groups, renewed = grouped(text, edits), 0
-    if not tree.used:
-        pieces = split_batch([edited("", chain.from_iterable(groups), 0, 0)])[0]
-        encoder.learn(set(pieces))
-        return len(encoder.ids(pieces)), len(pieces)
-    k = 0
-    while k < len(groups):
-        group = groups[k]
-        k += 1
-        first, begin = tree.find(max(0, group[0][0] - REACH))
-        if first >= tree.used:
-            first, begin = tree.used - 1, len(text) - tree.size(tree.used - 1)
-        span = 32
-        while True:
-            stop = group[-1][1]
-            high = min(len(text), stop + span)
-            if k < len(groups) and groups[k][0][0] <= high + REACH:  # the window runs into the next edits
-                group = group + groups[k]
-                k += 1
-                continue
-            window = edited(text, group, begin, high)
-            shift = len(window) - (high - begin)
-            pieces = split_batch([window])[0]
-            if high == len(text):
-                last, kept = tree.used, len(pieces)
-                break
-            place, kept, last = begin, 0, -1
-            for n, piece in enumerate(pieces):
-                old = place - shift
-                if old >= stop and n and old <= high - REACH - 1:
-                    leaf, at = tree.find(old)
-                    if at == old and place - begin >= shift + stop - begin:
-                        last, kept = leaf, n
-                        break
-                place += len(piece)
-            if last > first:
-                break
-            span *= 4
-        pieces = pieces[:kept]
-        encoder.learn(set(pieces))
-        tree.count(first, last, len(encoder.ids(pieces)))
-        renewed += len(pieces)
-    return tree.tokens, renewed
+def leaves_of(texts: list[str], own: Encoder) -> list[np.ndarray]:
+    """Characters and tokens of the pre-tokens of each text."""
+    made: list[np.ndarray] = []
+    for a, b in chunks(texts):
+        found = own.pieces(texts[a:b])
+        both, bounds = np.stack([found.sizes, found.counts], axis=1), found.bounds.tolist()
+        made += [both[x:y] for x, y in zip(bounds, bounds[1:])]
+    return made
+
+
+def met(tree: Tree, group, begin: int, high: int, size: int, leaves: np.ndarray) -> tuple[int, int] | None:
+    """(old leaf, new leaves before it) at the first boundary after the edits that old and new text share."""
+    stop, shift = group[-1][1], size - (high - begin)
+    old = begin + np.cumsum(leaves[:, 0]) - leaves[:, 0] - shift
+    for n in np.flatnonzero((old >= stop) & (old <= high - REACH - 1)).tolist():
+        if n:
+            _, leaf, at = tree.find(int(old[n]))
+            if at == old[n]:
+                return leaf, n
+    return None
+
+
+def recount(trees: list[Tree], texts: list[str], edits: list, own: Encoder) -> list[tuple[Tree, str, int]]:
+    """(tree, text, pre-tokens encoded anew) after each text's edits. The stretches of all texts are encoded
+    together; texts with an edit after which no boundary was met are tried again with longer stretches."""
+    made: list = [None] * len(texts)
+    todo, span = [i for i in range(len(texts))], SPAN
+    while todo:
+        jobs, windows, every = [], [], {}
+        for i in todo:
+            tree, text = trees[i], texts[i]
+            every[i] = grouped(text, edits[i], span + 2 * REACH + 2)
+            for group in every[i]:
+                if len(tree.leaves):
+                    _, first, begin = tree.find(max(0, group[0][0] - REACH))
+                else:
+                    first = begin = 0
+                high = min(len(text), group[-1][1] + span)
+                jobs.append((i, group, first, begin, high))
+                windows.append(edited(text, group, begin, high))
+        spans: dict[int, list] = {i: [] for i in todo}
+        failed = set()
+        for (i, group, first, begin, high), window, leaves in zip(jobs, windows, leaves_of(windows, own)):
+            if high == len(texts[i]):
+                spans[i].append((first, len(trees[i].leaves), leaves))
+            elif found := met(trees[i], group, begin, high, len(window), leaves):
+                spans[i].append((first, found[0], leaves[: found[1]]))
+            else:
+                failed.add(i)
+        for i in todo:
+            if i not in failed:
+                tree = trees[i].replaced(spans[i]) if len(trees[i].leaves) else Tree(np.concatenate([np.zeros((0, 2), dtype=np.int64), *(s[2] for s in spans[i])]))
+                flat = [e for group in every[i] for e in group]
+                made[i] = tree, edited(texts[i], flat, 0, len(texts[i])), sum(len(s[2]) for s in spans[i])
+        todo, span = sorted(failed), 4 * span
+    return made
 
 
 def redactions(text: str) -> list[tuple[int, int, str]]:
@@ -158,48 +209,69 @@ def redactions(text: str) -> list[tuple[int, int, str]]:
     return sorted(found)
 
 
-def counted(text: Column, edits: Column | None, path: str) -> Column:
-    """Struct n_tokens, n_edits, n_tokens_after, n_reencoded. edits: array of (start, stop, new) structs; None:
-    the redactions of the text."""
+def others(df: DataFrame) -> list[str]:
+    return [f"`{c}`" for c in df.columns if c.lower() not in MADE]
+
+
+def build(docs: DataFrame, path: str, text: str = "text") -> DataFrame:
+    """docs with text, n_tokens and tree."""
+
+    @F.pandas_udf(f"n_tokens long, tree {TREE}")
+    def grow(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        for texts in batches:
+            trees = [Tree(x) for x in leaves_of([t if isinstance(t, str) else "" for t in texts], encoder(path))]
+            yield pd.DataFrame({"n_tokens": [t.tokens for t in trees], "tree": [t.dump() for t in trees]})
+
+    rest = others(docs)
+    own = docs.select(*rest, F.col(f"`{text}`").alias("text"))
+    return own.select(*rest, "text", grow("text").alias("_r")).select(*rest, "text", "_r.n_tokens", "_r.tree")
+
+
+def with_edits(trees: DataFrame, edits: DataFrame) -> DataFrame:
+    """trees with the edits (doc_id, start, stop, new) of their documents, by start."""
+    listed = edits.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("start", "stop", "new"))).alias("edits"))
+    return trees.drop("edits").join(listed, "doc_id", "left")
+
+
+def revise(trees: DataFrame, path: str, edits: Column | None = None, keep: bool = True) -> DataFrame:
+    """trees (text, tree) after a round of edits, with n_tokens, n_edits, n_tokens_after and n_reencoded.
+
+    edits: array of (start, stop, new) structs; None: the redactions of the text. keep: with the edited text and
+    its tree, for the next round."""
+    counts = "n_tokens long, n_edits long, n_tokens_after long, n_reencoded long"
 
-    def count(batches: Iterator) -> Iterator[pd.DataFrame]:
-        encoder = Encoder(path)
+    def run(batches: Iterator[tuple[pd.Series, ...]]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            columns = batch if isinstance(batch, tuple) else (batch,)
-            texts = [t if isinstance(t, str) else "" for t in columns[0]]
-            rows = []
-            for a, b in chunks(texts):
-                split = split_batch(texts[a:b])
-                encoder.learn(set(chain.from_iterable(split)))
-                sized = [(np.fromiter(map(len, p), np.int64, len(p)), np.fromiter((len(encoder.cache[x]) // 4 for x in p), np.int64, len(p))) for p in split]
-                for i, (sizes, counts) in zip(range(a, b), sized):
-                    if len(columns) > 1:
-                        given = columns[1].iloc[i]
-                        own = [] if given is None else [(e["start"], e["stop"], e["new"]) for e in given]
-                    else:
-                        own = redactions(texts[i])
-                    before = int(counts.sum())
-                    after, renewed = recount(Tree(sizes, counts), texts[i], own, encoder) if own else (before, 0)
-                    rows.append((before, len(own), after, renewed))
-            yield pd.DataFrame(rows, columns=["n_tokens", "n_edits", "n_tokens_after", "n_reencoded"], dtype="int64")
-
-    count.__annotations__["batches"] = Iterator[pd.Series] if edits is None else Iterator[tuple[pd.Series, pd.Series]]
-    made = F.pandas_udf(count, "n_tokens long, n_edits long, n_tokens_after long, n_reencoded long")
-    return made(text) if edits is None else made(text, edits)
-
-
-def counts(docs: DataFrame, path: str, text: str = "text", edits: str | None = None) -> DataFrame:
-    """docs with token counts before and after its edits."""
-    rest = [c for c in docs.columns if c.lower() not in {"n_tokens", "n_edits", "n_tokens_after", "n_reencoded", "_c"}]
-    made = counted(F.col(f"`{text}`"), None if edits is None else F.col(f"`{edits}`"), path)
-    return docs.select(*(F.col(f"`{c}`") for c in rest), made.alias("_c")).select(*(F.col(f"`{c}`") for c in rest), "_c.*")
+            texts = [t if isinstance(t, str) else "" for t in batch[0]]
+            trees_ = [Tree.load(r) for r in batch[1].to_dict("records")]
+            if len(batch) > 2:
+                given = [[] if own is None else [(e["start"], e["stop"], e["new"]) for e in own] for own in batch[2]]
+            else:
+                given = [redactions(t) for t in texts]
+            some = [i for i, own in enumerate(given) if own]
+            made = {i: (t, x, 0) for i, (t, x) in enumerate(zip(trees_, texts))}
+            made |= dict(zip(some, recount([trees_[i] for i in some], [texts[i] for i in some], [given[i] for i in some], encoder(path))))
+            out = {
+                "n_tokens": [t.tokens for t in trees_], "n_edits": [len(e) for e in given],
+                "n_tokens_after": [made[i][0].tokens for i in range(len(texts))], "n_reencoded": [made[i][2] for i in range(len(texts))],
+            }
+            if keep:
+                out |= {"text": [made[i][1] for i in range(len(texts))], "tree": [made[i][0].dump() for i in range(len(texts))]}
+            yield pd.DataFrame(out)
+
+    made = F.pandas_udf(run, f"{counts}, text string, tree {TREE}" if keep else counts)
+    columns = ["text", "tree"] if edits is None else ["text", "tree", edits]
+    rest = others(trees)
+    found = trees.select(*rest, made(*columns).alias("_r"))
+    return found.select(*rest, *(("_r.text", "_r.tree") if keep else ()), *(f"_r.{c}" for c in ("n_tokens", "n_edits", "n_tokens_after", "n_reencoded")))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    return counts(docs, public_tokenizers.path(VOCABULARY)).drop("text")
+    path = public_tokenizers.path(VOCABULARY)
+    trees = written(build(table(spark, sf_dir, "documents").select("doc_id", "text"), path), "token-trees")
+    return revise(trees, path, keep=False)
 
 
 #: SQL can't express the merges: tests compare with a full recount.

@@ -135,21 +135,28 @@ def boundaries(codes: np.ndarray, ends: np.ndarray) -> np.ndarray:
     return starts()[(kinds << 3) + states_before(kinds)]
 
 
+def cut_points(texts: list[str]) -> tuple[bytes, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(UTF-8 of the texts, each followed by a mark; first byte and first code point of every pre-token, of
+    every text, and of the end; first pre-token of every text and of the end). A mark is no pre-token."""
+    joined = "\n".join(texts) + "\n" if texts else ""
+    data = joined.encode("utf-8", "surrogatepass")
+    ascii_ = len(data) == len(joined)
+    codes = np.frombuffer(data, dtype=np.uint8) if ascii_ else np.frombuffer(joined.encode("utf-32-le", "surrogatepass"), dtype="<u4")
+    ends = np.cumsum(np.fromiter(map(len, texts), np.int64, len(texts)) + 1) - 1
+    at = np.flatnonzero(boundaries(codes, ends)) if len(texts) else np.zeros(0, dtype=np.int64)
+    at = np.append(at, len(joined))
+    bounds = np.concatenate([[0], np.searchsorted(at, ends) + 1])  # each mark starts a token of its own
+    if ascii_:
+        return data, at, at, bounds, ends
+    first = np.flatnonzero((np.frombuffer(data, dtype=np.uint8) & 0xC0) != 0x80)  # first byte of each character
+    return data, np.append(first, len(data))[at], at, bounds, ends
+
+
 def split_batch(texts: list[str]) -> list[list[str]]:
     """The pre-tokens of each text."""
-    if not texts:
-        return []
-    joined = "\n".join(texts) + "\n"
-    try:
-        codes = np.frombuffer(joined.encode("latin-1"), dtype=np.uint8)
-    except UnicodeEncodeError:
-        codes = np.frombuffer(joined.encode("utf-32-le", "surrogatepass"), dtype="<u4")
-    ends = np.cumsum([len(t) + 1 for t in texts]) - 1
-    at = np.flatnonzero(boundaries(codes, ends))
-    cuts = np.searchsorted(at, ends).tolist()  # each mark starts a token of its own
-    places = at.tolist()
-    pieces = [joined[a:b] for a, b in zip(places, places[1:])]
-    return [pieces[a:b] for a, b in zip([0, *(c + 1 for c in cuts)], cuts)]
+    data, places, _, bounds, _ = cut_points(texts)
+    cuts, whole = places.tolist(), bounds.tolist()
+    return [[data[x:y].decode("utf-8", "surrogatepass") for x, y in zip(cuts[a : b - 1], cuts[a + 1 : b])] for a, b in zip(whole, whole[1:])]
 
 
 def chunks(texts: list[str], most: int = 1_000_000) -> list[tuple[int, int]]:

@@ -16,10 +16,11 @@ BASE = 0x9E3779B97F4A7C15
 
 
 @functools.cache
-def constants() -> tuple[np.ndarray, np.ndarray, np.ndarray, np.uint64]:
+def constants(folded: bool = True) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.uint64]:
     """(random word of each byte, whether a byte is white space, factor of each place in a shingle, 1 / BASE)."""
     words = np.random.default_rng(85).integers(0, 2**63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-    words[65:91] = words[97:123]  # A-Z as a-z
+    if folded:
+        words[65:91] = words[97:123]  # A-Z as a-z
     white = np.zeros(256, dtype=bool)
     white[[32, *range(9, 14)]] = True
     factors = np.random.default_rng(5).integers(0, 2**63, WORDS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)

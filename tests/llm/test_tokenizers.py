@@ -4,19 +4,19 @@ import base64
 import hashlib
 import random
 import zlib
-from itertools import chain
 
 import numpy as np
 import public_tokenizers
 import pytest
 import regex
 import tiktoken
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from passages.llm import op3_byte_bpe as bpe3
 from passages.llm import op6_token_counts as edits
 from passages.llm import op10_packing as packing
-from passages.llm.bpe import Encoder
+from passages.llm.bpe import Encoder, added_tokens
 from passages.llm.pretok import split_batch
 
 ALPHABET = "ab st'lrevmd  \n\t é1٣漢字!.#'’ \U0001f600Ⅻ²  "
@@ -58,30 +58,60 @@ def test_digest_edges(spark):
     assert spark.createDataFrame([("a b",)], "t string").select(bpe3.encode_column(path)("t")).first()[0]
 
 
-def test_counts_after_edits_equal_a_recount():
+def random_edits(draw, text: str) -> list[tuple[int, int, str]]:
+    cuts = sorted(draw.randint(0, len(text)) for _ in range(2 * draw.choice([1, 1, 2, 6])))
+    return [(a, b, "".join(draw.choice(ALPHABET) for _ in range(draw.randint(0, 6)))) for a, b in zip(cuts[::2], cuts[1::2])]
+
+
+def test_counts_after_two_rounds_of_edits_equal_a_recount():
     draw, encoder = random.Random(3), Encoder(public_tokenizers.path(edits.VOCABULARY))
-    for _ in range(1500):
-        text = "".join(draw.choice(ALPHABET) for _ in range(draw.choice([0, 3, 40, 500])))
-        cuts = sorted(draw.randint(0, len(text)) for _ in range(2 * draw.choice([1, 1, 2, 6])))
-        given = [(a, b, "".join(draw.choice(ALPHABET) for _ in range(draw.randint(0, 6)))) for a, b in zip(cuts[::2], cuts[1::2])]
-        pieces = split_batch([text])[0]
-        encoder.learn(set(pieces))
-        tree = edits.Tree(np.array([len(p) for p in pieces], dtype=int), np.array([len(encoder.cache[p]) // 4 for p in pieces], dtype=int))
-        changed = edits.edited(text, list(chain.from_iterable(edits.grouped(text, given))), 0, len(text))
-        got, _ = edits.recount(tree, text, given, encoder)
-        assert got == len(next(encoder.encode([changed]))), (text, given)
+    texts = ["".join(draw.choice(ALPHABET) for _ in range(draw.choice([0, 3, 40, 500, 3000]))) for _ in range(900)] + ["a" * 4000, "b c" * 2000]
+    trees = [edits.Tree(x) for x in edits.leaves_of(texts, encoder)]
+    for _ in range(3):
+        given = [random_edits(draw, t) for t in texts]
+        changed = [edits.edited(t, [e for g in edits.grouped(t, own, 1) for e in g], 0, len(t)) for t, own in zip(texts, given)]
+        made = edits.recount(trees, texts, given, encoder)
+        assert [m[1] for m in made] == changed
+        for (tree, text, renewed), leaves in zip(made, edits.leaves_of(changed, encoder)):
+            assert np.array_equal(tree.leaves, leaves) and tree.tokens == leaves[:, 1].sum(), text
+            assert np.array_equal(np.add.reduceat(tree.leaves, np.cumsum(tree.blocks[:, 0]) - tree.blocks[:, 0]), tree.blocks[:, 1:]) if len(leaves) else not len(tree.blocks)
+        trees, texts = [edits.Tree.load(m[0].dump()) for m in made], changed
+
+
+def test_an_edit_in_a_long_text_renews_little():
+    encoder = Encoder(public_tokenizers.path(edits.VOCABULARY))
+    text = "some words that go on. " * 20_000
+    (tree, changed, renewed), = edits.recount([edits.Tree(edits.leaves_of([text], encoder)[0])], [text], [[(230_000, 230_004, "new")]], encoder)
+    assert renewed < 30 and tree.tokens == edits.leaves_of([changed], encoder)[0][:, 1].sum()
 
 
 def test_edit_counts_edges(spark):
     path = public_tokenizers.path(edits.VOCABULARY)
-    rows = [(1, None, None), (2, "", [(0, 0, "new words")]), (3, "call 12345678 or a@b.c", None), (4, "some words here", [(5, 10, "other"), (7, 8, "x"), (90, 99, "!")])]
-    docs = spark.createDataFrame([(*r, 5) for r in rows], "doc_id long, text string, edits array<struct<start:int,stop:int,new:string>>, n_tokens int")
-    found = {r.doc_id: r for r in edits.counts(docs, path, edits="edits").collect()}
+    rows = [(1, None), (2, ""), (3, "call 12345678 or a@b.c"), (4, "some words here"), (4, "some words here"), (None, "none")]
+    docs = spark.createDataFrame([(*r, 5) for r in rows], "doc_id long, text string, n_tokens int")
+    given = spark.createDataFrame([(2, 0, 0, "new words"), (4, 5, 10, "other"), (4, 7, 8, "x"), (4, 90, 99, "!"), (3, 0, 4, None)], "doc_id long, start int, stop int, new string")
     size = lambda t: len(next(Encoder(path).encode([t])))
+    trees = edits.build(docs, path)
+    first = edits.revise(edits.with_edits(trees, given), path, F.col("edits"))
+    found = {r.doc_id: r for r in first.collect()}
+    assert first.count() == 6 and found[None].n_tokens_after == size("none")
     assert (found[1].n_tokens, found[1].n_tokens_after) == (0, 0) and found[2].n_tokens_after == size("new words")
-    assert found[3].n_tokens_after == found[3].n_tokens and found[4].n_tokens_after == size("some other here!")
-    own = {r.doc_id: r for r in edits.counts(docs.drop("edits"), path).collect()}
-    assert own[3].n_edits == 2 and own[3].n_tokens_after == size("call [number] or [mail]")
+    assert found[4].text == "some other here!" and found[4].n_tokens_after == size("some other here!")
+    assert found[3].text == " 12345678 or a@b.c"
+    again = {r.doc_id: r for r in edits.revise(first, path).collect()}  # the second round, on the kept trees
+    assert again[3].n_edits == 2 and again[3].n_tokens_after == size(" [number] or [mail]") and again[4].n_tokens == size("some other here!")
+    assert edits.revise(edits.build(docs.limit(0), path), path).count() == 0
+
+
+def test_query_counts_equal_full_recounts(spark, sf):
+    path = public_tokenizers.path(edits.VOCABULARY)
+    texts = {r.doc_id: r.text or "" for r in spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text").collect()}
+    encoder, found = Encoder(path), edits.query(spark, sf).collect()
+    assert len(found) == len(texts) and any(r.n_edits for r in found)
+    for r in found:
+        text = texts[r.doc_id]
+        changed = edits.edited(text, [e for g in edits.grouped(text, edits.redactions(text), 1) for e in g], 0, len(text))
+        assert (r.n_tokens, r.n_tokens_after) == tuple(map(len, encoder.encode([text, changed])))
 
 
 @pytest.mark.parametrize("targets", [None, {"a": 5, "b": 1}])
@@ -139,8 +169,64 @@ def test_slow_queues_are_followed_token_by_token():
 
 
 def test_rounds_in_large_numbers():
-    """Exact integers beyond 64 bits: places are still one to one."""
-    rounds = packing.Rounds({0: 10**15 + 7, 1: 3 * 10**14 + 1, 5: 12})
-    assert rounds.kind is object
-    run, first, length, place = rounds.pieces(np.array([0, 1, 5]), np.array([10**14, 10**13, 3]), np.array([5000, 3000, 1]))
+    """64-bit integers at tens of terabytes, and as exact as Python's."""
+    totals = {0: 6 * 10**12 + 7, 1: 4 * 10**12 - 8, 5: 12}
+    rounds = packing.Rounds(totals)
+    run, first, length, place = rounds.pieces(np.array([0, 1, 5]), np.array([10**12, 10**11, 3]), np.array([5000, 3000, 1]))
+    assert place.dtype == np.int64 and rounds.quantum.dtype == np.int64
     assert [int(length[run == k].sum()) for k in range(3)] == [5000, 3000, 1] and len(set(place.tolist())) == len(place)
+    draw = random.Random(9)
+    for i, q in enumerate(rounds.quantum.tolist()):
+        w = [draw.randrange(1 << 33) for _ in range(200)]
+        exact = [min(totals[rounds.queues[i]], x * q >> packing.PLACES) for x in w]
+        assert rounds.served(np.array(w), np.full(200, i)).tolist() == exact
+        t = np.array([draw.randrange(totals[rounds.queues[i]]) for _ in range(200)])
+        r = packing.round_of(t, np.full(200, q))
+        assert all(x * q >> packing.PLACES <= y < (x + 1) * q >> packing.PLACES for x, y in zip(r.tolist(), t.tolist()))
+    assert rounds.served(np.array([10**13 // 2048 + 1] * 3), np.arange(3)).tolist() == list(totals.values())
+
+
+def test_ids_equal_the_tokenizers_library():
+    tokenizer = Tokenizer.from_file(public_tokenizers.path(packing.TOKENIZER))
+    draw = random.Random(12)
+    texts = drawn(800, 5) + ["end<|endoftext|> next", "<|endoftext|><|endoftext|>", "a <|endoftext|", "x<|endoftext|>'s"]
+    texts += ["".join(chr(c) for _ in range(200_000) if not 0xD800 <= (c := draw.randrange(0x110000)) < 0xE000) for _ in range(5)]  # a million characters
+    encoder = Encoder(public_tokenizers.path(packing.VOCABULARY), added_tokens(public_tokenizers.path(packing.TOKENIZER)))
+    for text, ids in zip(texts, encoder.encode(texts)):
+        assert ids.tolist() == tokenizer.encode(text, add_special_tokens=False).ids, text[:100]
+
+
+def test_packing_query_and_edges(spark, sf):
+    """The whole table, rebuilt from its pieces; then null and repeated ids, a long text, and an added token."""
+    tokenizer = Tokenizer.from_file(public_tokenizers.path(packing.TOKENIZER))
+
+    def check(docs, found):
+        ids = {}
+        for r in docs.collect():
+            own = np.array([*tokenizer.encode(r.text or "", add_special_tokens=False).ids, packing.END], dtype="<u4")
+            ids.setdefault(r.doc_id, []).append(own)
+        pieces = {}
+        for r in found.collect():
+            pieces.setdefault(r.doc_id, []).append(r)
+        assert set(pieces) == set(ids)
+        for doc, own in pieces.items():
+            assert sum(r.length for r in own) == sum(map(len, ids[doc]))
+            for r in own:
+                assert any(r.doc_tokens == len(x) and r.ids_crc32 == zlib.crc32(x[r.start : r.start + r.length].tobytes()) for x in ids[doc])
+
+    check(spark.read.parquet(f"{sf}/documents.parquet"), packing.query(spark, sf))
+    rows = [(1, "one <|endoftext|> two", "s"), (1, "other", "s"), (None, "no id", None), (3, "long words " * 30_000, "s")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(2)
+    paths = public_tokenizers.path(packing.VOCABULARY), public_tokenizers.path(packing.TOKENIZER)
+    check(docs, packing.pack(docs, paths[0], added=paths[1]))
+
+
+def test_digest_query(spark, sf):
+    path = public_tokenizers.path(bpe3.VOCABULARY)
+    with open(path, "rb") as f:
+        own = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks={base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}, special_tokens={})
+    found = {r.doc_id: r for r in bpe3.query(spark, sf).collect()}
+    for r in spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text").collect():
+        ids = own.encode_ordinary(r.text or "")
+        assert found[r.doc_id].n_tokens == len(ids) and found[r.doc_id].ids_sha256 == hashlib.sha256(",".join(map(str, ids)).encode()).hexdigest()
+        assert found[r.doc_id].decoded_sha256 == hashlib.sha256((r.text or "").encode()).hexdigest()
