@@ -1,21 +1,24 @@
 """Operator 9, language-model scoring: a hashed maximum-entropy model with a class-factored softmax.
 
-A word (64-bit hash) belongs to one of CLASSES classes and one of MEMBERS groups within it. The model is
-P(word | context) = P(class | context) P(group | class, context) P(word | class, group). The first two are
-softmaxes over weights of hashed features of the context: the word before, the word before that (a skip),
-and both. The last is the add-one share of the word's count in its group, so a class costs CLASSES and a
-group MEMBERS exponentials instead of one for every word.
-
-Training is distributed. (1) One pass over all training texts gathers the words' counts and, for each
-feature, how often each class and group followed it: the gradient of the log-likelihood at the model without
-context. The first update is iterative scaling on that gradient, damped towards no effect for rare
-features. (2) STEPS Newton updates of the six scales (one for each kind of feature and each softmax), from
-gradients and curvatures summed over the tasks of a bounded sample of FIT_ROWS training rows whose contexts
-step 1 left out.
+Words (64-bit hashes) are dealt over CLASSES classes of MEMBERS cells: each of the SINGLES most frequent words
+has a cell of its own, the others share the rest by hash. The model is
+P(word | context) = P(class | context) P(cell | class, context) P(word | cell). The first two are softmaxes
+over weights of hashed features of the context: the word before, the word before that (a skip), and both. The
+last is the add-one share of the word's count in its cell, so a class costs CLASSES and a cell MEMBERS
+exponentials instead of one for every word.
+
+Training is distributed, and learns from all training rows. (1) The words are counted; the counts give V, N, the
+cells, and the size of the two hashed tables of weights, which grows with N up to 2 ** MOST_BITS rows. (2) For
+each row of the tables it is counted how often each class and cell followed: the gradient of the
+log-likelihood at the model without context. The first update is iterative scaling on it, damped for rare
+features. (3) STEPS gradient updates: every training row belongs to one step, whose tasks sum the gradients
+of all weights, and the gradient and curvature of the six scales (one for each kind of feature and softmax).
+A token's own count in (2) is left out when its gradient is taken, so rare features aren't trusted for
+having seen their own answer. The weights move by a diagonal Newton step, the scales by a full one.
 
 Word counts stay in a table. Scoring uses them from a broadcast of sorted arrays up to VOCABULARY_ROWS words;
-a larger vocabulary is joined by shuffle to the words of each text instead. The tables of weights have a
-fixed size.
+a larger vocabulary is joined by shuffle to the words of each text instead. Sums of gradients are streamed:
+a task adds the slices it is dealt, however many tasks made them.
 
 Defined results: null and empty texts hold the end alone; a null doc_id is not held out and not learned from;
 with no training rows N and V are 0 and the model is uniform; texts are read whole; repeated rows give
@@ -32,30 +35,35 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from passages.llm.common import remainder, table, written
+from passages.llm.common import remainder, removed, table, written
 from passages.llm.pretok import chunks
 from passages.llm.shingles import mixed, word_hashes
 
 NAME = "op9_lm_scoring"
 
-CLASSES, MEMBERS = 64, 32
-#: Rows of the two tables of weights.
-CLASS_ROWS, MEMBER_ROWS = 1 << 14, 1 << 15
+CLASSES, MEMBERS, SINGLES = 64, 32, 1024
+CELLS = CLASSES * MEMBERS
 KINDS = 3
+#: Rows of the class table, as a power of 2: one for every TOKENS_A_ROW training tokens, within bounds. The table
+#: of cells has twice as many rows of half the width. Both together have at most 67 MB.
+LEAST_BITS, MOST_BITS, TOKENS_A_ROW = 10, 17, 256
+#: Training tokens that a task sums at least, so that what tasks hand over stays small beside what they read.
+TASK_TOKENS = 20_000_000
 #: Pseudo-count that pulls a feature's weights to no effect.
 PRIOR = 8.0
-FIT_ROWS, STEPS = 2000, 3
-#: One in so many training rows gives its words but not its contexts, so the scales are fitted on contexts that
-#: the weights haven't seen.
-DEVELOPMENT = 16
+STEPS, RATE, MOST_MOVE = 2, 0.5, 1.0
 VOCABULARY_ROWS = 8_000_000
 SLICE = 1 << 12
-#: Tokens scored at once.
-BLOCK = 1 << 14
+#: Tokens whose softmaxes are taken at once, and hashed counts held before they are added up.
+BLOCK, HELD = 1 << 11, 4_000_000
 END = np.uint64(0x2545F4914F6CDD1D)
 BEFORE = np.uint64(0x9E6C63D0876A9A47)
 
 
+def texts_of(batch: pd.Series) -> list[str]:
+    return [t if isinstance(t, str) else "" for t in batch]
+
+
 def sequences(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     """(token hashes with an end after each text, bounds of the texts)."""
     words, bounds = word_hashes(texts)
@@ -68,13 +76,8 @@ def sequences(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     return made, np.concatenate([[0], ends + 1])
 
 
-def split(words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(class, group) of words."""
-    return (words >> np.uint64(58)).astype(np.int64), ((words >> np.uint64(53)) & np.uint64(MEMBERS - 1)).astype(np.int64)
-
-
-def features(words: np.ndarray, bounds: np.ndarray) -> np.ndarray:
-    """[KINDS, token]: hashes of the contexts."""
+def features(words: np.ndarray, bounds: np.ndarray) -> list[np.ndarray]:
+    """Hashes of the contexts of each token, for each kind."""
     one, two = np.empty_like(words), np.empty_like(words)
     one[1:], two[2:] = words[:-1], words[:-2]
     starts = bounds[:-1]
@@ -82,162 +85,281 @@ def features(words: np.ndarray, bounds: np.ndarray) -> np.ndarray:
     two[starts] = BEFORE
     second = starts[np.diff(bounds) > 1] + 1
     two[second] = BEFORE
-    return np.stack([mixed(one + np.uint64(1)), mixed(two + np.uint64(2)), mixed(one * np.uint64(3) + mixed(two) + np.uint64(3))])
+    return [mixed(one + np.uint64(1)), mixed(two + np.uint64(2)), mixed(one * np.uint64(3) + mixed(two) + np.uint64(3))]
+
+
+class Shape:
+    """Cells of words, and rows of contexts."""
+
+    def __init__(self, top: np.ndarray, bits: int):
+        """top: the words with cells of their own, the most frequent first."""
+        order = np.argsort(top)
+        self.top, self.cell, self.bits = top[order], order.astype(np.int64), bits
+
+    @property
+    def sizes(self) -> tuple[int, int]:
+        """Cells of the two tables."""
+        return CLASSES << self.bits, MEMBERS << (self.bits + 1)
 
+    def cells(self, words: np.ndarray) -> np.ndarray:
+        shared = SINGLES + ((words >> np.uint64(53)) & np.uint64(CELLS - SINGLES - 1)).astype(np.int64)
+        if not len(self.top):
+            return shared
+        at = np.minimum(np.searchsorted(self.top, words), len(self.top) - 1)
+        return np.where(self.top[at] == words, self.cell[at], shared)
 
-def rows_of(context: np.ndarray, kind: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Rows of the class table, and of the group table given the class, for each kind of feature."""
-    member = mixed(context ^ (kind.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)))
-    return (context % np.uint64(CLASS_ROWS)).astype(np.int64), (member % np.uint64(MEMBER_ROWS)).astype(np.int64)
+    def rows(self, contexts: list[np.ndarray], kind: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
+        """For each kind of feature, rows of the class table, and of the table of cells given the class."""
+        own = kind.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+        mask = np.uint64((1 << self.bits) - 1)
+        return [((c & mask).astype(np.int64), (mixed(c ^ own) & (mask * np.uint64(2) + np.uint64(1))).astype(np.int64)) for c in contexts]
 
 
-def gathered(docs: DataFrame) -> DataFrame:
-    """docs (text, development) -> rows of what a task counts: kind 0 word and count; kind 1 and 2 slices of the two tables of counts."""
+def counted(docs: DataFrame) -> DataFrame:
+    """docs (text) -> word, c: how often tasks have seen a word."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        by_class = np.zeros(CLASS_ROWS * CLASSES, dtype=np.int64)
-        by_member = np.zeros(MEMBER_ROWS * MEMBERS, dtype=np.int64)
         held, size = [], 0
 
-        def words() -> pd.DataFrame:
-            found, counts = np.unique(np.concatenate(held), return_counts=True) if held else (np.zeros(0, np.uint64), np.zeros(0, np.int64))
+        def flush() -> pd.DataFrame:
+            found, c = np.unique(np.concatenate(held), return_counts=True) if held else (np.zeros(0, np.uint64), np.zeros(0, np.int64))
             held.clear()
-            return pd.DataFrame({"kind": 0, "word": found.view(np.int64), "c": counts, "cells": None})
+            return pd.DataFrame({"word": found.view(np.int64), "c": c})
 
         for batch in batches:
-            texts = [t if isinstance(t, str) else "" for t in batch["text"]]
+            texts = texts_of(batch["text"])
             for a, b in chunks(texts):
-                tokens, bounds = sequences(texts[a:b])
-                kind, member = split(tokens)
-                counted = np.repeat(~batch["development"].to_numpy(bool)[a:b], np.diff(bounds))
-                for context in features(tokens, bounds):
-                    row, inner = rows_of(context, kind)
-                    by_class += np.bincount((row * CLASSES + kind)[counted], minlength=len(by_class))
-                    by_member += np.bincount((inner * MEMBERS + member)[counted], minlength=len(by_member))
-                held.append(tokens)
-                size += len(tokens)
-            if size > 6_000_000:
-                yield words()
+                held.append(sequences(texts[a:b])[0])
+                size += len(held[-1])
+            if size > 2 * HELD:
+                yield flush()
                 size = 0
-        yield words()
-        for code, cells in ((1, by_class), (2, by_member)):
-            parts = cells.astype("<i4").reshape(-1, SLICE)
-            some = np.flatnonzero(parts.any(1))
-            yield pd.DataFrame({"kind": code, "word": some, "c": 0, "cells": [parts[i].tobytes() for i in some.tolist()]})
+        yield flush()
 
-    return docs.select("text", "development").mapInPandas(run, "kind int, word long, c long, cells binary")
+    return docs.select("text").mapInPandas(run, "word long, c long")
 
 
-def summed(found: DataFrame, kind: int, size: int) -> np.ndarray:
-    """A table of counts, summed over the tasks slice by slice."""
+def slices(code: int, values: np.ndarray, kind: str = "<f4") -> pd.DataFrame:
+    """The slices of a table that hold anything, in units of scale."""
+    parts = np.concatenate([values, np.zeros(-len(values) % SLICE, dtype=values.dtype)]).reshape(-1, SLICE)
+    some = np.flatnonzero(parts.any(1))
+    scales = np.abs(parts[some]).max(1).astype(np.float64) / 1000 if kind == "<f2" else np.ones(len(some))
+    cells = [(parts[i] / x).astype(kind).tobytes() for i, x in zip(some.tolist(), scales.tolist())]
+    return pd.DataFrame({"kind": code, "slice": some, "scale": scales, "cells": cells})
 
-    def add(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-        total = np.zeros(SLICE, dtype=np.int64)
-        for x in rows["cells"]:
-            total += np.frombuffer(x, dtype="<i4")
-        return pd.DataFrame({"slice": [key[0]], "cells": [total.tobytes()]})
 
-    made = np.zeros(size, dtype=np.int64)
-    slices = found.where(F.col("kind") == kind).select(F.col("word").alias("slice"), "cells")
-    for row in slices.groupBy("slice").applyInPandas(add, "slice long, cells binary").toLocalIterator():
-        made[row["slice"] * SLICE : (row["slice"] + 1) * SLICE] = np.frombuffer(row["cells"], dtype=np.int64)
-    return made
+PARTS = "kind int, slice long, scale double, cells binary"
+
+
+def followers(docs: DataFrame, shape: Shape) -> DataFrame:
+    """docs (text) -> slices of the two tables: how often each class and cell followed a context."""
+    shared = docs.sparkSession.sparkContext.broadcast(shape)
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        shape = shared.value
+        totals = [np.zeros(n, dtype=np.int32) for n in shape.sizes]
+        held: tuple[list, list] = ([], [])
+
+        def add() -> None:
+            for total, own in zip(totals, held):
+                if own:
+                    total += np.bincount(np.concatenate(own), minlength=len(total)).astype(np.int32)
+                    own.clear()
 
+        size = 0
+        for batch in batches:
+            texts = texts_of(batch["text"])
+            for a, b in chunks(texts):
+                tokens, bounds = sequences(texts[a:b])
+                kind, member = np.divmod(shape.cells(tokens), MEMBERS)
+                for row, inner in shape.rows(features(tokens, bounds), kind):
+                    held[0].append(row * CLASSES + kind)
+                    held[1].append(inner * MEMBERS + member)
+                size += KINDS * len(tokens)
+                if size > HELD:
+                    add()
+                    size = 0
+        add()
+        for code, total in enumerate(totals):
+            yield slices(code, total)
+
+    return docs.select("text").mapInPandas(run, PARTS)
+
+
+def summed(found: DataFrame, sizes: tuple[int, ...]) -> list[np.ndarray]:
+    """The tables whose slices tasks have made. A task adds up the slices that it is dealt as they come."""
+
+    def add(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        total: dict[tuple[int, int], np.ndarray] = {}
+        for batch in batches:
+            for kind, number, scale, cells in zip(batch["kind"].tolist(), batch["slice"].tolist(), batch["scale"].tolist(), batch["cells"]):
+                own = total.setdefault((kind, number), np.zeros(SLICE))
+                own += scale * np.frombuffer(cells, dtype=f"<f{len(cells) // SLICE}")
+        yield pd.DataFrame({"kind": [k for k, _ in total], "slice": [n for _, n in total], "cells": [v.astype("<f8").tobytes() for v in total.values()]})
+
+    made = [np.zeros(-(-n // SLICE) * SLICE) for n in sizes]
+    dealt = found.repartition("kind", "slice")
+    for row in dealt.mapInPandas(add, "kind int, slice long, cells binary").toLocalIterator():  # tables of bounded size
+        made[row["kind"]][row["slice"] * SLICE : (row["slice"] + 1) * SLICE] = np.frombuffer(row["cells"], dtype="<f8")
+    return [m[:n] for m, n in zip(made, sizes)]
+
+
+class Table:
+    """Weights of the followers of contexts, the followers' shares without context, and how often rows were met."""
+
+    def __init__(self, counts: np.ndarray, share: np.ndarray):
+        self.totals = counts.sum(1)
+        self.share = share
+        # iterative scaling: log of observed over expected, damped by PRIOR
+        self.weights = np.log((counts + PRIOR * share) / ((self.totals[:, None] + PRIOR) * share)).astype(np.float32)
 
-def scaling(counts: np.ndarray, share: np.ndarray) -> np.ndarray:
-    """Log ratio of observed to expected counts of each row, damped by PRIOR."""
-    total = counts.sum(1, keepdims=True)
-    return np.log((counts + PRIOR * share) / ((total + PRIOR) * share)).astype(np.float32)
+    def move(self, gradient: np.ndarray) -> None:
+        """A diagonal Newton step, by at most MOST_MOVE."""
+        curvature = self.totals[:, None] * self.share + PRIOR
+        self.weights += np.clip(RATE * gradient / curvature, -MOST_MOVE, MOST_MOVE).astype(np.float32)
 
 
 class Model:
-    """Weights and scales; the shares of classes and of groups within classes without context."""
+    """Two tables of weights with their scales; the logs of classes, and of cells within classes, without context."""
 
-    def __init__(self, by_class: np.ndarray, by_member: np.ndarray, groups: np.ndarray):
-        """Counts of the two tables, and of each [class, group]."""
+    def __init__(self, shape: Shape, by_class: np.ndarray, by_member: np.ndarray, groups: np.ndarray):
+        """Counts of the two tables, and of each [class, cell]."""
         groups = groups + 0.5
         share = groups.sum(1) / groups.sum()
         inner = groups / groups.sum(1, keepdims=True)
-        self.class_log, self.member_log = np.log(share).astype(np.float32), np.log(inner).astype(np.float32)
-        self.class_weights = scaling(by_class.reshape(CLASS_ROWS, CLASSES), share)
-        self.member_weights = scaling(by_member.reshape(MEMBER_ROWS, MEMBERS), (inner * share[:, None]).sum(0))
-        self.scales = np.full(2 * KINDS, 1 / KINDS)
-
-    def parts(self, tokens: np.ndarray, bounds: np.ndarray) -> Iterator[tuple[slice, list[np.ndarray], np.ndarray, np.ndarray]]:
-        """Blocks: place, the weights gathered for each kind of feature, logits without them, and the answer."""
-        kind, member = split(tokens)
+        self.shape, self.class_log, self.member_log = shape, np.log(share).astype(np.float32), np.log(inner).astype(np.float32)
+        self.tables = [Table(by_class.reshape(-1, CLASSES), share), Table(by_member.reshape(-1, MEMBERS), (inner * share[:, None]).sum(0))]
+        self.scales = np.full((2, KINDS), 1 / KINDS)
+
+    def parts(self, tokens: np.ndarray, bounds: np.ndarray) -> Iterator[tuple[slice, int, list[np.ndarray], np.ndarray, np.ndarray]]:
+        """Blocks: place, table, rows for each kind of feature, logits without them, and the answer."""
+        kind, member = np.divmod(self.shape.cells(tokens), MEMBERS)
         contexts = features(tokens, bounds)
         for a in range(0, len(tokens), BLOCK):
             at = slice(a, a + BLOCK)
-            rows = [rows_of(c[at], kind[at]) for c in contexts]
-            yield at, [self.class_weights[r] for r, _ in rows], self.class_log[None, :], kind[at]
-            yield at, [self.member_weights[r] for _, r in rows], self.member_log[kind[at]], member[at]
+            rows = self.shape.rows([c[at] for c in contexts], kind[at])
+            yield at, 0, [r for r, _ in rows], np.broadcast_to(self.class_log, (len(rows[0][0]), CLASSES)), kind[at]
+            yield at, 1, [r for _, r in rows], self.member_log[kind[at]], member[at]
 
     def log_likelihood(self, tokens: np.ndarray, bounds: np.ndarray) -> np.ndarray:
-        """Natural log of P(class, group) of each token."""
+        """Natural log of P(class, cell) of each token."""
         out = np.zeros(len(tokens))
-        for n, (at, gathered_, base, answer) in enumerate(self.parts(tokens, bounds)):
-            scales = self.scales[(n % 2) * KINDS : (n % 2 + 1) * KINDS].astype(np.float32)
-            logits = base + scales[0] * gathered_[0]
-            for s, w in zip(scales[1:], gathered_[1:]):
-                logits += s * w
+        for at, which, rows, base, answer in self.parts(tokens, bounds):
+            logits = base.copy()
+            for scale, row in zip(self.scales[which].astype(np.float32), rows):
+                logits += scale * self.tables[which].weights[row]
             top = logits.max(1)
-            out[at] += logits[np.arange(len(answer)), answer] - top - np.log(np.exp(logits - top[:, None]).sum(1))
+            out[at] += logits[np.arange(len(answer)), answer] - top
+            logits -= top[:, None]
+            out[at] -= np.log(np.exp(logits, out=logits).sum(1))
         return out
 
-    def curvature(self, tokens: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Gradient and negative Hessian of the log-likelihood by the scales."""
-        gradient, hessian = np.zeros(2 * KINDS), np.zeros((2 * KINDS, 2 * KINDS))
-        for n, (_, gathered_, base, answer) in enumerate(self.parts(tokens, bounds)):
-            own = slice((n % 2) * KINDS, (n % 2 + 1) * KINDS)
-            w = np.stack(gathered_).astype(np.float64)
-            logits = base + np.tensordot(self.scales[own], w, 1)
-            p = np.exp(logits - logits.max(1, keepdims=True))
-            p /= p.sum(1, keepdims=True)
-            mean = (w * p).sum(2)
-            gradient[own] += (w[:, np.arange(len(answer)), answer] - mean).sum(1)
-            hessian[own, own] += np.einsum("itk,jtk,tk->ij", w, w, p) - mean @ mean.T
-        return gradient, hessian
+    def learn(self, tokens: np.ndarray, bounds: np.ndarray, sums: Sums) -> None:
+        """Add the gradients of some texts' log-likelihood to sums."""
+        for _, which, rows, base, answer in self.parts(tokens, bounds):
+            table_, scales, line = self.tables[which], self.scales[which], np.arange(len(answer))
+            own = []
+            for row in rows:
+                w = table_.weights[row]
+                # the token's own count, as a share of those behind the weight of its answer
+                part = np.exp(-w[line, answer]) / ((table_.totals[row] + PRIOR) * table_.share[answer])
+                w[line, answer] += np.log1p(-np.minimum(part, 0.9)).astype(np.float32)
+                own.append(w)
+            logits = base.copy()
+            for scale, w in zip(scales.astype(np.float32), own):
+                logits += scale * w
+            logits -= logits.max(1, keepdims=True)
+            p = np.exp(logits, out=logits)
+            total = p.sum(1, keepdims=True)
+            p /= total
+            sums.fit[0] += np.log(p[line, answer]).sum()
+            sums.fit[1] += 0.5 * len(answer)
+            means = [(w * p).sum(1) for w in own]
+            for i, w in enumerate(own):
+                sums.gradient[which, i] += float((w[line, answer] - means[i]).sum(dtype=np.float64))
+                for j in range(i, KINDS):
+                    h = float(np.einsum("tk,tk,tk->", w, own[j], p)) - float(means[i] @ means[j])
+                    sums.hessian[which, i, j] += h
+                    sums.hessian[which, j, i] = sums.hessian[which, i, j]
+            error = np.negative(p, out=p)
+            error[line, answer] += 1
+            for scale, row in zip(scales, rows):
+                order = np.argsort(row, kind="stable")
+                sorted_ = row[order]
+                first = np.flatnonzero(np.diff(sorted_, prepend=-1))
+                sums.tables[which][sorted_[first]] += np.float32(scale) * np.add.reduceat(error[order], first)
+
+    def update(self, tables: list[np.ndarray], gradient: np.ndarray, hessian: np.ndarray, share: float) -> None:
+        """One step on gradients summed over a share of the training rows."""
+        for t, g in zip(self.tables, tables):
+            t.move(g.reshape(t.weights.shape) / share)
+        for k in range(2):
+            self.scales[k] = np.clip(self.scales[k] + np.linalg.solve(hessian[k] + np.eye(KINDS), gradient[k]), 0.0, 2.0)
+
+    def for_scoring(self) -> Model:
+        """The model without what only training needs."""
+        made = object.__new__(Model)
+        made.__dict__ = dict(self.__dict__)
+        made.tables = [object.__new__(Table) for _ in self.tables]
+        for new, old in zip(made.tables, self.tables):
+            new.weights = old.weights
+        return made
+
+
+class Sums:
+    """Gradients that a task has summed: of the weights, and of the scales with their curvature; log-likelihood, tokens."""
+
+    def __init__(self, model: Model):
+        self.tables = [np.zeros(t.weights.shape, dtype=np.float32) for t in model.tables]
+        self.gradient, self.hessian, self.fit = np.zeros((2, KINDS)), np.zeros((2, KINDS, KINDS)), np.zeros(2)
+
+    def rows(self) -> Iterator[pd.DataFrame]:
+        for code, values in enumerate(self.tables):
+            yield slices(code, values.ravel(), "<f2")
+        yield slices(2, np.concatenate([self.gradient.ravel(), self.hessian.ravel(), self.fit]))
+
+
+def gradients(docs: DataFrame, model: Model) -> tuple[list[np.ndarray], np.ndarray, np.ndarray, np.ndarray]:
+    """(gradients of both tables, gradient and negative Hessian of the scales, (log-likelihood, tokens)) of docs (text)."""
+    shared = docs.sparkSession.sparkContext.broadcast(model)
 
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        sums = Sums(shared.value)
+        for batch in batches:
+            texts = texts_of(batch["text"])
+            for a, b in chunks(texts):
+                shared.value.learn(*sequences(texts[a:b]), sums)
+        yield from sums.rows()
 
-def vocabulary(found: DataFrame) -> DataFrame:
-    return found.where("kind = 0").groupBy("word").agg(F.sum("c").alias("c"))
+    made = docs.select("text").mapInPandas(run, PARTS)
+    n = 2 * KINDS
+    a, b, rest = summed(made, (*model.shape.sizes, n + n * KINDS + 2))
+    shared.unpersist()
+    return [a, b], rest[:n].reshape(2, KINDS), rest[n : n + n * KINDS].reshape(2, KINDS, KINDS), rest[-2:]
 
 
-def learn(docs: DataFrame, training: Column) -> tuple[Model, DataFrame, np.ndarray, int, int]:
-    """(model, vocabulary (word, c), log10 of the denominators of each group, N, V) of the training rows."""
+def learn(docs: DataFrame, training: Column, steps: int = STEPS) -> tuple[Model, DataFrame, np.ndarray, int, int]:
+    """(model, vocabulary (word, c), log10 of the denominators of each cell, N, V) of the training rows."""
     spark = docs.sparkSession
-    rows = docs.where(training).select("doc_id", "text", (remainder(F.col("doc_id"), DEVELOPMENT) == 0).alias("development"))
-    found = written(gathered(rows), "lm-counts")
-    words = written(vocabulary(found), "lm-vocabulary")
-    group = F.shiftrightunsigned("word", 53).bitwiseAND(F.lit(CLASSES * MEMBERS - 1))
-    totals = words.groupBy(group.alias("g")).agg(F.sum("c").alias("c"), F.count(F.lit(1)).alias("v")).collect()  # one row a group
-    c, v = np.zeros(CLASSES * MEMBERS, dtype=np.int64), np.zeros(CLASSES * MEMBERS, dtype=np.int64)
-    for r in totals:
+    rows = docs.where(training).select("doc_id", "text")
+    words = written(counted(rows).groupBy("word").agg(F.sum("c").alias("c")), "lm-vocabulary")
+    top = [r["word"] for r in words.orderBy(F.col("c").desc(), "word").limit(SINGLES).collect()]
+    listed = spark.createDataFrame([(w, i) for i, w in enumerate(top)], "word long, cell int")
+    hashed = (F.shiftrightunsigned("word", 53).bitwiseAND(F.lit(CELLS - SINGLES - 1)) + SINGLES).cast("int")
+    totals = words.join(F.broadcast(listed), "word", "left").groupBy(F.coalesce("cell", hashed).alias("g"))
+    c, v = np.zeros(CELLS, dtype=np.int64), np.zeros(CELLS, dtype=np.int64)
+    for r in totals.agg(F.sum("c").alias("c"), F.count(F.lit(1)).alias("v")).collect():  # one row a cell
         c[r["g"]], v[r["g"]] = r["c"], r["v"]
-    model = Model(summed(found, 1, CLASS_ROWS * CLASSES), summed(found, 2, MEMBER_ROWS * MEMBERS), c.reshape(CLASSES, MEMBERS).astype(np.float64))
-    chosen = rows.where("development").select("doc_id").orderBy(F.xxhash64("doc_id"), "doc_id").limit(FIT_ROWS)
-    sample = written(rows.join(F.broadcast(chosen), "doc_id", "left_semi"), "lm-sample")
-    for _ in range(STEPS):
-        shared = spark.sparkContext.broadcast(model)
-
-        def steps(batches: Iterator[pd.DataFrame], shared=shared) -> Iterator[pd.DataFrame]:
-            for batch in batches:
-                texts = [t if isinstance(t, str) else "" for t in batch["text"]]
-                for a, b in chunks(texts):
-                    g, h = shared.value.curvature(*sequences(texts[a:b]))
-                    yield pd.DataFrame({"i": range(len(g)), "g": g, "h": list(h)})
-
-        sums = sample.select("text").mapInPandas(steps, "i int, g double, h array<double>").groupBy("i")
-        parts = sums.agg(F.sum("g").alias("g"), *(F.sum(F.col("h")[j]).alias(f"h{j}") for j in range(2 * KINDS))).collect()
-        shared.unpersist()
-        if not parts:
-            break
-        g, h = np.zeros(2 * KINDS), np.eye(2 * KINDS)
-        for r in parts:
-            g[r["i"]] = r["g"]
-            h[r["i"]] += [r[f"h{j}"] for j in range(2 * KINDS)]
-        model.scales = np.clip(model.scales + np.linalg.solve(h, g), 0.0, 2.0)
+    rows = rows.coalesce(max(spark.sparkContext.defaultParallelism, int(c.sum()) // TASK_TOKENS))
+    bits = min(MOST_BITS, max(LEAST_BITS, (int(c.sum()) // TOKENS_A_ROW).bit_length() - 1))
+    shape = Shape(np.array(top, dtype=np.int64).view(np.uint64), bits)
+    model = Model(shape, *summed(followers(rows, shape), shape.sizes), c.reshape(CLASSES, MEMBERS).astype(np.float64))
+    for k in range(steps if len(top) else 0):
+        own = rows if steps == 1 else rows.where(F.pmod(F.xxhash64("doc_id"), F.lit(steps)) == k)
+        tables, gradient, hessian, fit = gradients(own, model)
+        share = float(fit[1]) / max(1.0, float(c.sum()))
+        if share > 0:
+            model.update(tables, gradient, hessian, share)
     return model, words, np.log10(c + v + 1.0), int(c.sum()), int(v.sum())
 
 
@@ -252,24 +374,22 @@ def scores(docs: DataFrame, held_out: Column, limit: int = VOCABULARY_ROWS) -> D
         listed = words.select("word", "c").toArrow()  # 16 bytes a word
         order = np.argsort(listed["word"].to_numpy().view(np.uint64))
         known = (listed["word"].to_numpy().view(np.uint64)[order], listed["c"].to_numpy()[order])
-    shared = spark.sparkContext.broadcast((model, denominators, known))
+        removed(words)
+    shared = spark.sparkContext.broadcast((model.for_scoring(), denominators, known))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         part, row = TaskContext.get().partitionId(), 0
         for batch in batches:
-            texts, made = [t if isinstance(t, str) else "" for t in batch["text"]], []
+            texts, made = texts_of(batch["text"]), []
             model, denominators, known = shared.value
             for a, b in chunks(texts):
                 tokens, bounds = sequences(texts[a:b])
-                kind, member = split(tokens)
-                inner = model.log_likelihood(tokens, bounds) / np.log(10) - denominators[kind * MEMBERS + member]
+                inner = model.log_likelihood(tokens, bounds) / np.log(10) - denominators[model.shape.cells(tokens)]
                 out = pd.DataFrame({"n_tokens": np.diff(bounds), "inner": np.add.reduceat(inner, bounds[:-1])})
                 if known is not None:
-                    unique, back = np.unique(tokens, return_inverse=True)
-                    at = np.minimum(np.searchsorted(known[0], unique), max(0, len(known[0]) - 1))
-                    c = np.where(known[0][at] == unique, known[1][at], 0) if len(known[0]) else np.zeros(len(unique), dtype=np.int64)
-                    out["logs"] = np.add.reduceat(np.log10(c + 1.0)[back], bounds[:-1])
-                    out["n_known"] = np.add.reduceat((c > 0).astype(np.int64)[back], bounds[:-1])
+                    c = counts_of(tokens, *known)
+                    out["logs"] = np.add.reduceat(np.log10(c + 1.0), bounds[:-1])
+                    out["n_known"] = np.add.reduceat((c > 0).astype(np.int64), bounds[:-1])
                     out["words"] = out["times"] = None
                 else:
                     sets = [np.unique(tokens[x:y], return_counts=True) for x, y in zip(bounds[:-1].tolist(), bounds[1:].tolist())]
@@ -302,6 +422,20 @@ def scores(docs: DataFrame, held_out: Column, limit: int = VOCABULARY_ROWS) -> D
     )
 
 
+def counts_of(tokens: np.ndarray, words: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """Count of each token by the sorted words; tokens are looked up in order, which stays near in memory."""
+    if not len(words):
+        return np.zeros(len(tokens), dtype=np.int64)
+    order = np.argsort(tokens)
+    own = tokens[order]
+    first = np.flatnonzero(np.diff(own, prepend=~own[:1]) != 0)
+    at = np.minimum(np.searchsorted(words, own[first]), len(words) - 1)
+    found = np.where(words[at] == own[first], counts[at], 0)
+    made = np.empty(len(tokens), dtype=np.int64)
+    made[order] = np.repeat(found, np.diff(first, append=len(own)))
+    return made
+
+
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scores(table(spark, sf_dir, "documents"), remainder(F.col("doc_id"), 7) == 2)
 

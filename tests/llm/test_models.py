@@ -107,10 +107,62 @@ def test_language_model(spark, sf):
         assert own.score.sum() > own.base_score.sum()
 
 
+def test_language_model_learns_step_by_step(spark, sf):
+    """Gradient steps raise the likelihood of rows that they don't see, also beyond the first update."""
+    docs = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text")
+    held = remainder(F.col("doc_id"), 7) == 2
+    texts = [r.text or "" for r in docs.where(held).collect()]
+    tokens, bounds = lm.sequences(texts)
+    fits = []
+    for steps in (0, 1, 2):
+        model, _, denominators, *_ = lm.learn(docs, ~held, steps)
+        fits.append((model.log_likelihood(tokens, bounds) / np.log(10) - denominators[model.shape.cells(tokens)]).mean())
+    assert fits[0] < fits[1] < fits[2]
+
+
+def test_language_model_gradient(spark):
+    """Sums of gradients over tasks against differences of the log-likelihood, own counts not left out."""
+    draw, shape = np.random.default_rng(4), lm.Shape(np.zeros(0, dtype=np.uint64), 4)
+    model = lm.Model(shape, draw.integers(0, 9, shape.sizes[0]), draw.integers(0, 9, shape.sizes[1]), draw.integers(1, 9, (lm.CLASSES, lm.MEMBERS)).astype(float))
+    for t in model.tables:
+        t.totals = t.totals + 1e12  # a single count of so many changes nothing
+    texts = [" ".join(draw.choice(["a", "b", "cc", "d e"], 40)) for _ in range(30)]
+    rows = spark.createDataFrame([(t,) for t in texts], "text string").repartition(3)
+    tables, scales, _, fit = lm.gradients(rows, model)
+    tokens, bounds = lm.sequences(texts)
+    whole = lambda: model.log_likelihood(tokens, bounds).sum()
+    assert fit[1] == len(tokens) and fit[0] == pytest.approx(whole(), rel=1e-4)
+    for k, g in enumerate(tables):
+        for i in np.argsort(-np.abs(g))[:5]:
+            w, before = model.tables[k].weights.reshape(-1), whole()
+            w[i] += 0.01
+            assert (whole() - before) / 0.01 == pytest.approx(g[i], rel=0.03, abs=0.05)
+            w[i] -= 0.01
+    for which in range(2):
+        for i in range(lm.KINDS):
+            before = whole()
+            model.scales[which, i] += 0.001
+            assert (whole() - before) / 0.001 == pytest.approx(scales[which, i], rel=0.03, abs=0.5)
+            model.scales[which, i] -= 0.001
+
+
+def test_language_model_edges(spark):
+    schema = "doc_id long, text string, score string"
+    docs = spark.createDataFrame([(1, None, "x"), (2, "", "x"), (3, "one two", "x"), (3, "one two", "x"), (None, "one", "x"), (5, "long words " * 100_000, "x")], schema)
+    found = lm.scores(docs, F.col("doc_id") == 2).collect()
+    assert len(found) == 6 and {r.train_tokens for r in found} == {1 + 3 + 3 + 200_001}
+    assert len({r.score for r in found if r.doc_id == 3}) == 1 and all(math.isfinite(r.score) for r in found)
+    assert lm.scores(docs.limit(0), F.lit(False)).count() == 0
+    alone = lm.scores(docs, F.lit(True)).collect()  # nothing to learn from
+    assert {(r.train_tokens, r.n_known, r.base_score) for r in alone} == {(0, 0, 0.0)} and all(math.isfinite(r.score) for r in alone)
+
+
 def test_softmax_factors_sum_to_one():
-    draw = np.random.default_rng(3)
-    model = lm.Model(draw.integers(0, 5, lm.CLASS_ROWS * lm.CLASSES), draw.integers(0, 5, lm.MEMBER_ROWS * lm.MEMBERS), draw.integers(1, 9, (lm.CLASSES, lm.MEMBERS)).astype(float))
-    every = (np.arange(lm.CLASSES * lm.MEMBERS, dtype=np.uint64) << np.uint64(53)) | np.uint64(12345)
+    draw, top = np.random.default_rng(3), np.random.default_rng(5).integers(0, 2**63, lm.SINGLES, dtype=np.uint64)
+    shape = lm.Shape(top, 10)
+    model = lm.Model(shape, draw.integers(0, 5, shape.sizes[0]), draw.integers(0, 5, shape.sizes[1]), draw.integers(1, 9, (lm.CLASSES, lm.MEMBERS)).astype(float))
+    every = np.concatenate([top, (np.arange(lm.CELLS - lm.SINGLES, dtype=np.uint64) << np.uint64(53)) | np.uint64(12345)])
+    assert sorted(shape.cells(every).tolist()) == list(range(lm.CELLS))
     tokens = np.stack([np.full(len(every), 777, dtype=np.uint64), every], axis=1).ravel()
     logs = model.log_likelihood(tokens, np.arange(0, len(tokens) + 1, 2))
     assert np.exp(logs[1::2]).sum() == pytest.approx(1.0, abs=1e-4)
