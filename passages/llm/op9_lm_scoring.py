@@ -1,19 +1,19 @@
 """Operator 9, language-model scoring: a hashed maximum-entropy model with a class-factored softmax.
 
-Words (64-bit hashes) are dealt over CLASSES classes of MEMBERS cells: each of the SINGLES most frequent words
-has a cell of its own, the others share the rest by hash. The model is
-P(word | context) = P(class | context) P(cell | class, context) P(word | cell). The first two are softmaxes
-over weights of hashed features of the context: the word before, the word before that (a skip), and both. The
-last is the add-one share of the word's count in its cell, so a class costs CLASSES and a cell MEMBERS
-exponentials instead of one for every word.
+Words (64-bit hashes) are dealt over cells: each of the SINGLES most frequent words has a cell of its own, the
+others share the rest by hash. Cells form classes and subclasses (LEVELS), and the model is
+P(word | context) = P(class | context) P(subclass | class, context) P(cell | subclass, context) P(word | cell).
+The first three are softmaxes over weights of hashed features of the context: the word before, the word before
+that (a skip), and both. The last is the add-one share of the word's count in its cell, so a word costs
+16 + 16 + 8 exponentials instead of one for every word.
 
 Training is distributed, and learns from all training rows. (1) The words are counted; the counts give V, N, the
-cells, and the size of the two hashed tables of weights, which grows with N up to 2 ** MOST_BITS rows. (2) For
+cells, and the size of the hashed tables of weights (one a level), which grows with N up to 2 ** MOST_BITS rows. (2) For
 each row of the tables it is counted how often each class and cell followed: the gradient of the
 log-likelihood at the model without context. The first update is iterative scaling on it, damped for rare
-features. (3) STEPS gradient updates: every training row belongs to one step, whose tasks sum the gradients
-of all weights, and the gradient and curvature of the six scales (one for each kind of feature and softmax).
-A token's own count in (2) is left out when its gradient is taken, so rare features aren't trusted for
+features. (3) One gradient update for each level, whose likelihoods are apart: every training row belongs to one
+of them, whose tasks sum the gradients of the level's weights, and the gradient and curvature of its three
+scales (one for each kind of feature). A token's own count in (2) is left out when its gradient is taken, so rare features aren't trusted for
 having seen their own answer. The weights move by a diagonal Newton step, the scales by a full one.
 
 Word counts stay in a table. Scoring uses them from a broadcast of sorted arrays up to VOCABULARY_ROWS words;
@@ -41,17 +41,17 @@ from passages.llm.shingles import mixed, word_hashes
 
 NAME = "op9_lm_scoring"
 
-CLASSES, MEMBERS, SINGLES = 64, 32, 1024
-CELLS = CLASSES * MEMBERS
+#: Classes, subclasses of each, and cells of each of these.
+LEVELS, SINGLES = (16, 16, 8), 1024
+CELLS = LEVELS[0] * LEVELS[1] * LEVELS[2]
 KINDS = 3
-#: Rows of the class table, as a power of 2: one for every TOKENS_A_ROW training tokens, within bounds. The table
-#: of cells has twice as many rows of half the width. Both together have at most 67 MB.
-LEAST_BITS, MOST_BITS, TOKENS_A_ROW = 10, 17, 256
-#: Training tokens that a task sums at least, so that what tasks hand over stays small beside what they read.
-TASK_TOKENS = 20_000_000
-#: Pseudo-count that pulls a feature's weights to no effect.
-PRIOR = 8.0
-STEPS, RATE, MOST_MOVE = 2, 0.5, 1.0
+#: Rows of the table of classes for each kind of feature, as a power of 2: one for every TOKENS_A_ROW training tokens,
+#: within bounds. Those of subclasses and cells have two and four times as many. All together have at most 32 MB.
+LEAST_BITS, MOST_BITS, TOKENS_A_ROW = 11, 15, 8192
+#: Pseudo-count that pulls a feature's weights to no effect, and bounds of weights and scales: they keep all
+#: exponentials within single precision.
+PRIOR, MOST_WEIGHT, MOST_SCALE = 8.0, 10.0, 2.0
+RATE, MOST_MOVE = 0.5, 1.0
 VOCABULARY_ROWS = 8_000_000
 SLICE = 1 << 12
 #: Tokens whose softmaxes are taken at once, and hashed counts held before they are added up.
@@ -97,9 +97,9 @@ class Shape:
         self.top, self.cell, self.bits = top[order], order.astype(np.int64), bits
 
     @property
-    def sizes(self) -> tuple[int, int]:
-        """Cells of the two tables."""
-        return CLASSES << self.bits, MEMBERS << (self.bits + 1)
+    def sizes(self) -> tuple[int, ...]:
+        """Entries of the tables."""
+        return tuple(KINDS * n << (self.bits + k) for k, n in enumerate(LEVELS))
 
     def cells(self, words: np.ndarray) -> np.ndarray:
         shared = SINGLES + ((words >> np.uint64(53)) & np.uint64(CELLS - SINGLES - 1)).astype(np.int64)
@@ -108,11 +108,18 @@ class Shape:
         at = np.minimum(np.searchsorted(self.top, words), len(self.top) - 1)
         return np.where(self.top[at] == words, self.cell[at], shared)
 
-    def rows(self, contexts: list[np.ndarray], kind: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
-        """For each kind of feature, rows of the class table, and of the table of cells given the class."""
-        own = kind.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
-        mask = np.uint64((1 << self.bits) - 1)
-        return [((c & mask).astype(np.int64), (mixed(c ^ own) & (mask * np.uint64(2) + np.uint64(1))).astype(np.int64)) for c in contexts]
+    def places(self, cells: np.ndarray, contexts: list[np.ndarray]) -> Iterator[tuple[np.ndarray, np.ndarray, list[np.ndarray]]]:
+        """For each level: what stands above a cell, its entry there, and the rows for each kind of feature, which has
+        a stretch of the table of its own."""
+        below = CELLS
+        above = np.zeros(len(cells), dtype=np.int64)
+        for k, n in enumerate(LEVELS):
+            below //= n
+            entry = cells // below
+            salt = (above + k).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+            mask = np.uint64((1 << (self.bits + k)) - 1)
+            yield above, entry % n, [(mixed(c ^ salt) & mask).astype(np.int64) + (i << (self.bits + k)) for i, c in enumerate(contexts)]
+            above = entry
 
 
 def counted(docs: DataFrame) -> DataFrame:
@@ -152,13 +159,13 @@ PARTS = "kind int, slice long, scale double, cells binary"
 
 
 def followers(docs: DataFrame, shape: Shape) -> DataFrame:
-    """docs (text) -> slices of the two tables: how often each class and cell followed a context."""
+    """docs (text) -> slices of the tables: how often their entries followed a context."""
     shared = docs.sparkSession.sparkContext.broadcast(shape)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         shape = shared.value
         totals = [np.zeros(n, dtype=np.int32) for n in shape.sizes]
-        held: tuple[list, list] = ([], [])
+        held: list[list[np.ndarray]] = [[] for _ in LEVELS]
 
         def add() -> None:
             for total, own in zip(totals, held):
@@ -171,10 +178,8 @@ def followers(docs: DataFrame, shape: Shape) -> DataFrame:
             texts = texts_of(batch["text"])
             for a, b in chunks(texts):
                 tokens, bounds = sequences(texts[a:b])
-                kind, member = np.divmod(shape.cells(tokens), MEMBERS)
-                for row, inner in shape.rows(features(tokens, bounds), kind):
-                    held[0].append(row * CLASSES + kind)
-                    held[1].append(inner * MEMBERS + member)
+                for k, (_, entry, rows) in enumerate(shape.places(shape.cells(tokens), features(tokens, bounds))):
+                    held[k] += [row * LEVELS[k] + entry for row in rows]
                 size += KINDS * len(tokens)
                 if size > HELD:
                     add()
@@ -193,14 +198,14 @@ def summed(found: DataFrame, sizes: tuple[int, ...]) -> list[np.ndarray]:
         total: dict[tuple[int, int], np.ndarray] = {}
         for batch in batches:
             for kind, number, scale, cells in zip(batch["kind"].tolist(), batch["slice"].tolist(), batch["scale"].tolist(), batch["cells"]):
-                own = total.setdefault((kind, number), np.zeros(SLICE))
+                own = total.setdefault((kind, number), np.zeros(SLICE, dtype=np.float64))
                 own += scale * np.frombuffer(cells, dtype=f"<f{len(cells) // SLICE}")
-        yield pd.DataFrame({"kind": [k for k, _ in total], "slice": [n for _, n in total], "cells": [v.astype("<f8").tobytes() for v in total.values()]})
+        yield pd.DataFrame({"kind": [k for k, _ in total], "slice": [n for _, n in total], "cells": [v.astype("<f4").tobytes() for v in total.values()]})
 
-    made = [np.zeros(-(-n // SLICE) * SLICE) for n in sizes]
+    made = [np.zeros(-(-n // SLICE) * SLICE, dtype=np.float32) for n in sizes]
     dealt = found.repartition("kind", "slice")
     for row in dealt.mapInPandas(add, "kind int, slice long, cells binary").toLocalIterator():  # tables of bounded size
-        made[row["kind"]][row["slice"] * SLICE : (row["slice"] + 1) * SLICE] = np.frombuffer(row["cells"], dtype="<f8")
+        made[row["kind"]][row["slice"] * SLICE : (row["slice"] + 1) * SLICE] = np.frombuffer(row["cells"], dtype="<f4")
     return [m[:n] for m, n in zip(made, sizes)]
 
 
@@ -208,137 +213,146 @@ class Table:
     """Weights of the followers of contexts, the followers' shares without context, and how often rows were met."""
 
     def __init__(self, counts: np.ndarray, share: np.ndarray):
-        self.totals = counts.sum(1)
-        self.share = share
+        self.totals, self.share = counts.sum(1, dtype=np.float64).astype(np.float32), share.astype(np.float32)
         # iterative scaling: log of observed over expected, damped by PRIOR
-        self.weights = np.log((counts + PRIOR * share) / ((self.totals[:, None] + PRIOR) * share)).astype(np.float32)
+        self.weights = counts + np.float32(PRIOR) * self.share
+        self.weights /= (self.totals[:, None] + np.float32(PRIOR)) * self.share
+        np.clip(np.log(self.weights, out=self.weights), -MOST_WEIGHT, MOST_WEIGHT, out=self.weights)
 
     def move(self, gradient: np.ndarray) -> None:
         """A diagonal Newton step, by at most MOST_MOVE."""
-        curvature = self.totals[:, None] * self.share + PRIOR
-        self.weights += np.clip(RATE * gradient / curvature, -MOST_MOVE, MOST_MOVE).astype(np.float32)
+        step = gradient / (self.totals[:, None] * self.share + np.float32(PRIOR))
+        step *= np.float32(RATE)
+        self.weights += np.clip(step, -MOST_MOVE, MOST_MOVE, out=step)
+        np.clip(self.weights, -MOST_WEIGHT, MOST_WEIGHT, out=self.weights)
 
 
 class Model:
-    """Two tables of weights with their scales; the logs of classes, and of cells within classes, without context."""
-
-    def __init__(self, shape: Shape, by_class: np.ndarray, by_member: np.ndarray, groups: np.ndarray):
-        """Counts of the two tables, and of each [class, cell]."""
-        groups = groups + 0.5
-        share = groups.sum(1) / groups.sum()
-        inner = groups / groups.sum(1, keepdims=True)
-        self.shape, self.class_log, self.member_log = shape, np.log(share).astype(np.float32), np.log(inner).astype(np.float32)
-        self.tables = [Table(by_class.reshape(-1, CLASSES), share), Table(by_member.reshape(-1, MEMBERS), (inner * share[:, None]).sum(0))]
-        self.scales = np.full((2, KINDS), 1 / KINDS)
-
-    def parts(self, tokens: np.ndarray, bounds: np.ndarray) -> Iterator[tuple[slice, int, list[np.ndarray], np.ndarray, np.ndarray]]:
-        """Blocks: place, table, rows for each kind of feature, logits without them, and the answer."""
-        kind, member = np.divmod(self.shape.cells(tokens), MEMBERS)
-        contexts = features(tokens, bounds)
+    """Tables of weights with their scales, and the logs of each level's entries without context."""
+
+    def __init__(self, shape: Shape, counts: list[np.ndarray], cells: np.ndarray):
+        """Counts of the tables, and of each cell."""
+        self.shape, self.bases, self.tables = shape, [], []
+        cells = cells.reshape(LEVELS) + 0.5
+        for k in range(len(LEVELS)):
+            own = cells.sum(tuple(range(k + 1, len(LEVELS)))).reshape(-1, LEVELS[k])
+            self.bases.append(np.log(own / own.sum(1, keepdims=True)).astype(np.float32))
+            self.tables.append(Table(counts[k].reshape(-1, LEVELS[k]), own.sum(0) / own.sum()))
+        self.scales = np.full((len(LEVELS), KINDS), 1 / KINDS)
+
+    @classmethod
+    def of(cls, shape: Shape, bases: list[np.ndarray]) -> Model:
+        """What scoring needs beside the scaled tables."""
+        made = object.__new__(cls)
+        made.shape, made.bases = shape, bases
+        return made
+
+    def parts(self, tokens: np.ndarray, bounds: np.ndarray, level: int | None = None) -> Iterator[tuple[slice, int, list[np.ndarray], np.ndarray, np.ndarray]]:
+        """Blocks: place, level, rows for each kind of feature, logits without them, and the answer."""
+        cells, contexts = self.shape.cells(tokens), features(tokens, bounds)
         for a in range(0, len(tokens), BLOCK):
             at = slice(a, a + BLOCK)
-            rows = self.shape.rows([c[at] for c in contexts], kind[at])
-            yield at, 0, [r for r, _ in rows], np.broadcast_to(self.class_log, (len(rows[0][0]), CLASSES)), kind[at]
-            yield at, 1, [r for _, r in rows], self.member_log[kind[at]], member[at]
-
-    def log_likelihood(self, tokens: np.ndarray, bounds: np.ndarray) -> np.ndarray:
-        """Natural log of P(class, cell) of each token."""
-        out = np.zeros(len(tokens))
-        for at, which, rows, base, answer in self.parts(tokens, bounds):
-            logits = base.copy()
-            for scale, row in zip(self.scales[which].astype(np.float32), rows):
-                logits += scale * self.tables[which].weights[row]
-            top = logits.max(1)
-            out[at] += logits[np.arange(len(answer)), answer] - top
-            logits -= top[:, None]
-            out[at] -= np.log(np.exp(logits, out=logits).sum(1))
+            for k, (above, entry, rows) in enumerate(self.shape.places(cells[at], [c[at] for c in contexts])):
+                if level in (None, k):
+                    yield at, k, rows, self.bases[k][above], entry
+
+    def scaled(self) -> list[np.ndarray]:
+        """Tables of weights times scales."""
+        return [(t.weights.reshape(KINDS, -1) * s[:, None].astype(np.float32)).reshape(t.weights.shape) for t, s in zip(self.tables, self.scales)]
+
+    def log_likelihood(self, tokens: np.ndarray, bounds: np.ndarray, scaled: list[np.ndarray] | None = None) -> np.ndarray:
+        """Natural log of P(cell) of each token."""
+        out, scaled, line = np.zeros(len(tokens)), scaled or self.scaled(), np.arange(BLOCK)
+        room = [np.empty((BLOCK, n), dtype=np.float32) for n in LEVELS]
+        for at, k, rows, logits, answer in self.parts(tokens, bounds):
+            own = room[k][: len(answer)]
+            for row in rows:
+                logits += np.take(scaled[k], row, axis=0, out=own, mode="clip")
+            out[at] += logits[line[: len(answer)], answer]
+            out[at] -= np.log(np.exp(logits, out=own).sum(1))
         return out
 
     def learn(self, tokens: np.ndarray, bounds: np.ndarray, sums: Sums) -> None:
-        """Add the gradients of some texts' log-likelihood to sums."""
-        for _, which, rows, base, answer in self.parts(tokens, bounds):
-            table_, scales, line = self.tables[which], self.scales[which], np.arange(len(answer))
-            own = []
-            for row in rows:
+        """Add the gradients of a level's log-likelihood of some texts to sums."""
+        table_, scales = self.tables[sums.level], self.scales[sums.level].astype(np.float32)
+        for _, _, rows, logits, answer in self.parts(tokens, bounds, sums.level):
+            line, own = np.arange(len(answer)), []
+            for scale, row in zip(scales, rows):
                 w = table_.weights[row]
                 # the token's own count, as a share of those behind the weight of its answer
-                part = np.exp(-w[line, answer]) / ((table_.totals[row] + PRIOR) * table_.share[answer])
-                w[line, answer] += np.log1p(-np.minimum(part, 0.9)).astype(np.float32)
-                own.append(w)
-            logits = base.copy()
-            for scale, w in zip(scales.astype(np.float32), own):
+                part = np.exp(-w[line, answer]) / ((table_.totals[row] + np.float32(PRIOR)) * table_.share[answer])
+                w[line, answer] += np.log1p(-np.minimum(part, np.float32(0.9)))
                 logits += scale * w
-            logits -= logits.max(1, keepdims=True)
+                own.append(w)
             p = np.exp(logits, out=logits)
-            total = p.sum(1, keepdims=True)
-            p /= total
-            sums.fit[0] += np.log(p[line, answer]).sum()
-            sums.fit[1] += 0.5 * len(answer)
-            means = [(w * p).sum(1) for w in own]
+            p /= p.sum(1, keepdims=True)
+            sums.fit += np.log(p[line, answer]).sum(), len(answer)
+            weighed = [w * p for w in own]
+            means = [x.sum(1) for x in weighed]
             for i, w in enumerate(own):
-                sums.gradient[which, i] += float((w[line, answer] - means[i]).sum(dtype=np.float64))
+                sums.gradient[i] += float((w[line, answer] - means[i]).sum(dtype=np.float64))
                 for j in range(i, KINDS):
-                    h = float(np.einsum("tk,tk,tk->", w, own[j], p)) - float(means[i] @ means[j])
-                    sums.hessian[which, i, j] += h
-                    sums.hessian[which, j, i] = sums.hessian[which, i, j]
+                    sums.hessian[i, j] += float(np.vdot(weighed[i], own[j])) - float(means[i] @ means[j])
+                    sums.hessian[j, i] = sums.hessian[i, j]
             error = np.negative(p, out=p)
             error[line, answer] += 1
             for scale, row in zip(scales, rows):
-                order = np.argsort(row, kind="stable")
-                sorted_ = row[order]
-                first = np.flatnonzero(np.diff(sorted_, prepend=-1))
-                sums.tables[which][sorted_[first]] += np.float32(scale) * np.add.reduceat(error[order], first)
-
-    def update(self, tables: list[np.ndarray], gradient: np.ndarray, hessian: np.ndarray, share: float) -> None:
-        """One step on gradients summed over a share of the training rows."""
-        for t, g in zip(self.tables, tables):
-            t.move(g.reshape(t.weights.shape) / share)
-        for k in range(2):
-            self.scales[k] = np.clip(self.scales[k] + np.linalg.solve(hessian[k] + np.eye(KINDS), gradient[k]), 0.0, 2.0)
-
-    def for_scoring(self) -> Model:
-        """The model without what only training needs."""
-        made = object.__new__(Model)
-        made.__dict__ = dict(self.__dict__)
-        made.tables = [object.__new__(Table) for _ in self.tables]
-        for new, old in zip(made.tables, self.tables):
-            new.weights = old.weights
-        return made
+                scatter(sums.table, row, error * scale)
+
+    def update(self, level: int, table_: np.ndarray, gradient: np.ndarray, hessian: np.ndarray, share: float) -> None:
+        """One step of a level, on gradients summed over a share of the training tokens."""
+        own = self.tables[level]
+        own.move(table_.reshape(own.weights.shape) / np.float32(share))
+        self.scales[level] = np.clip(self.scales[level] + np.linalg.solve(hessian + np.eye(KINDS), gradient), 0.0, MOST_SCALE)
+
+
+def scatter(total: np.ndarray, row: np.ndarray, values: np.ndarray) -> None:
+    """total[row] += values, where rows may repeat."""
+    order = np.argsort(row)
+    own = row[order]
+    new = np.empty(len(own), dtype=bool)
+    new[:1] = True
+    np.not_equal(own[1:], own[:-1], out=new[1:])
+    once = new.copy()
+    once[:-1] &= new[1:]
+    single, rest = order[once], np.flatnonzero(~once)
+    total[row[single]] += values[single]
+    if len(rest):
+        first = np.flatnonzero(new[rest])
+        total[own[rest[first]]] += np.add.reduceat(values[order[rest]], first)
 
 
 class Sums:
-    """Gradients that a task has summed: of the weights, and of the scales with their curvature; log-likelihood, tokens."""
+    """Gradients of a level that a task has summed: of its weights, and of its scales with their curvature; log-likelihood, tokens."""
 
-    def __init__(self, model: Model):
-        self.tables = [np.zeros(t.weights.shape, dtype=np.float32) for t in model.tables]
-        self.gradient, self.hessian, self.fit = np.zeros((2, KINDS)), np.zeros((2, KINDS, KINDS)), np.zeros(2)
+    def __init__(self, model: Model, level: int):
+        self.level, self.table = level, np.zeros(model.tables[level].weights.shape, dtype=np.float32)
+        self.gradient, self.hessian, self.fit = np.zeros(KINDS), np.zeros((KINDS, KINDS)), np.zeros(2)
 
     def rows(self) -> Iterator[pd.DataFrame]:
-        for code, values in enumerate(self.tables):
-            yield slices(code, values.ravel(), "<f2")
-        yield slices(2, np.concatenate([self.gradient.ravel(), self.hessian.ravel(), self.fit]))
+        yield slices(0, self.table.ravel(), "<f2")
+        yield slices(1, np.concatenate([self.gradient, self.hessian.ravel(), self.fit]))
 
 
-def gradients(docs: DataFrame, model: Model) -> tuple[list[np.ndarray], np.ndarray, np.ndarray, np.ndarray]:
-    """(gradients of both tables, gradient and negative Hessian of the scales, (log-likelihood, tokens)) of docs (text)."""
+def gradients(docs: DataFrame, model: Model, level: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(gradient of a level's table, gradient and negative Hessian of its scales, (log-likelihood, tokens)) of docs (text)."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        sums = Sums(shared.value)
+        sums = Sums(shared.value, level)
         for batch in batches:
             texts = texts_of(batch["text"])
             for a, b in chunks(texts):
                 shared.value.learn(*sequences(texts[a:b]), sums)
         yield from sums.rows()
 
-    made = docs.select("text").mapInPandas(run, PARTS)
-    n = 2 * KINDS
-    a, b, rest = summed(made, (*model.shape.sizes, n + n * KINDS + 2))
+    n = KINDS + KINDS * KINDS
+    table_, rest = summed(docs.select("text").mapInPandas(run, PARTS), (model.shape.sizes[level], n + 2))
     shared.unpersist()
-    return [a, b], rest[:n].reshape(2, KINDS), rest[n : n + n * KINDS].reshape(2, KINDS, KINDS), rest[-2:]
+    return table_, rest[:KINDS], rest[KINDS:n].reshape(KINDS, KINDS), rest[n:]
 
 
-def learn(docs: DataFrame, training: Column, steps: int = STEPS) -> tuple[Model, DataFrame, np.ndarray, int, int]:
+def learn(docs: DataFrame, training: Column, steps: int = len(LEVELS)) -> tuple[Model, DataFrame, np.ndarray, int, int]:
     """(model, vocabulary (word, c), log10 of the denominators of each cell, N, V) of the training rows."""
     spark = docs.sparkSession
     rows = docs.where(training).select("doc_id", "text")
@@ -350,16 +364,13 @@ def learn(docs: DataFrame, training: Column, steps: int = STEPS) -> tuple[Model,
     c, v = np.zeros(CELLS, dtype=np.int64), np.zeros(CELLS, dtype=np.int64)
     for r in totals.agg(F.sum("c").alias("c"), F.count(F.lit(1)).alias("v")).collect():  # one row a cell
         c[r["g"]], v[r["g"]] = r["c"], r["v"]
-    rows = rows.coalesce(max(spark.sparkContext.defaultParallelism, int(c.sum()) // TASK_TOKENS))
     bits = min(MOST_BITS, max(LEAST_BITS, (int(c.sum()) // TOKENS_A_ROW).bit_length() - 1))
     shape = Shape(np.array(top, dtype=np.int64).view(np.uint64), bits)
-    model = Model(shape, *summed(followers(rows, shape), shape.sizes), c.reshape(CLASSES, MEMBERS).astype(np.float64))
+    model = Model(shape, summed(followers(rows, shape), shape.sizes), c.astype(np.float64))
     for k in range(steps if len(top) else 0):
-        own = rows if steps == 1 else rows.where(F.pmod(F.xxhash64("doc_id"), F.lit(steps)) == k)
-        tables, gradient, hessian, fit = gradients(own, model)
-        share = float(fit[1]) / max(1.0, float(c.sum()))
-        if share > 0:
-            model.update(tables, gradient, hessian, share)
+        table_, gradient, hessian, fit = gradients(rows.where(F.pmod(F.xxhash64("doc_id"), F.lit(len(LEVELS))) == k), model, k)
+        if fit[1] > 0:
+            model.update(k, table_, gradient, hessian, float(fit[1]) / float(c.sum()))
     return model, words, np.log10(c + v + 1.0), int(c.sum()), int(v.sum())
 
 
@@ -375,16 +386,17 @@ def scores(docs: DataFrame, held_out: Column, limit: int = VOCABULARY_ROWS) -> D
         order = np.argsort(listed["word"].to_numpy().view(np.uint64))
         known = (listed["word"].to_numpy().view(np.uint64)[order], listed["c"].to_numpy()[order])
         removed(words)
-    shared = spark.sparkContext.broadcast((model.for_scoring(), denominators, known))
+    shared = spark.sparkContext.broadcast((model.shape, model.bases, model.scaled(), denominators, known))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         part, row = TaskContext.get().partitionId(), 0
         for batch in batches:
             texts, made = texts_of(batch["text"]), []
-            model, denominators, known = shared.value
+            shape, bases, scaled, denominators, known = shared.value
+            model = Model.of(shape, bases)
             for a, b in chunks(texts):
                 tokens, bounds = sequences(texts[a:b])
-                inner = model.log_likelihood(tokens, bounds) / np.log(10) - denominators[model.shape.cells(tokens)]
+                inner = model.log_likelihood(tokens, bounds, scaled) / np.log(10) - denominators[shape.cells(tokens)]
                 out = pd.DataFrame({"n_tokens": np.diff(bounds), "inner": np.add.reduceat(inner, bounds[:-1])})
                 if known is not None:
                     c = counts_of(tokens, *known)
