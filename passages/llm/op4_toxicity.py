@@ -1,7 +1,9 @@
 """Operator 4, toxicity: a linear-chain conditional random field over the words of a text.
 
-Tokens are runs of letters and digits of the lower-cased text. A token's features are its hash and those of
-its first 4, 5 and 6 bytes. The field has two labels; forward-backward gives each token's probability of
+Tokens are runs of letters, marks and digits of the lower-cased text; in scripts written without spaces every
+character is a token. All characters of a token are read: a word's features are the hash of the whole word and
+those of its first 4, 5 and 6 letters, a lone character's those of the runs of 1, 2 and 3 characters that begin
+with it and of the 2 that end with it. The field has two labels; forward-backward gives each token's probability of
 being toxic, given the whole text. Its products of 2 x 2 matrices are associative, so they run in blocks side
 by side with numpy, for many texts at once. A document's score combines the largest marginal and the
 expected number of toxic tokens; the tokens above one half are the offending spans.
@@ -10,7 +12,8 @@ Labels are given for documents, not tokens. Tokens are labelled from them: a wor
 whose documents are toxic far more often than chance allows (a likelihood ratio) marks its occurrences in
 toxic documents; all tokens of clean documents are clean; toxic documents with no such word are left out.
 The field is fitted on a bounded sample of labelled documents (FIT_ROWS of each class, smallest hash of
-doc_id first) by AdaGrad on exact gradients; scoring runs over all rows.
+doc_id first, as long as they have no more than FIT_CHARS characters together; one text of each id) by AdaGrad
+on exact gradients; scoring runs over all rows and whole texts.
 
 Defined results: null and empty texts have no tokens and get the least score the calibration gives; when
 labels hold no documents of one class, every score is 0; null labels and null doc_ids aren't learned from;
@@ -22,25 +25,31 @@ from __future__ import annotations
 
 import functools
 import pickle
+import sys
+import unicodedata
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from passages.llm.common import remainder, table
 from passages.llm.pretok import chunks
+from passages.llm.shingles import mixed, powers
 
 NAME = "op4_toxicity"
 
-#: Bound of the labelled sample: rows of each class (toxic, clean).
-FIT_ROWS = (1500, 3000)
+#: Bounds of the labelled sample: rows of each class (toxic, clean), and characters of all.
+FIT_ROWS, FIT_CHARS = (1500, 3000), 60_000_000
 THRESHOLD = 0.7
 BITS = 20
-PREFIXES = (4, 5, 6)
-#: Bytes of a word that enter its hash, besides its length.
-REACH = 12
+#: Letters of a word's beginnings, and characters of the runs that begin with a lone one.
+PREFIXES, RUNS = (4, 5, 6), (1, 2, 3)
+#: Scripts written without spaces, as ranges of code points: Thai and Lao, Tibetan, Myanmar, Khmer, kana, Han, and
+#: the planes of rarer Han characters.
+UNSPACED = ((0x0E00, 0x0EFF), (0x0F00, 0x0FFF), (0x1000, 0x109F), (0x1780, 0x17FF), (0x3040, 0x30FF), (0x31F0, 0x31FF), (0x3400, 0x4DBF), (0x4E00, 0x9FFF), (0xF900, 0xFAFF), (0x20000, 0x3FFFF))
+NOTHING, WORD, LONE = range(3)
 BLOCK = 128
 EPOCHS, RATE, PENALTY = 8, 0.5, 1e-6
 #: Likelihood ratio (in nats) and share from which a word counts as a sign of toxicity.
@@ -48,12 +57,16 @@ LEAST_RATIO, LEAST_SHARE = 10.0, 0.9
 
 
 @functools.cache
-def hashing() -> tuple[np.ndarray, np.ndarray]:
-    """(random word of each byte, whether a byte belongs to words)."""
-    words = np.random.default_rng(20).integers(0, 2**63, 256, dtype=np.uint64)
-    inside = np.zeros(256, dtype=bool)
-    inside[[*range(48, 58), *range(97, 123), *range(128, 256)]] = True
-    return words, inside
+def kinds() -> np.ndarray:
+    """Of every code point: NOTHING, part of a WORD, or a LONE token."""
+    table_ = np.zeros(sys.maxunicode + 1, dtype=np.uint8)
+    for code in range(sys.maxunicode + 1):
+        if unicodedata.category(chr(code))[0] in "LMN":
+            table_[code] = WORD
+    for first, last in UNSPACED:
+        own = table_[first : last + 1]
+        own[own == WORD] = LONE
+    return table_
 
 
 def lower(text: str) -> str:
@@ -62,28 +75,41 @@ def lower(text: str) -> str:
     return made if len(made) == len(text) else "".join(c.lower() if len(c.lower()) == 1 else c for c in text)
 
 
-def tokens(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(features [k, token], text of each token, first byte, end byte, bytes) of lower-cased texts joined."""
-    words, inside = hashing()
-    raw = [lower(t).encode("utf-8", "surrogatepass") for t in texts]
-    buffer = np.frombuffer(b"\n".join(raw) + b"\n", dtype=np.uint8)
-    edge = np.diff(inside[buffer].astype(np.int8), prepend=np.int8(0))
-    first, end = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
+def tokens(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(features [k, token], text of each token, its first character and end) of lower-cased texts, each followed by
+    a mark. Feature 0 stands for none."""
+    joined = "\n".join(map(lower, texts)) + "\n"
+    try:
+        codes = np.frombuffer(joined.encode("latin-1"), dtype=np.uint8)
+    except UnicodeEncodeError:
+        codes = np.frombuffer(joined.encode("utf-32-le", "surrogatepass"), dtype="<u4")
+    kind = kinds()[codes]
+    before = np.concatenate([[NOTHING], kind[:-1]])
+    first = np.flatnonzero((kind == LONE) | (kind == WORD) & (before != WORD))
+    after = np.append(kind[1:], NOTHING)
+    end = np.flatnonzero((kind == LONE) | (kind == WORD) & (after != WORD)) + 1
     size = end - first
-    h = np.zeros(len(first), dtype=np.uint64)
-    found = []
-    live = np.arange(len(first))
-    for i in range(REACH):
-        live = live[size[live] > i]
-        h[live] = (h[live] ^ words[buffer[first[live] + i]]) * np.uint64(0x9E3779B97F4A7C15)
-        h[live] ^= h[live] >> np.uint64(29)
-        if i + 1 in PREFIXES:
-            at = np.zeros(len(first), dtype=np.int32)  # 0 stands for no feature
-            at[live] = slot(h[live] + np.uint64(i))
-            found.append(at)
-    found.insert(0, slot(h ^ (size.astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))))
-    text = np.searchsorted(np.cumsum([len(x) + 1 for x in raw]), first, side="right")
-    return np.stack(found), text, first, end, buffer
+    up, down = powers(1 << max(16, (len(codes) + 1).bit_length()))
+    sums = np.zeros(len(codes) + 1, dtype=np.uint64)
+    np.cumsum(mixed(codes.astype(np.uint64) + np.uint64(0x9E3779B97F4A7C15)) * up[: len(codes)], out=sums[1:])
+    lone = kind[first] == LONE
+    # characters up to which a lone token's neighbours are lone too
+    run_end = np.flatnonzero((kind == LONE) & (after != LONE)) + 1
+    stop = np.where(lone, run_end[np.minimum(np.searchsorted(run_end, first, side="right"), max(0, len(run_end) - 1))] if len(run_end) else 0, end)
+
+    def hashed(begin: np.ndarray, stop: np.ndarray, salt: int) -> np.ndarray:
+        h = (sums[stop] - sums[begin]) * down[begin] + (stop - begin).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93)
+        return slot(mixed(h + np.uint64(salt)))
+
+    found = [hashed(first, end, 0)]
+    for n, m in zip(PREFIXES, RUNS):
+        reach = first + np.where(lone, m, n)
+        found.append(np.where(reach <= stop, hashed(first, np.minimum(reach, stop), n), 0))
+    back = np.flatnonzero(lone & (before[first] == LONE) & (first > 0))
+    # the two characters that end with a lone token take the place of its first run, which is the token itself
+    found[1][back] = hashed(first[back] - 1, end[back], 1)
+    text = np.searchsorted(np.cumsum([len(t) + 1 for t in texts]), first, side="right")
+    return np.stack(found), text, first, end
 
 
 def slot(h: np.ndarray) -> np.ndarray:
@@ -164,7 +190,7 @@ class Model:
 
     def score(self, texts: list[str]) -> tuple[np.ndarray, list[list[tuple[int, int]]]]:
         """(scores, offending spans in code points) of texts."""
-        features, text, first, end, buffer = tokens(texts)
+        features, text, first, end = tokens(texts)
         p = np.zeros(0)
         if len(text):
             begins = np.diff(text, prepend=-1) != 0
@@ -174,9 +200,8 @@ class Model:
             return np.zeros(len(texts)), spans
         hits = np.flatnonzero(p > 0.5)
         if len(hits):
-            points = np.cumsum((buffer & 0xC0) != 0x80) - 1  # code point of each byte
             base = np.concatenate([[0], np.cumsum([len(t) + 1 for t in texts])])
-            for t, a, b in zip(text[hits].tolist(), points[first[hits]].tolist(), points[end[hits]].tolist()):
+            for t, a, b in zip(text[hits].tolist(), first[hits].tolist(), end[hits].tolist()):
                 spans[t].append((a - int(base[t]), b - int(base[t])))
         return 1 / (1 + np.exp(-np.clip(self.summary(p, text, len(texts)) @ self.calibration, -40, 40))), spans
 
@@ -268,7 +293,11 @@ def learn(docs: DataFrame, labels: DataFrame, text: str = "text") -> Model:
     docs = docs.select("doc_id", F.col(f"`{text}`").alias("_text"))
     order = (F.xxhash64("doc_id"), F.col("doc_id"))
     chosen = [labels.where(F.col("_toxic") == y).orderBy(*order).limit(n) for y, n in zip((1, 0), FIT_ROWS)]
-    sample = docs.join(F.broadcast(chosen[0].unionByName(chosen[1])), "doc_id").select("doc_id", "_text", "_toxic")
+    sample = docs.join(F.broadcast(chosen[0].unionByName(chosen[1])), "doc_id").groupBy("doc_id", "_toxic").agg(F.min("_text").alias("_text"))
+    # at most FIT_ROWS rows: their lengths are added up in one task
+    so_far = Window.orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    lengths = sample.select("doc_id", F.sum(F.coalesce(F.length("_text"), F.lit(0))).over(so_far).alias("_chars"))
+    sample = sample.join(F.broadcast(lengths.where(F.col("_chars") <= FIT_CHARS)), "doc_id", "left_semi")
 
     def train(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         rows = pd.concat([pd.DataFrame({"doc_id": [], "_text": [], "_toxic": []}), *batches]).sort_values(["doc_id", "_text"])

@@ -1,23 +1,27 @@
 """Operator 7, embedding near-duplicates: int8 tile products with rigorous error bounds.
 
-Vectors are compared within a label. Equal vectors of a label are collapsed first. The rest are normalised,
-dealt into tiles of TILE vectors, ordered by the nearest of a few pivots so that tiles are compact, and
-quantised: q = round(127 x / max |x|), x = s q + e with |e| known for each vector. For unit vectors x and y
+Vectors are compared within a label. Equal vectors of a label are collapsed first. The rest are normalised and
+quantised once: q = round(127 x / max |x|), x = s q + e with |e| known for each vector. They are dealt into
+tiles of up to TILE vectors, by the nearest of a few pivots so that tiles are compact. For unit vectors x and y
 
     |x . y - s_x s_y (q_x . q_y)| <= |e_x| + |e_y| + |e_x| |e_y|,
 
-so a product of two int8 tiles shows which pairs can possibly reach the threshold, and only those are
-computed again in double precision from the original components. A pair of tiles is skipped altogether when
-the angle between their centres exceeds both radii and the threshold's angle together.
+so a product of two int8 tiles shows which pairs can possibly reach the threshold. A pair of tiles is skipped
+altogether when the angle between their centres exceeds both radii and the threshold's angle together. Else
+the int8 codes of both tiles meet (one byte a component); only pairs of tiles with a possible pair of vectors
+fetch the original components, and only the possible pairs are computed again in double precision.
 
-No list of all pairs is made: a pair of tiles gives each vector's number of links and a forest that
-connects what it links (fewer rows than vectors). Tiles are the unit that is shuffled. The work is that of
-all pairs of tiles of a label that the bound can't skip: exact, and quadratic in a label's distinct vectors
-when they have no structure (see the README).
+No list of pairs of vectors is made: a pair of tiles gives a bitmap of possible pairs, then each vector's number
+of links and a forest that connects what it links (fewer rows than vectors). Tiles are the unit that is
+shuffled. The work is that of all pairs of tiles of a label that the bound can't skip: exact, and quadratic in a
+label's distinct vectors when they have no structure (see the README).
 
 Defined results: vectors that are null, zero or hold null or non-finite components, and those of a null
 label, link with nothing; vectors of another length than their label's others only link among their own
-length; a null vec_id gives a row with null component, kept, and takes no part; vec_id names a vector.
+length; a null vec_id gives a row with null component, kept, and takes no part. vec_id names a vector: repeated
+rows of an id with equal label and embedding are one vector, and give one row each, all alike; an id with several
+embeddings or labels joins their components, and its links are summed over them. An empty table gives no rows;
+extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -29,7 +33,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from passages.llm.common import table, written
+from passages.llm.common import spread_join, table, written
 from passages.llm.components import components, forest
 
 NAME = "op7_embedding_dedup"
@@ -37,8 +41,10 @@ NAME = "op7_embedding_dedup"
 THRESHOLD = 0.98
 TILE = 512
 PIVOTS = 16
-#: Room for the rounding of sums of products in double precision, and of int8 products held in float32.
+#: Room for the rounding of sums of products in double precision.
 ROUNDING = 1e-6
+#: Components whose int8 products single precision adds exactly: 1024 * 127 ** 2 < 2 ** 24.
+EXACT = 1024
 
 
 def unit(vectors: np.ndarray) -> np.ndarray:
@@ -54,13 +60,14 @@ def quantised(units: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return codes, scale, np.sqrt(((units - codes * scale[:, None]) ** 2).sum(1)) + 1e-12
 
 
-def possible(a: np.ndarray, b: np.ndarray, threshold: float) -> tuple[np.ndarray, np.ndarray]:
-    """Pairs (row of a, row of b) of unit vectors whose cosine the int8 product can't rule out."""
-    qa, sa, ea = quantised(a)
-    qb, sb, eb = quantised(b)
-    product = qa.astype(np.float32) @ qb.astype(np.float32).T  # exact up to 2 ** 24: 1040 components
+def possible(a: tuple[np.ndarray, np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray, np.ndarray], threshold: float) -> np.ndarray:
+    """[row of a, row of b]: whether the int8 product can't rule a pair out."""
+    (qa, sa, ea), (qb, sb, eb) = a, b
+    product = np.zeros((len(qa), len(qb)))
+    for c in range(0, qa.shape[1], EXACT):
+        product += qa[:, c : c + EXACT].astype(np.float32) @ qb[:, c : c + EXACT].astype(np.float32).T
     slack = ea[:, None] + eb[None, :] + ea[:, None] * eb[None, :] + ROUNDING
-    return np.nonzero(product * sa[:, None] * sb[None, :] + slack >= threshold)
+    return product * sa[:, None] * sb[None, :] + slack >= threshold
 
 
 def usable(vectors: DataFrame) -> DataFrame:
@@ -70,32 +77,35 @@ def usable(vectors: DataFrame) -> DataFrame:
 
 
 def tiles(distinct: DataFrame) -> DataFrame:
-    """(label, size, tile, ids, copies, vectors): blocks of at most TILE vectors of a label and length.
+    """(label, size, tile, nodes, copies, codes, scales, errors, vectors): blocks of about TILE vectors of a label and length.
 
-    A vector's cell is its nearest of PIVOTS fixed directions, so tiles hold vectors that lie near each other;
-    rows are dealt by (label, size, cell) and, within a task, cut into tiles, so a hot cell is cut by salt first."""
+    A vector's cell is its nearest of PIVOTS fixed directions, so tiles hold vectors that lie near each other. Rows
+    are dealt anew by (label, size, cell, salt) before they are collected, so no task holds more than its tiles."""
 
     def cells(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             cell = np.zeros(len(batch), dtype=np.int64)
+            codes, scales, errors = [b""] * len(batch), np.zeros(len(batch)), np.zeros(len(batch))
             for size, at in batch.groupby("size").indices.items():
                 pivots = np.random.default_rng(7).normal(size=(PIVOTS, int(size)))
-                cell[at] = (unit(np.stack(batch["embedding"].iloc[at].to_numpy()).astype(np.float64)) @ pivots.T).argmax(1)
-            yield batch.assign(cell=cell, embedding=[np.asarray(x, dtype="<f8").tobytes() for x in batch["embedding"]])
-
-    schema = "label long, size int, vec_id long, copies long, cell long, embedding binary"
-    dealt = distinct.select("label", "size", "vec_id", "copies", "embedding").mapInPandas(cells, schema)
+                x = unit(np.stack(batch["embedding"].iloc[at].to_numpy()).astype(np.float64))
+                cell[at] = (x @ pivots.T).argmax(1)
+                q, scales[at], errors[at] = quantised(x)
+                for i, own in zip(at.tolist(), q):
+                    codes[i] = own.tobytes()
+            raw = [np.asarray(x, dtype="<f8").tobytes() for x in batch["embedding"]]
+            yield batch.assign(cell=cell, code=codes, scale=scales, error=errors, embedding=raw)
+
+    schema = "label long, size int, node long, copies long, cell long, code binary, scale double, error double, embedding binary"
+    dealt = distinct.select("label", "size", "node", "copies", "embedding").mapInPandas(cells, schema)
     counts = written(dealt, "tiles-cells")
-    sizes = counts.groupBy("label", "size", "cell").agg(F.count(F.lit(1)).alias("n"))  # PIVOTS rows for a label
-    parts = F.ceil(F.col("n") / (TILE / 2)).cast("long")
-    salted = counts.join(sizes, ["label", "size", "cell"]).withColumn("salt", F.pmod(F.xxhash64("vec_id"), parts))
-
-    grouped = salted.groupBy("label", "size", "cell", "salt").agg(F.collect_list(F.struct("vec_id", "copies", "embedding")).alias("rows"))
-    named = grouped.withColumn("tile", F.xxhash64("label", "size", "cell", "salt"))
-    return named.select(
-        "label", "size", "tile",
-        F.col("rows.vec_id").alias("ids"), F.col("rows.copies").alias("copies"), F.col("rows.embedding").alias("vectors"),
-    )
+    keys = ["label", "size", "cell"]
+    sizes = counts.groupBy(*keys).agg(F.ceil(F.count(F.lit(1)) / (TILE / 2)).cast("long").alias("parts"))  # PIVOTS rows for a label
+    salted = spread_join(counts, sizes, keys).withColumn("salt", F.pmod(F.xxhash64("node"), F.col("parts")))
+    grouped = salted.repartition(*keys, "salt").groupBy(*keys, "salt").agg(F.collect_list(F.struct("node", "copies", "code", "scale", "error", "embedding")).alias("rows"))
+    named = grouped.withColumn("tile", F.xxhash64(*keys, "salt"))
+    columns = {"node": "nodes", "copies": "copies", "code": "codes", "scale": "scales", "error": "errors", "embedding": "vectors"}
+    return named.select("label", "size", "tile", *(F.col(f"rows.{a}").alias(b) for a, b in columns.items()))
 
 
 def centres(blocks: DataFrame) -> DataFrame:
@@ -117,29 +127,43 @@ def centres(blocks: DataFrame) -> DataFrame:
     return blocks.select("label", "size", "tile", centre("vectors").alias("_c")).select("label", "size", "tile", "_c.*")
 
 
-def compared(pairs: DataFrame, threshold: float) -> DataFrame:
-    """Pairs of tiles -> rows (u, v, n): v null: u has n more links; else a link (u, v) of the forest."""
+def candidates(pairs: DataFrame, threshold: float) -> DataFrame:
+    """Pairs of tiles with their codes -> (tile, other, bits): those with possible pairs, and which these are."""
 
-    def block(ids, copies, vectors) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        return np.asarray(ids), np.asarray(copies), np.stack([np.frombuffer(v, "<f8") for v in vectors])
+    def codes(r, prefix: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        own = [np.frombuffer(x, np.int8) for x in getattr(r, f"{prefix}codes")]
+        return np.stack(own), np.asarray(getattr(r, f"{prefix}scales")), np.asarray(getattr(r, f"{prefix}errors"))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             for r in batch.itertuples(index=False):
-                ids, copies, x = block(r.ids, r.copies, r.vectors)
-                other, other_copies, y = block(r.other_ids, r.other_copies, r.other_vectors)
-                same = r.tile == r.other
-                ux, uy = unit(x), unit(y)
-                i, j = possible(ux, uy, threshold)
-                if same:
-                    i, j = i[i < j], j[i < j]
-                exact = np.concatenate([(ux[i[k : k + 65536]] * uy[j[k : k + 65536]]).sum(1) for k in range(0, len(i), 65536)] or [np.zeros(0)])
+                found = possible(codes(r, ""), codes(r, "other_"), threshold)
+                if r.tile == r.other:
+                    found = np.triu(found, 1)
+                if found.any():
+                    yield pd.DataFrame({"tile": [r.tile], "other": [r.other], "bits": [np.packbits(found).tobytes()]})
+
+    return pairs.mapInPandas(run, "tile long, other long, bits binary")
+
+
+def compared(pairs: DataFrame, threshold: float) -> DataFrame:
+    """Pairs of tiles with their vectors -> rows (u, v, n): v null: node u has n more links; else a link (u, v) of
+    the forest."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for r in batch.itertuples(index=False):
+                ids, other = np.asarray(r.nodes), np.asarray(r.other_nodes)
+                x, y = (unit(np.stack([np.frombuffer(v, "<f8") for v in own])) for own in (r.vectors, r.other_vectors))
+                bits = np.unpackbits(np.frombuffer(r.bits, np.uint8), count=len(ids) * len(other)).reshape(len(ids), -1)
+                i, j = np.nonzero(bits)
+                exact = np.concatenate([(x[i[k : k + 65536]] * y[j[k : k + 65536]]).sum(1) for k in range(0, len(i), 65536)] or [np.zeros(0)])
                 i, j = i[exact >= threshold], j[exact >= threshold]
                 if not len(i):
                     continue
-                n, m = np.bincount(i, other_copies[j], len(ids)), np.bincount(j, copies[i], len(other))
-                a, b = np.flatnonzero(n), np.flatnonzero(m)
                 links = forest(ids[i], other[j])
+                n, m = np.bincount(i, np.asarray(r.other_copies)[j], len(ids)), np.bincount(j, np.asarray(r.copies)[i], len(other))
+                a, b = np.flatnonzero(n), np.flatnonzero(m)
                 yield pd.DataFrame({
                     "u": [*ids[a].tolist(), *other[b].tolist(), *(x for x, _ in links)],
                     "v": pd.array([None] * (len(a) + len(b)) + [y for _, y in links], dtype="Int64"),
@@ -155,7 +179,11 @@ def near_duplicates(vectors: DataFrame, threshold: float = THRESHOLD) -> DataFra
     good = usable(vectors)
     good = good.select("label", F.size("embedding").alias("size"), "vec_id", F.transform("embedding", lambda x: x + F.lit(0.0)).alias("embedding"))
     good = good.withColumn("key", F.sha2(F.to_json("embedding"), 256))
-    distinct = good.groupBy("label", "size", "key").agg(F.min("vec_id").alias("vec_id"), F.count(F.lit(1)).alias("copies"), F.first("embedding").alias("embedding"))
+    keys = ["label", "size", "key"]
+    member = written(good.select("vec_id", *keys).distinct(), "tiles-members")
+    # a distinct vector is a node, named by its least id; copies: the ids that have it
+    nodes = written(member.groupBy(*keys).agg(F.min("vec_id").alias("node"), F.count(F.lit(1)).alias("copies")), "tiles-nodes")
+    distinct = good.groupBy(*keys).agg(F.first("embedding").alias("embedding")).join(nodes, keys)
     blocks = written(tiles(distinct), "tiles")
     near = centres(blocks)
     a, b = near.alias("a"), near.alias("b")
@@ -163,18 +191,22 @@ def near_duplicates(vectors: DataFrame, threshold: float = THRESHOLD) -> DataFra
     reach = F.col("a.radius") + F.col("b.radius") + float(np.arccos(threshold)) + 1e-6
     pairs = a.join(b, (F.col("a.label") == F.col("b.label")) & (F.col("a.size") == F.col("b.size")) & (F.col("a.tile") <= F.col("b.tile")))
     pairs = pairs.where((F.col("a.tile") == F.col("b.tile")) | (angle <= reach)).select(F.col("a.tile").alias("tile"), F.col("b.tile").alias("other"))
-    left = blocks.select("tile", "ids", "copies", "vectors")
-    right = blocks.select(F.col("tile").alias("other"), F.col("ids").alias("other_ids"), F.col("copies").alias("other_copies"), F.col("vectors").alias("other_vectors"))
-    found = written(compared(pairs.join(left, "tile").join(right, "other"), threshold), "tiles-links")
-    counts = found.where("v is null").groupBy("u").agg(F.sum("n").alias("n"))
+
+    def sides(pairs: DataFrame, columns: tuple[str, ...]) -> DataFrame:
+        left = blocks.select("tile", *columns)
+        right = blocks.select(F.col("tile").alias("other"), *(F.col(c).alias(f"other_{c}") for c in columns))
+        return pairs.join(left, "tile").join(right, "other")
+
+    maybe = written(candidates(sides(pairs, ("codes", "scales", "errors")), threshold), "tiles-candidates")
+    found = written(compared(sides(maybe, ("nodes", "copies", "vectors")), threshold), "tiles-links")
+    counts = found.where("v is null").groupBy(F.col("u").alias("node")).agg(F.sum("n").alias("n"))
     joined = components(found.where("v is not null").select("u", "v"))
-    first = good.groupBy("label", "size", "key").agg(F.min("vec_id").alias("rep"), (F.count(F.lit(1)) - 1).alias("twins"))
-    member = good.select("vec_id", "label", "size", "key").distinct().join(first, ["label", "size", "key"]).select("vec_id", "rep", "twins")
-    member = member.join(counts, F.col("rep") == F.col("u"), "left").join(joined, F.col("rep") == F.col("node"), "left")
-    member = member.select("vec_id", (F.col("twins") + F.coalesce("n", F.lit(0))).alias("n_links"), F.coalesce("component", "rep").alias("component_id"))
-    every = vectors.select("vec_id").join(member, "vec_id", "left")
-    whole = F.coalesce("component_id", "vec_id")
-    return every.select("vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), whole.alias("component_id"), F.coalesce(whole == F.col("vec_id"), F.lit(True)).alias("kept"))
+    named = nodes.join(counts, "node", "left").join(joined, "node", "left")
+    named = named.select(*keys, (F.col("copies") - 1 + F.coalesce("n", F.lit(0))).alias("n_links"), F.coalesce("component", "node").alias("component_id"))
+    found_ids = spread_join(member, named.where("n_links > 0"), keys).groupBy("vec_id").agg(F.max("n_links").alias("n_links"), F.min("component_id").alias("component_id"))
+    every = vectors.select("vec_id").join(found_ids, "vec_id", "left")
+    own = F.coalesce("component_id", "vec_id")
+    return every.select("vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), own.alias("component_id"), F.coalesce(own == F.col("vec_id"), F.lit(True)).alias("kept"))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

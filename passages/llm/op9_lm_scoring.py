@@ -47,7 +47,7 @@ CELLS = LEVELS[0] * LEVELS[1] * LEVELS[2]
 KINDS = 3
 #: Rows of the table of classes for each kind of feature, as a power of 2: one for every TOKENS_A_ROW training tokens,
 #: within bounds. Those of subclasses and cells have two and four times as many. All together have at most 32 MB.
-LEAST_BITS, MOST_BITS, TOKENS_A_ROW = 11, 15, 8192
+LEAST_BITS, MOST_BITS, TOKENS_A_ROW = 13, 15, 8192
 #: Pseudo-count that pulls a feature's weights to no effect, and bounds of weights and scales: they keep all
 #: exponentials within single precision.
 PRIOR, MOST_WEIGHT, MOST_SCALE = 8.0, 10.0, 2.0

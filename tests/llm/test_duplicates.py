@@ -43,10 +43,10 @@ def test_components(spark):
 
 def test_quantisation_bound_never_loses_a_pair():
     draw = np.random.default_rng(5)
-    for size in (1, 3, 64):
+    for size in (1, 3, 64, 1500):
         x = vectors.unit(draw.normal(size=(80, size)) * 10.0 ** draw.integers(-8, 8, (80, 1)))
         y = vectors.unit(x + draw.normal(size=x.shape) * draw.choice([0, 0.02, 0.3], (80, 1)))
-        i, j = vectors.possible(x, y, 0.98)
+        i, j = np.nonzero(vectors.possible(vectors.quantised(x), vectors.quantised(y), 0.98))
         assert {(a, b) for a, b in zip(*np.nonzero(x @ y.T >= 0.98))} <= set(zip(i, j))
 
 
@@ -60,6 +60,26 @@ def test_vector_edges(spark):
     assert vectors.near_duplicates(df.limit(0)).count() == 0
 
 
+def test_repeated_vectors(spark):
+    near, other = [0.1] * 8, [0.1] * 7 + [0.11]
+    given = [(1, near, 0), (1, near, 0), (2, other, 0), (3, near, 0), (3, near, 0), (7, [1.0] + [0.0] * 7, 0), (7, [1.0] + [0.0] * 7, 0), (8, near, 1), (8, [0.0, 1.0] + [0.0] * 6, 0), (9, [0.0, 1.0] + [0.0] * 6, 0), (10, near, 1)]
+    found = vectors.near_duplicates(spark.createDataFrame(given, "vec_id long, embedding array<float>, label int")).collect()
+    assert len(found) == len(given)
+    own = {(r.vec_id, r.n_links, r.component_id, r.kept) for r in found}
+    assert {r for r in own if r[0] < 8} == {(1, 2, 1, True), (2, 2, 1, False), (3, 2, 1, False), (7, 0, 7, True)}
+    assert {(r[0], r[2]) for r in own if r[0] >= 8} == {(8, 8), (9, 8), (10, 8)}  # one id with two vectors joins them
+
+
+def test_hot_cells_are_dealt_by_salt(spark):
+    """The rows of a cell reach the tasks that collect tiles by (label, size, cell, salt)."""
+    given = spark.createDataFrame([(i, [1.0, i / 1e4], 0, 1, 2) for i in range(1, 3000)], "node long, embedding array<double>, label long, copies long, size int")
+    found = vectors.tiles(given)
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "hashpartitioning(label" in plan and "salt" in plan.split("hashpartitioning(label")[1].split(")")[0]
+    sizes = [len(r.nodes) for r in found.collect()]
+    assert sum(sizes) == 2999 and max(sizes) < 2 * vectors.TILE
+
+
 def copies(seed: int):
     draw = random.Random(seed)
     words = [f"w{i}" for i in range(3000)]
