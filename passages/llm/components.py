@@ -1,7 +1,8 @@
 """Connected components of a table of links, by alternating large-star and small-star steps.
 
 Each step is two aggregations and a join; links stay in tables (written between rounds), their number never
-grows, and a hub's links are aggregated before the shuffle. Rounds grow with the logarithm of the size."""
+grows, a hub's links are aggregated before the shuffle, and where they meet its least neighbour they are dealt over
+several tasks. Rounds grow with the logarithm of the size."""
 
 from __future__ import annotations
 
@@ -9,7 +10,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from passages.llm.common import written
+from passages.llm.common import removed, spread_join, written
 
 
 def oriented(links: DataFrame) -> DataFrame:
@@ -20,12 +21,12 @@ def oriented(links: DataFrame) -> DataFrame:
 def large_star(links: DataFrame) -> DataFrame:
     both = links.select("u", "v").union(links.select(F.col("v").alias("u"), F.col("u").alias("v")))
     least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-    return both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
+    return spread_join(both.where("v > u"), least, ["u"]).select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
 
 
 def small_star(links: DataFrame) -> DataFrame:
     least = links.groupBy("u").agg(F.min("v").alias("m"))
-    joined = links.join(least, "u")
+    joined = spread_join(links, least, ["u"])
     return joined.select(F.col("v").alias("u"), F.col("m").alias("v")).union(joined.select("u", F.col("m").alias("v"))).where("u <> v").distinct()
 
 
@@ -38,7 +39,8 @@ def components(links: DataFrame) -> DataFrame:
         if sums == before or not sums["n"]:
             break
         before = sums
-        now = written(small_star(large_star(now)), "links")
+        last, now = now, written(small_star(large_star(now)), "links")
+        removed(last)
     # stable: every node points at its component's least node
     return now.select(F.col("u").alias("node"), F.col("v").alias("component")).union(now.select(F.col("v").alias("node"), F.col("v").alias("component"))).distinct()
 

@@ -18,7 +18,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from passages.llm.common import table
+from passages.llm.common import spread_join, table, written
 
 NAME = "op1_url_filter"
 
@@ -30,7 +30,8 @@ RULES = (
     ("example.net/de/8", "block"),
     ("org/es/", "block"),
 )
-#: Suffixes under which anyone can hold a name, besides each last label.
+#: Suffixes under which anyone can hold a name, of any number of labels, besides each last label; other tables of
+#: suffixes (such as one with co.uk) are a parameter.
 SUFFIXES = ("example.com", "example.net", "example.org")
 MAX_BAD, Z, PRIOR_MEAN = 0.5, 1.645, 0.5
 #: Bounds of a prior's pseudo-count.
@@ -53,19 +54,31 @@ def url_path(url: Column) -> Column:
     return F.coalesce(F.regexp_extract(after_scheme(url), "^[^/?#]*([^?#]*)", 1), F.lit(""))
 
 
+def last_labels(host: Column, n: Column | int) -> Column:
+    """The last n labels of a host, or all of them."""
+    labels = F.split(host, "\\.")
+    n = F.lit(n) if isinstance(n, int) else n
+    return F.array_join(F.slice(labels, F.greatest(F.size(labels) - n + 1, F.lit(1)), n), ".")
+
+
+def suffix_labels(host: Column, suffixes=SUFFIXES) -> Column:
+    """Labels of the longest suffix of a host that is listed; 1 if none is."""
+    by_size: dict[int, list[str]] = {}
+    for own in suffixes:
+        by_size.setdefault(own.count(".") + 1, []).append(own)
+    found = F.lit(1)
+    for n, own in sorted(by_size.items()):
+        found = F.when(last_labels(host, n).isin(*own), n).otherwise(found)
+    return found
+
+
 def registered_domain(host: Column, suffixes=SUFFIXES) -> Column:
     """The suffix and one label more; the host itself when it is no longer than that."""
-    labels = F.split(host, "\\.")
-    two = F.array_join(F.slice(labels, F.greatest(F.size(labels) - 1, F.lit(1)), 2), ".")
-    known = two.isin(*suffixes)
-    take = F.when(known, 3).otherwise(2)
-    return F.array_join(F.slice(labels, F.greatest(F.size(labels) - take + 1, F.lit(1)), take), ".")
+    return last_labels(host, suffix_labels(host, suffixes) + 1)
 
 
 def suffix(host: Column, suffixes=SUFFIXES) -> Column:
-    labels = F.split(host, "\\.")
-    two = F.array_join(F.slice(labels, F.greatest(F.size(labels) - 1, F.lit(1)), 2), ".")
-    return F.when(two.isin(*suffixes), two).otherwise(F.element_at(labels, -1))
+    return last_labels(host, suffix_labels(host, suffixes))
 
 
 def longest_rule(host: Column, path: Column, rules=RULES) -> Column:
@@ -114,15 +127,16 @@ def reputation(outcomes: DataFrame, suffixes=SUFFIXES, z: float = Z, others: Dat
         .withColumn("domain", registered_domain(F.col("host"), suffixes))
         .withColumn("suffix", suffix(F.col("host"), suffixes))
     )
-    domains = hosts.groupBy("domain", "suffix").agg(F.sum("n").alias("n"), F.sum("k").alias("k"))
+    hosts = written(hosts, "url-hosts")  # read at every level
+    domains = written(hosts.groupBy("domain", "suffix").agg(F.sum("n").alias("n"), F.sum("k").alias("k")), "url-domains")
     tops = domains.groupBy("suffix").agg(F.sum("n").alias("n"), F.sum("k").alias("k"))
     whole = tops.agg(F.coalesce(F.expr("sum(k) / nullif(sum(n), 0)"), F.lit(PRIOR_MEAN)).alias("mean0"))
     one = lambda df: F.broadcast(df)  # noqa: E731  a global aggregate: one row
     tops = tops.crossJoin(one(whole)).crossJoin(one(strength(tops.where(labelled))))
     tops = tops.select("suffix", ((F.col("s") * F.col("mean0") + F.col("k")) / (F.col("s") + F.col("n"))).alias("mean1"))
-    low = domains.join(tops, "suffix").crossJoin(one(strength(domains.where(labelled))))
+    low = spread_join(domains, tops, ["suffix"]).crossJoin(one(strength(domains.where(labelled))))
     low = low.select("domain", ((F.col("s") * F.col("mean1") + F.col("k")) / (F.col("s") + F.col("n"))).alias("mean2"))
-    last = hosts.join(low, "domain").crossJoin(one(strength(hosts.where(labelled))))
+    last = spread_join(hosts, low, ["domain"]).crossJoin(one(strength(hosts.where(labelled))))
     a, b = F.col("s") * F.col("mean2") + F.col("k"), F.col("s") * (1 - F.col("mean2")) + F.col("n") - F.col("k")
     last = last.select("host", "n", (a / (a + b)).alias("bad_mean"), (a + b).alias("weight"))
     sd = F.sqrt(F.col("bad_mean") * (1 - F.col("bad_mean")) / (F.col("weight") + 1))
@@ -139,7 +153,8 @@ def judge(pages: DataFrame, outcomes: DataFrame, rules=RULES, suffixes=SUFFIXES,
         .join(parsed.select("page_id", "host"), "page_id")
         .select("host", "bad")
     )
-    ranked = parsed.join(reputation(known, suffixes, others=parsed), "host", "left")
+    # a hot host's pages are dealt over several tasks where its reputation isn't broadcast
+    ranked = spread_join(parsed, written(reputation(known, suffixes, others=parsed), "url-reputation"), ["host"], "left")
     rule = longest_rule(F.col("host"), F.col("path"), rules)
     own = F.when(F.col("bad_low") > max_bad, "block").otherwise("allow")
     return ranked.withColumn("_r", rule).select(

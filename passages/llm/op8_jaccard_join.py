@@ -11,7 +11,9 @@ Parts number about a sixteenth of the set's size, so combinations grow with the
 sets that straddle a change of that number are indexed for both.
 
 A token is frequent if its cell in a hashed counter over all documents holds more than LOAD. The counter has
-a cell for every 16 tokens, at most 2 ** MOST_BITS; only its bits (frequent or not) are broadcast.
+a cell for every 16 tokens, at most 2 ** MOST_BITS; only its bits (frequent or not) are broadcast. Beyond 4e9
+tokens cells are shared by more, so the limit rises with their mean, as mean + SPREAD standard deviations: a token
+then counts as rare up to SPREAD * sqrt(mean) documents (1500 at 1.7e13 tokens), and both classes stay.
 
 Documents that share combinations form families, whose pairs are compared tile by tile as products of sparse
 matrices; only a forest of links leaves a task. Entries of rare tokens are small: their members are paired
@@ -32,7 +34,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from passages.llm.common import table, written
+from passages.llm.common import removed, spread_join, table, written
 from passages.llm.components import components, forest
 from passages.llm.pretok import chunks
 from passages.llm.shingles import mixed, shingle_sets
@@ -42,7 +44,7 @@ NAME = "op8_jaccard_join"
 #: The threshold, 0.8, as a fraction.
 OVER, UNDER = 4, 5
 #: Tokens in a cell of the counter from which they count as frequent; tokens to a cell; bits of the counter.
-LOAD, PER_CELL, LEAST_BITS, MOST_BITS = 64, 16, 16, 28
+LOAD, SPREAD, PER_CELL, LEAST_BITS, MOST_BITS = 64, 6, 16, 16, 28
 SLICE_BITS = 12
 #: Mean characters of a word, to size the counter before the words are counted.
 WORD_CHARS = 6
@@ -90,19 +92,29 @@ def profiles(docs: DataFrame, bits: int) -> DataFrame:
     return docs.select("doc_id", "text").mapInPandas(run, "kind int, doc_id long, n int, k1 long, k2 long, slice long, cells binary")
 
 
-def frequent_bits(found: DataFrame, bits: int, load: int) -> np.ndarray:
-    """One bit a cell, packed: whether more than load tokens fell into it."""
+def limit_of(mean: float, load: int) -> float:
+    """Tokens in a cell beyond which its tokens count as frequent, by the mean over all cells."""
+    return max(load, mean + SPREAD * mean**0.5) if mean > PER_CELL else load
+
 
-    def count(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-        total = np.zeros(1 << SLICE_BITS, dtype=np.int64)
-        for x in rows["cells"]:
-            total += np.bincount(np.frombuffer(x, dtype="<u2"), minlength=1 << SLICE_BITS)
-        return pd.DataFrame({"slice": [key[0]], "bits": [np.packbits(total > load).tobytes()]})
+def frequent_bits(found: DataFrame, bits: int, load: int) -> np.ndarray:
+    """One bit a cell, packed: whether more tokens fell into it than the limit. A task adds up the slices that it is
+    dealt as they come."""
+    slices = found.where("kind = 1").select("slice", "cells")
+    total = slices.agg(F.sum(F.length("cells"))).first()[0] or 0
+    limit = limit_of(total / 2 / (1 << bits), load)
+
+    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        sums: dict[int, np.ndarray] = {}
+        for batch in batches:
+            for number, cells in zip(batch["slice"].tolist(), batch["cells"]):
+                own = sums.setdefault(number, np.zeros(1 << SLICE_BITS, dtype=np.int64))
+                own += np.bincount(np.frombuffer(cells, dtype="<u2"), minlength=1 << SLICE_BITS)
+        yield pd.DataFrame({"slice": list(sums), "bits": [np.packbits(own > limit).tobytes() for own in sums.values()]})
 
     packed = np.zeros((1 << bits) // 8, dtype=np.uint8)
     width = (1 << SLICE_BITS) // 8
-    counted = found.where("kind = 1").select("slice", "cells").groupBy("slice").applyInPandas(count, "slice long, bits binary")
-    for row in counted.toLocalIterator():  # at most 2 ** MOST_BITS bits
+    for row in slices.repartition("slice").mapInPandas(count, "slice long, bits binary").toLocalIterator():  # at most 2 ** MOST_BITS bits
         packed[row["slice"] * width : (row["slice"] + 1) * width] = np.frombuffer(row["bits"], dtype=np.uint8)
     return packed
 
@@ -300,13 +312,16 @@ def family_links(combined: DataFrame, docs: DataFrame) -> DataFrame:
     sets = token_sets(chosen(docs, needed, needed.count(), "left_semi").dropDuplicates(["doc_id"]))
     sets = written(sets.join(families, "id"), "jaccard-family-sets")
     sizes = sets.groupBy("family").agg((F.floor(F.sum(F.length("tokens")) / (8 * TILE_TOKENS)) + 1).alias("parts"))
-    dealt = sets.join(sizes, "family").withColumn("salt", F.pmod(F.xxhash64("id"), F.col("parts")))
-    tiles = dealt.groupBy("family", "salt").agg(F.collect_list(F.struct("id", "tokens")).alias("rows"))
+    dealt = spread_join(sets, sizes, ["family"]).withColumn("salt", F.pmod(F.xxhash64("id"), F.col("parts")))
+    # dealt anew, so that the tiles of a large family don't meet in one task
+    tiles = dealt.repartition("family", "salt").groupBy("family", "salt").agg(F.collect_list(F.struct("id", "tokens")).alias("rows"))
     tiles = written(tiles.select("family", "salt", F.col("rows.id").alias("ids"), F.col("rows.tokens").alias("tokens")), "jaccard-tiles")
     names = tiles.select("family", "salt")
     pairs = names.join(names.withColumnRenamed("salt", "other"), "family").where("salt <= other")
     right = tiles.select("family", F.col("salt").alias("other"), F.col("ids").alias("other_ids"), F.col("tokens").alias("other_tokens"))
-    return written(compared(pairs.join(tiles, ["family", "salt"]).join(right, ["family", "other"])), "jaccard-family-links")
+    links = written(compared(pairs.join(tiles, ["family", "salt"]).join(right, ["family", "other"])), "jaccard-family-links")
+    removed(families, sets, tiles)
+    return links
 
 
 def classes(docs: DataFrame, load: int = LOAD) -> DataFrame:
@@ -319,13 +334,19 @@ def classes(docs: DataFrame, load: int = LOAD) -> DataFrame:
     packed = spark.sparkContext.broadcast(frequent_bits(found, bits, load))
 
     rows = found.where("kind = 0").select("doc_id", "n", "k1", "k2")
-    first = rows.where("n > 0 and doc_id is not null").groupBy("k1", "k2", "n").agg(F.min("doc_id").alias("rep"))
-    members = written(rows.join(first, ["k1", "k2", "n"], "left").select("doc_id", "n", "rep"), "jaccard-members")
+    first = rows.where("n > 0 and doc_id is not null").groupBy("k1", "k2", "n").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("_c"))
+    twins = written(first.where("_c > 1").drop("_c"), "jaccard-twins")
+    alone = F.when(F.col("n") > 0, F.col("doc_id"))
+    members = spread_join(rows, twins, ["k1", "k2", "n"], "left").select("doc_id", "n", F.coalesce("rep", alone).alias("rep"))
+    members = written(members, "jaccard-members")
+    removed(found, twins)
 
     copies = members.where("rep is null or rep <> doc_id").select("doc_id").where("doc_id is not null").distinct()
     originals = chosen(docs.where("doc_id is not null"), copies, copies.count(), "left_anti")
     index = indexed(originals, packed, bits)
-    links = family_links(written(index.where("combined").select("sig", "id").distinct(), "jaccard-combinations"), originals)
+    combinations = written(index.where("combined").select("sig", "id").distinct(), "jaccard-combinations")
+    links = family_links(combinations, originals)
+    removed(combinations)
 
     # rare tokens: entries have about `load` members at most
     whole = Window.partitionBy("sig")
@@ -345,6 +366,7 @@ def classes(docs: DataFrame, load: int = LOAD) -> DataFrame:
     rest = rest.where(close("a.n", "b.n")).select(F.col("a.id").alias("u"), F.col("b.id").alias("v")).distinct()
     links = written(links.union(linked(rest, lows, originals)), "jaccard-links")
 
+    removed(entries, needed, lows, left)
     joined = members.join(components(links), F.col("rep") == F.col("node"), "left")
     return joined.select("doc_id", F.col("n").cast("long").alias("n_shingles"), F.coalesce("component", "rep", "doc_id").alias("component_id"))
 
