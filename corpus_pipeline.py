@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from passages.llm import op2_quality_rules, op4_toxicity, op8_jaccard_join, op10_packing
-from passages.llm.common import table, written
+from passages.llm.common import removed, settled, table
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -35,13 +35,15 @@ def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 STAGES = [("quality", quality), ("toxicity", toxicity), ("near_duplicates", near_duplicates), ("packing", packing)]
 
-#: Stages 2 and 4 can't be expressed in SQL; tests hold the pipeline against a brute-force version.
+#: Stages 2 and 4 can't be expressed in SQL; tests hold every stage against a brute-force version.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over documents, each written and read again."""
     docs = table(spark, sf_dir, "documents")
-    for name, stage in STAGES[:-1]:
-        docs = written(stage(spark, docs, sf_dir), f"pipeline-{name}")
+    for i, (name, stage) in enumerate(STAGES[:-1]):
+        before, docs = docs, settled(spark, lambda: stage(spark, docs, sf_dir), f"pipeline-{name}")  # noqa: B023  called at once
+        if i:
+            removed(before)
     return STAGES[-1][1](spark, docs, sf_dir)
