@@ -34,7 +34,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from passages.llm.common import remainder, table
+from passages.llm.common import remainder, removed, table, written
 from passages.llm.pretok import chunks
 from passages.llm.shingles import mixed, powers
 
@@ -243,7 +243,9 @@ def fit(texts: list[str], toxic: list[int]) -> Model:
     model, y = Model(), np.array(toxic, dtype=np.float64)
     if not len(y) or y.min() == y.max():
         return model
-    features, text, *_ = tokens(texts)
+    parts = [(*tokens(texts[a:b])[:2], a) for a, b in chunks(texts)]  # some at a time, as in scoring
+    features, text = np.concatenate([f for f, _, _ in parts], axis=1), np.concatenate([t + a for _, t, a in parts])
+    del parts
     if not len(text):
         return model
     labels = token_labels(features, text, y)
@@ -294,6 +296,7 @@ def learn(docs: DataFrame, labels: DataFrame, text: str = "text") -> Model:
     order = (F.xxhash64("doc_id"), F.col("doc_id"))
     chosen = [labels.where(F.col("_toxic") == y).orderBy(*order).limit(n) for y, n in zip((1, 0), FIT_ROWS)]
     sample = docs.join(F.broadcast(chosen[0].unionByName(chosen[1])), "doc_id").groupBy("doc_id", "_toxic").agg(F.min("_text").alias("_text"))
+    sample = written_ = written(sample, "toxic-sample")
     # at most FIT_ROWS rows: their lengths are added up in one task
     so_far = Window.orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
     lengths = sample.select("doc_id", F.sum(F.coalesce(F.length("_text"), F.lit(0))).over(so_far).alias("_chars"))
@@ -305,6 +308,7 @@ def learn(docs: DataFrame, labels: DataFrame, text: str = "text") -> Model:
         yield pd.DataFrame({"model": [pickle.dumps(model)]})
 
     made = sample.repartition(1).mapInPandas(train, "model binary").collect()  # one row of bounded size
+    removed(written_)
     return pickle.loads(bytes(made[0]["model"])) if made else Model()
 
 
