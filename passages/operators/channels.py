@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from passages.operators import blocks
 from passages.operators.index import ngram_rows, ngrams, word_rows, words
 
 #: Query terms up to which they are broadcast to the postings (about 60 bytes each).
@@ -53,22 +57,31 @@ def dot(a: Column, b: Column) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
 
 
-def knn(queries: DataFrame, chunks: DataFrame, k: int, most: int = 20_000) -> DataFrame:
-    """Exact cosine neighbours: queries (query_id, vector) against all chunks (chunk_id, embedding).
+def in_blocks(queries: DataFrame, most: int) -> Iterator[list]:
+    """Rows of a stated set of queries on the driver, at most about `most` at a time."""
+    parts = max(1, -(-queries.count() // most))
+    if parts == 1:
+        yield queries.collect()
+        return
+    for i in range(parts):
+        yield queries.where(F.pmod(F.xxhash64("query_id"), F.lit(parts)) == i).collect()
+
 
-    The query table is a stated set and stands on the broadcast side while it has at most `most` rows; a larger
-    one is compared in blocks of that size, one after another."""
+def united(found: list[DataFrame]) -> DataFrame:
+    first, *rest = found
+    for df in rest:
+        first = first.unionByName(df)
+    return first
+
+
+def knn(queries: DataFrame, chunks: DataFrame, k: int, most: int = 20_000) -> DataFrame:
+    """Exact cosine neighbours: queries (query_id, vector) against all chunks (chunk_id, embedding), as matrix products
+    of blocks of the stated query set with the rows of each task, which keeps its own best."""
     left = queries.select("query_id", normalised(F.col("vector")).alias("q")).where("q is not null")
     right = chunks.select("chunk_id", normalised(F.col("embedding")).alias("e")).where("e is not null")
-    total = left.count()
-    blocks = -(-total // most) if total else 1
-    found = None
-    for i in range(blocks):
-        own = left if blocks == 1 else left.where(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == i)
-        pairs = right.join(F.broadcast(own), F.lit(True))
-        scored = pairs.select("query_id", "chunk_id", F.greatest(F.lit(0.0), dot(F.col("q"), F.col("e"))).alias("score"))
-        found = scored if found is None else found.unionByName(scored)
-    return top_k(found, k, "vector")
+    kind = dict(left.dtypes)["query_id"]
+    found = [blocks.cosine([(r["query_id"], np.array(r["q"])) for r in rows], kind, right, k) for rows in in_blocks(left, most)]
+    return top_k(united(found), k, "vector")
 
 
 def fts(queries: DataFrame, chunks: DataFrame, k: int) -> DataFrame:
@@ -85,38 +98,36 @@ def fts(queries: DataFrame, chunks: DataFrame, k: int) -> DataFrame:
     return top_k(hits.select("query_id", "chunk_id", F.least(F.lit(1.0), F.col("_s")).alias("score")), k, "fts")
 
 
-def bm25(queries: DataFrame, chunks: DataFrame, k: int, low: int = 2, high: int = 3, k1: float = 1.2, b: float = 0.75) -> DataFrame:
-    """BM25 over character n-grams: the n-grams of chunks are cut down to those of the queries before any shuffle."""
-    terms = ngram_rows(queries.select("query_id", "query"), "query", low, high).distinct()
-    wanted = small(terms.select("term").distinct(), BROADCAST_TERMS)
-    sized = F.length("content")
-    length = sum((F.greatest(sized - (n - 1), F.lit(0)) for n in range(low, high + 1)), F.lit(0))
-    lengths = chunks.select("chunk_id", length.alias("dl"), "content")
-    stats = lengths.agg(F.count(F.lit(1)).alias("n"), F.avg("dl").alias("avgdl"))
-    found = ngram_rows(lengths, "content", low, high).join(wanted, "term", "left_semi")
-    found = found.groupBy("chunk_id", "dl", "term").agg(F.count(F.lit(1)).alias("tf"))
-    dfs = found.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
-    weighted = found.join(dfs, "term").join(F.broadcast(stats), F.lit(True))  # stats: one row
-    idf = F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    part = idf * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("dl") / F.col("avgdl")))
-    weighted = weighted.select("chunk_id", "term", part.alias("part"))
-    hits = weighted.join(small(terms, BROADCAST_TERMS), "term").groupBy("query_id", "chunk_id").agg(F.sum("part").alias("score"))
-    return top_k(hits, k, "bm25")
-
-
-#: Phrases without content, removed from queries longest first, and characters that cut a query.
-STOP_PHRASES = ("请问一下", "告诉我", "有没有", "是不是", "为什么", "怎么样", "请问", "什么", "怎么", "哪些", "哪里", "如何", "是否", "介绍", "一下", "关于")
-FUNCTION_CHARACTERS = "的了吗呢吧啊和与及在是"
-
-
-def tokenize_query(query: Column, most: int = 8, phrases: tuple[str, ...] = STOP_PHRASES) -> Column:
-    """Up to `most` distinct lower-cased tokens of two characters or more: CJK runs of 2 to 6 and words."""
+def bm25(queries: DataFrame, chunks: DataFrame, k: int, low: int = 2, high: int = 3, k1: float = 1.2, b: float = 0.75, most: int = 20_000) -> DataFrame:
+    """BM25 over character n-grams. Short n-grams are in nearly every chunk and query, so no pair of them is joined:
+    blocks of the stated query set are multiplied with the term weights of each task's chunks."""
+    asked = queries.select("query_id", F.lower("query").alias("low")).where("low is not null")
+    kind = dict(asked.dtypes)["query_id"]
+    found = [blocks.bm25([(r["query_id"], r["low"]) for r in rows], kind, chunks, k, tuple(range(low, high + 1)), k1, b) for rows in in_blocks(asked, most)]
+    return top_k(united(found), k, "bm25")
+
+
+# Words without content, and characters that part the anchors of a query.
+STOPWORDS = (
+    "什么", "为什么", "怎么", "如何", "哪些", "这个", "那个", "人物", "小说", "文中",
+    "进行", "以及", "其中", "一个", "后来", "相关", "主要", "分析", "说明", "请问",
+)
+PARTING = "和与及跟的在对把将由从向于、，。！？；："
+CJK = "\\x{3400}-\\x{9fff}"
+
+
+def tokenize_query(query: Column, most: int = 8, stopwords: tuple[str, ...] = STOPWORDS) -> Column:
+    """Up to `most` distinct lower-cased tokens of two characters or more: first the anchors (CJK runs of 2 to 6 and
+    words of the query without stopwords and parting characters), then the runs and words of the whole query."""
     text = query
-    for phrase in sorted(phrases, key=lambda p: (-len(p), p)):
-        text = F.replace(text, F.lit(phrase), F.lit(" "))
-    text = F.regexp_replace(text, f"[{FUNCTION_CHARACTERS}]", " ")
-    found = F.regexp_extract_all(text, F.lit("([\\x{4e00}-\\x{9fff}]{2,6}|[A-Za-z0-9_]{2,})"), 1)
-    return F.slice(F.array_distinct(F.transform(found, F.lower)), 1, most)
+    for word in sorted(stopwords, key=lambda w: (-len(w), w)):
+        text = F.replace(text, F.lit(word), F.lit(" "))
+    text = F.regexp_replace(text, f"[{PARTING}\\s\\p{{Z}}]+", " ")
+    anchors = F.regexp_extract_all(text, F.lit(f"([{CJK}]{{2,6}}|[A-Za-z0-9_]{{2,}})"), 1)
+    runs = F.regexp_extract_all(query, F.lit(f"([{CJK}]{{2,}}|[A-Za-z0-9_]{{2,}})"), 1)
+    found = F.transform(F.concat(anchors, runs), F.lower)
+    told = F.filter(found, lambda t: ~t.isin(*stopwords) & t.rlike(f"[{CJK}a-z0-9]"))
+    return F.slice(F.array_distinct(told), 1, most)
 
 
 def lexical(queries: DataFrame, chunks: DataFrame, k: int, most: int = 8) -> DataFrame:

@@ -17,16 +17,19 @@ def annotate(results: DataFrame) -> DataFrame:
     return results.withColumn("rank", F.row_number().over(order)).withColumn("neighbor", F.lit(False)).withColumn("score_type", kind)
 
 
-def neighbors(primary: DataFrame, chunks: DataFrame, width: int) -> DataFrame:
+def neighbors(primary: DataFrame, chunks: DataFrame, width: int, system: str = "system") -> DataFrame:
     """Chunks of the same file and chapter (null equals null) within `width` of a primary one, without the primaries.
 
     primary (query_id, user_id, file_id, chapter_no, chunk_no); a range of numbers becomes an equi-join. Adds
-    distance, the least to a primary of the query; several tenants see their own and the shared rows."""
+    distance, the least to a primary of the query. Only rows of the primary's tenant and shared ones are seen."""
     offsets = F.explode(F.array(*(F.lit(d) for d in range(-width, width + 1) if d)))
-    wanted = primary.select("query_id", "file_id", F.col("chapter_no").alias("_ch"), "chunk_no", offsets.alias("_d"))
-    wanted = wanted.select("query_id", "file_id", "_ch", (F.col("chunk_no") + F.col("_d")).alias("chunk_no"), F.abs("_d").alias("_d"))
-    wanted = wanted.groupBy("query_id", "file_id", "_ch", "chunk_no").agg(F.min("_d").alias("distance"))
-    found = wanted.join(chunks, ["file_id", "chunk_no"]).where(F.col("_ch").eqNullSafe(F.col("chapter_no"))).drop("_ch")
+    wanted = primary.select("query_id", F.col("user_id").alias("_u"), "file_id", F.col("chapter_no").alias("_ch"), "chunk_no", offsets.alias("_d"))
+    wanted = wanted.select("query_id", "_u", "file_id", "_ch", (F.col("chunk_no") + F.col("_d")).alias("chunk_no"), F.abs("_d").alias("_d"))
+    wanted = wanted.groupBy("query_id", "_u", "file_id", "_ch", "chunk_no").agg(F.min("_d").alias("_d"))
+    found = wanted.join(chunks, ["file_id", "chunk_no"]).where(F.col("_ch").eqNullSafe(F.col("chapter_no")))
+    seen = (F.col("user_id") == F.col("_u")) | (F.col("user_id") == system)
+    keys = ["query_id", *(c for c in chunks.columns)]
+    found = found.where(F.coalesce(seen, F.lit(False))).groupBy(*keys).agg(F.min("_d").alias("distance"))
     return found.join(primary.select("query_id", "file_id", "chunk_no"), ["query_id", "file_id", "chunk_no"], "left_anti")
 
 
@@ -100,8 +103,8 @@ class Config:
 
     k: int = 5
     pool: int = 20
-    low: int = 5
-    high: int = 6
+    low: int = 2
+    high: int = 3
     width: int = 1
     rrf_c: int = 60
 
@@ -115,8 +118,7 @@ def retrieve(queries: DataFrame, chunks: DataFrame, config: Config = Config()) -
         "fts": channels.fts(queries, chunks, config.pool),
     }
     columns = ("query_id", "chunk_id", "score", "rank", "channel")
-    # pool rows for each query and lane: kept, since fusion, neighbours and trace all start from them
-    candidates = lanes["bm25"].select(*columns).unionByName(lanes["fts"].select(*columns)).persist()
+    candidates = lanes["bm25"].select(*columns).unionByName(lanes["fts"].select(*columns))
     fused = fusion.rrf(candidates, config.rrf_c, config.pool)
     best = annotate(fused.where(F.col("rank") <= config.k).withColumn("score_type", F.lit("hybrid")))
     place = chunks.select("chunk_id", "file_id", "user_id", "source", "chapter_no", "chunk_no")

@@ -109,22 +109,21 @@ def rerank_rank(rows: DataFrame, k: int | None = None) -> DataFrame:
 
 
 def protect(rows: DataFrame, k: int, top_n: int = 3, slots: int = 2) -> DataFrame:
-    """The k best of each query (by rank); each of the top_n by rrf that is missing takes the last place, until
-    slots of them are in. A query has a bounded pool, so its fold runs as one group."""
-
-    def fold(key: tuple, pool: pd.DataFrame) -> pd.DataFrame:
-        pool = pool.sort_values("rank")
-        chosen = pool["chunk_id"].tolist()[:k]
-        guarded = pool.sort_values(["rrf", "rank"], ascending=[False, True])["chunk_id"].tolist()[:top_n]
-        for chunk in guarded:
-            if sum(g in chosen for g in guarded) >= min(slots, len(guarded)):
-                break
-            if chunk not in chosen and chosen:
-                chosen[-1] = chunk
-        return pd.DataFrame({"query_id": key[0], "chunk_id": chosen, "rank": range(1, len(chosen) + 1)})
-
-    kind = dict(rows.dtypes)["query_id"]
-    return rows.select("query_id", "chunk_id", "rank", "rrf").groupBy("query_id").applyInPandas(fold, f"query_id {kind}, chunk_id string, rank int")
+    """The k best of each query (by rank); each of the top_n by rrf that is missing takes the last place, and the
+    fold ends when, after an insertion, slots of them are in. A query's pool is bounded, and so are its arrays."""
+    listed = lambda *order: F.array_sort(F.collect_list(F.struct(*order, "chunk_id")))
+    pools = rows.groupBy("query_id").agg(listed("rank").alias("_r"), listed((-F.col("rrf")).alias("_s"), "rank").alias("_g"))
+    pools = pools.select("query_id", F.slice("_r.chunk_id", 1, k).alias("_c"), F.slice("_g.chunk_id", 1, top_n).alias("_g"))
+    state = lambda chosen, done: F.struct(chosen.alias("chosen"), done.alias("done"))
+
+    def insert(s: Column, chunk: Column) -> Column:
+        full = F.size(s["chosen"]) >= k
+        made = F.concat(F.when(full, F.slice(s["chosen"], 1, k - 1)).otherwise(s["chosen"]), F.array(chunk))
+        enough = F.size(F.array_intersect(F.col("_g"), made)) >= slots
+        return F.when(s["done"] | F.array_contains(s["chosen"], chunk), s).otherwise(state(made, enough))
+
+    chosen = F.aggregate("_g", state(F.col("_c"), F.lit(False)), insert)["chosen"]
+    return pools.select("query_id", F.posexplode(chosen).alias("_i", "chunk_id")).select("query_id", "chunk_id", (F.col("_i") + 1).alias("rank"))
 
 
 def audit_scores(pairs: DataFrame, scores: DataFrame) -> DataFrame:

@@ -43,10 +43,10 @@ def inline_headings(docs: DataFrame, key: str, pattern: str, spacing: int = 200,
     documents with two or more: key, start. The spacing is a fold over a document's markers."""
     parts = F.split(F.col(text), f"(?<=[\\n。！？])(?={pattern})", -1)
     sizes = F.transform(parts, F.length)
-    starts = F.aggregate(sizes, F.array().cast("array<int>"), lambda s, n: F.array_append(s, F.coalesce(F.element_at(s, -1), F.lit(0)) + n))
+    starts = F.aggregate(sizes, F.array().cast("array<int>"), lambda s, n: F.array_append(s, F.coalesce(F.try_element_at(s, F.lit(-1)), F.lit(0)) + n))
     first = F.when(F.col(text).rlike(f"^(?:{pattern})"), F.array(F.lit(0))).otherwise(F.array().cast("array<int>"))
     places = F.concat(first, F.slice(starts, 1, F.greatest(F.size(starts) - 1, F.lit(0))))
-    far = lambda s, p: (F.size(s) == 0) | (p - F.element_at(s, -1) >= spacing)
+    far = lambda s, p: (F.size(s) == 0) | (p - F.try_element_at(s, F.lit(-1)) >= spacing)
     kept = F.aggregate(places, F.array().cast("array<int>"), lambda s, p: F.when(far(s, p), F.array_append(s, p)).otherwise(s))
     return docs.select(key, kept.alias("_k")).where(F.size("_k") >= 2).select(key, F.explode("_k").alias("start"))
 

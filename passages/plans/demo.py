@@ -27,21 +27,25 @@ def chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The first 80 characters of each benchmark passage."""
-    return table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), F.substring("text", 1, 80).alias("query"))
+    """Every benchmark passage, whole."""
+    return table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("query"))
 
 
 def gold(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Chunks that hold the first 80 characters of a passage (grade 2), and the chunks after them (grade 1).
+    """Chunks that hold a passage (grade 2), and the chunks after them in their file (grade 1).
 
-    Passages are found by their first word-aligned 8-character key: an equi-join, then the comparison."""
+    Passages are found by their first 16 characters: an equi-join, then the comparison."""
     own = queries(spark, sf_dir).where("length(query) >= 16").withColumn("key", F.substring("query", 1, 16))
     keys = own.select("key").distinct()
     found = chunks(spark, sf_dir)
     n = F.length("content")
-    spans = found.where(n >= 16).select("chunk_id", "file_id", "chapter_no", "chunk_no", "content", F.explode(F.array_distinct(F.transform(F.sequence(F.lit(1), n - 15), lambda i: F.col("content").substr(i, F.lit(16))))).alias("key"))
+    place = ("chunk_id", "file_id", "chapter_no", "chunk_no")
+    spans = found.where(n >= 16).select(*place, "content", F.explode(F.array_distinct(F.transform(F.sequence(F.lit(1), n - 15), lambda i: F.col("content").substr(i, F.lit(16))))).alias("key"))
     spans = spans.join(F.broadcast(keys), "key", "left_semi")  # one key a benchmark passage
-    return spans.join(own, "key").where(F.contains("content", "query")).select("query_id", "chunk_id", "file_id", "chapter_no", "chunk_no", F.lit(2).alias("relevance")).distinct()
+    held = spans.join(own, "key").where(F.contains("content", "query")).select("query_id", *place, F.lit(2).alias("relevance"))
+    after = held.select("query_id", "file_id", (F.col("chunk_no") + 1).alias("chunk_no"), F.lit(1).alias("relevance")).join(found.select(*place), ["file_id", "chunk_no"])
+    both = held.unionByName(after.select("query_id", *place, "relevance"))
+    return both.groupBy("query_id", *place).agg(F.max("relevance").alias("relevance"))
 
 
 def vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -59,15 +63,16 @@ chunks AS (
     least(length(text), k * 530 + 650) AS char_end, substring(text, k * 530 + 1, 650) AS content,
     doc_id::VARCHAR || ':' || (k + 1)::VARCHAR AS chunk_id, k // 5 + 1 AS chapter_no
   FROM (SELECT *, unnest(range(0, greatest(1, ceil((length(text) - 120) / 530.0)::BIGINT))) AS k FROM documents WHERE length(text) > 0))"""
-QUERIES = "queries AS (SELECT item_id AS query_id, substring(text, 1, 80) AS query FROM benchmark)"
+QUERIES = "queries AS (SELECT item_id AS query_id, text AS query FROM benchmark)"
 GOLD = """
-gold AS (SELECT DISTINCT q.query_id, c.chunk_id, c.file_id, c.chapter_no, c.chunk_no, 2 AS relevance
-  FROM queries q JOIN chunks c ON length(q.query) >= 16 AND contains(c.content, q.query))"""
+gold2 AS (SELECT DISTINCT q.query_id, c.chunk_id, c.file_id, c.chapter_no, c.chunk_no FROM queries q JOIN chunks c ON length(q.query) >= 16 AND contains(c.content, q.query)),
+gold AS (SELECT query_id, chunk_id, file_id, chapter_no, chunk_no, max(relevance) AS relevance FROM (SELECT *, 2 AS relevance FROM gold2
+  UNION ALL SELECT g.query_id, c.chunk_id, c.file_id, c.chapter_no, c.chunk_no, 1 FROM gold2 g JOIN chunks c ON c.file_id = g.file_id AND c.chunk_no = g.chunk_no + 1) GROUP BY ALL)"""
 #: Lanes of the whole retrieval, as SQL.
 LANES = """
-qt AS (SELECT DISTINCT query_id, substring(q, i, n) AS term FROM (SELECT query_id, lower(query) AS q, n, unnest(range(1, length(query) - n + 2)) AS i FROM queries, (VALUES (5), (6)) s(n))),
-lens AS (SELECT chunk_id, greatest(length(content) - 4, 0) + greatest(length(content) - 5, 0) AS dl, lower(content) AS low FROM chunks),
-ct AS (SELECT chunk_id, dl, substring(low, i, n) AS term FROM (SELECT chunk_id, dl, low, n, unnest(range(1, length(low) - n + 2)) AS i FROM lens, (VALUES (5), (6)) s(n))),
+qt AS (SELECT DISTINCT query_id, substring(q, i, n) AS term FROM (SELECT query_id, lower(query) AS q, n, unnest(range(1, length(query) - n + 2)) AS i FROM queries, (VALUES (2), (3)) s(n))),
+lens AS (SELECT chunk_id, greatest(length(content) - 1, 0) + greatest(length(content) - 2, 0) AS dl, lower(content) AS low FROM chunks),
+ct AS (SELECT chunk_id, dl, substring(low, i, n) AS term FROM (SELECT chunk_id, dl, low, n, unnest(range(1, length(low) - n + 2)) AS i FROM lens, (VALUES (2), (3)) s(n))),
 tfs AS (SELECT chunk_id, dl, term, count(*) AS tf FROM ct WHERE term IN (SELECT term FROM qt) GROUP BY ALL),
 dfs AS (SELECT term, count(*) AS df FROM tfs GROUP BY term),
 cs AS (SELECT count(*) AS n, avg(dl) AS avgdl FROM lens),

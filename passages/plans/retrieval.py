@@ -30,7 +30,7 @@ def retrieved(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
 def candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
     q, c = demo.queries(spark, sf_dir), demo.chunks(spark, sf_dir)
     columns = ("query_id", "chunk_id", "score", "rank", "channel")
-    return channels.bm25(q, c, 20, 5, 6).select(*columns).unionByName(channels.fts(q, c, 20).select(*columns))
+    return channels.bm25(q, c, 20).select(*columns).unionByName(channels.fts(q, c, 20).select(*columns))
 
 
 @query("chk2_stride_chunks", f"WITH {demo.CHUNKS} SELECT file_id, chunk_no, char_start, char_end, md5(content) AS digest FROM chunks")
@@ -243,14 +243,27 @@ def ret4(spark, sf_dir):
     return channels.fts(demo.queries(spark, sf_dir), demo.chunks(spark, sf_dir), 20).select("query_id", "chunk_id", "score", "rank")
 
 
+def stopped(column: str) -> str:
+    """SQL of a text without stopwords, longest first."""
+    for word in sorted(channels.STOPWORDS, key=lambda w: (-len(w), w)):
+        column = f"replace({column}, '{word}', ' ')"
+    return column
+
+
+MIXED = "replace(replace(text, ' the ', '的红楼梦里面那个'), ' and ', '和请问什么人物a')"
+RUN = "[\\x{3400}-\\x{9fff}]"
+
+
 @query(
     "ret5_tokenize_query",
-    "SELECT item_id, array_to_string(list_distinct_ordered, ' ') AS tokens FROM (SELECT item_id, (list_reduce(list_prepend([]::VARCHAR[], list_transform(list_transform(regexp_extract_all(substring(text, 1, 80), '[A-Za-z0-9_]{2,}'), lambda x: lower(x)), lambda x: [x])),"
-    " lambda a, b: CASE WHEN list_contains(a, b[1]) THEN a ELSE list_concat(a, b) END))[1:8] AS list_distinct_ordered FROM benchmark)",
+    f"""WITH q AS (SELECT item_id, {MIXED} AS q FROM benchmark), a AS (SELECT item_id, q, regexp_replace({stopped('q')}, '[{channels.PARTING}\\s]+', ' ', 'g') AS a FROM q),
+    t AS (SELECT item_id, list_filter(list_transform(list_concat(regexp_extract_all(a, '{RUN}{{2,6}}|[A-Za-z0-9_]{{2,}}'), regexp_extract_all(q, '{RUN}{{2,}}|[A-Za-z0-9_]{{2,}}')), lambda x: lower(x)),
+      lambda x: x NOT IN {channels.STOPWORDS} AND regexp_matches(x, '[\\x{{3400}}-\\x{{9fff}}a-z0-9]')) AS t FROM a)
+    SELECT item_id, array_to_string(list_filter(t, lambda x, i: list_position(t, x) = i)[1:8], ' ') AS tokens FROM t""",
 )
 def ret5(spark, sf_dir):
-    q = demo.table(spark, sf_dir, "benchmark")
-    return q.select("item_id", F.array_join(channels.tokenize_query(F.substring("text", 1, 80)), " ").alias("tokens"))
+    mixed = F.replace(F.replace("text", F.lit(" the "), F.lit("的红楼梦里面那个")), F.lit(" and "), F.lit("和请问什么人物a"))
+    return demo.table(spark, sf_dir, "benchmark").select("item_id", F.array_join(channels.tokenize_query(mixed), " ").alias("tokens"))
 
 
 @query("ret6_lexical")
@@ -260,7 +273,7 @@ def ret6(spark, sf_dir):
 
 @query("ret8_bm25", f"{demo.BASE} SELECT query_id, chunk_id, score, rank FROM bm25")
 def ret8(spark, sf_dir):
-    return channels.bm25(demo.queries(spark, sf_dir), demo.chunks(spark, sf_dir), 20, 5, 6).select("query_id", "chunk_id", "score", "rank")
+    return channels.bm25(demo.queries(spark, sf_dir), demo.chunks(spark, sf_dir), 20).select("query_id", "chunk_id", "score", "rank")
 
 
 @query(
@@ -378,7 +391,20 @@ def rrk4(spark, sf_dir):
     return fusion.rerank_rank(blended(spark, sf_dir), 5).select("query_id", "chunk_id", "rank")
 
 
-@query("rrk5_protect")
+def inserted(before: str, i: int) -> str:
+    """SQL of one insertion of the fold: the i-th guarded chunk into c (chosen), unless d (done)."""
+    made = f"list_concat(CASE WHEN len(c) >= 5 THEN c[1:4] ELSE c END, [g[{i}]])"
+    skip = f"d OR len(g) < {i} OR list_contains(c, g[{i}])"
+    return f"SELECT query_id, g, CASE WHEN {skip} THEN c ELSE {made} END AS c, CASE WHEN {skip} THEN d ELSE len(list_filter(g, lambda x: list_contains({made}, x))) >= 2 END AS d FROM {before}"
+
+
+@query(
+    "rrk5_protect",
+    f"""{demo.BASE}, {BLEND}, rk AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY final DESC, rrf DESC, chunk_id) AS r FROM fin),
+    p0 AS (SELECT query_id, list(chunk_id ORDER BY rrf DESC, r)[1:3] AS g, list(chunk_id ORDER BY r)[1:5] AS c, false AS d FROM rk GROUP BY query_id),
+    p1 AS ({inserted('p0', 1)}), p2 AS ({inserted('p1', 2)}), p3 AS ({inserted('p2', 3)})
+    SELECT query_id, unnest(c) AS chunk_id, generate_subscripts(c, 1)::INTEGER AS rank FROM p3""",
+)
 def rrk5(spark, sf_dir):
     return fusion.protect(fusion.rerank_rank(blended(spark, sf_dir)), 5)
 
@@ -417,7 +443,7 @@ def ctx1(spark, sf_dir):
 
 NEIGHBORS = """prim AS (SELECT f.query_id, f.rank, f.rrf, c.* FROM final f JOIN chunks c USING (chunk_id)),
   nb AS (SELECT p.query_id, c.chunk_id, c.file_id, c.source, c.chapter_no, c.chunk_no, min(abs(c.chunk_no - p.chunk_no)) AS distance FROM prim p JOIN chunks c
-    ON c.file_id = p.file_id AND c.chapter_no IS NOT DISTINCT FROM p.chapter_no AND c.chunk_no BETWEEN p.chunk_no - 1 AND p.chunk_no + 1 AND c.chunk_no <> p.chunk_no
+    ON c.file_id = p.file_id AND c.chapter_no IS NOT DISTINCT FROM p.chapter_no AND c.chunk_no BETWEEN p.chunk_no - 1 AND p.chunk_no + 1 AND c.chunk_no <> p.chunk_no AND c.user_id IN (p.user_id, 'system')
     WHERE NOT EXISTS (SELECT 1 FROM prim x WHERE x.query_id = p.query_id AND x.chunk_id = c.chunk_id) GROUP BY ALL),
   nbk AS (SELECT * FROM nb QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY distance, source, coalesce(chapter_no, 0), chunk_no, chunk_id) <= 4)"""
 
