@@ -7,12 +7,15 @@ judged with the page around it; the blocks judged to be main text are the result
 
 No page is labelled, so the network learns from pages whose own markup tells: blocks in article or main
 elements are main text unless a navigation, header, footer, aside or form element stands between. The
-bounded sample (FIT_PAGES, smallest hash of page_id first) is widened by rearranged pages: its blocks are set into
-layouts drawn from LAYOUTS, with names of the usual boilerplate regions, some of them inside the article,
-and without semantic elements; some paths are blurred, so that words and neighbours count too.
+bounded sample (FIT_PAGES ids, smallest hash of page_id first, one row each, of pages up to FIT_CHARS characters) is
+widened by rearranged pages: its blocks are set into layouts drawn from LAYOUTS, with names of the usual boilerplate
+regions, some of them inside the article, and without semantic elements; some paths are blurred, so that words and
+neighbours count too. Where no page of the sample has such markup, its longer blocks without links, or SEED,
+fill the main part of the layouts.
 
 Defined results: a null or empty html, and a page without main text, gives an empty text; pages are read
-whole; repeated rows give repeated rows; a null url or page_id stays null; extra columns are ignored.
+whole, in time and memory in proportion to their length; repeated rows give repeated rows; a null url or page_id
+stays null; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -21,6 +24,7 @@ import pickle
 import random
 import zlib
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -28,12 +32,12 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from passages.llm.common import table
-from passages.llm.htmlblocks import Block, blocks
+from passages.llm.htmlblocks import Block, Node, blocks
 
 NAME = "op5_html_extraction"
 
-#: Bound of the sample of pages that the network learns from.
-FIT_PAGES = 300
+#: Bounds of the sample that the network learns from: pages, and characters of a page.
+FIT_PAGES, FIT_CHARS = 300, 200_000
 PATH_ROWS, WORD_ROWS, WIDTH, HIDDEN = 2048, 1024, 16, 16
 EPOCHS, BATCH, RATE, BLUR = 8, 32, 0.01, 0.06
 #: Blocks in a padded batch of pages.
@@ -52,19 +56,25 @@ LAYOUTS = {
     "comment": ("comments", "comment", "replies", "reply", "discussion", "respond", "comment list", "comment body", "user comments", "responses", "feedback"),
 }
 ELEMENTS = {"menu": "nav", "header": "header", "footer": "footer", "sidebar": "aside", "form": "form"}
-BOILERPLATE_ELEMENTS = {"nav", "header", "footer", "aside", "form"}
-
-
+#: Main text of the layouts where the sample has none.
+SEED = (
+    "The river rose during the night and by morning the lower road was under water.", "Nobody had expected so much rain in a single week, and the town was not prepared.",
+    "Volunteers carried sandbags to the bridge while the council met in the old school.", "By noon the water had reached the market square, where the stalls were still standing.",
+    "An engineer explained that the dam upstream would hold if the wind turned.", "In the evening the wind did turn, and the level began to fall slowly.",
+    "People returned to their houses and opened doors and windows to let them dry.", "A night on the river", "What happened after the rain",
+)
+#: Rearranged pages for such a sample.
+SEED_PAGES = 200
+
+
+@lru_cache(1 << 16)
 def hashed(word: str, rows: int) -> int:
     return zlib.crc32(word.encode("utf-8", "surrogatepass")) % rows
 
 
 def own_labels(page: list[Block]) -> list[int] | None:
-    """1 for main text by the page's markup; None if it has no article or main element."""
-    found = []
-    for block in page:
-        last = max((i for i, n in enumerate(block.path) if n in ("article", "main")), default=-1)
-        found.append(int(last >= 0 and not BOILERPLATE_ELEMENTS & set(block.path[last:])))
+    """1 for main text by the page's markup; None if it has no main text in an article or main element."""
+    found = [(b.node.main or 0) if b.node else 0 for b in page]
     return found if any(found) else None
 
 
@@ -83,7 +93,7 @@ def rearranged(page: list[Block], labels: list[int], spare: list[Block], draw: r
     core = ("article",) if style < 0.35 else ("main",) if style < 0.5 else (draw.choice(("div", "section", "td")), *draw.choice(MAIN).split())
     if style < 0.15:
         core = ("main", "article")
-    main = [Block((*base, *core, draw.choice(("p", "p", "p", "h1", "h2", "li", "blockquote", "div", "td"))), b.text, 0.0) for b, y in zip(page, labels) if y]
+    main = [Block(Node(None, (*base, *core, draw.choice(("p", "p", "p", "h1", "h2", "li", "blockquote", "div", "td")))), b.text, 0.0) for b, y in zip(page, labels) if y]
 
     def filled(kind: str, within: tuple[str, ...]) -> list[Block]:
         at = (*within, *region(kind, draw))
@@ -95,7 +105,7 @@ def rearranged(page: list[Block], labels: list[int], spare: list[Block], draw: r
             text = " ".join(words[:cut]) or b.text
             inner = draw.choice((("ul", "li"), ("li",), (), ("p",))) if kind in ("menu", "sidebar") else draw.choice(((), ("p",), ("div",), ("span",), ("h3",)))
             links = 1.0 if kind == "menu" or kind == "sidebar" and draw.random() < 0.6 else 0.0
-            found.append(Block((*at, *inner), text, links))
+            found.append(Block(Node(None, (*at, *inner)), text, links))
         return found
 
     before = [b for kind in draw.sample(("menu", "header", "notice", "advert", "form", "sidebar"), draw.randint(1, 4)) for b in filled(kind, base)]
@@ -110,11 +120,45 @@ def rearranged(page: list[Block], labels: list[int], spare: list[Block], draw: r
     return [*before, *made, *after], [0] * len(before) + truth + [0] * len(after)
 
 
-def by_block(rows: np.ndarray, block: np.ndarray, n: int) -> np.ndarray:
-    """Sums of the rows of each block; block ascends."""
-    sums = np.concatenate([np.zeros((1, rows.shape[1])), np.cumsum(rows, axis=0)])
-    at = np.searchsorted(block, np.arange(n + 1))
-    return sums[at[1:]] - sums[at[:-1]]
+def by_block(table: np.ndarray, row: np.ndarray, block: np.ndarray, n: int) -> np.ndarray:
+    """[n, width]: sums of the table's rows of each block; block ascends. Entries are taken a slice at a time."""
+    found = np.zeros((n, table.shape[1]))
+    for a in range(0, len(row), 1 << 18):
+        own = block[a : a + (1 << 18)]
+        sums = np.concatenate([np.zeros((1, table.shape[1])), np.cumsum(table[row[a : a + (1 << 18)]], axis=0)])
+        at = np.searchsorted(own, np.arange(own[0], own[-1] + 2))
+        found[own[0] : own[-1] + 1] += sums[at[1:]] - sums[at[:-1]]
+    return found
+
+
+def spans(page: list[Block], first: int) -> Iterator[tuple[int, int, int]]:
+    """(row, start, stop): the blocks, numbered from first, whose path holds a name hashed to the row. Every open element
+    is entered and left once."""
+    stack: list[Node] = []
+    begun: dict[int, list[int]] = {}  # row: [open elements, first block]
+
+    def close(depth: int, at: int) -> Iterator[tuple[int, int, int]]:
+        while len(stack) > depth:
+            for name in stack.pop().names:
+                own = begun[hashed(name, PATH_ROWS)]
+                own[0] -= 1
+                if not own[0] and own[1] < at:
+                    yield hashed(name, PATH_ROWS), own[1], at
+
+    for at, block in enumerate(page, first):
+        fresh, node = [], block.node
+        while node and not (node.depth < len(stack) and stack[node.depth] is node):
+            fresh.append(node)
+            node = node.parent
+        yield from close(node.depth + 1 if node else 0, at)
+        for node in reversed(fresh):
+            stack.append(node)
+            for name in node.names:
+                own = begun.setdefault(hashed(name, PATH_ROWS), [0, at])
+                if not own[0]:
+                    own[1] = at
+                own[0] += 1
+    yield from close(0, first + len(page))
 
 
 def by_row(values: np.ndarray, row: np.ndarray, block: np.ndarray, n: int) -> np.ndarray:
@@ -139,29 +183,34 @@ class Network:
 
     @staticmethod
     def encode(pages: list[list[Block]]) -> dict[str, np.ndarray]:
-        """Hashed inputs of pages: flat rows of path and word entries with the block they belong to."""
-        path, path_of, word, word_of, plain, page_of, n = [], [], [], [], [], [], 0
-        for k, page in enumerate(pages):
+        """Hashed inputs of pages: names of paths with the span of blocks below them; last names and words with their block."""
+        path, last, last_of, word, counts, plain, n = [], [], [], [], [], [], 0
+        for page in pages:
+            path += spans(page, n)
             for i, b in enumerate(page):
-                own = {hashed(f"{x}", PATH_ROWS) for x in b.path} | {hashed(f"last {x}", PATH_ROWS) for x in b.path[-3:]}
-                path += own
-                path_of += [n] * len(own)
-                words = [hashed(w, WORD_ROWS) for w in b.text.split()]
-                word += words
-                word_of += [n] * len(words)
+                own = {hashed(f"last {x}", PATH_ROWS) for x in b.node.last} if b.node else ()
+                last += own
+                last_of += [n + i] * len(own)
+                words = b.text.split()
+                word += [hashed(w, WORD_ROWS) for w in words]
+                counts.append(len(words))
                 plain.append((np.log1p(len(b.text)) / 4, b.links, i / max(1, len(page) - 1), float(b.text[-1:] in ".!?…»\"")))
-                page_of.append(k)
-                n += 1
-        sizes = np.bincount(np.array(page_of, dtype=np.int64), minlength=len(pages))
+            n += len(page)
+        sizes = np.array([len(page) for page in pages], dtype=np.int64)
+        row, start, stop = np.array(path, dtype=np.int64).reshape(-1, 3).T
+        whole = lambda x: np.array(x, dtype=np.int64)
         return {
-            "path": np.array(path, dtype=np.int64), "path_of": np.array(path_of, dtype=np.int64), "word": np.array(word, dtype=np.int64),
-            "word_of": np.array(word_of, dtype=np.int64), "plain": np.array(plain).reshape(-1, 4), "page_of": np.array(page_of, dtype=np.int64), "sizes": sizes,
+            "path": row, "start": start, "stop": stop, "last": whole(last), "last_of": whole(last_of), "word": whole(word), "word_of": np.repeat(np.arange(n), whole(counts)),
+            "plain": np.array(plain).reshape(-1, 4), "page_of": np.repeat(np.arange(len(pages)), sizes), "sizes": sizes,
         }
 
     def inputs(self, e: dict[str, np.ndarray]) -> np.ndarray:
         n = len(e["plain"])
-        path = by_block(self.p["path"][e["path"]], e["path_of"], n)
-        word = by_block(self.p["word"][e["word"]], e["word_of"], n)
+        steps = np.zeros((n + 1, WIDTH))
+        np.add.at(steps, e["start"], self.p["path"][e["path"]])
+        np.subtract.at(steps, e["stop"], self.p["path"][e["path"]])
+        path = np.cumsum(steps, axis=0)[:n] + by_block(self.p["path"], e["last"], e["last_of"], n)
+        word = by_block(self.p["word"], e["word"], e["word_of"], n)
         return np.concatenate([path, word / np.maximum(np.bincount(e["word_of"], minlength=n), 1)[:, None], e["plain"]], axis=1)
 
     def padded(self, x: np.ndarray, e: dict[str, np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -248,7 +297,9 @@ class Network:
             d_out = np.zeros((own.shape[0] * own.shape[1], HIDDEN))
             d_out[at] = part
             dx = dx + self.back(own, side, kept, d_out.reshape(*own.shape[:2], HIDDEN), grads).reshape(-1, own.shape[2])[at]
-        grads["path"] = by_row(dx[:, :WIDTH], e["path"], e["path_of"], PATH_ROWS)
+        sums = np.concatenate([np.zeros((1, WIDTH)), np.cumsum(dx[:, :WIDTH], axis=0)])
+        grads["path"] = by_row(dx[:, :WIDTH], e["last"], e["last_of"], PATH_ROWS)
+        np.add.at(grads["path"], e["path"], sums[e["stop"]] - sums[e["start"]])
         share = 1 / np.maximum(np.bincount(e["word_of"], minlength=len(x)), 1)
         grads["word"] = by_row(dx[:, WIDTH : 2 * WIDTH] * share[:, None], e["word"], e["word_of"], WORD_ROWS)
         return grads
@@ -262,8 +313,9 @@ class Network:
             groups = [order[a : a + BATCH] for a in range(0, len(order), BATCH)]
             for g in draw.permutation(len(groups)).tolist():
                 e = self.encode([pages[k] for k in groups[g]])
-                keep = draw.random(len(e["path"])) >= BLUR
-                e["path"], e["path_of"] = e["path"][keep], e["path_of"][keep]
+                for names in (("path", "start", "stop"), ("last", "last_of")):
+                    keep = draw.random(len(e[names[0]])) >= BLUR
+                    e |= {k: e[k][keep] for k in names}
                 grads = self.gradient(e, np.concatenate([np.array(labels[k], dtype=np.float64) for k in groups[g]]))
                 n += 1
                 for k, d in grads.items():
@@ -272,39 +324,45 @@ class Network:
                     self.p[k] -= RATE * (first[k] / (1 - 0.9**n)) / (np.sqrt(second[k] / (1 - 0.999**n)) + 1e-8)
 
 
-def fit(pages: list[str]) -> Network | None:
-    """None when no page tells its main text."""
+def fit(pages: list[str]) -> Network:
     draw, sets, labels = random.Random(11), [], []
-    parsed = [(b, y) for b, y in ((b, own_labels(b)) for b in map(blocks, pages)) if y]
-    if not parsed:
-        return None
-    spare = [b for page, _ in parsed for b in page]
-    for page, y in parsed:
-        sets.append(page)
-        labels.append(y)
-        for _ in range(3):
-            a, b = rearranged(page, y, spare, draw)
-            sets.append(a)
-            labels.append(b)
+    every = [b for b in map(blocks, pages) if b]
+    parsed = [(b, y) for b, y in ((b, own_labels(b)) for b in every) if y]
+    if parsed:
+        spare = [b for page, _ in parsed for b in page]
+        sets, labels = [page for page, _ in parsed], [y for _, y in parsed]
+        sources = [own for own in parsed for _ in range(3)]
+    else:  # no page tells its main text
+        spare = [b for page in every for b in page]
+        stock = [b for b in spare if b.links < 0.2 and len(b.text.split()) >= 8]
+        stock += [Block(None, text, 0.0) for text in SEED]
+        spare = spare or stock
+        chosen = [draw.choices(stock, k=draw.randint(2, 12)) for _ in range(SEED_PAGES)]
+        sources = [(own, [1] * len(own)) for own in chosen]
+    for page, y in sources:
+        a, b = rearranged(page, y, spare, draw)
+        sets.append(a)
+        labels.append(b)
     network = Network()
     network.train(sets, labels)
     return network
 
 
-def learn(pages: DataFrame) -> Network | None:
+def learn(pages: DataFrame) -> Network:
     """The network of a bounded sample of pages."""
-    chosen = pages.where("html is not null and page_id is not null").select("page_id").distinct().orderBy(F.xxhash64("page_id"), "page_id").limit(FIT_PAGES)
-    sample = pages.select("page_id", "html").join(F.broadcast(chosen), "page_id", "left_semi")
+    given = pages.select("page_id", "html").where(F.col("html").isNotNull() & F.col("page_id").isNotNull() & (F.length("html") <= FIT_CHARS))
+    chosen = given.select("page_id").distinct().orderBy(F.xxhash64("page_id"), "page_id").limit(FIT_PAGES)
+    sample = given.join(F.broadcast(chosen), "page_id", "left_semi").groupBy("page_id").agg(F.min("html").alias("html"))
 
     def train(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        rows = pd.concat([pd.DataFrame({"page_id": [], "html": []}), *batches]).sort_values(["page_id", "html"])
-        yield pd.DataFrame({"model": [pickle.dumps(fit([h for h in rows["html"] if isinstance(h, str)]))]})
+        rows = pd.concat([pd.DataFrame({"page_id": [], "html": []}), *batches]).sort_values("page_id")
+        yield pd.DataFrame({"model": [pickle.dumps(fit(rows["html"].tolist()))]})
 
     made = sample.repartition(1).mapInPandas(train, "model binary").collect()  # one row of fixed size
-    return pickle.loads(bytes(made[0]["model"])) if made else None
+    return pickle.loads(bytes(made[0]["model"])) if made else fit([])
 
 
-def main_text(spark: SparkSession, html: Column, network: Network | None) -> Column:
+def main_text(spark: SparkSession, html: Column, network: Network) -> Column:
     """The main text of a column of pages."""
     shared = spark.sparkContext.broadcast(network)  # of fixed size
 
@@ -313,9 +371,6 @@ def main_text(spark: SparkSession, html: Column, network: Network | None) -> Col
             texts: list[str] = []
             for a in range(0, len(column), 256):
                 pages = [blocks(h) if isinstance(h, str) else [] for h in column.iloc[a : a + 256]]
-                if shared.value is None:
-                    texts += [""] * len(pages)
-                    continue
                 for page, p in zip(pages, shared.value.probabilities(pages)):
                     texts.append("\n".join(b.text for b, q in zip(page, p.tolist()) if q >= 0.5))
             yield pd.Series(texts)

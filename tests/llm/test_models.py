@@ -219,3 +219,45 @@ def test_softmax_factors_sum_to_one():
     tokens = np.stack([np.full(len(every), 777, dtype=np.uint64), every], axis=1).ravel()
     logs = model.log_likelihood(tokens, np.arange(0, len(tokens) + 1, 2))
     assert np.exp(logs[1::2]).sum() == pytest.approx(1.0, abs=1e-4)
+
+
+def test_path_spans_by_brute_force():
+    """Rows of names and the blocks below them, against each block's whole path; pages of random, partly unclosed elements."""
+    draw = np.random.default_rng(12)
+    for _ in range(60):
+        parts = []
+        for _ in range(int(draw.integers(0, 60))):
+            tag = str(draw.choice(["div", "p", "li", "b", "a", "article", "nav", "span", "td"]))
+            kind = draw.random()
+            parts.append(f"</{tag}>" if kind < 0.35 else f"<{tag} class='{draw.choice(['x', 'y', 'main ad'])}'>" if kind < 0.5 else f"<{tag}>" if kind < 0.75 else "word ")
+        page = blocks("".join(parts))
+        found = {(row, i) for row, a, b in pages.spans(page, 3) for i in range(a, b)}
+        assert found == {(pages.hashed(n, pages.PATH_ROWS), i) for i, block in enumerate(page, 3) for n in block.path}
+        assert all(block.node.last == block.path[-3:] for block in page if block.node)
+        for block in page:
+            last = max((i for i, n in enumerate(block.path) if n in ("article", "main")), default=-1)
+            inside = last >= 0 and not {"nav", "header", "footer", "aside", "form"} & set(block.path[last:])
+            assert bool(block.node and block.node.main) == inside
+
+
+def test_pages_that_are_never_closed():
+    """Cost in proportion to the length: a square of 60 000 open elements would not fit in memory."""
+    net = pages.Network()
+    for own in ("<div>x ", "<b>x</i><p>y", "<a>x</span>", "<li class='a b c'>x"):
+        page = blocks(own * 60_000)
+        assert len(page) in (1, 60_000, 60_001) and sum(1 for _ in pages.spans(page, 0)) <= 60_000 * 4
+        assert len(net.probabilities([page])[0]) == len(page)
+    assert blocks("<!" * 300_000) == [] and blocks("a<!-- x") == blocks("a")
+
+
+def test_pages_without_markup_for_their_main_text(spark, sf):
+    """No article or main element in any page: the network still learns from layouts, and finds the text of the others."""
+    given = spark.read.parquet(f"{sf}/pages.parquet").select("page_id", "url", "html")
+    bare = given.withColumn("html", F.regexp_replace("html", r"<(/?)(article|main)\b", "<$1section"))
+    network = pages.learn(bare)
+    found = {r.page_id: r.t for r in given.select("page_id", pages.main_text(spark, F.col("html"), network).alias("t")).collect()}
+    want = {r.page_id: "\n".join(b.text for b, y in zip(blocks(r.html), pages.own_labels(blocks(r.html)) or []) if y) for r in given.collect()}
+    assert sum(found[i] == t for i, t in want.items()) >= 0.95 * len(want)
+    assert pages.learn(given.limit(0)).p["out"].any()  # an empty table: the seed alone
+    twice = given.limit(5).unionByName(given.limit(5)).withColumn("text", F.lit(1)).withColumn("n_chars", F.lit("x"))
+    assert twice.select(pages.main_text(spark, F.col("html"), network).alias("t")).count() == 10
