@@ -68,3 +68,51 @@ def backfill_evidence(runs: DataFrame, chunks: DataFrame) -> DataFrame:
     found = each.join(chunks.select("file_id", "chapter_no", "chunk_no", "content"), ["file_id", "chapter_no", "chunk_no"])
     rows = found.groupBy("id").agg(F.array_sort(F.collect_list(F.struct("pos", "content"))).alias("_e"))
     return rows.select("id", F.col("_e.content").alias("evidence"))
+
+
+#: Fixed value: openings that tell of the workings behind an answer.
+PREAMBLE = "(?im)^\\s*(?:根据共享原文(?:与专家报告)?|根据专家报告|根据检索结果)[：:]?\\s*"
+
+
+def sanitize(answer: Column, policy: Column) -> Column:
+    """The answer under a policy (summary_only, show_source_text, allow_direct_quotes, show_citations, citation_style): openings
+    gone, long quotes cut to 20 characters, block quotes unmarked, quotes or citations removed, at most one empty line."""
+    p = policy.getField
+    around = "^\\s+|\\s+$"
+    text = F.regexp_replace(F.regexp_replace(answer, around, ""), PREAMBLE, "")
+    short = F.regexp_replace(F.regexp_replace(text, '[“"]([^”"]{20})[^”"]{4,}[”"]', "$1……"), "(?m)^>\\s?", "")
+    text = F.when(p("summary_only") | ~p("show_source_text"), short).otherwise(text)
+    text = F.when(~p("allow_direct_quotes"), F.regexp_replace(text, '[“"]([^”"]{1,200})[”"]', "")).otherwise(text)
+    text = F.when(~p("show_citations") | (p("citation_style") == "hidden"), F.regexp_replace(text, "\\s*\\[S[0-9]+\\]", "")).otherwise(text)
+    return F.regexp_replace(F.regexp_replace(text, "\n{3,}", "\n\n"), around, "")
+
+
+def grounding(answer: Column, issues: Column, checked: Column, streamed: Column, refusals: tuple[str, ...]) -> Column:
+    """insufficient_evidence for an answer that is one of the refusals, failed with issues, verified or unverified."""
+    return (
+        F.when(answer.isin(*refusals), "insufficient_evidence")
+        .when(F.size(issues) > 0, "failed")
+        .when(F.coalesce(checked, F.lit(False)) | ~F.coalesce(streamed, F.lit(False)), "verified")
+        .otherwise("unverified")
+    )
+
+
+def call_count(strategy: Column, corrected: Column, many: str = "multi_expert") -> Column:
+    """Model calls of a run: 1; for the strategy of several reports 2, one a report and one a corrected report (an array of
+    booleans, one a report; null: none)."""
+    reports = F.coalesce(corrected, F.array().cast("array<boolean>"))
+    return F.when(strategy == many, 2 + F.size(reports) + F.size(F.filter(reports, lambda x: x))).otherwise(1)
+
+
+def report_similarity(reports: DataFrame, limit: float = 0.72) -> DataFrame:
+    """reports (run_id, report_id, text) -> pairs of a run's reports: Jaccard similarity of their distinct character 3-grams
+    without citations, and whether it exceeds the limit. Texts below three characters have no 3-grams; two of them are 0."""
+    text = F.regexp_replace("text", "\\[S[0-9]+\\]", "")
+    own = F.when(F.length(text) >= 3, F.array_distinct(F.transform(F.sequence(F.lit(1), F.length(text) - 2), lambda i: text.substr(i, F.lit(3))))).otherwise(F.array().cast("array<string>"))
+    sets = reports.where("text is not null").select("run_id", "report_id", own.alias("g"))
+    a, b = sets.alias("a"), sets.alias("b")
+    pairs = a.join(b, (F.col("a.run_id") == F.col("b.run_id")) & (F.col("a.report_id") < F.col("b.report_id")))
+    both = F.size(F.array_intersect("a.g", "b.g"))
+    whole = F.size("a.g") + F.size("b.g") - both
+    similarity = F.when(whole > 0, both / whole).otherwise(0.0)
+    return pairs.select("a.run_id", F.col("a.report_id").alias("a"), F.col("b.report_id").alias("b"), similarity.alias("similarity"), (similarity > limit).alias("similar"))

@@ -108,3 +108,72 @@ def rolling_latency(rows: DataFrame, last: int = 200) -> DataFrame:
     n = F.size("_v")
     at = lambda i: F.element_at("_v", (i + 1).cast("int"))
     return found.select("name", n.cast("long").alias("n"), "avg", at(F.floor(n / 2)).alias("p50"), at(F.least(n - 1, F.floor(n * 0.95))).alias("p95"))
+
+
+#: Fixed value: a summary that says there is nothing new.
+NOTHING_NEW = "^(?:无新增|没有新增)\\s*[。.！!?？]*$"
+#: Types of memories.
+TYPES = ("user_preference", "novel_fact", "session_fact")
+
+
+def apply_summaries(windows: DataFrame, previous: DataFrame) -> DataFrame:
+    """windows (session_id, window_no, covered, made) and previous (session_id, summary) -> session_id, window_no, covered,
+    summary, tokens: what each fold persists. A text that is null, empty or says nothing is new keeps the one before; a session
+    whose first fold has nothing to keep persists none and its watermark stays."""
+    text = F.regexp_replace("made", "^\\s+|\\s+$", "")
+    real = F.when((F.col("made") != "") & ~text.rlike(NOTHING_NEW), F.col("made"))
+    order = Window.partitionBy("session_id").orderBy("window_no")
+    joined = windows.join(previous.select("session_id", F.col("summary").alias("_p")), "session_id", "left")
+    running = F.coalesce(F.last(real, ignorenulls=True).over(order.rowsBetween(Window.unboundedPreceding, 0)), F.col("_p"), F.lit(""))
+    rows = joined.withColumn("summary", running).withColumn("_f", F.first("summary").over(order)).where("_f <> ''")
+    return rows.select("session_id", "window_no", "covered", "summary", F.greatest(F.lit(1), F.floor(F.length("summary") / 4)).alias("tokens"))
+
+
+def validate_ops(ops: DataFrame, known: DataFrame, most: int = 5, least: float = 0.55) -> DataFrame:
+    """ops (turn_id, user_id, pos, op, id, memory_type, content, importance text, preference_key) normalised, with reason: why
+    an operation is rejected, else null. known (user_id, id) are the user's memories.
+
+    Any op but update and delete is an add; an importance that is no number is 0.5; keys stay on preferences, 64 characters."""
+    trimmed = lambda n: F.trim(F.coalesce(n, F.lit("")))
+    op = F.when(F.lower(trimmed("op")).isin("update", "delete"), F.lower(trimmed("op"))).otherwise("add")
+    place = F.row_number().over(Window.partitionBy("turn_id").orderBy("pos"))
+    importance = F.coalesce(F.col("importance").try_cast("double"), F.lit(0.5))
+    key = F.when(F.col("memory_type") == "user_preference", F.nullif(F.substring(trimmed("preference_key"), 1, 64), F.lit("")))
+    rows = ops.withColumns({"_n": place, "op": op, "id": trimmed("id"), "content": trimmed("content"), "memory_type": trimmed("memory_type")})
+    rows = rows.withColumns({"importance": importance, "preference_key": key})
+    rows = rows.join(known.select("user_id", "id", F.lit(True).alias("_k")).distinct(), ["user_id", "id"], "left")
+    reason = (
+        F.when(F.col("_n") > most, "over_limit")
+        .when((F.col("op") != "add") & F.col("_k").isNull(), "unknown_id")
+        .when((F.col("op") != "delete") & (F.col("content") == ""), "empty_content")
+        .when((F.col("op") == "add") & ~F.col("memory_type").isin(*TYPES), "bad_type")
+        .when((F.col("op") == "add") & (F.col("importance") < least), "low_importance")
+    )
+    return rows.withColumn("reason", reason).drop("_n", "_k")
+
+
+def apply_ops(memories: DataFrame, ops: DataFrame) -> DataFrame:
+    """memories after ops (user_id, id, pos, op, content, importance) of their owners: deleted rows go; the last update with a
+    text counts, squeezed, its importance within 0 to 1 (null: as before). Other users' rows stay."""
+    text = F.trim(F.regexp_replace("content", "\\s+", " "))
+    last = F.when((F.col("op") == "update") & (text != ""), F.struct(F.col("pos"), text.alias("content"), F.least(F.lit(1.0), F.greatest(F.lit(0.0), F.col("importance"))).alias("importance")))
+    given = F.max(F.when(last.isNotNull() & F.col("importance").isNotNull(), F.struct("pos", last["importance"].alias("importance"))))
+    found = ops.groupBy("user_id", "id").agg(F.max(last).alias("_u"), given.alias("_i"), F.coalesce(F.max(F.col("op") == "delete"), F.lit(False)).alias("_d"))
+    joined = memories.join(found, ["user_id", "id"], "left").where(~F.coalesce("_d", F.lit(False)))
+    changed = {"content": F.coalesce(F.col("_u.content"), "content"), "importance": F.coalesce(F.col("_i.importance"), "importance")}
+    return joined.withColumns(changed).drop("_u", "_i", "_d")
+
+
+def memory_context(sessions: DataFrame, summaries: DataFrame, recalled: DataFrame) -> DataFrame:
+    """session_id, summary (empty without one) and memories, an array in order of rank: recalled (session_id, rank, content)."""
+    rows = recalled.groupBy("session_id").agg(F.array_sort(F.collect_list(F.struct("rank", "content"))).alias("_m"))
+    joined = sessions.select("session_id").distinct().join(summaries.select("session_id", "summary"), "session_id", "left").join(rows, "session_id", "left")
+    memories = F.coalesce(F.col("_m.content"), F.array().cast("array<string>"))
+    return joined.select("session_id", F.coalesce("summary", F.lit("")).alias("summary"), memories.alias("memories"))
+
+
+def message_sources(messages: DataFrame, schema: str) -> DataFrame:
+    """messages (session_id, id, sources: JSON array) -> session_id, id, pos and the fields of each source. Null, empty or
+    broken JSON gives no rows."""
+    parsed = F.from_json("sources", f"array<struct<{schema}>>")
+    return messages.select("session_id", "id", F.posexplode(parsed).alias("pos", "_s")).where("_s is not null").select("session_id", "id", "pos", "_s.*")

@@ -38,3 +38,119 @@ def run_rollup(events: DataFrame) -> DataFrame:
 def merge_policy(base: Column, over: Column, fields: tuple[str, ...]) -> Column:
     """The base policy with the fields that the other sets."""
     return F.struct(*(F.coalesce(over.getField(f), base.getField(f)).alias(f) for f in fields))
+
+
+# Words and patterns of questions about a novel, of talk, and of wishes about the display of sources.
+NOVEL = (
+    "人物", "角色", "关系", "情节", "剧情", "事件", "时间线", "先后", "之前", "之后",
+    "章节", "第几章", "页码", "片段", "梳理", "综合", "对比", "完整", "跨章节",
+    "为什么", "为何", "伏笔", "动机", "因果", "谁", "何时", "后来", "结局",
+    "根据原文", "原文依据", "核对", "验证", "可靠", "正确吗", "真实吗",
+)
+FORCED = (
+    "人物", "角色", "关系", "情节", "剧情", "时间线", "章节", "第几章", "页码",
+    "片段", "跨章节", "伏笔", "动机", "因果", "结局", "根据原文", "原文依据",
+    "核对", "验证", "梳理", "对比", "综合",
+)
+TALK = (
+    "你好", "嗨", "谢谢", "感谢", "好的", "明白", "知道了", "记住", "记得我的",
+    "我的偏好", "我的风格", "语气", "格式", "简短一点", "详细一点", "继续刚才",
+    "刚才的风格", "不要引用", "不用检索", "闲聊", "只给总结", "直接告诉我总结",
+)
+NEGATED = "(?:不要|不用|无需|别|不必).{0,12}(?:展示|显示|贴|引用|给我|输出).{0,10}(?:原文|引语|原话)"
+NO_SOURCE = NEGATED + "|只(?:要|需).{0,8}(?:总结|结论)|直接告诉我.{0,12}(?:总结|结论)"
+SHOW_SOURCE = "(?:给我|展示|引用|贴出).{0,8}(?:原文|原话|依据)"
+REFERENCE = "第\\s*[一二三四五六七八九十0-9]+章|人物|角色|小说|这段|这个事件|这个情节|后来|为什么|为何|根据原文|原文依据|核对|验证"
+REQUEST = "人物|角色|关系|情节|剧情|事件|时间线|章节|回目|页码|片段|为什么|为何|谁|何时|后来|之后|发生了什么|怎么回事|如何|是否正确|可靠吗|核对|验证|原文依据|根据原文"
+MODES = ("novel_evidence", "memory_context", "conversation")
+STRATEGIES = ("direct", "react", "plan_execute")
+REQUEST_STRATEGIES = ("auto", *STRATEGIES, "multi_expert", "roleplay")
+
+
+def bare(col: Column) -> Column:
+    """The text without white space around it; null is empty."""
+    return F.regexp_replace(F.coalesce(col, F.lit("")), "^\\s+|\\s+$", "")
+
+
+def rule_label(query: Column) -> Column:
+    """Struct needs, reason, mode: whether a query needs retrieval, by rules alone; the first that fits. A null query is empty."""
+    text = bare(query)
+    refers = text.rlike(REFERENCE)
+    case = lambda needs, reason, mode: F.struct(F.lit(needs).alias("needs"), F.lit(reason).alias("reason"), F.lit(mode).alias("mode"))
+    return (
+        F.when(text == "", case(False, "empty_conversation", "conversation"))
+        .when(text.rlike(NEGATED) & ~F.regexp_replace(text, NEGATED, "").rlike(REFERENCE), case(False, "user_output_preference", "memory_context"))
+        .when(text.rlike("|".join(NOVEL)), case(True, "novel_evidence", "novel_evidence"))
+        .when(text.rlike("|".join(TALK)) & refers, case(True, "ambiguous_novel_reference", "novel_evidence"))
+        .when(text.rlike("|".join(TALK)), case(False, "conversation_only", "conversation"))
+        .otherwise(case(True, "conservative_novel_lookup", "novel_evidence"))
+    )
+
+
+def policy_label(query: Column, hint: Column, threshold: float = 0.75) -> Column:
+    """Struct policy (required, optional, forbidden), reason, mode, override (why the hint was overruled, else null).
+
+    hint: struct needs_retrieval, answer_mode, retrieval_reason, confidence, retrieval_query, reason, original; without
+    one the rules decide. A hint that contradicts itself or lacks a field is invalid."""
+    needs, mode, why, sure, asked, state, original = (hint.getField(n) for n in ("needs_retrieval", "answer_mode", "retrieval_reason", "confidence", "retrieval_query", "reason", "original"))
+    valid = mode.isin(*MODES) & (bare(why) != "") & sure.between(0, 1) & asked.isNotNull() & (needs == (bare(asked) != "")) & (needs == (mode == "novel_evidence"))
+    strong = F.regexp_replace(bare(F.concat(F.coalesce(query, F.lit("")), F.lit(" "), F.coalesce(original, F.lit("")))), NEGATED, "").rlike("|".join(FORCED))
+    rule = rule_label(query)
+
+    def case(policy: Column | str, reason: Column | str, own: Column | str, override: Column | str | None) -> Column:
+        plain = lambda x: x if isinstance(x, Column) else F.lit(x).cast("string")
+        return F.struct(*(plain(x).alias(n) for n, x in zip(("policy", "reason", "mode", "override"), (policy, reason, own, override))))
+
+    failed = F.when(F.length(state) > 0, state).otherwise("query_preparation_failed")
+    return (
+        F.when(hint.isNull(), case(F.when(rule["needs"], "required").otherwise("forbidden"), rule["reason"], rule["mode"], None))
+        .when(~F.coalesce(valid, F.lit(False)), case("required", "query_preparation_failed", "novel_evidence", "invalid_query_preparation"))
+        .when(~state.eqNullSafe(F.lit("rewritten")), case("required", "query_preparation_failed", "novel_evidence", failed))
+        .when((mode == "novel_evidence") & (sure < threshold), case("required", "forced_by_low_confidence", "novel_evidence", "low_confidence"))
+        .when(~needs & strong, case("required", "forced_by_strong_novel_signal", "novel_evidence", "strong_novel_signal"))
+        .otherwise(case(F.when(needs, "optional").otherwise("forbidden"), why, mode, None))
+    )
+
+
+def directive(query: Column) -> Column:
+    """Struct no_source, show_source, preference_only: what a message wants to see of the sources."""
+    text = bare(query)
+    no = text.rlike(NO_SOURCE)
+    return F.struct(no.alias("no_source"), (~no & text.rlike(SHOW_SOURCE)).alias("show_source"), (no & ~text.rlike(REQUEST)).alias("preference_only"))
+
+
+def strategy_label(requested: Column, query: Column, needs: Column, mode: Column) -> Column:
+    """direct, react or plan_execute: the one asked for (direct if unknown); for auto, empty or null by mode, need and length."""
+    value, text = F.lower(bare(requested)), bare(query)
+    n = signals(text, NOVEL)
+    auto = (
+        F.when(mode.eqNullSafe(F.lit("roleplay")), "react")
+        .when(~needs, "direct")
+        .when((F.length(text) >= 32) | (n >= 2), "plan_execute")
+        .when((text != "") & (F.length(text) <= 16), "direct")
+        .otherwise("react")
+    )
+    return F.when(value.isin("", "auto"), auto).when(value.isin(*STRATEGIES), value).otherwise("direct")
+
+
+def validate_requests(requests: DataFrame) -> DataFrame:
+    """requests (strategy, interaction_mode, personas, chapter_until, max_steps, file_id) with deprecated names mapped, a
+    chapter bound outside of role-play removed, and error: the first rule that a request breaks, else null.
+
+    Null strategy and mode are auto and qa; other nulls are fields that weren't sent."""
+    strategy, mode = F.coalesce("strategy", F.lit("auto")), F.coalesce("interaction_mode", F.lit("qa"))
+    own = F.when(strategy == "roleplay", "roleplay").otherwise(mode)
+    n = F.size("personas")  # null without personas
+    missing = F.coalesce(n == 0, F.lit(True))
+    error = (
+        F.when(~strategy.isin(*REQUEST_STRATEGIES), "strategy")
+        .when(~mode.isin("qa", "roleplay"), "interaction_mode")
+        .when(~F.col("max_steps").between(2, 12), "max_steps")
+        .when(~F.length("file_id").between(1, 32), "file_id")
+        .when(F.col("personas").isNotNull() & ~n.between(1, 3), "personas")
+        .when(~F.col("chapter_until").between(1, 10_000), "chapter_until")
+        .when((own == "qa") & ~missing, "personas_in_qa")
+        .when((own == "roleplay") & missing, "personas_missing")
+    )
+    mapped = F.when(strategy == "multi_expert", "plan_execute").when(strategy == "roleplay", "auto").otherwise(strategy)
+    return requests.withColumns({"error": error, "strategy": mapped, "interaction_mode": own, "chapter_until": F.when(own == "roleplay", F.col("chapter_until"))})

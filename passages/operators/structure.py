@@ -126,3 +126,48 @@ def numbering_check(rows: DataFrame, key: str) -> DataFrame:
     )
     fine = (F.col("n") >= 2) & (F.col("inversions") <= F.greatest(F.lit(1), F.floor(F.col("n") * 0.05))) & (F.col("duplicates") <= F.col("n") * 0.1)
     return found.withColumn("ok", fine)
+
+
+# Numerals and patterns of chapter numbers, and of openings and endings.
+NUMERALS = "0-9零〇○一二三四五六七八九十百千万两壹贰叁肆伍陆柒捌玖拾佰仟IVXLCDMⅠⅡⅢⅣⅤⅥⅦⅧⅨⅩⅪⅫ"
+STRUCTURE = f"(?i)(?:第\\s*[{NUMERALS}]+\\s*[章节回卷部集幕话]|(?:chapter|chap\\.?|part)\\s+[0-9IVXLCDMⅠⅡⅢⅣⅤⅥⅦⅧⅨⅩⅪⅫ]+)"
+ENDS = "(?i)^(?:序章|序言|前言|引子|楔子|后记|尾声|终章|附录)$"
+
+
+def shape(line: Column) -> Column:
+    """A heading's form: numbers are #, what follows a numbered unit is dropped, 60 characters."""
+    found = F.regexp_replace(F.lower(line), f"[{NUMERALS}]+", "#")
+    found = F.regexp_replace(found, "第\\s*#\\s*[章节回卷部集幕话].*", "第#章")
+    return F.substring(F.regexp_replace(found, "(?:chapter|chap\\.?|part)\\s*#.*", "chapter#"), 1, 60)
+
+
+def heading_candidates(lines: DataFrame, key: str) -> DataFrame:
+    """Rows of line_table that may be headings: key, line_no, ord, score and 80 characters of the lines around.
+
+    Lines of up to 160 characters score 12 for a chapter number, 8 for an opening or ending, 5 for a shape that recurs in the
+    document and 2 up to 80 characters; lines with neither mark nor recurring shape are left out."""
+    short = lines.where(F.length("line") <= 160).withColumn("_s", shape(F.col("line")))
+    base = F.when(F.col("line").rlike(STRUCTURE), 12).otherwise(0) + F.when(F.col("line").rlike(ENDS), 8).otherwise(0)
+    again = F.count(F.lit(1)).over(Window.partitionBy(key, "_s")) >= 2
+    rows = short.withColumn("_b", base).withColumn("_r", again).where("_b > 0 or _r")
+    score = F.col("_b") + F.when(F.col("_r"), 5).otherwise(0) + F.when(F.length("line") <= 80, 2).otherwise(0)
+    return rows.select(key, "line_no", "ord", score.alias("score"), F.substring("before", 1, 80).alias("before"), F.substring("after", 1, 80).alias("after"))
+
+
+def split_stats(chunks: DataFrame, headings: DataFrame, modes: DataFrame, unassigned: str = "未分章") -> DataFrame:
+    """modes (file_id, mode) with chunks (file_id, title) and headings (file_id, kind) counted: chunks, chapters, unassigned,
+    warning (empty, no_headings, inline, else null) and status (ok, unrecognized)."""
+    c = chunks.groupBy("file_id").agg(F.count(F.lit(1)).alias("c"), F.count_if(F.col("title").eqNullSafe(F.lit(unassigned))).alias("u"))
+    h = headings.where("kind = 'main'").groupBy("file_id").agg(F.count(F.lit(1)).alias("h"))
+    rows = modes.join(c, "file_id", "left").join(h, "file_id", "left")
+    n, chapters = (F.coalesce(x, F.lit(0)) for x in ("c", "h"))
+    warning = F.when(n == 0, "empty").when(chapters == 0, "no_headings").when(F.col("mode") == "inline_fallback", "inline")
+    status = F.when(chapters > 0, "ok").otherwise("unrecognized")
+    return rows.select("file_id", n.alias("chunks"), chapters.alias("chapters"), F.coalesce("u", F.lit(0)).alias("unassigned"), warning.alias("warning"), status.alias("status"))
+
+
+def cached_rules(files: DataFrame, rules: DataFrame) -> DataFrame:
+    """files with the validated rule of the same source hash, parser version, prompt version and model; the newest of several."""
+    keys = ["source_hash", "parser_version", "prompt_version", "model"]
+    newest = rules.where("validated").groupBy(*keys).agg(F.max_by("rule_id", F.struct("created_at", "rule_id")).alias("rule_id"))
+    return files.join(newest, keys).select("file_id", "rule_id")
