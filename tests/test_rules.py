@@ -14,7 +14,7 @@ def column(spark, values, f, kind="string"):
 def test_rule_label(spark):
     cases = {
         None: "empty_conversation", "": "empty_conversation", " \n": "empty_conversation", "不要展示原文": "user_output_preference", "不要展示原文，只说第三章": "conservative_novel_lookup", "不要引用原文，只说第三章": "ambiguous_novel_reference",
-        "孙悟空和唐僧是什么关系": "novel_evidence", "不用贴原文，他后来怎样": "novel_evidence", "谢谢": "conversation_only", "谢谢，第 3 章呢": "ambiguous_novel_reference", "孙悟空": "conservative_novel_lookup",
+        "孙悟空和唐僧是什么关系": "novel_evidence", "不用贴原文，他后来怎样": "novel_evidence", "谢谢": "conversation_only", "谢谢，第 3章呢": "ambiguous_novel_reference", "孙悟空": "conservative_novel_lookup",
     }
     found = column(spark, list(cases), querylog.rule_label)
     assert [r.reason for r in found] == list(cases.values())
