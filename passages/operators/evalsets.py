@@ -75,3 +75,72 @@ def cards(candidates: DataFrame) -> DataFrame:
     """topic_id and its candidates as numbered lines in order of rank."""
     rows = candidates.groupBy("topic_id").agg(F.array_sort(F.collect_list(F.struct("rank", F.concat(F.col("rank").cast("string"), F.lit(". "), "content").alias("line")))).alias("_r"))
     return rows.select("topic_id", F.array_join(F.col("_r.line"), "\n").alias("card"))
+
+
+def validate_snapshot(snapshot: DataFrame, cases: DataFrame, file_id: str, source_hash: str) -> DataFrame:
+    """Violations (query_id, problem) of prepared queries (query_id, query, standalone_query, retrieval_query, file_id,
+    source_hash) against cases (query_id, query): null_id, duplicate_id, missing_query (a prepared query is null or blank), missing,
+    extra, text_differs, file_differs, source_differs. Null or empty texts, files and hashes of the snapshot aren't compared."""
+    blank = lambda c: F.coalesce(F.trim(c), F.lit("")) == ""
+    own = snapshot.withColumn("_o", F.lit(True))
+    rows = own.where("query_id is not null").groupBy("query_id").agg(
+        F.count(F.lit(1)).alias("_n"),
+        F.max(blank(F.col("standalone_query")) | blank(F.col("retrieval_query"))).alias("_b"),
+        F.max(~blank(F.col("file_id")) & (F.col("file_id") != file_id)).alias("_f"),
+        F.max(~blank(F.col("source_hash")) & (F.col("source_hash") != source_hash)).alias("_s"),
+        F.max(F.when(~blank(F.col("query")), F.trim("query"))).alias("_high"),
+        F.min(F.when(~blank(F.col("query")), F.trim("query"))).alias("_low"),
+    )
+    both = rows.join(cases.groupBy("query_id").agg(F.min(F.trim("query")).alias("_q")).withColumn("_c", F.lit(True)), "query_id", "full")
+    held = F.col("_n").isNotNull()
+    differs = held & F.col("_c").isNotNull() & ((F.col("_high") != F.coalesce("_q", F.lit(""))) | (F.col("_low") != F.coalesce("_q", F.lit(""))))
+    problems = (
+        ("duplicate_id", F.col("_n") > 1), ("missing_query", F.col("_b")), ("missing", ~held), ("extra", F.col("_c").isNull()),
+        ("text_differs", differs), ("file_differs", F.col("_f")), ("source_differs", F.col("_s")),
+    )
+    found = both.select("query_id", F.explode(F.array_compact(F.array(*(F.when(when, F.lit(name)) for name, when in problems)))).alias("problem"))
+    nameless = own.where("query_id is null").select("query_id", F.lit("null_id").alias("problem"))
+    return found.unionByName(nameless)
+
+
+def prep_summary(prepared: DataFrame) -> DataFrame:
+    """prepared (applied, latency_ms, reason) -> kind, name, value: questions, applied, applied_rate, avg_latency_ms (nulls are 0) and
+    the number of each reason (null: unknown)."""
+    counts = prepared.groupBy(F.coalesce("reason", F.lit("unknown")).alias("reason")).agg(
+        F.count(F.lit(1)).alias("n"), F.count_if("applied").alias("a"), F.sum(F.coalesce("latency_ms", F.lit(0.0))).alias("ms")
+    )
+    whole = counts.agg(F.sum("n").alias("n"), F.sum("a").alias("a"), F.sum("ms").alias("ms")).where("n > 0")
+    entries = {"questions": F.col("n"), "applied": F.col("a"), "applied_rate": F.round(F.col("a") / F.col("n"), 4), "avg_latency_ms": F.round(F.col("ms") / F.col("n"), 2)}
+    totals = whole.select(F.inline(F.array(*(F.struct(F.lit("total").alias("kind"), F.lit(k).alias("name"), v.cast("double").alias("value")) for k, v in entries.items()))))
+    return totals.unionByName(counts.select(F.lit("reason").alias("kind"), F.col("reason").alias("name"), F.col("n").cast("double").alias("value")))
+
+
+def discrimination(scores: DataFrame) -> DataFrame:
+    """scores (model, variant, sample_id, gold, score) -> a row per model and variant: judged samples, rates of gold among the
+    first one and three, mean scores and their margin, least and greatest score.
+
+    A sample is one gold row and its distractors; one without distractors isn't judged. Gold comes before distractors of
+    the same score."""
+    sample = scores.groupBy("model", "variant", "sample_id").agg(
+        F.max(F.when(F.col("gold"), F.col("score"))).alias("_g"),
+        F.array_agg(F.when(~F.col("gold"), F.col("score"))).alias("_d"),
+        F.min("score").alias("_low"),
+        F.max("score").alias("_high"),
+    ).where(F.col("_g").isNotNull() & (F.size("_d") > 0))
+    rank = F.size(F.filter("_d", lambda x: x > F.col("_g"))) + 1
+    summed = F.aggregate("_d", F.lit(0.0), lambda s, x: s + x)
+    rows = sample.groupBy("model", "variant").agg(
+        F.count(F.lit(1)).alias("judged"), F.round(F.avg((rank == 1).cast("int")), 4).alias("top1"), F.round(F.avg((rank <= 3).cast("int")), 4).alias("top3"),
+        F.avg("_g").alias("g"), (F.sum(summed) / F.sum(F.size("_d"))).alias("d"), F.round(F.min("_low"), 4).alias("score_min"), F.round(F.max("_high"), 4).alias("score_max"),
+    )
+    means = (F.round("g", 4).alias("gold"), F.round("d", 4).alias("distractors"), F.round(F.col("g") - F.col("d"), 4).alias("margin"))
+    return rows.select("model", "variant", "judged", "top1", "top3", *means, "score_min", "score_max")
+
+
+def discrimination_verdict(rows: DataFrame) -> DataFrame:
+    """discrimination's rows -> model, verdict: truncation (the window's top-1 rate is 0.15 or more above the whole text's), weak (both below
+    0.5), limited, or no_window. Models without the full variant are left out."""
+    of = lambda v: F.max(F.when(F.col("variant") == v, F.col("top1")))
+    both = rows.groupBy("model").agg(of("full").alias("f"), of("window").alias("w")).where("f is not null")
+    verdict = F.when(F.col("w").isNull(), "no_window").when(F.round(F.col("w") - F.col("f"), 4) >= 0.15, "truncation").when((F.col("f") < 0.5) & (F.col("w") < 0.5), "weak").otherwise("limited")
+    return both.select("model", verdict.alias("verdict"))

@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from passages.operators import answers, memory, querylog, structure
+from passages.operators import answers, evalsets, memory, querylog, structure
 from passages.plans import demo, more, tables
 
 QUERIES, ORACLE = {}, {}
@@ -234,8 +235,6 @@ def ans11(spark, sf_dir):
     SELECT run_id, a, b, round(CASE WHEN m - n > 0 THEN n / (m - n) ELSE 0 END, 9) AS similarity, CASE WHEN m - n > 0 THEN n / (m - n) ELSE 0 END > 0.72 AS similar FROM p""",
 )
 def ans13(spark, sf_dir):
-    from pyspark.sql import Window
-
     earlier = F.lag("text").over(Window.partitionBy("conv_id").orderBy("turn"))
     text = F.concat(F.lit("[S1]"), F.when(F.col("turn") % 3 == 2, F.replace(earlier, F.lit("."), F.lit("!"))).otherwise(F.col("text")))
     rows = demo.table(spark, sf_dir, "conversations").select(F.col("conv_id").alias("run_id"), F.col("turn").alias("report_id"), text.alias("text"))
@@ -279,3 +278,56 @@ def str16(spark, sf_dir):
     files = demo.table(spark, sf_dir, "conversations").select(c.alias("file_id"), (c % 9).alias("source_hash"), *version, F.when(c % 2 == 0, "view").otherwise("click").alias("model")).distinct()
     rules = demo.table(spark, sf_dir, "events").select(F.col("event_id").alias("rule_id"), (F.col("user_id") % 7).alias("source_hash"), *version, F.col("event_type").alias("model"), (F.col("event_id") % 3 > 0).alias("validated"), F.col("ts").alias("created_at"))
     return structure.cached_rules(files, rules)
+
+
+@query(
+    "set7_validate_snapshot",
+    """WITH c AS (SELECT item_id AS q, text FROM benchmark), s AS (SELECT item_id AS q, item_id AS i, text FROM benchmark WHERE item_id % 7 <> 3 UNION ALL SELECT item_id, item_id, text FROM benchmark WHERE item_id % 11 = 1 UNION ALL SELECT -1 - item_id, item_id, text FROM benchmark WHERE item_id % 13 = 2),
+    k AS (SELECT q, count(*) AS n, any_value(i) AS i FROM s GROUP BY q)
+    SELECT q AS query_id, 'duplicate_id' AS problem FROM k WHERE n > 1 UNION ALL SELECT q, 'missing_query' FROM k WHERE i % 5 = 0 UNION ALL SELECT q, 'missing' FROM c WHERE q NOT IN (SELECT q FROM k) UNION ALL SELECT q, 'extra' FROM k WHERE q NOT IN (SELECT q FROM c)
+    UNION ALL SELECT q, 'text_differs' FROM k WHERE i % 6 = 1 AND q IN (SELECT q FROM c) UNION ALL SELECT q, 'file_differs' FROM k WHERE i % 9 = 4 UNION ALL SELECT q, 'source_differs' FROM k WHERE i % 10 = 5""",
+)
+def set7(spark, sf_dir):
+    b, i = demo.table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("query")), F.col("i")
+    s = b.withColumn("i", F.col("query_id"))
+    s = s.where("i % 7 <> 3").unionByName(s.where("i % 11 = 1")).unionByName(s.where("i % 13 = 2").withColumn("query_id", -1 - i))
+    snapshot = s.select(
+        "query_id", F.when(i % 6 == 1, F.concat("query", F.lit("!"))).when(i % 6 == 2, "").otherwise(F.concat(F.lit(" "), "query")).alias("query"), F.when(i % 5 > 0, "a").alias("standalone_query"), F.lit("b").alias("retrieval_query"),
+        F.when(i % 9 == 4, "g").when(i % 9 > 4, "f").alias("file_id"), F.when(i % 10 == 5, "x").when(i % 10 > 5, "h").otherwise("").alias("source_hash"),
+    )
+    return evalsets.validate_snapshot(snapshot, b, "f", "h")
+
+
+@query(
+    "set8_prep_summary",
+    """WITH p AS (SELECT event_id % 3 > 0 AS applied, CASE WHEN event_id % 4 > 0 THEN value END AS ms, CASE WHEN event_type <> 'view' THEN event_type END AS reason FROM events), w AS (SELECT count(*)::DOUBLE AS n, count(*) FILTER (WHERE applied)::DOUBLE AS a, sum(coalesce(ms, 0)) AS ms FROM p)
+    SELECT 'total' AS kind, 'questions' AS name, n AS value FROM w UNION ALL SELECT 'total', 'applied', a FROM w UNION ALL SELECT 'total', 'applied_rate', round(a / n, 4) FROM w UNION ALL SELECT 'total', 'avg_latency_ms', round(ms / n, 2) FROM w
+    UNION ALL SELECT 'reason', coalesce(reason, 'unknown'), count(*)::DOUBLE FROM p GROUP BY reason""",
+)
+def set8(spark, sf_dir):
+    i, t = F.col("event_id"), F.col("event_type")
+    rows = demo.table(spark, sf_dir, "events").select((i % 3 > 0).alias("applied"), F.when(i % 4 > 0, F.col("value")).alias("latency_ms"), F.when(t != "view", t).alias("reason"))
+    return evalsets.prep_summary(rows)
+
+
+SCORES = "scores AS (SELECT event_type AS model, CASE WHEN event_id % 2 = 0 THEN 'full' ELSE 'window' END AS variant, user_id AS sample_id, row_number() OVER (PARTITION BY event_type, event_id % 2, user_id ORDER BY event_id) = 1 AS gold, round(value) AS score FROM events)"
+DISCRIMINATION = """s AS (SELECT model, variant, sample_id, max(score) FILTER (WHERE gold) AS g FROM scores GROUP BY ALL HAVING count(*) > 1), j AS (SELECT c.*, g FROM scores c JOIN s USING (model, variant, sample_id)),
+  r AS (SELECT model, variant, sample_id, count(*) FILTER (WHERE NOT gold AND score > g) + 1 AS rank FROM j GROUP BY ALL), t AS (SELECT model, variant, count(*) AS judged, round(avg((rank = 1)::INT), 4) AS top1, round(avg((rank <= 3)::INT), 4) AS top3 FROM r GROUP BY ALL),
+  m AS (SELECT model, variant, avg(score) FILTER (WHERE gold) AS g, avg(score) FILTER (WHERE NOT gold) AS d, min(score) AS score_min, max(score) AS score_max FROM j GROUP BY ALL),
+  d AS (SELECT model, variant, judged, top1, top3, round(g, 4) AS gold, round(d, 4) AS distractors, round(g - d, 4) AS margin, score_min, score_max FROM t JOIN m USING (model, variant))"""
+
+
+@query("set11_discrimination", f"WITH {SCORES}, {DISCRIMINATION} SELECT * FROM d")
+def set11(spark, sf_dir):
+    first = F.row_number().over(Window.partitionBy("event_type", F.col("event_id") % 2, "user_id").orderBy("event_id")) == 1
+    variant = F.when(F.col("event_id") % 2 == 0, "full").otherwise("window")
+    rows = demo.table(spark, sf_dir, "events").select(F.col("event_type").alias("model"), variant.alias("variant"), F.col("user_id").alias("sample_id"), first.alias("gold"), F.round("value").alias("score"))
+    return evalsets.discrimination(rows)
+
+
+@query(
+    "set11_verdict",
+    f"WITH {SCORES}, {DISCRIMINATION} SELECT f.model, CASE WHEN w.top1 IS NULL THEN 'no_window' WHEN round(w.top1 - f.top1, 4) >= 0.15 THEN 'truncation' WHEN f.top1 < 0.5 AND w.top1 < 0.5 THEN 'weak' ELSE 'limited' END AS verdict FROM d f LEFT JOIN d w ON w.model = f.model AND w.variant = 'window' WHERE f.variant = 'full'",
+)
+def set11_verdict(spark, sf_dir):
+    return evalsets.discrimination_verdict(set11(spark, sf_dir))

@@ -3,7 +3,7 @@
 import pytest
 from pyspark.sql import functions as F
 
-from passages.operators import answers, memory, querylog, structure
+from passages.operators import answers, evalsets, memory, querylog, structure
 
 
 def column(spark, values, f, kind="string"):
@@ -113,3 +113,20 @@ def test_structure(spark):
 ])
 def test_strategy_label(spark, asked, text, needs, mode, want):
     assert column(spark, [text], lambda c: querylog.strategy_label(F.lit(asked).cast("string"), c, F.lit(needs), F.lit(mode))) == [want]
+
+
+def test_snapshots_and_scores(spark):
+    schema = "query_id int, query string, standalone_query string, retrieval_query string, file_id string, source_hash string"
+    snapshot = spark.createDataFrame([(1, " q ", "a", "b", None, ""), (2, "q", "a", " ", "f", "h"), (2, "q", "a", "b", "f", "h"), (4, "other", "a", "b", "g", "x"), (5, "", "a", "b", "f", "h"), (None, "q", "a", "b", "f", "h")], schema)
+    cases = spark.createDataFrame([(i, "q") for i in (1, 2, 3, 4)], "query_id int, query string")
+    found = {(r.query_id, r.problem) for r in evalsets.validate_snapshot(snapshot, cases, "f", "h").collect()}
+    assert found == {(2, "duplicate_id"), (2, "missing_query"), (3, "missing"), (4, "text_differs"), (4, "file_differs"), (4, "source_differs"), (5, "extra"), (None, "null_id")}
+    assert evalsets.validate_snapshot(snapshot.limit(0), cases.limit(0), "f", "h").count() == 0
+    prepared = spark.createDataFrame([(True, 3.0, "r"), (None, None, None), (False, 0.0, "r")], "applied boolean, latency_ms double, reason string")
+    assert {(r.name, r.value) for r in evalsets.prep_summary(prepared).collect()} == {("questions", 3.0), ("applied", 1.0), ("applied_rate", 0.3333), ("avg_latency_ms", 1.0), ("r", 2.0), ("unknown", 1.0)}
+    assert evalsets.prep_summary(prepared.limit(0)).count() == 0
+    scores = [("m", v, s, g, x) for v, s, g, x in [("full", 1, True, 0.2), ("full", 1, False, 0.9), ("full", 2, True, 0.5), ("full", 2, False, 0.5), ("full", 3, True, 0.5), ("window", 1, True, 0.9), ("window", 1, False, 0.1)]]
+    rows = evalsets.discrimination(spark.createDataFrame(scores, "model string, variant string, sample_id int, gold boolean, score double"))
+    full = {r.variant: r for r in rows.collect()}
+    assert (full["full"].judged, full["full"].top1, full["full"].gold, full["full"].margin, full["window"].top1) == (2, 0.5, 0.35, -0.35, 1.0)
+    assert [r.verdict for r in evalsets.discrimination_verdict(rows).collect()] == ["truncation"]
