@@ -71,3 +71,38 @@ def format_history(messages: DataFrame, key: str, last: int) -> DataFrame:
     tail = messages.withColumn("_n", F.row_number().over(order)).where(F.col("_n") <= last)
     rows = tail.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("id", F.concat_ws(": ", "role", "content").alias("line")))).alias("_r"))
     return rows.select(key, F.array_join(F.col("_r.line"), "\n").alias("history"))
+
+
+# Marks around headings, and what catalogues put before them.
+DECORATION = "=＊*#~\\-—_【】\\[\\]（）()·•"
+CATALOGUE = "(?i)^(?:(?:《[^》]*》)\\s*)?(?:目录|目次|回目)\\s*[:：·\\-—]?\\s*"
+
+
+def normalize_heading(col: Column, most: int = 100) -> Column:
+    """A heading without decorations and spaces around it, then without a catalogue's prefix; at most 100 characters."""
+    bare = F.substring(F.regexp_replace(col, f"(?U)^[{DECORATION}\\s]+|[{DECORATION}\\s]+$", ""), 1, most)
+    return F.substring(F.regexp_replace(F.regexp_replace(bare, CATALOGUE, ""), "(?U)^\\s+|\\s+$", ""), 1, most)
+
+
+def nfkc_all(col: Column) -> Column:
+    """NFKC of every string of short arrays, trimmed."""
+
+    @F.pandas_udf("array<string>")
+    def normal(values: pd.Series) -> pd.Series:
+        return values.map(lambda a: None if a is None else [unicodedata.normalize("NFKC", x).strip() for x in a if x is not None])
+
+    return normal(col)
+
+
+def strip_literals(col: Column, prefixes: Column, suffixes: Column) -> Column:
+    """The text without its longest prefix and its longest suffix among the given ones (array columns), at most one of each,
+    trimmed. Text and arrays have been through nfkc and nfkc_all: a column of their own, since lambdas take no Python code. Null
+    arrays count as empty."""
+    none = F.array().cast("array<string>")
+    edge = lambda c, side: F.regexp_replace(c, f"(?U){side}", "")
+    text = edge(col, "^\\s+|\\s+$")
+    size = lambda marks, fits: F.coalesce(F.array_max(F.transform(F.filter(F.coalesce(marks, none), fits), F.length)), F.lit(0))
+    front = size(prefixes, lambda p: F.startswith(text, p))
+    text = F.when(front > 0, edge(text.substr(front + 1, F.length(text)), "^\\s+")).otherwise(text)
+    back = size(suffixes, lambda p: F.endswith(text, p))
+    return F.when(back > 0, edge(text.substr(F.lit(1), F.length(text) - back), "\\s+$")).otherwise(text)

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from passages.operators.evaluation import bootstrap_groups
+
 
 def citations(col: Column) -> Column:
     """Distinct [S#] ids in order of first occurrence."""
@@ -53,15 +55,47 @@ def verdict_todo(runs: DataFrame, cache: DataFrame) -> tuple[DataFrame, DataFram
     return runs.join(cache.select("key").distinct(), "key", "left_semi"), runs.join(cache.select("key"), "key", "left_anti")
 
 
+#: Scores that a judge gives to an answer, and what runs are compared by.
+JUDGED = ("faithfulness", "completeness", "relevance", "citation_support")
+COMPARED = (*JUDGED, "gold_citation_rate", "latency_ms")
+
+
 def strategy_summary(rows: DataFrame) -> DataFrame:
+    """rows (strategy, answer, error, judged scores, gold_citation_rate, unknown array, latency_ms, llm_calls) -> a row a strategy.
+    Means leave nulls out and are 0 without values; blank answers count as empty."""
+    share = lambda c: F.round(F.avg(F.coalesce(c, F.lit(False)).cast("int")), 4)
+    blank = F.trim(F.regexp_replace(F.coalesce("answer", F.lit("")), "\\s+", " ")) == ""
     return rows.groupBy("strategy").agg(
-        F.count(F.lit(1)).alias("n"),
-        F.round(F.avg("latency_ms"), 4).alias("latency_avg"),
-        F.round(F.percentile("latency_ms", F.lit(0.95)), 4).alias("latency_p95"),
-        F.round(F.avg(F.col("failed").cast("int")), 4).alias("error_rate"),
+        F.count(F.lit(1)).alias("questions"),
+        *(F.coalesce(F.round(F.avg(c), 4), F.lit(0.0)).alias(c) for c in (*JUDGED, "gold_citation_rate")),
+        share(F.size("unknown") > 0).alias("unknown_citation_case_rate"),
+        share(blank).alias("empty_answer_rate"),
+        share(F.length("error") > 0).alias("error_rate"),
+        F.coalesce(F.round(F.avg("latency_ms"), 1), F.lit(0.0)).alias("avg_latency_ms"),
+        F.coalesce(F.round(F.percentile("latency_ms", F.lit(0.95)), 1), F.lit(0.0)).alias("p95_latency_ms"),
+        F.coalesce(F.round(F.avg("llm_calls"), 4), F.lit(0.0)).alias("avg_llm_calls"),
+        F.coalesce(F.sum("llm_calls"), F.lit(0)).cast("long").alias("total_llm_calls"),
     )
 
 
+def strategy_comparison(rows: DataFrame, baseline: str = "direct", resamples: int = 10_000, seed: int = 42) -> DataFrame:
+    """rows (strategy, id, error and the compared columns) -> for each other strategy and compared column: n, mean difference to
+    the baseline over the ids that both answered without error (null counts as 0), its interval, significance, and wins, ties
+    and losses (null for columns that no judge gives). Of an id twice in a strategy the least row counts."""
+    values = F.array(*(F.struct(F.lit(c).alias("metric"), F.coalesce(F.col(c).cast("double"), F.lit(0.0)).alias("v")) for c in COMPARED))
+    fine = rows.where(F.coalesce(F.length("error"), F.lit(0)) == 0).select("strategy", "id", values.alias("v"))
+    fine = fine.groupBy("strategy", "id").agg(F.min("v").alias("v"))
+    base = fine.where(F.col("strategy") == baseline).select("id", F.col("v").alias("w"))
+    matched = fine.where(F.col("strategy") != baseline).join(base, "id")
+    order = Window.partitionBy("strategy", "metric").orderBy("id")
+    each = matched.select("strategy", "id", F.explode(F.arrays_zip("v", "w")).alias("x")).select("strategy", "id", "x.v.metric", (F.col("x.v.v") - F.col("x.w.v")).alias("delta"))
+    placed = each.withColumn("i", F.row_number().over(order) - 1)
+    by, judged = ["strategy", "metric"], F.col("metric").isin(*JUDGED)
+    counts = each.groupBy(*by).agg(*(F.count_if(c).alias(n) for n, c in (("wins", F.col("delta") > 1e-9), ("ties", F.abs("delta") <= 1e-9), ("losses", F.col("delta") < -1e-9))))
+    found = bootstrap_groups(placed, by, resamples, seed).join(counts, by)
+    return found.select(*by, "n", "mean", "low", "high", "significant", *(F.when(judged, F.col(c)).alias(c) for c in ("wins", "ties", "losses")))
+
+
 def backfill_evidence(runs: DataFrame, chunks: DataFrame) -> DataFrame:
     """runs (id, file_id, sources array of chapter_no, chunk_no) -> id and the texts of its sources in order."""
     each = runs.select("id", "file_id", F.posexplode("sources").alias("pos", "s")).select("id", "file_id", "pos", F.col("s.chapter_no").alias("chapter_no"), F.col("s.chunk_no").alias("chunk_no"))

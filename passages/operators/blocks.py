@@ -147,3 +147,44 @@ def cosine(queries: list[tuple[object, np.ndarray]], kind: str, chunks: DataFram
         made = chunks.mapInPandas(score, f"query_id {kind}, chunk_id string, score double")
         found = made if found is None else found.unionByName(made)
     return found
+
+
+def nearest(rows: np.ndarray, centres: np.ndarray, n: int) -> np.ndarray:
+    """The n centres with the greatest products with each row, in any order."""
+    return np.argpartition(-(rows @ centres.T), n - 1, axis=1)[:, :n]
+
+
+def cosine_cells(queries: list[tuple[object, np.ndarray]], kind: str, chunks: DataFrame, k: int, centres: np.ndarray, probes: int) -> DataFrame:
+    """Like cosine, but a row is compared only with the queries that probe its cell: those with its nearest centre among their
+    `probes` nearest. All vectors have the length of the centres."""
+    spark = chunks.sparkSession
+    found = None
+    for a in range(0, max(1, len(queries)), QUERIES):
+        own = queries[a : a + QUERIES]
+        shared = spark.sparkContext.broadcast((own, centres))  # a block of queries and a fixed number of centres
+
+        def score(batches: Iterator[pd.DataFrame], shared=shared) -> Iterator[pd.DataFrame]:
+            own, centres = shared.value
+            if not own:
+                return
+            ids = [q for q, _ in own]
+            asked = np.stack([v for _, v in own])
+            probed = np.zeros((len(own), len(centres)), dtype=bool)
+            np.put_along_axis(probed, nearest(asked, centres, min(probes, len(centres))), True, axis=1)
+            best = Best(len(own), k)
+            for batch in batches:
+                for i in range(0, len(batch), ROWS):
+                    part = batch.iloc[i : i + ROWS]
+                    rows = np.stack(part["e"].to_numpy())
+                    cells = nearest(rows, centres, 1)[:, 0]
+                    scores = np.full((len(part), len(own)), -np.inf)
+                    for cell in np.unique(cells):
+                        at, who = np.flatnonzero(cells == cell), np.flatnonzero(probed[:, cell])
+                        scores[np.ix_(at, who)] = np.round(np.maximum(rows[at] @ asked[who].T, 0.0), 6)
+                    row, query = best.passing(scores)
+                    if len(row):
+                        yield pd.DataFrame({"query_id": [ids[q] for q in query.tolist()], "chunk_id": part["chunk_id"].to_numpy()[row], "score": scores[row, query]})
+
+        made = chunks.mapInPandas(score, f"query_id {kind}, chunk_id string, score double")
+        found = made if found is None else found.unionByName(made)
+    return found

@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -84,6 +85,69 @@ def knn(queries: DataFrame, chunks: DataFrame, k: int, most: int = 20_000) -> Da
     return top_k(united(found), k, "vector")
 
 
+def cell_centres(vectors: DataFrame, cells: int, sample: int, seed: int = 7) -> np.ndarray:
+    """Unit centres of `cells` cells by spherical k-means on at most `sample` vectors (column e), those with the least hashes."""
+    from pyspark.ml.clustering import KMeans
+    from pyspark.ml.functions import array_to_vector
+
+    drawn = vectors.orderBy(F.xxhash64(F.col("e").cast("array<string>"), F.lit(seed))).limit(sample).select(array_to_vector("e").alias("features"))
+    fitted = KMeans(k=cells, seed=seed, distanceMeasure="cosine", maxIter=10).fit(drawn)
+    centres = np.array(fitted.clusterCenters())
+    return centres / np.linalg.norm(centres, axis=1, keepdims=True)
+
+
+def knn_ann(queries: DataFrame, chunks: DataFrame, k: int, cells: int = 32, probes: int = 22, sample: int = 20_000, most: int = 20_000) -> DataFrame:
+    """Approximate cosine neighbours: rows belong to the cell of their nearest centre, queries look into the `probes` nearest
+    cells, and what is compared is compared exactly. Centres are fitted on a bounded sample; every row is indexed. All vectors
+    have one dimension, that of the first chunk; others, null and zero vectors are compared with nothing. With probes = cells it
+    is exact."""
+    right = chunks.select("chunk_id", normalised(F.col("embedding")).alias("e")).where("e is not null")
+    head = right.first()
+    size = len(head["e"]) if head else 0
+    left = queries.select("query_id", normalised(F.col("vector")).alias("q")).where(F.size("q") == size)
+    right = right.where(F.size("e") == size)
+    kind = dict(left.dtypes)["query_id"]
+    if head is None:
+        return top_k(blocks.cosine([], kind, right, k), k, "vector")
+    centres = cell_centres(right, cells, sample)
+    found = [blocks.cosine_cells([(r["query_id"], np.array(r["q"])) for r in rows], kind, right, k, centres, probes) for rows in in_blocks(left, most)]
+    return top_k(united(found), k, "vector")
+
+
+def embed(df: DataFrame, text: str, make, dim: int, batch: int = 32) -> DataFrame:
+    """df with `embedding`, the unit vector of a text column. `make()` gives, once a task, a function from a list of texts to an
+    array [text, dim]. Null texts count as empty; a zero vector stays zero."""
+
+    @F.pandas_udf("array<float>")
+    def vectors(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        encode = make()
+        for texts in parts:
+            own, rows = texts.fillna("").tolist(), []
+            for i in range(0, len(own), batch):
+                found = np.asarray(encode(own[i : i + batch]), dtype=np.float64).reshape(-1, dim)
+                norm = np.linalg.norm(found, axis=1, keepdims=True)
+                rows += list((found / np.where(norm > 0, norm, 1.0)).astype(np.float32))
+            yield pd.Series(rows)
+
+    return df.withColumn("embedding", vectors(text))
+
+
+class HashedGrams:
+    """An encoder without a model: counts of hashed character 2- and 3-grams of the lower-cased text, damped by the logarithm."""
+
+    def __init__(self, dim: int = 256):
+        self.dim = dim
+
+    def __call__(self):
+        return self.encode
+
+    def encode(self, texts: list[str]) -> np.ndarray:
+        codes, owner = blocks.gram_codes([t.lower() for t in texts], (2, 3))
+        mixed = (codes ^ (codes >> np.uint64(29))) * np.uint64(0x9E3779B97F4A7C15)
+        at = owner * self.dim + (mixed >> np.uint64(33)).astype(np.int64) % self.dim
+        return np.log1p(np.bincount(at, minlength=len(texts) * self.dim).reshape(-1, self.dim))
+
+
 def fts(queries: DataFrame, chunks: DataFrame, k: int) -> DataFrame:
     """Chunks with all words of a query; score sum of 1 - 1 / (1 + tf), at most 1 after scaling.
 

@@ -8,6 +8,9 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from passages.functions.text import clean_text
+from passages.operators import structure
+
 SIZE, OVERLAP = 650, 120
 #: Separators in order of preference; the empty one cuts anywhere.
 SEPARATORS = ("\n\n", "\n", "。", "！", "？", "；", "，", " ", "")
@@ -107,3 +110,21 @@ def number_chunks(chunks: DataFrame) -> DataFrame:
 def page_of(has_real_page: Column, page: Column, doc_ord: Column) -> Column:
     """Null without real pages; else the page, or the document's ordinal."""
     return F.when(F.coalesce(has_real_page, F.lit(False)), F.coalesce(page, doc_ord))
+
+
+def build_chunks(docs: DataFrame, size: int = SIZE, overlap: int = OVERLAP, unassigned: str = "未分章") -> tuple[DataFrame, DataFrame]:
+    """docs (file_id, text) -> (chunks, stats): texts are cleaned, cut into sections at whole-line headings (what comes before the
+    first, or a text without any, is unassigned, with chapter 0), and the sections into numbered chunks. Null texts have no
+    chunk; every file has a row of stats (structure.split_stats)."""
+    docs = docs.select("file_id", clean_text(F.col("text")).alias("text"))
+    headings = structure.strict_headings(structure.line_table(docs, "file_id"), "file_id")
+    found = structure.sections(docs, headings, "file_id").select("file_id", "start", "stop", "title", "chapter_no")
+    first = headings.groupBy("file_id").agg(F.min("start").alias("_first"))
+    size_of = F.length("text").cast("long")
+    before = docs.join(first, "file_id", "left").select("file_id", F.lit(0).cast("long").alias("start"), F.coalesce("_first", size_of).alias("stop"), F.lit(unassigned).alias("title"), F.lit(0).cast("long").alias("chapter_no"))
+    parts = found.unionByName(before.where("stop > 0")).groupBy("file_id").agg(F.collect_list(F.struct("start", "stop", "title", "chapter_no")).alias("_s"))
+    cut_at = docs.join(parts, "file_id").select("file_id", "text", F.explode("_s").alias("_s"))
+    own = cut_at.select("file_id", F.col("_s.title").alias("chapter"), F.col("_s.chapter_no").alias("chapter_no"), F.col("_s.start").alias("section_start"), F.substring("text", (F.col("_s.start") + 1).cast("int"), (F.col("_s.stop") - F.col("_s.start")).cast("int")).alias("text"))
+    chunks = number_chunks(section_offsets(split_sections(own, size, overlap)).withColumn("doc_ord", F.lit(0))).drop("doc_ord", "ord", "local_start", "section_start")
+    modes = docs.select("file_id").distinct().join(first, "file_id", "left").select("file_id", F.when(F.col("_first").isNotNull(), "strict").otherwise("none").alias("mode"))
+    return chunks, structure.split_stats(chunks.select("file_id", F.col("chapter").alias("title")), headings, modes)

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from passages.operators.evaluation import numbered
+
 
 def pool(runs: DataFrame, top: int) -> DataFrame:
     """The first rows of each configuration: runs (topic_id, config, chunk, rank)."""
@@ -21,8 +23,8 @@ def merge_pools(pools: DataFrame, keep: int = 14, c: int = 60) -> DataFrame:
 
 
 def batches(topics: DataFrame, key: str, size: int = 9) -> DataFrame:
-    """Adds batch: topics in order of key, `size` to a batch. Topics are few; they are numbered in one task."""
-    return topics.withColumn("batch", F.floor((F.row_number().over(Window.orderBy(key)) - 1) / size))
+    """Adds batch: topics in order of a numeric key, `size` to a batch, numbered by ranges of the key."""
+    return numbered(topics, key, "_i").withColumn("batch", F.floor(F.col("_i") / size)).drop("_i")
 
 
 def audit_gold(gold: DataFrame, chunks: DataFrame) -> DataFrame:

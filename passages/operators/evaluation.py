@@ -74,17 +74,21 @@ def stage_recall(trace: DataFrame, gold: DataFrame) -> DataFrame:
 
 
 def loss_point(trace: DataFrame, gold: DataFrame, k: int = 5, lanes: tuple[str, ...] = ("bm25", "fts")) -> DataFrame:
-    """Where each query's gold was lost: none, final_top_k_cut, reranker_loss, rrf_fusion_loss or
-    candidate_generation_missed."""
+    """Where each query's gold was lost: none, final_top_k_cut (in the final stage beyond k, or ranked), reranker_loss (in the
+    reranker's pool), candidate_filter_loss (fused), rrf_fusion_loss (in a lane) or candidate_generation_missed. Stages: final,
+    ranked, pool, rrf and the lanes."""
     keys = gold.where("relevance > 0")
     seen = trace.join(keys.select("query_id", "chunk_id"), ["query_id", "chunk_id"], "left_semi").groupBy("query_id").agg(
         F.min(F.when(F.col("stage") == "final", F.col("rank"))).alias("final"),
+        F.bool_or(F.col("stage") == "ranked").alias("ranked"),
+        F.bool_or(F.col("stage") == "pool").alias("pool"),
         F.min(F.when(F.col("stage") == "rrf", F.col("rank"))).alias("rrf"),
         F.min(F.when(F.col("stage").isin(*lanes), F.col("rank"))).alias("lane"),
     )
     joined = keys.select("query_id").distinct().join(seen, "query_id", "left")
     point = (
-        F.when(F.col("final") <= k, "none").when(F.col("final").isNotNull(), "final_top_k_cut").when(F.col("rrf").isNotNull(), "reranker_loss")
+        F.when(F.col("final") <= k, "none").when(F.col("final").isNotNull() | F.col("ranked"), "final_top_k_cut").when(F.col("pool"), "reranker_loss")
+        .when(F.col("rrf").isNotNull(), "candidate_filter_loss")
         .when(F.col("lane").isNotNull(), "rrf_fusion_loss").otherwise("candidate_generation_missed")
     )
     return joined.select("query_id", point.alias("loss_point"), F.col("final").alias("final_rank"), F.col("rrf").alias("rrf_rank"), F.col("lane").alias("lane_rank"))
@@ -111,13 +115,23 @@ def failure_reason(results: DataFrame, gold: DataFrame, k: int = 5) -> DataFrame
     return joined.select("query_id", reason.alias("reason"))
 
 
+#: Labels that people give to cases, which summaries go by.
+LABELS = (
+    "has_explicit_character", "has_alias_or_title", "has_pronoun", "has_chapter_hint", "requires_cross_chapter", "requires_multiple_evidence",
+    "answer_evidence_span", "query_time_bucket",
+)
+
+
 def case_features(cases: DataFrame) -> DataFrame:
-    """cases (query_id, query, chapter_no, chapters, entity_count, category) with buckets; unknown is N/A."""
-    size, place = F.length("query"), F.col("chapter_no") / F.col("chapters")
+    """cases (query_id, query, gold_chapters, chapters, entity_count, labels where there are columns of them) with buckets;
+    unknown is N/A. A file without chapters has no position."""
+    size = F.length(F.trim("query"))
+    place = F.array_min("gold_chapters") / F.when(F.col("chapters") > 0, F.col("chapters"))
     length = F.when(size <= 10, "short").when(size <= 25, "medium").otherwise("long")
     third = F.when(place.isNull(), "N/A").when(place <= 1 / 3, "early").when(place <= 2 / 3, "middle").otherwise("late")
-    entities = F.when(F.col("entity_count").isNull(), "N/A").when(F.col("entity_count") == 0, "0").when(F.col("entity_count") == 1, "1").otherwise("2+")
-    return cases.select("query_id", length.alias("length"), third.alias("position"), entities.alias("entities"), F.coalesce("category", F.lit("N/A")).alias("category"))
+    entities = F.when(F.col("entity_count").isNull(), "N/A").when(F.col("entity_count") == 0, "none").when(F.col("entity_count") == 1, "single").otherwise("multi")
+    labels = [F.coalesce(F.col(c).cast("string"), F.lit("N/A")).alias(c) if c in cases.columns else F.lit("N/A").alias(c) for c in LABELS]
+    return cases.select("query_id", F.length("query").alias("query_length"), length.alias("query_length_bucket"), entities.alias("entity_count_bucket"), third.alias("chapter_position"), *labels)
 
 
 def summarize(rows: DataFrame, metrics: tuple[str, ...], dims: tuple[str, ...], latency: str = "latency_ms") -> DataFrame:
@@ -180,25 +194,43 @@ def draw(b: Column, i: Column, n: Column, seed: int) -> Column:
     return F.pmod(x, n)
 
 
+def numbered(df: DataFrame, key: str, name: str, parts: int = 200) -> DataFrame:
+    """df with `name`: places from 0 in order of a numeric key without ties (nulls are left out). Rows are cut at quantiles of the
+    key, numbered inside each cut, and moved on by the sizes of the cuts before, so no task sees more than a cut."""
+    bounds = df.agg(F.percentile_approx(key, F.array(*(F.lit(i / parts) for i in range(1, parts))), 10_000)).first()[0] or []
+    cut = F.size(F.filter(F.array(*map(F.lit, sorted(set(bounds)))), lambda b: b < F.col(key))) if bounds else F.lit(0)
+    rows = df.where(F.col(key).isNotNull()).withColumn("_cut", cut)
+    sizes = {r["_cut"]: r["n"] for r in rows.groupBy("_cut").agg(F.count(F.lit(1)).alias("n")).collect()}  # at most `parts` rows
+    before, total = [], 0
+    for i in range(parts + 1):
+        before.append(total)
+        total += sizes.get(i, 0)
+    base = F.element_at(F.array(*(F.lit(n).cast("long") for n in before)), F.col("_cut") + 1)
+    return rows.withColumn(name, F.row_number().over(Window.partitionBy("_cut").orderBy(key)) - 1 + base).drop("_cut")
+
+
 def paired_bootstrap(pairs: DataFrame, resamples: int = 10_000, seed: int = 42, digits: int = 6) -> DataFrame:
-    """pairs (id, delta) -> one row: mean difference, its 95 % interval over resamples, significance.
+    """pairs (id, delta) -> one row: mean difference, its 95 % interval over resamples, significance. Ids are numbers.
 
     Every pair asks for its place by rank; a resample's places are drawn by hash, joined to the deltas and
     summed before the shuffle, so that carries one row a resample and task."""
-    order = Window.orderBy("id")
-    placed = pairs.select("id", "delta").withColumn("i", F.row_number().over(order) - 1)
-    n = pairs.agg(F.count(F.lit(1)).alias("n"), F.avg("delta").alias("mean"))
-    spark = pairs.sparkSession
-    grid = spark.range(resamples).withColumnRenamed("id", "b").join(F.broadcast(n), F.lit(True))
-    grid = grid.select("b", "n", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1)).alias("k")).where("n > 0")
-    drawn = grid.select("b", draw(F.col("b"), F.col("k"), F.col("n"), seed).alias("i"))
-    means = drawn.join(placed.select("i", "delta"), "i").groupBy("b").agg(F.round(F.avg("delta"), digits).alias("m"))
-    ranked = means.withColumn("r", F.row_number().over(Window.orderBy("m", "b")) - 1)
-    ends = ranked.agg(
-        F.max(F.when(F.col("r") == int(0.025 * (resamples - 1)), F.col("m"))).alias("low"),
-        F.max(F.when(F.col("r") == int(0.975 * (resamples - 1)), F.col("m"))).alias("high"),
-    )
-    return n.join(F.broadcast(ends), F.lit(True)).select(F.round("mean", digits).alias("mean"), "low", "high", ((F.col("low") > 0) | (F.col("high") < 0)).alias("significant"))
+    placed = numbered(pairs.select("id", "delta"), "id", "i").withColumn("g", F.lit(0))
+    found = bootstrap_groups(placed, ["g"], resamples, seed, digits)
+    n = pairs.agg(F.round(F.avg("delta"), digits).alias("mean"))
+    return n.join(F.broadcast(found.drop("g", "mean", "n")), F.lit(True), "left")  # one row each
+
+
+def bootstrap_groups(placed: DataFrame, by: list[str], resamples: int = 10_000, seed: int = 42, digits: int = 6) -> DataFrame:
+    """placed (by..., i from 0, delta) -> by..., n, mean, low, high, significant: the paired bootstrap of each group."""
+    sizes = placed.groupBy(*by).agg(F.count(F.lit(1)).alias("n"), F.round(F.avg("delta"), digits).alias("mean"))
+    grid = sizes.select(*by, "n", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(resamples - 1).cast("long"))).alias("b"))
+    grid = grid.repartition(grid.sparkSession.sparkContext.defaultParallelism, "b").select(*by, "b", "n", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1)).alias("k"))
+    drawn = grid.select(*by, "b", draw(F.col("b"), F.col("k"), F.col("n"), seed).alias("i"))
+    means = drawn.join(placed.select(*by, "i", "delta"), [*by, "i"]).groupBy(*by, "b").agg(F.round(F.avg("delta"), digits).alias("m"))
+    ranked = means.withColumn("r", F.row_number().over(Window.partitionBy(*by).orderBy("m", "b")) - 1)  # `resamples` rows a group
+    at = lambda p: F.max(F.when(F.col("r") == int(p * (resamples - 1)), F.col("m")))
+    ends = ranked.groupBy(*by).agg(at(0.025).alias("low"), at(0.975).alias("high"))
+    return sizes.join(ends, by).withColumn("significant", (F.col("low") > 0) | (F.col("high") < 0))
 
 
 def win_tie_loss(pairs: DataFrame, tolerance: float = 1e-9) -> DataFrame:

@@ -154,3 +154,51 @@ def validate_requests(requests: DataFrame) -> DataFrame:
     )
     mapped = F.when(strategy == "multi_expert", "plan_execute").when(strategy == "roleplay", "auto").otherwise(strategy)
     return requests.withColumns({"error": error, "strategy": mapped, "interaction_mode": own, "chapter_until": F.when(own == "roleplay", F.col("chapter_until"))})
+
+
+# What a prepared query may say, and openings of answers.
+INTENTS = ("character", "character_relation", "plot_causality", "timeline", "chapter_locator", "factual", "user_preference", "other")
+MODES = ("novel_evidence", "memory_context", "conversation")
+CITATIONS = ("chapter_only", "hidden", "normal")
+ANSWER_MARKERS = ("答案：", "回答：", "综上", "因此可以看出", "分析如下", "总结：")
+
+
+def validate_prepared(df: DataFrame, most: int = 400) -> DataFrame:
+    """df with `verdict`: the first check that a prepared query fails, else ok. Columns: standalone_query, retrieval_query, intent,
+    needs_retrieval, answer_mode, retrieval_reason, confidence (strings and a boolean), entities, evidence_focus (arrays), citation_style,
+    original, history, memory. Null intent, needs_retrieval, answer_mode, retrieval_reason and confidence take their defaults,
+    null arrays and citation_style none; texts are trimmed first."""
+    bare = lambda c: F.regexp_replace(c, "^\\s+|\\s+$", "")
+    alone, asked = bare(F.col("standalone_query")), bare(F.col("retrieval_query"))
+    needs, mode = F.coalesce("needs_retrieval", F.lit(True)), F.coalesce("answer_mode", F.lit("novel_evidence"))
+    reason = F.coalesce("retrieval_reason", F.lit("legacy_query_preparation"))
+    sure = F.coalesce("confidence", F.lit("0")).try_cast("double")
+    used = F.when(needs, asked).otherwise("")
+    none = F.array().cast("array<string>")
+
+    def wrong(name: str, limit: int, chars: int):
+        c = F.coalesce(name, none)
+        return (F.size(c) > limit) | F.exists(c, lambda x: ~F.coalesce(F.length(F.trim(x)).between(1, chars), F.lit(False)))
+
+    source = F.concat_ws("\n", F.coalesce("original", F.lit("")), F.coalesce("history", F.lit("")), F.coalesce("memory", F.lit("")))
+    invented = F.exists(F.coalesce("entities", none), lambda x: (F.length(F.trim(x)) >= 2) & ~F.contains(source, F.trim(x)) & F.contains(alone, F.trim(x)))
+    told = F.lit(False)
+    for marker in ANSWER_MARKERS:
+        told = told | F.contains(used, F.lit(marker)) | F.contains(alone, F.lit(marker))
+    checks = (
+        ("missing_query", alone.isNull() | asked.isNull()),
+        ("empty_query", alone == ""),
+        ("query_too_long", (F.length(alone) > most) | (F.length(asked) > most)),
+        ("invalid_intent", ~F.coalesce("intent", F.lit("other")).isin(*INTENTS)),
+        ("invalid_answer_mode", ~mode.isin(*MODES)),
+        ("invalid_retrieval_reason", (bare(reason) == "") | (F.length(reason) > 80)),
+        ("missing_retrieval_query", needs & (asked == "")),
+        ("inconsistent_answer_mode", needs != (mode == "novel_evidence")),
+        ("invalid_confidence", ~F.coalesce(sure.between(0.0, 1.0) & ~F.isnan(sure), F.lit(False))),
+        ("invalid_list", wrong("entities", 12, 40) | wrong("evidence_focus", 8, 60)),
+        ("invalid_output_policy", ~F.coalesce("citation_style", F.lit("normal")).isin(*CITATIONS)),
+        ("invented_entity", invented),
+        ("answer_like", told),
+        ("multiline_query", F.contains(used, F.lit("\n")) | F.contains(alone, F.lit("\n"))),
+    )
+    return df.withColumn("verdict", F.coalesce(*(F.when(c, F.lit(n)) for n, c in checks), F.lit("ok")))

@@ -574,7 +574,7 @@ def evl7(spark, sf_dir):
 
 
 @query("evl8_loss_point", f"""{demo.FULL}, h AS (SELECT t.query_id, min(rank) FILTER (WHERE stage = 'final') AS f, min(rank) FILTER (WHERE stage = 'rrf') AS r, min(rank) FILTER (WHERE stage IN ('bm25', 'fts')) AS l FROM trace t JOIN gold USING (query_id, chunk_id) GROUP BY ALL)
-  SELECT g.query_id, CASE WHEN f <= 5 THEN 'none' WHEN f IS NOT NULL THEN 'final_top_k_cut' WHEN r IS NOT NULL THEN 'reranker_loss' WHEN l IS NOT NULL THEN 'rrf_fusion_loss' ELSE 'candidate_generation_missed' END AS loss_point, f AS final_rank, r AS rrf_rank, l AS lane_rank FROM (SELECT DISTINCT query_id FROM gold) g LEFT JOIN h USING (query_id)""")
+  SELECT g.query_id, CASE WHEN f <= 5 THEN 'none' WHEN f IS NOT NULL THEN 'final_top_k_cut' WHEN r IS NOT NULL THEN 'candidate_filter_loss' WHEN l IS NOT NULL THEN 'rrf_fusion_loss' ELSE 'candidate_generation_missed' END AS loss_point, f AS final_rank, r AS rrf_rank, l AS lane_rank FROM (SELECT DISTINCT query_id FROM gold) g LEFT JOIN h USING (query_id)""")
 def evl8(spark, sf_dir):
     return evaluation.loss_point(retrieved(spark, sf_dir)[1], demo.gold(spark, sf_dir)).select("query_id", "loss_point", *(F.col(c).cast("long") for c in ("final_rank", "rrf_rank", "lane_rank")))
 

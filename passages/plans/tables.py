@@ -112,12 +112,14 @@ def str14(spark, sf_dir):
     return structure.numbering_check(rows, "user_id").select("user_id", "n", "inversions", "duplicates")
 
 
-@query("evl10_case_features", "SELECT item_id AS query_id, CASE WHEN length(text) % 40 <= 10 THEN 'short' WHEN length(text) % 40 <= 25 THEN 'medium' ELSE 'long' END AS length, CASE WHEN item_id % 4 = 0 THEN 'N/A' WHEN (item_id % 10 + 1) / 10.0 <= 1 / 3.0::DOUBLE THEN 'early' WHEN (item_id % 10 + 1) / 10.0 <= 2 / 3.0::DOUBLE THEN 'middle' ELSE 'late' END AS position, CASE item_id % 4 WHEN 0 THEN 'N/A' WHEN 1 THEN '0' WHEN 2 THEN '1' ELSE '2+' END AS entities, 'N/A' AS category FROM benchmark")
+@query("evl10_case_features", """SELECT item_id AS query_id, length(text) % 40 AS query_length, CASE WHEN length(trim(substring(text, 1, length(text) % 40), ' ')) <= 10 THEN 'short' WHEN length(trim(substring(text, 1, length(text) % 40), ' ')) <= 25 THEN 'medium' ELSE 'long' END AS query_length_bucket,
+  CASE item_id % 4 WHEN 0 THEN 'N/A' WHEN 1 THEN 'none' WHEN 2 THEN 'single' ELSE 'multi' END AS entity_count_bucket, CASE WHEN item_id % 4 = 0 THEN 'N/A' WHEN (item_id % 10 + 1) / 10.0 <= 1 / 3.0::DOUBLE THEN 'early' WHEN (item_id % 10 + 1) / 10.0 <= 2 / 3.0::DOUBLE THEN 'middle' ELSE 'late' END AS chapter_position,
+  CASE item_id % 3 WHEN 0 THEN 'N/A' WHEN 1 THEN 'true' ELSE 'false' END AS has_pronoun, 'N/A' AS has_explicit_character, 'N/A' AS has_alias_or_title, 'N/A' AS has_chapter_hint, 'N/A' AS requires_cross_chapter, 'N/A' AS requires_multiple_evidence, 'N/A' AS answer_evidence_span, 'N/A' AS query_time_bucket FROM benchmark""")
 def evl10(spark, sf_dir):
     i = F.col("item_id")
     cases = demo.table(spark, sf_dir, "benchmark").select(
-        i.alias("query_id"), F.substring("text", F.lit(1), F.length("text") % 40).alias("query"), F.when(i % 4 > 0, i % 10 + 1).alias("chapter_no"), F.lit(10).alias("chapters"),
-        F.when(i % 4 > 0, i % 4 - 1).alias("entity_count"), F.lit(None).cast("string").alias("category"),
+        i.alias("query_id"), F.substring("text", F.lit(1), F.length("text") % 40).alias("query"), F.when(i % 4 > 0, F.array(i % 10 + 3, i % 10 + 1)).alias("gold_chapters"), F.lit(10).alias("chapters"),
+        F.when(i % 4 > 0, i % 4 - 1).alias("entity_count"), F.when(i % 3 > 0, i % 3 == 1).alias("has_pronoun"),
     )
     return evaluation.case_features(cases)
 
@@ -157,11 +159,11 @@ DELTAS = "p AS (SELECT doc_id AS id, (quality - toxic - CASE WHEN doc_id % 3 = 0
 
 
 @query("evl18_paired_bootstrap", f"""WITH {DELTAS}, q AS (SELECT delta, row_number() OVER (ORDER BY id) - 1 AS i FROM p), n AS (SELECT count(*) AS n, avg(delta) AS mean FROM p),
-  g AS (SELECT b, n, unnest(range(0, n)) AS k FROM (SELECT unnest(range(0, 1000)) AS b), n), x AS (SELECT b, n, (b * 1000003 + k * 7919 + 42 * 104729) % 2147483647 AS x FROM g),
+  g AS (SELECT b, n, unnest(range(0, n)) AS k FROM (SELECT unnest(range(0, 10000)) AS b), n), x AS (SELECT b, n, (b * 1000003 + k * 7919 + 42 * 104729) % 2147483647 AS x FROM g),
   d AS (SELECT b, (((x * 48271) % 2147483647) * 48271) % 2147483647 % n AS i FROM x), m AS (SELECT b, round(avg(delta), 6) AS m FROM d JOIN q USING (i) GROUP BY b), r AS (SELECT m, row_number() OVER (ORDER BY m, b) - 1 AS r FROM m)
-  SELECT round((SELECT mean FROM n), 6) AS mean, max(m) FILTER (WHERE r = 24) AS low, max(m) FILTER (WHERE r = 974) AS high, max(m) FILTER (WHERE r = 24) > 0 OR max(m) FILTER (WHERE r = 974) < 0 AS significant FROM r""")
+  SELECT round((SELECT mean FROM n), 6) AS mean, max(m) FILTER (WHERE r = 249) AS low, max(m) FILTER (WHERE r = 9749) AS high, max(m) FILTER (WHERE r = 249) > 0 OR max(m) FILTER (WHERE r = 9749) < 0 AS significant FROM r""")
 def evl18(spark, sf_dir):
-    return evaluation.paired_bootstrap(deltas(spark, sf_dir), 1000)
+    return evaluation.paired_bootstrap(deltas(spark, sf_dir))
 
 
 @query("evl19_win_tie_loss", f"WITH {DELTAS} SELECT count(*) FILTER (WHERE delta > 1e-9) AS wins, count(*) FILTER (WHERE abs(delta) <= 1e-9) AS ties, count(*) FILTER (WHERE delta < -1e-9) AS losses FROM p")
@@ -193,28 +195,67 @@ def set3(spark, sf_dir):
     return evalsets.batches(demo.table(spark, sf_dir, "benchmark").select("item_id"), "item_id", 9)
 
 
-@query("ans1_citations", "SELECT conv_id, turn, array_to_string(list_transform(list_filter(range(1, 4), lambda k: contains(s, '[S' || k || ']')), lambda k: 'S' || k), ',') AS cited FROM (SELECT conv_id, turn, CASE turn % 3 WHEN 0 THEN '[S1] a [S2] b [S1]' WHEN 1 THEN '[S2][S3]' ELSE text END AS s FROM conversations)")
+#: Conversation texts with marks of their own: [S#] by their first words' lengths, before and after.
+MARKED = "said AS (SELECT conv_id, turn, '[S' || (length(text) % 4 + 1) || '] ' || text || ' [S' || (length(text) % 3 + 1) || '][S' || (turn % 3 + 1) || ']' AS s, length(text) % 4 + 1 AS a, length(text) % 3 + 1 AS b, turn % 3 + 1 AS c FROM conversations)"
+
+
+def marked(spark, sf_dir):
+    n = F.length("text")
+    mark = lambda c: F.concat(F.lit("[S"), c.cast("string"), F.lit("]"))
+    said = F.concat(mark(n % 4 + 1), F.lit(" "), "text", F.lit(" "), mark(n % 3 + 1), mark(F.col("turn") % 3 + 1))
+    return demo.table(spark, sf_dir, "conversations").select("conv_id", "turn", said.alias("s"))
+
+
+@query("ans1_citations", f"WITH {MARKED} SELECT conv_id, turn, 'S' || a || CASE WHEN b <> a THEN ',S' || b ELSE '' END || CASE WHEN c NOT IN (a, b) THEN ',S' || c ELSE '' END AS cited FROM said")
 def ans1(spark, sf_dir):
-    t = F.col("turn") % 3
-    said = F.when(t == 0, "[S1] a [S2] b [S1]").when(t == 1, "[S2][S3]").otherwise(F.col("text"))
-    return demo.table(spark, sf_dir, "conversations").select("conv_id", "turn", F.array_join(answers.citations(said), ",").alias("cited"))
+    return marked(spark, sf_dir).select("conv_id", "turn", F.array_join(answers.citations(F.col("s")), ",").alias("cited"))
 
 
-@query("ans4_strip_citations", "SELECT conv_id, turn, replace(replace('x [S1] y [S2] z [S3]', '[S2]', ''), '[S3]', '') AS answer FROM conversations")
+@query("ans4_strip_citations", f"WITH {MARKED} SELECT conv_id, turn, md5(replace(replace(s, '[S2]', ''), '[S4]', '')) AS digest FROM said")
 def ans4(spark, sf_dir):
-    return demo.table(spark, sf_dir, "conversations").select("conv_id", "turn", answers.strip_citations(F.lit("x [S1] y [S2] z [S3]"), F.array(F.lit("S1"))).alias("answer"))
+    valid = F.array(F.lit("S1"), F.lit("S3"))
+    return marked(spark, sf_dir).select("conv_id", "turn", F.md5(answers.strip_citations(F.col("s"), valid)).alias("digest"))
 
 
-@query("ans7_clean_verdicts", "SELECT event_id, CASE WHEN event_id % 5 = 0 THEN 0 ELSE greatest(1, least(5, event_id % 8)) END AS score FROM events")
+@query("ans7_clean_verdicts", "SELECT event_id, CASE WHEN event_type = 'error' OR value IS NULL THEN 0 ELSE greatest(1, least(5, floor(value)))::INT END AS score FROM events")
 def ans7(spark, sf_dir):
-    i = F.col("event_id")
-    return demo.table(spark, sf_dir, "events").select("event_id", answers.clean_score(F.when(i % 5 > 0, i % 8)).alias("score"))
+    judged = F.when(F.col("event_type") != "error", F.floor("value"))
+    return demo.table(spark, sf_dir, "events").select("event_id", answers.clean_score(judged).cast("int").alias("score"))
+
+
+def answer_rows(spark, sf_dir):
+    """events as runs: the type is the strategy, the user the question, the first event of both the run."""
+    v, i = F.col("value"), F.col("event_id")
+    first = demo.table(spark, sf_dir, "events").groupBy("event_type", "user_id").agg(F.min_by(F.struct("event_id", "value", "props"), "event_id").alias("e")).select("event_type", "user_id", "e.*")
+    score = lambda k: F.when(i % 7 > 0, (F.floor(v) + k) % 5 + 1).cast("double")
+    return first.select(
+        F.col("event_type").alias("strategy"), F.col("user_id").alias("id"), F.when(i % 9 > 0, F.col("props")).otherwise(" ").alias("answer"), F.when(i % 8 == 0, "failed").alias("error"),
+        *(score(k).alias(c) for k, c in enumerate(answers.JUDGED)), ((i % 4) / 4).alias("gold_citation_rate"), F.when(i % 5 == 0, F.array(F.lit("S9"))).otherwise(F.array().cast("array<string>")).alias("unknown"),
+        v.alias("latency_ms"), (i % 3 + 1).alias("llm_calls"),
+    )
+
+
+ANSWER_ROWS = "runs AS (SELECT event_type AS strategy, user_id AS id, CASE WHEN i % 9 > 0 THEN props ELSE ' ' END AS answer, CASE WHEN i % 8 = 0 THEN 'failed' END AS error, " + ", ".join(
+    f"CASE WHEN i % 7 > 0 THEN ((floor(value) + {k}) % 5 + 1)::DOUBLE END AS {c}" for k, c in enumerate(answers.JUDGED)
+) + ", (i % 4) / 4.0::DOUBLE AS gold_citation_rate, i % 5 = 0 AS odd, value AS latency_ms, i % 3 + 1 AS llm_calls FROM (SELECT *, event_id AS i FROM events QUALIFY row_number() OVER (PARTITION BY event_type, user_id ORDER BY event_id) = 1))"
 
 
-@query("ans9_strategy_summary", "SELECT event_type AS strategy, count(*) AS n, round(avg(value), 4) AS latency_avg, round(quantile_cont(value, 0.95), 4) AS latency_p95, round(avg((event_id % 4 = 0)::INT), 4) AS error_rate FROM events GROUP BY event_type")
+@query("ans9_strategy_summary", f"WITH {ANSWER_ROWS} SELECT strategy, count(*) AS questions, " + ", ".join(f"coalesce(round(avg({c}), 4), 0.0) AS {c}" for c in (*answers.JUDGED, "gold_citation_rate")) + """, round(avg(odd::INT), 4) AS unknown_citation_case_rate,
+  round(avg((trim(answer) = '')::INT), 4) AS empty_answer_rate, round(avg((error IS NOT NULL)::INT), 4) AS error_rate, round(avg(latency_ms), 1) AS avg_latency_ms, round(quantile_cont(latency_ms, 0.95), 1) AS p95_latency_ms,
+  round(avg(llm_calls), 4) AS avg_llm_calls, sum(llm_calls)::BIGINT AS total_llm_calls FROM runs GROUP BY strategy""")
 def ans9(spark, sf_dir):
-    rows = demo.table(spark, sf_dir, "events").select(F.col("event_type").alias("strategy"), F.col("value").alias("latency_ms"), (F.col("event_id") % 4 == 0).alias("failed"))
-    return answers.strategy_summary(rows)
+    return answers.strategy_summary(answer_rows(spark, sf_dir))
+
+
+@query("ans10_strategy_comparison", f"""WITH {ANSWER_ROWS}, l AS (UNPIVOT (SELECT strategy, id, error, {', '.join(f'coalesce({c}, 0)::DOUBLE AS {c}' for c in answers.COMPARED)} FROM runs) ON {', '.join(answers.COMPARED)} INTO NAME metric VALUE v),
+  x AS (SELECT l.strategy, l.metric, l.id, l.v - b.v AS delta FROM l JOIN l b ON b.id = l.id AND b.metric = l.metric AND b.strategy = 'click' WHERE l.strategy <> 'click' AND l.error IS NULL AND b.error IS NULL),
+  p AS (SELECT *, row_number() OVER (PARTITION BY strategy, metric ORDER BY id) - 1 AS i FROM x), n AS (SELECT strategy, metric, count(*) AS n, round(avg(delta), 6) AS mean, count(*) FILTER (WHERE delta > 1e-9) AS w, count(*) FILTER (WHERE abs(delta) <= 1e-9) AS t, count(*) FILTER (WHERE delta < -1e-9) AS o FROM x GROUP BY ALL),
+  g AS (SELECT strategy, metric, n, b, unnest(range(0, n)) AS k FROM (SELECT *, unnest(range(0, 10000)) AS b FROM n)), h AS (SELECT *, (b * 1000003 + k * 7919 + 42 * 104729) % 2147483647 AS x FROM g), d AS (SELECT strategy, metric, b, (((x * 48271) % 2147483647) * 48271) % 2147483647 % n AS i FROM h),
+  m AS (SELECT strategy, metric, b, round(avg(delta), 6) AS m FROM d JOIN p USING (strategy, metric, i) GROUP BY ALL), r AS (SELECT *, row_number() OVER (PARTITION BY strategy, metric ORDER BY m, b) - 1 AS r FROM m),
+  e AS (SELECT strategy, metric, max(m) FILTER (WHERE r = 249) AS low, max(m) FILTER (WHERE r = 9749) AS high FROM r GROUP BY ALL)
+  SELECT strategy, metric, n, mean, low, high, low > 0 OR high < 0 AS significant, CASE WHEN metric NOT IN ('gold_citation_rate', 'latency_ms') THEN w END AS wins, CASE WHEN metric NOT IN ('gold_citation_rate', 'latency_ms') THEN t END AS ties, CASE WHEN metric NOT IN ('gold_citation_rate', 'latency_ms') THEN o END AS losses FROM n JOIN e USING (strategy, metric)""")
+def ans10(spark, sf_dir):
+    return answers.strategy_comparison(answer_rows(spark, sf_dir), "click")
 
 
 def messages(spark, sf_dir):

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import codecs
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -23,14 +26,45 @@ def source_hash(raw: Column) -> Column:
     return F.sha2(raw, 256)
 
 
+# Encodings tried, in this order, and characters that are common in Chinese.
+ENCODINGS = ("utf-8", "gb18030", "gbk", "big5")
+COMMON = "的一是在不了有和人这中大为上个国我以要他时来用们生到作地于出就分对成会可主"
+
+
 def decode_quality(text: Column, encoding: Column) -> Column:
     """How well a decoding reads: Han characters and common ones count for it (and UTF-8 does), private, kana,
-    replacement and control characters against it."""
+    replacement and control characters against it. Empty texts are the worst."""
     n = lambda pattern: F.regexp_count(text, F.lit(pattern))
-    return (
-        n("[\\x{4e00}-\\x{9fff}]") + 2 * n("[的一是了不在有人我他这来]") + F.when(encoding.startswith("utf-8"), 8).otherwise(0)
-        - 8 * n("[\\x{e000}-\\x{f8ff}]") - 4 * n("[\\x{3040}-\\x{30ff}]") - 20 * n("\\x{fffd}") - 10 * n("[\\x00-\\x08\\x0b\\x0c\\x0e-\\x1f\\x7f]")
+    score = (
+        n("[\\x{3400}-\\x{9fff}]") + 2 * n(f"[{COMMON}]") + F.when(encoding.startswith("utf-8"), 8).otherwise(0)
+        - 8 * n("[\\x{e000}-\\x{f8ff}]") - 4 * n("[\\x{3040}-\\x{30ff}]") - 20 * n("\\x{fffd}") - 10 * n("[\\x00-\\x08\\x0b\\x0c\\x0e-\\x1f]")
     )
+    return F.when(text == "", F.lit(float("-inf"))).otherwise(score.cast("double"))
+
+
+def strict(raw: bytes | None) -> list[dict]:
+    """Every decoding of the bytes without an error; a byte-order mark settles it."""
+    found = []
+    for name in ("utf-8-sig",) if raw and raw.startswith(codecs.BOM_UTF8) else ENCODINGS if raw else ():
+        try:
+            found.append({"encoding": name, "text": raw.decode(name)})
+        except UnicodeDecodeError:
+            continue
+    return found
+
+
+def detect_decode(df: DataFrame, raw: str = "raw") -> DataFrame:
+    """df with text and encoding of the best decoding of its bytes, the earlier of equal ones; both are null for null or empty
+    bytes and for bytes that no encoding reads. Codecs run in Python, the choice in the JVM."""
+
+    @F.pandas_udf("array<struct<encoding:string,text:string>>")
+    def decodings(raws: pd.Series) -> pd.Series:
+        return raws.map(strict)
+
+    tried = df.withColumn("_tried", decodings(F.col(raw)))
+    rated = F.transform("_tried", lambda d, i: F.struct(decode_quality(d["text"], d["encoding"]).alias("q"), (-i).alias("i"), d["encoding"].alias("encoding"), d["text"].alias("text")))
+    best = tried.withColumn("_best", F.array_max(rated))
+    return best.withColumn("text", F.col("_best.text")).withColumn("encoding", F.col("_best.encoding")).drop("_best", "_tried")
 
 
 def read_cases(spark: SparkSession, path: str) -> DataFrame:
@@ -39,3 +73,20 @@ def read_cases(spark: SparkSession, path: str) -> DataFrame:
     gold = "array<struct<chapter_no:int,chunk_no:int,relevance:int,evidence_quote:string>>"
     rows = spark.read.schema(f"id string, query string, category string, file_id string, gold_chunks {gold}").json(path)
     return rows.where((F.length(F.trim("id")) > 0) & (F.length(F.trim("query")) > 0) & (F.size("gold_chunks") > 0))
+
+
+def read_answers(spark: SparkSession, path: str, schema: str = "id string, answer string") -> DataFrame:
+    """Answers, one JSON object a line; the last line of an id wins. Rows without id are left out. Lines are ordered by file,
+    split and place in the split."""
+    place = F.struct(F.col("_metadata.file_path").alias("f"), F.col("_metadata.file_block_start").alias("b"), F.monotonically_increasing_id().alias("i"))
+    rows = spark.read.text(path).select(F.from_json("value", schema).alias("r"), place.alias("at")).where("r.id is not null")
+    return rows.groupBy("r.id").agg(F.max_by("r", "at").alias("r")).select("r.*")
+
+
+def require_validated(cases: DataFrame, least: int = 40, fewer: bool = False) -> DataFrame:
+    """Cases that are validated (null counts as validated). ValueError if there is none, or fewer than `least` without leave."""
+    kept = cases.where(F.coalesce("validated", F.lit(True)))
+    n = kept.count()
+    if n == 0 or (n < least and not fewer):
+        raise ValueError(f"{n} validated cases; at least {1 if fewer else least} are needed")
+    return kept

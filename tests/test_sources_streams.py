@@ -23,8 +23,9 @@ def test_read_corpus(spark, tmp_path):
 
 
 def test_decode_quality(spark):
-    rows = [("红楼的一", "utf-8", 4 + 4 + 8), ("红楼", "gb18030", 2), ("�\x01", "utf-8-sig", 8 - 20 - 10), ("カ", "big5", -12), ("", "gbk", 0)]
-    found = spark.createDataFrame(rows, "t string, e string, want int").select("want", corpus.decode_quality(F.col("t"), F.col("e")).alias("got")).collect()
+    rows = [("红楼的一", "utf-8", 4 + 4 + 8), ("红楼", "gb18030", 2), ("�\x01", "utf-8-sig", 8 - 20 - 10), ("カ", "big5", -12), ("", "gbk", float("-inf"))]
+    rows = [(t, e, float(w)) for t, e, w in rows]
+    found = spark.createDataFrame(rows, "t string, e string, want double").select("want", corpus.decode_quality(F.col("t"), F.col("e")).alias("got")).collect()
     assert all(r.want == r.got for r in found)
 
 
