@@ -107,6 +107,54 @@ class Config:
     high: int = 3
     width: int = 1
     rrf_c: int = 60
+    hybrid: bool = True
+    threshold: float = 0.3
+    rerank: bool = True
+    weights: tuple[float, float, float] | None = (0.70, 0.20, 0.10)
+    top_n: int = 3
+    slots: int = 2
+
+
+def retrieve_full(queries: DataFrame, chunks: DataFrame, config: Config = Config(), scorer=None) -> tuple[DataFrame, DataFrame]:
+    """(results, trace) with every step: queries are merged with their hint, lanes fused, gated, bound to chapters, reranked
+    with protected places, annotated, and given neighbours within the bound.
+
+    queries (query_id, query; hint, vector, chapter_until where there are such columns), chunks (chunk_id, file_id, user_id, source,
+    chapter_no, chunk_no, content; embedding for the vector lane). Queries that are blank after merging have no rows. Texts are
+    joined to the pool, at most config.pool rows a query, for the scorer alone."""
+    if "hint" in queries.columns:
+        queries = channels.merge_query(queries).withColumn("query", F.col("merged")).drop("merged")
+    lanes = {"bm25": channels.bm25(queries, chunks, config.pool, config.low, config.high), "fts": channels.fts(queries, chunks, config.pool)}
+    if "vector" in queries.columns and "embedding" in chunks.columns:
+        lanes = {"vector": channels.knn(queries, chunks, config.pool)} | lanes
+    columns = ("query_id", "chunk_id", "score", "rank", "channel")
+    candidates = channels.united([df.select(*columns) for df in lanes.values()])
+    of = lambda test: F.max(F.when(test, F.col("score")))
+    scores = candidates.groupBy("query_id", "chunk_id").agg(
+        of(F.col("channel") == "vector").alias("vector"), of(F.col("channel") == "fts").alias("fts"), of(F.col("channel") != "vector").alias("lexical")
+    )
+    fused = fusion.rrf(candidates, config.rrf_c, config.pool)
+    place = chunks.select("chunk_id", "file_id", "user_id", "source", "chapter_no", "chunk_no")
+    bound = queries.select("query_id", (F.col("chapter_until") if "chapter_until" in queries.columns else F.lit(None)).cast("long").alias("chapter_until"))
+    passed = fusion.gate(fused.join(scores, ["query_id", "chunk_id"]), config.hybrid, config.threshold)
+    pool = fusion.within_chapter(passed.join(place, "chunk_id").join(bound, "query_id"))
+    pool = fusion.label_scores(pool.withColumn("fused", F.col("rrf")))
+    stages = {name: candidates.where(F.col("channel") == name) for name in lanes} | {"rrf": fused, "pool": pool}
+    if config.rerank:
+        texts = pool.join(chunks.select("chunk_id", "content"), "chunk_id").join(queries.select("query_id", "query"), "query_id")
+        ranked = fusion.rerank_rank(fusion.blend(fusion.calibrate(fusion.score_pairs(texts, scorer)), config.weights)).drop("content", "query")
+        stages["ranked"] = ranked
+        chosen = fusion.protect(ranked.select("query_id", "chunk_id", "rank", "rrf"), config.k, config.top_n, config.slots)
+        best = ranked.drop("rank").join(chosen, ["query_id", "chunk_id"])
+    else:
+        best = pool.withColumn("final", F.col("rrf")).withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy("rank"))).where(F.col("rank") <= config.k)
+    primary = annotate(best)
+    shown = ("query_id", "chunk_id", "file_id", "source", "chapter_no", "chunk_no")
+    around = neighbors(primary.select("query_id", "user_id", "file_id", "chapter_no", "chunk_no"), place, config.width)
+    around = budget_neighbors(fusion.within_chapter(around.join(bound, "query_id")), config.width)
+    more = {"final": "double", "rrf": "double", "score_type": "string", "rank": "int"}
+    both = primary.select(*shown, *more, "neighbor").unionByName(around.select(*shown, *(F.lit(None).cast(t).alias(c) for c, t in more.items()), F.lit(True).alias("neighbor")))
+    return reading_order(both), trace(stages | {"final": primary})
 
 
 def retrieve(queries: DataFrame, chunks: DataFrame, config: Config = Config()) -> tuple[DataFrame, DataFrame]:

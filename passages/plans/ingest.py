@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from passages.functions import text
-from passages.operators import channels, chunking, querylog, structure
+from passages.operators import channels, chunking, context, querylog, structure
 from passages.plans import demo
 from passages.sources import corpus, sinks
 from passages.streaming import sessions
@@ -196,6 +196,14 @@ def ret3(spark, sf_dir):
     return channels.knn_ann(demo.vector_queries(spark, sf_dir), demo.vectors(spark, sf_dir), 10).select("query_id", "chunk_id", "score", "rank")
 
 
+@query("ctx10_full")
+def ctx10_full(spark, sf_dir):
+    """All steps: every benchmark passage, those of even ids bound to the first chapter."""
+    asked = demo.queries(spark, sf_dir).withColumn("hint", F.lit(None).cast("string")).withColumn("chapter_until", F.when(F.col("query_id") % 2 == 0, 1))
+    found, _ = context.retrieve_full(asked, demo.chunks(spark, sf_dir))
+    return found.select("query_id", "chunk_id", "rank", "neighbor", "position", "final")
+
+
 GRAMS = "list_distinct(list_transform(range(1, greatest(length({0}) - 1, 1)), lambda i: substring({0}, i, 3)))"
 
 

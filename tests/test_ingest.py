@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from passages.functions import text
-from passages.operators import answers, channels, chunking, evaluation, querylog, structure
+from passages.operators import answers, channels, chunking, context, evaluation, querylog, structure
 from passages.plans import demo
 from passages.sources import corpus, sinks
 from passages.streaming import ingest, sessions, state
@@ -217,3 +217,25 @@ def test_streams_with_state(spark, tmp_path):
     steps = ("file_id string, lease int, value int", [[("f", 1, 30), ("f", 1, 20)], [("f", 1, 10), ("f", 2, 170)]])
     assert run(spark, tmp_path, steps, sessions.progress, "steps", "update")[0] == ("f", 1, 30)
     assert ("f", 2, 100) in run(spark, tmp_path, steps, sessions.progress, "steps2", "update")
+
+
+def test_full_retrieval(spark):
+    """Bounds, tenants, reranking and neighbours on eight chunks of two chapters."""
+    words = ["river stone", "river bridge stone arch", "the moon", "river", "quiet hill", "stone", "bridge river arch stone water", "field"]
+    rows = [(f"f:{i}", "f", "u", "src", 1 if i < 4 else 2, i, t, [1.0, float(i)]) for i, t in enumerate(words)]
+    chunks = spark.createDataFrame(rows, "chunk_id string, file_id string, user_id string, source string, chapter_no int, chunk_no int, content string, embedding array<float>")
+    asked = spark.createDataFrame([(1, "river bridge", "stone arch", 1, [1.0, 0.0]), (2, "river bridge stone arch", None, None, [1.0, 0.0]), (3, " ", None, None, None)], "query_id int, query string, hint string, chapter_until int, vector array<float>")
+    found, steps = context.retrieve_full(asked, chunks, context.Config(k=2, pool=6, top_n=0))
+    got = found.collect()
+    assert {r.query_id for r in got} == {1, 2} and all(r.chapter_no == 1 for r in got if r.query_id == 1)
+    for q, best in ((1, {"f:1"}), (2, {"f:1", "f:6"})):
+        own = [r for r in got if r.query_id == q and not r.neighbor]
+        assert best <= {r.chunk_id for r in own} and len(own) == 2 and sorted(r.rank for r in own) == [1, 2]
+        near = {r.chunk_no for r in got if r.query_id == q and r.neighbor}
+        assert near and near <= {r.chunk_no + d for r in own for d in (-1, 1)} - {r.chunk_no for r in own}
+    assert {r.stage for r in steps.select("stage").distinct().collect()} == {"vector", "bm25", "fts", "rrf", "pool", "ranked", "final"}
+    kept, _ = context.retrieve_full(asked, chunks, context.Config(k=2, pool=6))  # protected places: two of the best three by fusion
+    fused = steps.where("stage = 'rrf' and rank <= 3 and query_id = 2").select("chunk_id")
+    assert kept.where("query_id = 2 and not neighbor").join(fused, "chunk_id").count() == 2
+    plain, _ = context.retrieve_full(asked.drop("vector", "hint"), chunks, context.Config(k=2, pool=6, rerank=False))
+    assert {r.query_id for r in plain.where("not neighbor").collect()} >= {1, 2}
