@@ -33,11 +33,12 @@ from passages.llm.common import table, written
 
 NAME = "op11_secret_scans"
 
-#: Base patterns, each with the group whose length counts and that length.
+#: Base patterns, each with the group whose length counts and that length. For the last two the length is in the
+#: pattern: a run that is too short holds no longer one, so what fails is dropped either way.
 PATTERNS = {
     "assign": (r"""(?i)(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", 2, 8),
-    "access": (r"AKIA[A-Z0-9]+", 0, 16),
-    "hex": (r"[0-9a-f]+", 0, 32),
+    "access": (r"AKIA[A-Z0-9]{12,}", 0, 16),
+    "hex": (r"[0-9a-f]{32,}", 0, 32),
 }
 KINDS = (*PATTERNS, "random")
 #: Runs that are tested: symbols, then padding that isn't.
