@@ -18,10 +18,11 @@ from passages.llm import (
     op9_lm_scoring,
     op10_packing,
     op11_secret_scans,
+    op12_alignment,
     op13_spelling_groups,
 )
 
-MODULES = (op1_url_filter, op2_quality_rules, op3_byte_bpe, op4_toxicity, op5_html_extraction, op6_token_counts, op7_embedding_dedup, op8_jaccard_join, op9_lm_scoring, op10_packing, op11_secret_scans, op13_spelling_groups)
+MODULES = (op1_url_filter, op2_quality_rules, op3_byte_bpe, op4_toxicity, op5_html_extraction, op6_token_counts, op7_embedding_dedup, op8_jaccard_join, op9_lm_scoring, op10_packing, op11_secret_scans, op12_alignment, op13_spelling_groups)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
