@@ -40,8 +40,8 @@ def merge_policy(base: Column, over: Column, fields: tuple[str, ...]) -> Column:
     return F.struct(*(F.coalesce(over.getField(f), base.getField(f)).alias(f) for f in fields))
 
 
-# Words and patterns of questions about a novel, of talk, and of wishes about the display of sources.
-NOVEL = (
+# Words and patterns of questions about a story, of talk, and of wishes about the display of sources.
+STORY = (
     "人物", "角色", "关系", "情节", "剧情", "事件", "时间线", "先后", "之前", "之后",
     "章节", "第几章", "页码", "片段", "梳理", "综合", "对比", "完整", "跨章节",
     "为什么", "为何", "伏笔", "动机", "因果", "谁", "何时", "后来", "结局",
@@ -62,7 +62,7 @@ NO_SOURCE = NEGATED + "|只(?:要|需).{0,8}(?:总结|结论)|直接告诉我.{0
 SHOW_SOURCE = "(?:给我|展示|引用|贴出).{0,8}(?:原文|原话|依据)"
 REFERENCE = "第\\s*[一二三四五六七八九十0-9]+章|人物|角色|小说|这段|这个事件|这个情节|后来|为什么|为何|根据原文|原文依据|核对|验证"
 REQUEST = "人物|角色|关系|情节|剧情|事件|时间线|章节|回目|页码|片段|为什么|为何|谁|何时|后来|之后|发生了什么|怎么回事|如何|是否正确|可靠吗|核对|验证|原文依据|根据原文"
-MODES = ("novel_evidence", "memory_context", "conversation")
+MODES = ("evidence", "memory_context", "conversation")
 STRATEGIES = ("direct", "react", "plan_execute")
 REQUEST_STRATEGIES = ("auto", *STRATEGIES, "multi_expert", "roleplay")
 
@@ -80,10 +80,10 @@ def rule_label(query: Column) -> Column:
     return (
         F.when(text == "", case(False, "empty_conversation", "conversation"))
         .when(text.rlike(NEGATED) & ~F.regexp_replace(text, NEGATED, "").rlike(REFERENCE), case(False, "user_output_preference", "memory_context"))
-        .when(text.rlike("|".join(NOVEL)), case(True, "novel_evidence", "novel_evidence"))
-        .when(text.rlike("|".join(TALK)) & refers, case(True, "ambiguous_novel_reference", "novel_evidence"))
+        .when(text.rlike("|".join(STORY)), case(True, "evidence", "evidence"))
+        .when(text.rlike("|".join(TALK)) & refers, case(True, "ambiguous_reference", "evidence"))
         .when(text.rlike("|".join(TALK)), case(False, "conversation_only", "conversation"))
-        .otherwise(case(True, "conservative_novel_lookup", "novel_evidence"))
+        .otherwise(case(True, "conservative_lookup", "evidence"))
     )
 
 
@@ -93,7 +93,7 @@ def policy_label(query: Column, hint: Column, threshold: float = 0.75) -> Column
     hint: struct needs_retrieval, answer_mode, retrieval_reason, confidence, retrieval_query, reason, original; without
     one the rules decide. A hint that contradicts itself or lacks a field is invalid."""
     needs, mode, why, sure, asked, state, original = (hint.getField(n) for n in ("needs_retrieval", "answer_mode", "retrieval_reason", "confidence", "retrieval_query", "reason", "original"))
-    valid = mode.isin(*MODES) & (bare(why) != "") & sure.between(0, 1) & asked.isNotNull() & (needs == (bare(asked) != "")) & (needs == (mode == "novel_evidence"))
+    valid = mode.isin(*MODES) & (bare(why) != "") & sure.between(0, 1) & asked.isNotNull() & (needs == (bare(asked) != "")) & (needs == (mode == "evidence"))
     strong = F.regexp_replace(bare(F.concat(F.coalesce(query, F.lit("")), F.lit(" "), F.coalesce(original, F.lit("")))), NEGATED, "").rlike("|".join(FORCED))
     rule = rule_label(query)
 
@@ -104,10 +104,10 @@ def policy_label(query: Column, hint: Column, threshold: float = 0.75) -> Column
     failed = F.when(F.length(state) > 0, state).otherwise("query_preparation_failed")
     return (
         F.when(hint.isNull(), case(F.when(rule["needs"], "required").otherwise("forbidden"), rule["reason"], rule["mode"], None))
-        .when(~F.coalesce(valid, F.lit(False)), case("required", "query_preparation_failed", "novel_evidence", "invalid_query_preparation"))
-        .when(~state.eqNullSafe(F.lit("rewritten")), case("required", "query_preparation_failed", "novel_evidence", failed))
-        .when((mode == "novel_evidence") & (sure < threshold), case("required", "forced_by_low_confidence", "novel_evidence", "low_confidence"))
-        .when(~needs & strong, case("required", "forced_by_strong_novel_signal", "novel_evidence", "strong_novel_signal"))
+        .when(~F.coalesce(valid, F.lit(False)), case("required", "query_preparation_failed", "evidence", "invalid_query_preparation"))
+        .when(~state.eqNullSafe(F.lit("rewritten")), case("required", "query_preparation_failed", "evidence", failed))
+        .when((mode == "evidence") & (sure < threshold), case("required", "forced_by_low_confidence", "evidence", "low_confidence"))
+        .when(~needs & strong, case("required", "forced_by_strong_signal", "evidence", "strong_signal"))
         .otherwise(case(F.when(needs, "optional").otherwise("forbidden"), why, mode, None))
     )
 
@@ -122,7 +122,7 @@ def directive(query: Column) -> Column:
 def strategy_label(requested: Column, query: Column, needs: Column, mode: Column) -> Column:
     """direct, react or plan_execute: the one asked for (direct if unknown); for auto, empty or null by mode, need and length."""
     value, text = F.lower(bare(requested)), bare(query)
-    n = signals(text, NOVEL)
+    n = signals(text, STORY)
     auto = (
         F.when(mode.eqNullSafe(F.lit("roleplay")), "react")
         .when(~needs, "direct")
@@ -158,7 +158,7 @@ def validate_requests(requests: DataFrame) -> DataFrame:
 
 # What a prepared query may say, and openings of answers.
 INTENTS = ("character", "character_relation", "plot_causality", "timeline", "chapter_locator", "factual", "user_preference", "other")
-MODES = ("novel_evidence", "memory_context", "conversation")
+MODES = ("evidence", "memory_context", "conversation")
 CITATIONS = ("chapter_only", "hidden", "normal")
 ANSWER_MARKERS = ("答案：", "回答：", "综上", "因此可以看出", "分析如下", "总结：")
 
@@ -170,7 +170,7 @@ def validate_prepared(df: DataFrame, most: int = 400) -> DataFrame:
     null arrays and citation_style none; texts are trimmed first."""
     bare = lambda c: F.regexp_replace(c, "^\\s+|\\s+$", "")
     alone, asked = bare(F.col("standalone_query")), bare(F.col("retrieval_query"))
-    needs, mode = F.coalesce("needs_retrieval", F.lit(True)), F.coalesce("answer_mode", F.lit("novel_evidence"))
+    needs, mode = F.coalesce("needs_retrieval", F.lit(True)), F.coalesce("answer_mode", F.lit("evidence"))
     reason = F.coalesce("retrieval_reason", F.lit("legacy_query_preparation"))
     sure = F.coalesce("confidence", F.lit("0")).try_cast("double")
     used = F.when(needs, asked).otherwise("")
@@ -193,7 +193,7 @@ def validate_prepared(df: DataFrame, most: int = 400) -> DataFrame:
         ("invalid_answer_mode", ~mode.isin(*MODES)),
         ("invalid_retrieval_reason", (bare(reason) == "") | (F.length(reason) > 80)),
         ("missing_retrieval_query", needs & (asked == "")),
-        ("inconsistent_answer_mode", needs != (mode == "novel_evidence")),
+        ("inconsistent_answer_mode", needs != (mode == "evidence")),
         ("invalid_confidence", ~F.coalesce(sure.between(0.0, 1.0) & ~F.isnan(sure), F.lit(False))),
         ("invalid_list", wrong("entities", 12, 40) | wrong("evidence_focus", 8, 60)),
         ("invalid_output_policy", ~F.coalesce("citation_style", F.lit("normal")).isin(*CITATIONS)),

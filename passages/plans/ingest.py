@@ -56,9 +56,9 @@ def meta_rows(spark, sf_dir):
     return c.select("user_id", "content", F.lit(None).cast("array<float>").alias("embedding"), meta.alias("metadata"))
 
 
-@query("snk1_chunk_rows", f"WITH {demo.CHUNKS} SELECT file_id, chunk_no, user_id, CASE WHEN chunk_no % 3 > 0 THEN source ELSE '未知' END AS source, 'novel' AS domain, 'prose' AS kind, 1 AS others, md5(content) AS digest FROM chunks")
+@query("snk1_chunk_rows", f"WITH {demo.CHUNKS} SELECT file_id, chunk_no, user_id, CASE WHEN chunk_no % 3 > 0 THEN source ELSE '未知' END AS source, 'library' AS domain, 'prose' AS kind, 1 AS others, md5(content) AS digest FROM chunks")
 def snk1(spark, sf_dir):
-    rows = sinks.chunk_rows(meta_rows(spark, sf_dir))
+    rows = sinks.chunk_rows(meta_rows(spark, sf_dir), "library")
     return rows.select("file_id", "chunk_no", "user_id", "source", "domain", F.try_element_at("meta", F.lit("kind")).alias("kind"), F.size("meta").alias("others"), F.md5("content").alias("digest"))
 
 
@@ -221,7 +221,7 @@ def log5(spark, sf_dir):
     t, none = F.col("turn"), F.lit(None).cast("array<string>")
     rows = demo.table(spark, sf_dir, "conversations").select(
         "conv_id", "turn", F.col("text").alias("standalone_query"), F.col("text").alias("retrieval_query"), F.when(F.col("role") == "system", "praise").otherwise("plot_causality").alias("intent"), F.lit(True).alias("needs_retrieval"),
-        F.when(t % 3 == 1, "conversation").otherwise("novel_evidence").alias("answer_mode"), F.lit("asked").alias("retrieval_reason"), F.when(t % 5 == 2, "1.5").otherwise("0.5").alias("confidence"), none.alias("entities"), none.alias("evidence_focus"),
+        F.when(t % 3 == 1, "conversation").otherwise("evidence").alias("answer_mode"), F.lit("asked").alias("retrieval_reason"), F.when(t % 5 == 2, "1.5").otherwise("0.5").alias("confidence"), none.alias("entities"), none.alias("evidence_focus"),
         F.lit(None).cast("string").alias("citation_style"), F.col("text").alias("original"), F.lit("").alias("history"), F.lit("").alias("memory"),
     )
     return querylog.validate_prepared(rows).select("conv_id", "turn", "verdict")

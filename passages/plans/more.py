@@ -283,62 +283,123 @@ def mem2(spark, sf_dir):
 
 
 def memories(spark, sf_dir):
-    """events as memories: preferences with a key, facts by content, some bound to a session or a file, some expired."""
-    i = F.col("event_id")
-    return demo.table(spark, sf_dir, "events").select(
-        i.alias("id"), F.col("user_id"), F.when(i % 3 == 0, "preference").otherwise("fact").alias("memory_type"), F.when(i % 4 == 0, (i % 5)).alias("session_id"), F.when(i % 6 == 1, i % 2).alias("file_id"),
-        F.when(i % 3 == 0, F.concat(F.lit("k"), (i % 2).cast("string"))).alias("preference_key"), F.lit(1).alias("memory_version"), F.concat(F.lit("m"), (i % 10).cast("string")).alias("content"),
-        (i % 7).cast("double").alias("importance"), F.when(i % 5 == 0, F.col("ts")).alias("expires_at"), F.when(i % 2 == 0, 60).alias("ttl_minutes"), F.col("ts").alias("updated_at"), i.alias("seq"),
+    """events as memories: preferences with a key (some without), facts and session facts, some bound to a session or a file, some
+    expired; the vector with an event's number is its embedding."""
+    i, ts = F.col("event_id"), F.col("ts")
+    rows = demo.table(spark, sf_dir, "events").select(
+        i.alias("id"), F.col("user_id"), F.when(i % 3 == 0, "user_preference").when(i % 3 == 1, "fact").otherwise("session_fact").alias("memory_type"),
+        F.when(i % 4 == 0, i % 5).alias("session_id"), F.when(i % 6 == 1, i % 2).alias("file_id"), F.when((i % 3 == 0) & (i % 7 > 0), F.concat(F.lit("k"), (i % 2).cast("string"))).alias("preference_key"),
+        F.when(i % 5 > 0, 1).otherwise(3).alias("memory_version"), F.concat(F.lit("m "), (i % 5).cast("string")).alias("content"), ((i % 7) / 5.0 - 0.1).alias("importance"),
+        F.when(i % 9 > 1, i % 9).alias("source_message_id"), F.when(i % 5 == 0, ts).alias("expires_at"), F.when(i % 2 == 0, 60).when(i % 11 == 0, 0).alias("ttl_minutes"),
+        F.when(i % 8 > 0, F.concat(F.lit('{"n":'), (i % 8).cast("string"), F.lit("}"))).alias("metadata"), ts.alias("created_at"), ts.alias("updated_at"),
     )
+    return rows.join(demo.table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").cast("array<double>").alias("embedding")), "id", "left")
 
 
-MEMORIES = """mems AS (SELECT event_id AS id, user_id, CASE WHEN event_id % 3 = 0 THEN 'preference' ELSE 'fact' END AS memory_type, CASE WHEN event_id % 4 = 0 THEN event_id % 5 END AS session_id, CASE WHEN event_id % 6 = 1 THEN event_id % 2 END AS file_id,
-  CASE WHEN event_id % 3 = 0 THEN 'k' || (event_id % 2)::VARCHAR END AS preference_key, 'm' || (event_id % 10)::VARCHAR AS content, (event_id % 7)::DOUBLE AS importance, CASE WHEN event_id % 5 = 0 THEN ts END AS expires_at,
-  CASE WHEN event_id % 2 = 0 THEN 60 END AS ttl_minutes, ts AS updated_at FROM events)"""
+MEMORIES = """mems AS (SELECT event_id AS id, user_id, CASE event_id % 3 WHEN 0 THEN 'user_preference' WHEN 1 THEN 'fact' ELSE 'session_fact' END AS memory_type,
+  CASE WHEN event_id % 4 = 0 THEN event_id % 5 END AS session_id, CASE WHEN event_id % 6 = 1 THEN event_id % 2 END AS file_id,
+  CASE WHEN event_id % 3 = 0 AND event_id % 7 > 0 THEN 'k' || (event_id % 2)::VARCHAR END AS preference_key, CASE WHEN event_id % 5 > 0 THEN 1 ELSE 3 END AS memory_version,
+  'm ' || (event_id % 5)::VARCHAR AS content, (event_id % 7) / 5.0::DOUBLE - 0.1::DOUBLE AS importance, CASE WHEN event_id % 9 > 1 THEN event_id % 9 END AS source_message_id,
+  CASE WHEN event_id % 5 = 0 THEN ts END AS expires_at, CASE WHEN event_id % 2 = 0 THEN 60 WHEN event_id % 11 = 0 THEN 0 END AS ttl_minutes,
+  CASE WHEN event_id % 8 > 0 THEN '{"n":' || (event_id % 8)::VARCHAR || '}' END AS metadata, ts AS updated_at, list_transform(embedding, lambda x: x::DOUBLE) AS embedding FROM events LEFT JOIN embeddings ON vec_id = event_id)"""
 
 
 @query(
     "mem7_upsert",
-    f"""WITH {MEMORIES} SELECT user_id, memory_type, session_id, file_id, min(id) AS id, arg_max(content, id) AS content, max(importance) AS importance, CASE WHEN memory_type = 'preference' THEN count(*) ELSE 1 END::BIGINT AS memory_version
-    FROM mems GROUP BY user_id, memory_type, session_id, file_id, coalesce('k:' || preference_key, 'c:' || content)""",
+    f"""WITH {MEMORIES}, rows AS (SELECT * FROM mems WHERE id % 2 = 0),
+    ops AS (SELECT * REPLACE (least(1.0, greatest(0.0, importance)) AS importance, coalesce(expires_at, updated_at + to_minutes(ttl_minutes)) AS expires_at, coalesce(metadata, '{{}}') AS metadata), preference_key IS NOT NULL AS keyed FROM mems WHERE id % 2 = 1),
+    -- texts that keyed memories hold, from one operation to the next
+    states AS (SELECT user_id, memory_type, session_id, file_id, preference_key, content, -1 AS since, (SELECT min(o.id) FROM ops o WHERE o.user_id = r.user_id AND o.memory_type = r.memory_type AND o.session_id IS NOT DISTINCT FROM r.session_id AND o.file_id IS NOT DISTINCT FROM r.file_id AND o.preference_key = r.preference_key) AS until FROM rows r WHERE preference_key IS NOT NULL
+      UNION ALL SELECT user_id, memory_type, session_id, file_id, preference_key, content, id, lead(id) OVER (PARTITION BY user_id, memory_type, session_id, file_id, preference_key ORDER BY id) FROM ops WHERE keyed),
+    held AS (SELECT o.id, min(s.preference_key) AS k FROM ops o JOIN states s ON NOT o.keyed AND o.user_id = s.user_id AND o.memory_type = s.memory_type AND o.session_id IS NOT DISTINCT FROM s.session_id AND o.file_id IS NOT DISTINCT FROM s.file_id
+      AND o.content = s.content AND o.id > s.since AND (s.until IS NULL OR o.id < s.until) GROUP BY o.id),
+    named AS (SELECT r.*, false AS op, false AS keyed, CASE WHEN preference_key IS NOT NULL THEN 'k' || preference_key ELSE 'c' || content END AS d FROM rows r
+      UNION ALL SELECT o.* EXCLUDE (keyed), true, keyed, CASE WHEN coalesce(preference_key, k) IS NOT NULL THEN 'k' || coalesce(preference_key, k) ELSE 'c' || content END FROM ops o LEFT JOIN held USING (id)),
+    twins AS (SELECT *, CASE WHEN op THEN 1 ELSE row_number() OVER (PARTITION BY user_id, memory_type, session_id, file_id, d, op ORDER BY id) END AS twin FROM named)
+    SELECT user_id, memory_type, session_id, file_id, coalesce(min(id) FILTER (WHERE NOT op), min(id)) AS id,
+      coalesce(arg_max(content, id) FILTER (WHERE keyed), any_value(content) FILTER (WHERE NOT op), arg_min(content, id)) AS content,
+      round(max(CASE WHEN op THEN importance ELSE importance END), 6) AS importance,
+      (CASE WHEN count(*) FILTER (WHERE NOT op) > 0 THEN any_value(memory_version) FILTER (WHERE NOT op) + count(*) FILTER (WHERE keyed) ELSE greatest(1, count(*) FILTER (WHERE keyed)) END)::BIGINT AS memory_version,
+      coalesce(arg_max(source_message_id, id) FILTER (WHERE op AND source_message_id IS NOT NULL), any_value(source_message_id) FILTER (WHERE NOT op)) AS source_message_id,
+      coalesce(arg_max(ttl_minutes, id) FILTER (WHERE op AND ttl_minutes IS NOT NULL), any_value(ttl_minutes) FILTER (WHERE NOT op)) AS ttl_minutes,
+      coalesce(arg_max(expires_at, id) FILTER (WHERE op AND expires_at IS NOT NULL), any_value(expires_at) FILTER (WHERE NOT op)) AS expires_at,
+      CASE WHEN count(*) FILTER (WHERE keyed) > 0 THEN arg_max(metadata, id) FILTER (WHERE keyed) WHEN count(*) FILTER (WHERE NOT op) > 0 THEN any_value(metadata) FILTER (WHERE NOT op) ELSE arg_min(metadata, id) END AS metadata,
+      coalesce(arg_max(updated_at, id) FILTER (WHERE op), any_value(updated_at)) AS updated_at
+    FROM twins GROUP BY user_id, memory_type, session_id, file_id, d, twin""",
 )
 def mem7(spark, sf_dir):
     rows = memories(spark, sf_dir)
-    found = memory.upsert_memories(rows.where("id % 2 = 0"), rows.where("id % 2 = 1"))
-    return found.select("user_id", "memory_type", "session_id", "file_id", "id", "content", "importance", F.col("memory_version").cast("long").alias("memory_version"))
+    spaced = F.concat(F.lit(" "), F.replace("content", F.lit(" "), F.lit(" \n\t")), F.lit("  "))
+    ops = rows.where("id % 2 = 1").withColumns({"seq": F.col("id"), "at": F.col("updated_at"), "content": spaced})
+    found = memory.upsert_memories(rows.where("id % 2 = 0"), ops)
+    return found.select(
+        "user_id", "memory_type", "session_id", "file_id", "id", "content", F.round("importance", 6).alias("importance"), F.col("memory_version").cast("long").alias("memory_version"),
+        "source_message_id", "ttl_minutes", "expires_at", "metadata", "updated_at",
+    )
+
+
+#: Requests for memories: one of each user, with a session, two of three with a file, and a vector where one has the user's number.
+REQUESTS = """r AS (SELECT DISTINCT user_id AS request_id, user_id, user_id % 5 AS session_id, CASE WHEN user_id % 3 > 0 THEN user_id % 2 END AS file_id, list_transform(embedding, lambda x: x::DOUBLE) AS vector
+  FROM events LEFT JOIN embeddings ON vec_id = user_id)"""
+
+
+def requests(spark, sf_dir):
+    u = F.col("user_id")
+    users = demo.table(spark, sf_dir, "events").select(u).distinct().join(demo.table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("user_id"), F.col("embedding").alias("vector")), "user_id", "left")
+    return users.select(u.alias("request_id"), "user_id", (u % 5).alias("session_id"), F.when(u % 3 > 0, u % 2).alias("file_id"), F.lit("2024-01-15").cast("timestamp").alias("now"), "vector")
 
 
 @query(
     "mem9_recall",
-    f"""WITH {MEMORIES}, r AS (SELECT DISTINCT user_id AS request_id, user_id, user_id % 5 AS session_id, user_id % 2 AS file_id FROM events),
-    j AS (SELECT r.request_id, m.id, m.memory_type = 'preference' AS p, m.importance, m.updated_at FROM r JOIN mems m ON r.user_id = m.user_id
-      WHERE coalesce(m.session_id = r.session_id OR m.file_id IS NULL OR m.file_id = r.file_id, false) AND (m.expires_at IS NULL OR m.expires_at > TIMESTAMP '2024-01-15'))
-    SELECT request_id, id, row_number() OVER (PARTITION BY request_id, p ORDER BY CASE WHEN NOT p THEN importance END DESC NULLS LAST, updated_at DESC, id) AS rank FROM j
-    QUALIFY rank <= CASE WHEN p THEN 3 ELSE 5 END""",
+    f"""WITH {MEMORIES}, {REQUESTS},
+    base AS (SELECT r.request_id, m.*, r.vector FROM r JOIN mems m ON m.user_id = r.user_id
+      WHERE (m.session_id = r.session_id OR CASE WHEN r.file_id IS NOT NULL THEN m.file_id = r.file_id ELSE m.file_id IS NULL END OR (m.session_id IS NULL AND m.file_id IS NULL)) AND (m.expires_at IS NULL OR m.expires_at > TIMESTAMP '2024-01-15')),
+    preferences AS (SELECT request_id, id, memory_type, row_number() OVER (PARTITION BY request_id ORDER BY updated_at DESC, id) AS rank FROM base WHERE memory_type = 'user_preference' QUALIFY rank <= 3),
+    far AS (SELECT *, round(1 - list_dot_product(vector, embedding) / sqrt(list_dot_product(vector, vector)) / sqrt(list_dot_product(embedding, embedding)), 6) AS distance FROM base WHERE memory_type <> 'user_preference'),
+    others AS (SELECT request_id, id, memory_type, row_number() OVER (PARTITION BY request_id ORDER BY distance ASC NULLS LAST, importance DESC, updated_at DESC, id) AS rank FROM far QUALIFY rank <= 50)
+    SELECT request_id, id, memory_type, rank, rank AS place FROM preferences UNION ALL
+    SELECT o.request_id, o.id, o.memory_type, o.rank, o.rank + coalesce(p.n, 0) FROM others o LEFT JOIN (SELECT request_id, count(*) AS n FROM preferences GROUP BY request_id) p USING (request_id) WHERE o.rank <= 5""",
 )
 def mem9(spark, sf_dir):
-    u = F.col("user_id")
-    requests = demo.table(spark, sf_dir, "events").select(u).distinct().select(u.alias("request_id"), "user_id", (u % 5).alias("session_id"), (u % 2).alias("file_id"), F.lit("2024-01-15").cast("timestamp").alias("now"))
-    return memory.recall(requests, memories(spark, sf_dir)).select("request_id", "id", F.col("rank").cast("long").alias("rank"))
+    found = memory.recall(requests(spark, sf_dir), memories(spark, sf_dir))
+    return found.select("request_id", "id", "memory_type", F.col("rank").cast("long").alias("rank"), F.col("place").cast("long").alias("place"))
 
 
 @query(
-    "mem10_ttl_sweep",
-    f"WITH {MEMORIES} SELECT id FROM mems WHERE expires_at IS NULL OR expires_at > TIMESTAMP '2024-01-15'",
+    "mem10_list",
+    f"""WITH {MEMORIES}, {REQUESTS}, q AS (SELECT request_id, user_id, CASE WHEN user_id % 4 > 0 THEN session_id END AS session_id, file_id, (user_id % 7) * 3 - 4 AS most FROM r)
+    SELECT request_id, id, row_number() OVER (PARTITION BY request_id ORDER BY importance DESC, updated_at DESC, id) AS rank FROM q JOIN mems m ON m.user_id = q.user_id
+    WHERE (q.session_id IS NULL OR m.session_id = q.session_id) AND (q.file_id IS NULL OR m.file_id = q.file_id) AND (m.expires_at IS NULL OR m.expires_at > TIMESTAMP '2024-01-15') QUALIFY rank <= least(100, greatest(1, most))""",
 )
 def mem10(spark, sf_dir):
+    u = F.col("user_id")
+    asked = requests(spark, sf_dir).withColumns({"session_id": F.when(u % 4 > 0, F.col("session_id")), "limit": (u % 7) * 3 - 4})
+    return memory.list_memories(asked, memories(spark, sf_dir)).select("request_id", "id", F.col("rank").cast("long").alias("rank"))
+
+
+@query("mem11_ttl_sweep", f"WITH {MEMORIES} SELECT id FROM mems WHERE expires_at IS NULL OR NOT expires_at < TIMESTAMP '2024-01-15'")
+def mem11_sweep(spark, sf_dir):
     return memory.ttl_sweep(memories(spark, sf_dir), F.lit("2024-01-15").cast("timestamp")).select("id")
 
 
 @query(
     "mem11_ttl_refresh",
-    f"WITH {MEMORIES} SELECT id, CASE WHEN id % 4 = 0 AND ttl_minutes IS NOT NULL AND expires_at IS NOT NULL THEN TIMESTAMP '2024-01-15' + INTERVAL 60 MINUTE ELSE expires_at END AS expires_at FROM mems",
+    f"WITH {MEMORIES} SELECT id, CASE WHEN id % 4 = 0 AND ttl_minutes > 0 AND expires_at IS NOT NULL THEN TIMESTAMP '2024-01-15' + INTERVAL 60 MINUTE ELSE expires_at END AS expires_at FROM mems",
 )
 def mem11(spark, sf_dir):
     rows = memories(spark, sf_dir)
     return memory.ttl_refresh(rows, rows.where("id % 4 = 0"), F.lit("2024-01-15").cast("timestamp")).select("id", "expires_at")
 
 
+@query(
+    "mem11_expiry_on_write",
+    f"""WITH {MEMORIES} SELECT id, CASE WHEN memory_type = 'session_fact' THEN session_id END AS session_id, CASE WHEN memory_type = 'fact' THEN file_id END AS file_id,
+    CASE WHEN memory_type = 'session_fact' THEN coalesce(ttl_minutes, 43200) ELSE ttl_minutes END AS ttl_minutes FROM mems""",
+)
+def mem11_write(spark, sf_dir):
+    return memory.scoped_writes(memories(spark, sf_dir)).select("id", "session_id", "file_id", "ttl_minutes")
+
+
 @query(
     "mem15_dedupe_jobs",
     """WITH j AS (SELECT event_id AS id, CASE WHEN event_id % 3 = 0 THEN 'maintain' ELSE event_type END AS kind, user_id AS m FROM events)

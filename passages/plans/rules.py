@@ -40,34 +40,34 @@ def told(spark, sf_dir):
 
 
 RULE = f"""CASE WHEN t = '' THEN 'empty_conversation' WHEN regexp_matches(t, '{querylog.NEGATED}') AND NOT regexp_matches(regexp_replace(t, '{querylog.NEGATED}', '', 'g'), '{querylog.REFERENCE}') THEN 'user_output_preference'
-    WHEN {WORDS(querylog.NOVEL)} THEN 'novel_evidence' WHEN {WORDS(querylog.TALK)} AND regexp_matches(t, '{querylog.REFERENCE}') THEN 'ambiguous_novel_reference' WHEN {WORDS(querylog.TALK)} THEN 'conversation_only' ELSE 'conservative_novel_lookup' END"""
-MODE = "CASE reason WHEN 'user_output_preference' THEN 'memory_context' WHEN 'empty_conversation' THEN 'conversation' WHEN 'conversation_only' THEN 'conversation' ELSE 'novel_evidence' END"
+    WHEN {WORDS(querylog.STORY)} THEN 'evidence' WHEN {WORDS(querylog.TALK)} AND regexp_matches(t, '{querylog.REFERENCE}') THEN 'ambiguous_reference' WHEN {WORDS(querylog.TALK)} THEN 'conversation_only' ELSE 'conservative_lookup' END"""
+MODE = "CASE reason WHEN 'user_output_preference' THEN 'memory_context' WHEN 'empty_conversation' THEN 'conversation' WHEN 'conversation_only' THEN 'conversation' ELSE 'evidence' END"
 
 
-@query("log2_rule_label", f"WITH {SAYS}, r AS (SELECT conv_id, turn, {RULE} AS reason FROM told) SELECT conv_id, turn, {MODE} = 'novel_evidence' AS needs, reason, {MODE} AS mode FROM r")
+@query("log2_rule_label", f"WITH {SAYS}, r AS (SELECT conv_id, turn, {RULE} AS reason FROM told) SELECT conv_id, turn, {MODE} = 'evidence' AS needs, reason, {MODE} AS mode FROM r")
 def log2(spark, sf_dir):
     return told(spark, sf_dir).select("conv_id", "turn", querylog.rule_label(F.col("said")).alias("r")).select("conv_id", "turn", "r.*")
 
 
-HINTS = """hints AS (SELECT *, (conv_id + turn) % 11 = 0 AS none, CASE WHEN turn % 5 <> 4 THEN (conv_id + turn) % 3 <> 0 END AS needs, CASE WHEN conv_id % 13 = 5 THEN 'odd' WHEN (conv_id + turn) % 3 <> 0 THEN 'novel_evidence' ELSE 'conversation' END AS hmode,
+HINTS = """hints AS (SELECT *, (conv_id + turn) % 11 = 0 AS none, CASE WHEN turn % 5 <> 4 THEN (conv_id + turn) % 3 <> 0 END AS needs, CASE WHEN conv_id % 13 = 5 THEN 'odd' WHEN (conv_id + turn) % 3 <> 0 THEN 'evidence' ELSE 'conversation' END AS hmode,
     CASE WHEN conv_id % 17 = 3 THEN ' ' ELSE 'because' END AS why, (conv_id % 23) / 20.0::DOUBLE AS sure, CASE WHEN (conv_id + turn) % 3 <> 0 THEN 'look up' ELSE '' END AS asked, CASE conv_id % 6 WHEN 0 THEN 'timeout' WHEN 1 THEN NULL ELSE 'rewritten' END AS state FROM told)"""
 
 
 @query(
     "log3_policy_label",
-    f"""WITH {SAYS}, {HINTS}, l AS (SELECT *, {RULE} AS rule, coalesce(needs IS NOT NULL AND hmode <> 'odd' AND trim(why) <> '' AND sure BETWEEN 0 AND 1 AND needs = (trim(asked) <> '') AND needs = (hmode = 'novel_evidence'), false) AS valid,
+    f"""WITH {SAYS}, {HINTS}, l AS (SELECT *, {RULE} AS rule, coalesce(needs IS NOT NULL AND hmode <> 'odd' AND trim(why) <> '' AND sure BETWEEN 0 AND 1 AND needs = (trim(asked) <> '') AND needs = (hmode = 'evidence'), false) AS valid,
       regexp_matches(regexp_replace(t, '{querylog.NEGATED}', '', 'g'), '{"|".join(querylog.FORCED)}') AS strong FROM hints),
-    o AS (SELECT *, CASE WHEN none THEN NULL WHEN NOT valid THEN 'invalid_query_preparation' WHEN state IS NULL THEN 'query_preparation_failed' WHEN state <> 'rewritten' THEN state WHEN hmode = 'novel_evidence' AND sure < 0.75 THEN 'low_confidence'
-      WHEN NOT needs AND strong THEN 'strong_novel_signal' END AS override FROM l),
-    p AS (SELECT *, CASE WHEN none THEN rule WHEN override IN ('low_confidence', 'strong_novel_signal') THEN 'forced_by_' || override WHEN override IS NOT NULL THEN 'query_preparation_failed' ELSE why END AS reason FROM o)
-    SELECT conv_id, turn, CASE WHEN none THEN CASE WHEN {MODE} = 'novel_evidence' THEN 'required' ELSE 'forbidden' END WHEN override IS NOT NULL THEN 'required' WHEN needs THEN 'optional' ELSE 'forbidden' END AS policy, reason,
-      CASE WHEN none THEN {MODE} WHEN override IS NOT NULL THEN 'novel_evidence' ELSE hmode END AS mode, override FROM p""",
+    o AS (SELECT *, CASE WHEN none THEN NULL WHEN NOT valid THEN 'invalid_query_preparation' WHEN state IS NULL THEN 'query_preparation_failed' WHEN state <> 'rewritten' THEN state WHEN hmode = 'evidence' AND sure < 0.75 THEN 'low_confidence'
+      WHEN NOT needs AND strong THEN 'strong_signal' END AS override FROM l),
+    p AS (SELECT *, CASE WHEN none THEN rule WHEN override IN ('low_confidence', 'strong_signal') THEN 'forced_by_' || override WHEN override IS NOT NULL THEN 'query_preparation_failed' ELSE why END AS reason FROM o)
+    SELECT conv_id, turn, CASE WHEN none THEN CASE WHEN {MODE} = 'evidence' THEN 'required' ELSE 'forbidden' END WHEN override IS NOT NULL THEN 'required' WHEN needs THEN 'optional' ELSE 'forbidden' END AS policy, reason,
+      CASE WHEN none THEN {MODE} WHEN override IS NOT NULL THEN 'evidence' ELSE hmode END AS mode, override FROM p""",
 )
 def log3(spark, sf_dir):
     c, t = F.col("conv_id"), F.col("turn")
     wanted = (c + t) % 3 != 0
     hint = F.struct(
-        F.when(t % 5 != 4, wanted).alias("needs_retrieval"), F.when(c % 13 == 5, "odd").when(wanted, "novel_evidence").otherwise("conversation").alias("answer_mode"),
+        F.when(t % 5 != 4, wanted).alias("needs_retrieval"), F.when(c % 13 == 5, "odd").when(wanted, "evidence").otherwise("conversation").alias("answer_mode"),
         F.when(c % 17 == 3, " ").otherwise("because").alias("retrieval_reason"), ((c % 23) / 20).alias("confidence"), F.when(wanted, "look up").otherwise("").alias("retrieval_query"),
         F.when(c % 6 == 0, "timeout").when(c % 6 > 1, "rewritten").alias("reason"), F.lit("").alias("original"),
     )
@@ -77,7 +77,7 @@ def log3(spark, sf_dir):
 
 @query(
     "log4_strategy_request",
-    f"""WITH {SAYS}, r AS (SELECT *, CASE conv_id % 7 WHEN 0 THEN 'direct' WHEN 1 THEN ' React ' WHEN 2 THEN 'plan_execute' WHEN 3 THEN 'other' WHEN 4 THEN '' ELSE NULL END AS asked, {" + ".join(f"contains(t, '{w}')::INT" for w in querylog.NOVEL)} AS n FROM told)
+    f"""WITH {SAYS}, r AS (SELECT *, CASE conv_id % 7 WHEN 0 THEN 'direct' WHEN 1 THEN ' React ' WHEN 2 THEN 'plan_execute' WHEN 3 THEN 'other' WHEN 4 THEN '' ELSE NULL END AS asked, {" + ".join(f"contains(t, '{w}')::INT" for w in querylog.STORY)} AS n FROM told)
     SELECT conv_id, turn, CASE WHEN coalesce(asked, '') <> '' THEN CASE lower(trim(asked)) WHEN 'direct' THEN 'direct' WHEN 'react' THEN 'react' WHEN 'plan_execute' THEN 'plan_execute' ELSE 'direct' END WHEN turn % 4 = 3 THEN 'react' WHEN conv_id % 3 = 0 THEN 'direct'
       WHEN length(t) >= 32 OR n >= 2 THEN 'plan_execute' WHEN t <> '' AND length(t) <= 16 THEN 'direct' ELSE 'react' END AS strategy FROM r""",
 )
@@ -132,7 +132,7 @@ def mem5(spark, sf_dir):
     return memory.apply_summaries(windows, previous).select("session_id", "window_no", "covered", F.md5("summary").alias("digest"), "tokens")
 
 
-OPS = """ops AS (SELECT event_id, user_id, CASE event_id % 4 WHEN 0 THEN 'update' WHEN 1 THEN ' Delete' WHEN 2 THEN NULL ELSE 'add' END AS op, CASE WHEN event_id % 4 < 2 THEN (event_id - event_id % 3)::VARCHAR END AS id, CASE event_id % 5 WHEN 0 THEN 'user_preference' WHEN 1 THEN 'odd' ELSE 'novel_fact' END AS memory_type,
+OPS = """ops AS (SELECT event_id, user_id, CASE event_id % 4 WHEN 0 THEN 'update' WHEN 1 THEN ' Delete' WHEN 2 THEN NULL ELSE 'add' END AS op, CASE WHEN event_id % 4 < 2 THEN (event_id - event_id % 3)::VARCHAR END AS id, CASE event_id % 5 WHEN 0 THEN 'user_preference' WHEN 1 THEN 'odd' ELSE 'fact' END AS memory_type,
     CASE WHEN event_id % 7 > 0 THEN props END AS content, CASE event_id % 6 WHEN 0 THEN 'much' WHEN 1 THEN '0.55' WHEN 2 THEN NULL ELSE (value / 200)::VARCHAR END AS importance, value FROM events)"""
 
 
@@ -140,7 +140,7 @@ def ops(spark, sf_dir):
     i = F.col("event_id")
     return demo.table(spark, sf_dir, "events").select(
         F.col("user_id").alias("turn_id"), "user_id", i.alias("pos"), F.when(i % 4 == 0, "update").when(i % 4 == 1, " Delete").when(i % 4 == 3, "add").alias("op"), F.when(i % 4 < 2, (i - i % 3).cast("string")).alias("id"),
-        F.when(i % 5 == 0, "user_preference").when(i % 5 == 1, "odd").otherwise("novel_fact").alias("memory_type"), F.when(i % 7 > 0, F.col("props")).alias("content"),
+        F.when(i % 5 == 0, "user_preference").when(i % 5 == 1, "odd").otherwise("fact").alias("memory_type"), F.when(i % 7 > 0, F.col("props")).alias("content"),
         F.when(i % 6 == 0, "much").when(i % 6 == 1, "0.55").when(i % 6 > 2, (F.col("value") / 200).cast("string")).alias("importance"), F.lit("  k ").alias("preference_key"),
     )
 

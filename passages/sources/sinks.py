@@ -14,12 +14,12 @@ NUMBERS = ("chapter_no", "chunk_no", "page")
 OWNED = ["user_id", "file_id"]
 
 
-def chunk_rows(df: DataFrame, unknown: str = "未知") -> DataFrame:
+def chunk_rows(df: DataFrame, domain: str, unknown: str = "未知") -> DataFrame:
     """df (user_id, content, embedding, metadata map of strings) as rows of a chunk table: the core metadata as columns, source
     and domain with their defaults, all others in `meta`. Null metadata count as none; numbers that aren't numbers are null."""
     m = F.coalesce("metadata", F.create_map().cast("map<string,string>"))
     core = [F.try_element_at(m, F.lit(c)) for c in CORE]
-    defaults = {"source": F.lit(unknown), "domain": F.lit("novel")}
+    defaults = {"source": F.lit(unknown), "domain": F.lit(domain)}
     columns = [F.coalesce(v, defaults[c]) if c in defaults else v.try_cast("long") if c in NUMBERS else v for c, v in zip(CORE, core)]
     return df.select("user_id", "content", "embedding", *(v.alias(c) for c, v in zip(CORE, columns)), F.map_filter(m, lambda k, _: ~k.isin(*CORE)).alias("meta"))
 

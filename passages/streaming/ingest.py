@@ -9,7 +9,7 @@ from passages.operators import chunking
 from passages.sources import corpus, sinks
 
 
-def stream_ingest(spark: SparkSession, path: str, table: str, checkpoint: str, user: str):
+def stream_ingest(spark: SparkSession, path: str, table: str, checkpoint: str, user: str, domain: str):
     """Starts a query that takes new .txt and .md files below path into a chunk table: decoded, split and put in place of the rows
     of the same file name, so a batch done again gives the same table. Of one name twice in a batch the newest counts."""
     files = spark.readStream.format("binaryFile").schema(FILES).option("recursiveFileLookup", "true").option("pathGlobFilter", "*.{txt,md}").load(path)
@@ -19,7 +19,7 @@ def stream_ingest(spark: SparkSession, path: str, table: str, checkpoint: str, u
         raw = batch.where(F.col("length") <= corpus.MOST_BYTES).groupBy(name.alias("file_id")).agg(F.max_by("content", F.struct("modificationTime", "path")).alias("raw"))
         found, _stats = chunking.build_chunks(corpus.detect_decode(raw).where("text is not null").select("file_id", "text"))
         meta = F.create_map(*(x for c in ("source", "file_id", "chapter", "chapter_no", "chunk_no") for x in (F.lit(c), F.col(c).cast("string"))))
-        rows = sinks.chunk_rows(found.withColumn("source", F.col("file_id")).select(F.lit(user).alias("user_id"), "content", F.lit(None).cast("array<float>").alias("embedding"), meta.alias("metadata")))
+        rows = sinks.chunk_rows(found.withColumn("source", F.col("file_id")).select(F.lit(user).alias("user_id"), "content", F.lit(None).cast("array<float>").alias("embedding"), meta.alias("metadata")), domain)
         keys = raw.select(F.lit(user).alias("user_id"), "file_id")
         sinks.replace_chunks(rows, keys, table)
 

@@ -49,9 +49,9 @@ def test_chunk_table(spark, tmp_path):
     path = str(tmp_path / "t")
     meta = {"file_id": "f", "chunk_no": "1", "mood": "calm", "page": "x"}
     df = spark.createDataFrame([("u", "one", None, meta), ("u", "two", [1.0], {**meta, "file_id": "g", "source": "s"}), ("system", "three", None, meta), ("u", "four", None, None)], "user_id string, content string, embedding array<float>, metadata map<string,string>")
-    rows = sinks.chunk_rows(df)
+    rows = sinks.chunk_rows(df, "prose")
     one = rows.where("content = 'one'").first()
-    assert (one.source, one.domain, one.chunk_no, one.page, one.meta) == ("未知", "novel", 1, None, {"mood": "calm"})
+    assert (one.source, one.domain, one.chunk_no, one.page, one.meta) == ("未知", "prose", 1, None, {"mood": "calm"})
     sinks.append_chunks(rows, path)
     told = lambda: sorted(r.content for r in sinks.read_chunks(spark, path).collect())
     key = lambda u, k, name: spark.createDataFrame([(u, k)], f"user_id string, {name} string")
@@ -98,8 +98,8 @@ def test_heading_texts(spark):
 
 def test_rules_and_chunks(spark):
     body = "字" * 300
-    novel = f"第一卷 山\n第一章 起\n{body}\n第二章 承  余\n{body}\n第二卷 第三章 转\n{body}\n后记 终"
-    docs = spark.createDataFrame([("f", novel), ("g", None), ("h", "abc def"), ("e", "")], "file_id string, text string")
+    book = f"第一卷 山\n第一章 起\n{body}\n第二章 承  余\n{body}\n第二卷 第三章 转\n{body}\n后记 终"
+    docs = spark.createDataFrame([("f", book), ("g", None), ("h", "abc def"), ("e", "")], "file_id string, text string")
     rule = ("f", ["章"], ["chinese"], [], [], "whole_line", "double_space", "after_number_unit", ["卷"], "global", [], ["后记"], 3, ["D1L2", "D1L4", "D1L6"], 0.9, "a rule for it")
     rules = spark.createDataFrame([rule], structure.RULE)
     assert structure.validate_rules(rules).first().problem is None
@@ -183,11 +183,11 @@ def test_stream_ingest(spark, tmp_path):
     (tmp_path / "in" / "a.txt").write_bytes("第一章 起\n风雨".encode())
     (tmp_path / "in" / "b.exe").write_bytes(b"x")
     told = lambda: sorted((r.file_id, r.content) for r in sinks.read_chunks(spark, table).collect())
-    ingest.stream_ingest(spark, files, table, checkpoint, "u").awaitTermination(120)
+    ingest.stream_ingest(spark, files, table, checkpoint, "u", "prose").awaitTermination(120)
     assert told() == [("a.txt", "第一章 起\n风雨")]
     (tmp_path / "in" / "new").mkdir()
     (tmp_path / "in" / "new" / "a.txt").write_bytes("第一章 起\n晴".encode())
-    ingest.stream_ingest(spark, files, table, checkpoint, "u").awaitTermination(120)
+    ingest.stream_ingest(spark, files, table, checkpoint, "u", "prose").awaitTermination(120)
     assert told() == [("a.txt", "第一章 起\n晴")]
 
 

@@ -13,26 +13,26 @@ def column(spark, values, f, kind="string"):
 
 def test_rule_label(spark):
     cases = {
-        None: "empty_conversation", "": "empty_conversation", " \n": "empty_conversation", "不要展示原文": "user_output_preference", "不要展示原文，只说第三章": "conservative_novel_lookup", "不要引用原文，只说第三章": "ambiguous_novel_reference",
-        "孙悟空和唐僧是什么关系": "novel_evidence", "不用贴原文，他后来怎样": "novel_evidence", "谢谢": "conversation_only", "谢谢，第 3章呢": "ambiguous_novel_reference", "孙悟空": "conservative_novel_lookup",
+        None: "empty_conversation", "": "empty_conversation", " \n": "empty_conversation", "不要展示原文": "user_output_preference", "不要展示原文，只说第三章": "conservative_lookup", "不要引用原文，只说第三章": "ambiguous_reference",
+        "孙悟空和唐僧是什么关系": "evidence", "不用贴原文，他后来怎样": "evidence", "谢谢": "conversation_only", "谢谢，第 3章呢": "ambiguous_reference", "孙悟空": "conservative_lookup",
     }
     found = column(spark, list(cases), querylog.rule_label)
     assert [r.reason for r in found] == list(cases.values())
-    assert [r.needs for r in found] == [r.mode == "novel_evidence" for r in found]
+    assert [r.needs for r in found] == [r.mode == "evidence" for r in found]
     assert found[3].mode == "memory_context" and found[0].mode == found[8].mode == "conversation"
 
 
 def test_policy_label(spark):
     schema = "q string, h struct<needs_retrieval: boolean, answer_mode: string, retrieval_reason: string, confidence: double, retrieval_query: string, reason: string, original: string>"
-    good = {"needs_retrieval": True, "answer_mode": "novel_evidence", "retrieval_reason": "r", "confidence": 0.9, "retrieval_query": "x", "reason": "rewritten", "original": None}
+    good = {"needs_retrieval": True, "answer_mode": "evidence", "retrieval_reason": "r", "confidence": 0.9, "retrieval_query": "x", "reason": "rewritten", "original": None}
     talk = good | {"needs_retrieval": False, "answer_mode": "conversation", "retrieval_query": " "}
     cases = [
-        ("谢谢", None, ("forbidden", "conversation_only", None)), ("谁", None, ("required", "novel_evidence", None)), ("谢谢", good, ("optional", "r", None)),
+        ("谢谢", None, ("forbidden", "conversation_only", None)), ("谁", None, ("required", "evidence", None)), ("谢谢", good, ("optional", "r", None)),
         ("谢谢", good | {"confidence": 0.74}, ("required", "forced_by_low_confidence", "low_confidence")), ("谢谢", good | {"confidence": 1.1}, ("required", "query_preparation_failed", "invalid_query_preparation")),
         ("谢谢", good | {"confidence": None}, ("required", "query_preparation_failed", "invalid_query_preparation")), ("谢谢", good | {"retrieval_query": ""}, ("required", "query_preparation_failed", "invalid_query_preparation")),
         ("谢谢", good | {"reason": "timeout"}, ("required", "query_preparation_failed", "timeout")), ("谢谢", good | {"reason": None}, ("required", "query_preparation_failed", "query_preparation_failed")),
-        ("谢谢", talk, ("forbidden", "r", None)), ("你觉得谁写得更好", talk, ("forbidden", "r", None)), ("对比两章的情节", talk, ("required", "forced_by_strong_novel_signal", "strong_novel_signal")),
-        (None, talk | {"original": "伏笔"}, ("required", "forced_by_strong_novel_signal", "strong_novel_signal")), ("不要展示原文", talk, ("forbidden", "r", None)),
+        ("谢谢", talk, ("forbidden", "r", None)), ("你觉得谁写得更好", talk, ("forbidden", "r", None)), ("对比两章的情节", talk, ("required", "forced_by_strong_signal", "strong_signal")),
+        (None, talk | {"original": "伏笔"}, ("required", "forced_by_strong_signal", "strong_signal")), ("不要展示原文", talk, ("forbidden", "r", None)),
     ]
     rows = spark.createDataFrame([(q, h) for q, h, _ in cases], schema).withColumn("i", F.monotonically_increasing_id())
     found = rows.select("i", querylog.policy_label(F.col("q"), F.col("h")).alias("p")).orderBy("i").collect()
@@ -62,7 +62,7 @@ def test_folds_keep_summaries(spark):
 
 def test_operations_of_owners(spark):
     ops = spark.createDataFrame(
-        [(1, 1, k, *row) for k, row in enumerate([("update", "a", None, " new\n text ", "2", None), ("DELETE", "b", None, None, None, None), (None, None, "user_preference", "p", "0.6", " key "), ("add", None, "novel_fact", "f", "0.54", "key"), ("delete", "z", None, None, None, None), ("add", None, "novel_fact", "late", "0.9", None)])],
+        [(1, 1, k, *row) for k, row in enumerate([("update", "a", None, " new\n text ", "2", None), ("DELETE", "b", None, None, None, None), (None, None, "user_preference", "p", "0.6", " key "), ("add", None, "fact", "f", "0.54", "key"), ("delete", "z", None, None, None, None), ("add", None, "fact", "late", "0.9", None)])],
         "turn_id int, user_id int, pos int, op string, id string, memory_type string, content string, importance string, preference_key string",
     )
     memories = spark.createDataFrame([(1, "a", "old", 0.5), (1, "b", "old", 0.5), (2, "a", "other", 0.5), (1, "c", "kept", None)], "user_id int, id string, content string, importance double")
