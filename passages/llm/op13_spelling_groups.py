@@ -50,6 +50,9 @@ BITS_PER_WORD, LEAST_BITS, MOST_BITS = 64, 16, 27
 #: Keys of neighbours made at once, and for each letter of a word.
 CELLS, WIDTH = 2_000_000, 2 * SYMBOLS
 
+#: Forms that are broadcast at most while chains are followed.
+BROADCAST = 100_000
+
 BASE = 0x9E3779B97F4A7C15
 #: Runs as bytes in Latin-1, which holds all their letters; A-Z are lower-cased before.
 RUNS = re.compile(rb"[a-z\xc0-\xff]{%d,}" % LEAST_LETTERS)
@@ -192,7 +195,7 @@ def roots(forms: DataFrame) -> DataFrame:
     now = written(forms.select("word", F.col("form").alias("root")), "spelling-roots")
     while True:
         beyond = now.select(F.col("word").alias("root"), F.col("root").alias("next"))
-        joined = spread_join(now, beyond, ["root"], "left")
+        joined = spread_join(now, beyond, ["root"], "left", BROADCAST)
         step = written(joined.select("word", F.coalesce("next", "root").alias("root"), F.col("next").isNotNull().alias("moved")), "spelling-roots")
         moved = step.where("moved").limit(1).count()
         removed(now)
