@@ -30,7 +30,7 @@ def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of packed sequences."""
     import public_tokenizers
 
-    return op10_packing.pack(docs, public_tokenizers.path(op10_packing.VOCABULARY))
+    return op10_packing.pack(docs, public_tokenizers.path(op10_packing.VOCABULARY), added=public_tokenizers.path(op10_packing.TOKENIZER))
 
 
 STAGES = [("quality", quality), ("toxicity", toxicity), ("near_duplicates", near_duplicates), ("packing", packing)]

@@ -80,6 +80,11 @@ def spread_join(rows: DataFrame, side: DataFrame, keys: list[str], how: str = "i
     return salted.join(dealt, [*keys, "_salt"], how).drop("_salt")
 
 
+def whole(docs: DataFrame) -> Column:
+    """All columns of docs as one struct, `document`: results can then have any names beside it."""
+    return F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("document")
+
+
 def remainder(doc_id: Column, modulus: int) -> Column:
     """crc32(doc_id as text) mod modulus; null for a null id."""
     return F.crc32(doc_id.cast("string").cast("binary")) % F.lit(modulus)

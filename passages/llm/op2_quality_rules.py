@@ -1,14 +1,15 @@
 """Operator 2, quality rules as a bitmask ledger.
 
-measure() reads each text once and gives its counts. ledger() evaluates every rule once on those counts
-and stores the failures as bits of one long beside the measurements. A policy is a version and a mask: it
+measured() reads each text once and gives its counts. ledger() evaluates every rule once on those counts
+and keeps the failures as bits of one long beside the measurements. The query writes the ledger, without the
+texts, and applies its policies to what it has written. A policy is a version and a mask: it
 rejects a document if fail_bits & mask != 0, so a new version costs no second reading of the texts.
 ablation() tells, from the number of documents of each bit pattern, what each rule of a policy rejects and
 what only it rejects.
 
 Words are runs of characters other than space and U+0009..U+000D. Defined results: a null or empty text
 has no words and fails the length rule; texts of any length are read whole; repeated rows give repeated
-rows; extra columns stay (a column with the name of a result is replaced).
+rows; extra columns stay (in the ledger, one with the name of a result is replaced; keep() leaves all as they are).
 """
 
 from __future__ import annotations
@@ -20,7 +21,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from passages.llm.common import table
+from passages.llm.common import table, whole, written
 
 NAME = "op2_quality_rules"
 
@@ -92,9 +93,9 @@ def fail_bits() -> Column:
 
 def ledger(docs: DataFrame, text: str = "text") -> DataFrame:
     """docs with the measurements and fail_bits."""
-    rest = [c for c in docs.columns if c.lower() not in {*MEASURES, "fail_bits", "_m"}]
-    docs = docs.select(*(F.col(f"`{c}`") for c in rest)).withColumn("_m", measured(F.col(f"`{text}`")))
-    return docs.select(*(F.col(f"`{c}`") for c in rest), "_m.*").withColumn("fail_bits", fail_bits())
+    rest = [c for c in docs.columns if c.lower() not in {*MEASURES, "fail_bits"}]
+    held = docs.select(whole(docs), measured(F.col(f"`{text}`")).alias("measures"))
+    return held.select(*(F.col("document").getField(c).alias(c) for c in rest), "measures.*").withColumn("fail_bits", fail_bits())
 
 
 def rejected(version: str = CURRENT) -> Column:
@@ -102,8 +103,9 @@ def rejected(version: str = CURRENT) -> Column:
 
 
 def keep(docs: DataFrame, version: str = CURRENT, text: str = "text") -> DataFrame:
-    """The rows of docs that the policy keeps, with the columns of docs."""
-    return ledger(docs, text).where(~rejected(version)).select(*(F.col(f"`{c}`") for c in docs.columns))
+    """The rows of docs that the policy keeps, with the columns of docs, whatever their names."""
+    held = docs.select(whole(docs), measured(F.col(f"`{text}`")).alias("measures")).select("document", "measures.*")
+    return held.withColumn("fail_bits", fail_bits()).where(~rejected(version)).select("document.*")
 
 
 def ablation(entries: DataFrame, version: str = CURRENT) -> DataFrame:
@@ -121,7 +123,7 @@ def ablation(entries: DataFrame, version: str = CURRENT) -> DataFrame:
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    entries = ledger(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    entries = written(ledger(table(spark, sf_dir, "documents").select("doc_id", "text")).drop("text"), "quality-ledger")
     return entries.select(
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
         rejected("base").alias("base_failed"), (~rejected(CURRENT)).alias("kept"), "fail_bits",

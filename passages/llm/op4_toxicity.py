@@ -34,7 +34,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from passages.llm.common import remainder, removed, table, written
+from passages.llm.common import remainder, removed, table, whole, written
 from passages.llm.pretok import chunks
 from passages.llm.shingles import mixed, powers
 
@@ -331,9 +331,9 @@ def scored(spark: SparkSession, text: Column, model: Model) -> Column:
 
 def judge(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
     """docs with toxic_score, toxic_spans."""
-    rest = [c for c in docs.columns if c.lower() not in {"toxic_score", "toxic_spans", "_s"}]
-    made = docs.select(*(F.col(f"`{c}`") for c in rest), scored(docs.sparkSession, F.col(f"`{text}`"), model).alias("_s"))
-    return made.select(*(F.col(f"`{c}`") for c in rest), F.col("_s.score").alias("toxic_score"), F.col("_s.spans").alias("toxic_spans"))
+    rest = [c for c in docs.columns if c.lower() not in {"toxic_score", "toxic_spans"}]
+    made = docs.select(whole(docs), scored(docs.sparkSession, F.col(f"`{text}`"), model).alias("found"))
+    return made.select(*(F.col("document").getField(c).alias(c) for c in rest), F.col("found.score").alias("toxic_score"), F.col("found.spans").alias("toxic_spans"))
 
 
 def training_labels(labels: DataFrame) -> DataFrame:
@@ -341,9 +341,10 @@ def training_labels(labels: DataFrame) -> DataFrame:
 
 
 def keep(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """The rows of docs that score below THRESHOLD, with their columns."""
+    """The rows of docs that score below THRESHOLD, with their columns, whatever their names."""
     model = learn(docs, training_labels(labels))
-    return judge(docs, model).where(F.col("toxic_score") < THRESHOLD).select(*(F.col(f"`{c}`") for c in docs.columns))
+    made = docs.select(whole(docs), scored(docs.sparkSession, F.col("text"), model).alias("found"))
+    return made.where(F.col("found.score") < THRESHOLD).select("document.*")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -355,6 +356,7 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("toxic_score").alias("score"),
         (F.col("toxic_score") >= THRESHOLD).cast("int").alias("predicted"),
         F.size("toxic_spans").alias("n_spans"),
+        F.array_join(F.transform("toxic_spans", lambda s: F.concat_ws(":", s["start"], s["end"])), ",").alias("spans"),
     )
 
 

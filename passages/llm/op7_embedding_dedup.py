@@ -17,11 +17,12 @@ shuffled. The work is that of all pairs of tiles of a label that the bound can't
 label's distinct vectors when they have no structure (see the README).
 
 Defined results: vectors that are null, zero or hold null or non-finite components, and those of a null
-label, link with nothing; vectors of another length than their label's others only link among their own
-length; a null vec_id gives a row with null component, kept, and takes no part. vec_id names a vector: repeated
-rows of an id with equal label and embedding are one vector, and give one row each, all alike; an id with several
-embeddings or labels joins their components, and its links are summed over them. An empty table gives no rows;
-extra columns are ignored.
+label, link with nothing, and give their own id; vectors of another length than their label's others only link among
+their own length; a null vec_id gives a row with null component, kept, and takes no part. Repeated rows of an id
+with equal label and embedding are one vector, and give one row each, all alike. An id with several embeddings or labels
+has a vector for each: their components are joined, every row gives the links of its own vector, and links among
+vectors of the same id don't count (these pairs are compared by themselves: their number grows with the square of
+an id's vectors). An empty table gives no rows; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -30,10 +31,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from passages.llm.common import spread_join, table, written
+from passages.llm.common import removed, spread_join, table, written
 from passages.llm.components import components, forest
 
 NAME = "op7_embedding_dedup"
@@ -45,6 +46,8 @@ PIVOTS = 16
 ROUNDING = 1e-6
 #: Components whose int8 products single precision adds exactly: 1024 * 127 ** 2 < 2 ** 24.
 EXACT = 1024
+#: Ids up to which a list of them is broadcast.
+BROADCAST_IDS = 1_000_000
 
 
 def unit(vectors: np.ndarray) -> np.ndarray:
@@ -70,10 +73,11 @@ def possible(a: tuple[np.ndarray, np.ndarray, np.ndarray], b: tuple[np.ndarray,
     return product * sa[:, None] * sb[None, :] + slack >= threshold
 
 
-def usable(vectors: DataFrame) -> DataFrame:
+def usable() -> Column:
+    """Whether a row's vector is compared."""
     fine = F.col("embedding").isNotNull() & F.col("label").isNotNull() & F.col("vec_id").isNotNull() & (F.size("embedding") > 0)
     finite = F.forall("embedding", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
-    return vectors.where(fine & finite & F.exists("embedding", lambda x: x != 0))
+    return fine & finite & F.exists("embedding", lambda x: x != 0)
 
 
 def tiles(distinct: DataFrame) -> DataFrame:
@@ -173,16 +177,36 @@ def compared(pairs: DataFrame, threshold: float) -> DataFrame:
     return pairs.mapInPandas(run, "u long, v long, n long")
 
 
+def alike(rows: DataFrame, threshold: float) -> DataFrame:
+    """(vec_id, node, own): for each vector of an id with several, how many others of that id link to it. rows (vec_id, label,
+    size, node, embedding): the vectors of such ids. Nodes are of one label and length, so pairs are too."""
+
+    def reaches(left: pd.Series, right: pd.Series) -> pd.Series:
+        x, y = (unit(np.stack(v.to_numpy()).astype(np.float64)) if len(v) else np.zeros((0, 1)) for v in (left, right))
+        return pd.Series((x * y).sum(1) >= threshold)
+
+    def by_size(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for _, same in batch.groupby("size"):
+                yield same[["vec_id", "node"]][reaches(same["embedding"], same["other"]).to_numpy()]
+
+    other = rows.select("vec_id", "label", "size", F.col("node").alias("other_node"), F.col("embedding").alias("other"))
+    pairs = rows.join(other, ["vec_id", "label", "size"]).where("node <> other_node")
+    return pairs.select("vec_id", "node", "size", "embedding", "other").mapInPandas(by_size, "vec_id long, node long").groupBy("vec_id", "node").agg(F.count(F.lit(1)).alias("own"))
+
+
 def near_duplicates(vectors: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """vectors (vec_id, embedding, label) -> vec_id, n_links, component_id, kept."""
     vectors = vectors.select("vec_id", F.col("embedding").cast("array<double>").alias("embedding"), F.col("label").cast("long").alias("label"))
-    good = usable(vectors)
-    good = good.select("label", F.size("embedding").alias("size"), "vec_id", F.transform("embedding", lambda x: x + F.lit(0.0)).alias("embedding"))
-    good = good.withColumn("key", F.sha2(F.to_json("embedding"), 256))
-    keys = ["label", "size", "key"]
-    member = written(good.select("vec_id", *keys).distinct(), "tiles-members")
-    # a distinct vector is a node, named by its least id; copies: the ids that have it
-    nodes = written(member.groupBy(*keys).agg(F.min("vec_id").alias("node"), F.count(F.lit(1)).alias("copies")), "tiles-nodes")
+    same_zero = F.transform("embedding", lambda x: x + F.lit(0.0))
+    # a distinct vector of a label is a node, named by a hash of both
+    node = F.xxhash64("label", F.size("embedding"), F.sha2(F.to_json(same_zero), 256))
+    keys = ["label", "size", "node"]
+    named = vectors.select("vec_id", "label", F.size("embedding").alias("size"), F.when(usable(), node).alias("node"), same_zero.alias("embedding"))
+    good = named.where("node is not null")
+    rows = written(named.drop("embedding"), "tiles-rows")
+    member = rows.where("node is not null").distinct()
+    nodes = written(member.groupBy(*keys).agg(F.min("vec_id").alias("least"), F.count(F.lit(1)).alias("copies")), "tiles-nodes")
     distinct = good.groupBy(*keys).agg(F.first("embedding").alias("embedding")).join(nodes, keys)
     blocks = written(tiles(distinct), "tiles")
     near = centres(blocks)
@@ -199,14 +223,27 @@ def near_duplicates(vectors: DataFrame, threshold: float = THRESHOLD) -> DataFra
 
     maybe = written(candidates(sides(pairs, ("codes", "scales", "errors")), threshold), "tiles-candidates")
     found = written(compared(sides(maybe, ("nodes", "copies", "vectors")), threshold), "tiles-links")
+    removed(blocks, maybe)
     counts = found.where("v is null").groupBy(F.col("u").alias("node")).agg(F.sum("n").alias("n"))
-    joined = components(found.where("v is not null").select("u", "v"))
-    named = nodes.join(counts, "node", "left").join(joined, "node", "left")
-    named = named.select(*keys, (F.col("copies") - 1 + F.coalesce("n", F.lit(0))).alias("n_links"), F.coalesce("component", "node").alias("component_id"))
-    found_ids = spread_join(member, named.where("n_links > 0"), keys).groupBy("vec_id").agg(F.max("n_links").alias("n_links"), F.min("component_id").alias("component_id"))
-    every = vectors.select("vec_id").join(found_ids, "vec_id", "left")
-    own = F.coalesce("component_id", "vec_id")
-    return every.select("vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), own.alias("component_id"), F.coalesce(own == F.col("vec_id"), F.lit(True)).alias("kept"))
+    links = found.where("v is not null").select("u", "v")
+    several = written(member.groupBy("vec_id").agg(F.min("node").alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1").select("vec_id", "first"), "tiles-several")
+    count = several.count()
+    if count:  # ids with several vectors join what these link with
+        held = written(member.join(F.broadcast(several) if count <= BROADCAST_IDS else several, "vec_id"), "tiles-held")
+        links = links.unionByName(held.where("node <> first").select(F.col("node").alias("u"), F.col("first").alias("v")))
+        own = alike(good.join(held.select("vec_id", "node"), ["vec_id", "node"]).dropDuplicates(["vec_id", "node"]), threshold)
+    joined = written(components(links), "tiles-components")
+    roots = joined.join(nodes, "node").groupBy("component").agg(F.min("least").alias("root"))
+    labelled = spread_join(joined, roots, ["component"]).select("node", "root")
+    sums = nodes.join(counts, "node", "left").join(labelled, "node", "left")
+    sums = sums.select("node", (F.col("copies") - 1 + F.coalesce("n", F.lit(0))).alias("n"), F.coalesce("root", "least").alias("root"))
+    sums = written(sums, "tiles-sums")
+    removed(found, nodes, joined)
+    every = spread_join(rows, sums, ["node"], "left")
+    if count:
+        every = every.join(own, ["vec_id", "node"], "left").withColumn("n", F.col("n") - F.coalesce("own", F.lit(0)))
+    component = F.coalesce("root", "vec_id")
+    return every.select("vec_id", F.coalesce("n", F.lit(0)).cast("long").alias("n_links"), component.alias("component_id"), F.coalesce(component == F.col("vec_id"), F.lit(True)).alias("kept"))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

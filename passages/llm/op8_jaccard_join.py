@@ -21,8 +21,9 @@ with the smallest, then those not yet joined with each other. These pairs first
 smallest hashes, then are verified on whole sets. Components follow from the verified links.
 
 Defined results: a null text, and one without words, has no shingles and is linked with nothing; a null doc_id
-gives a row with a null component and takes no part; repeated rows with one doc_id give repeated rows; extra
-columns are ignored; an empty table gives no rows.
+gives a row with a null component and takes no part; repeated rows with one doc_id give repeated rows; a doc_id with
+several texts has the links of all of them and joins their components, and each of its rows gives its own number of
+shingles; extra columns are ignored; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -325,9 +326,38 @@ def family_links(combined: DataFrame, docs: DataFrame) -> DataFrame:
 
 
 def classes(docs: DataFrame, load: int = LOAD) -> DataFrame:
-    """docs (doc_id, text) -> one row each: doc_id, n_shingles, component_id."""
-    spark = docs.sparkSession
+    """docs (doc_id, text) -> one row each: doc_id, n_shingles, component_id.
+
+    An id with several texts (told by hashes, 24 bytes a row) is taken apart into a node for each of them, and the
+    components that its nodes lie in are joined afterwards."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    hashes = docs.where("doc_id is not null").groupBy("doc_id").agg(F.min(F.xxhash64("text")).alias("a"), F.max(F.xxhash64("text")).alias("b"))
+    several = written(hashes.where("a <> b").select("doc_id"), "jaccard-several")
+    count = several.count()
+    if not count:
+        return classes_of_single(docs, load)
+    odd = chosen(docs, several, count, "left_semi").select(F.xxhash64("doc_id", "text").alias("node"), "doc_id", "text")
+    odd = written(odd, "jaccard-odd")
+    usual = chosen(docs, several, count, "left_anti")
+    found = written(classes_of_single(usual.unionByName(odd.select(F.col("node").alias("doc_id"), "text")), load), "jaccard-found")
+    names = odd.select("node", F.col("doc_id").alias("own")).distinct()
+    named = found.join(F.broadcast(names) if count <= BROADCAST_IDS // 8 else names, F.col("doc_id") == F.col("node"), "left")
+    named = named.select(F.coalesce("own", "doc_id").alias("doc_id"), "n_shingles", "component_id", F.col("own").isNotNull().alias("odd"))
+    named = written(named, "jaccard-named")
+    # components of an id's nodes are one; those that no such id touches stay as they are
+    stars = named.where("odd").groupBy("doc_id").agg(F.min("component_id").alias("least"))
+    joined = components(named.where("odd").join(stars, "doc_id").select(F.col("component_id").alias("u"), F.col("least").alias("v")))
+    touched = named.where("odd").select(F.col("component_id").alias("node")).distinct().join(joined, "node", "left").select("node", F.coalesce("component", "node").alias("component"))
+    merged = named.join(touched, F.col("component_id") == F.col("node"), "left").where("node is not null")
+    least = merged.groupBy("component").agg(F.min("doc_id").alias("smallest"))
+    last = spread_join(touched, least, ["component"]).select(F.col("node").alias("component_id"), "smallest")
+    found = spread_join(named, last, ["component_id"], "left")
+    return found.select("doc_id", "n_shingles", F.coalesce("smallest", "component_id").alias("component_id"))
+
+
+def classes_of_single(docs: DataFrame, load: int) -> DataFrame:
+    """The same where each doc_id has one text."""
+    spark = docs.sparkSession
     chars = docs.agg(F.sum(F.length("text"))).first()[0] or 0
     bits = min(MOST_BITS, max(LEAST_BITS, (chars // (WORD_CHARS * PER_CELL)).bit_length()))
     found = written(profiles(docs, bits), "jaccard-profiles")
@@ -368,7 +398,7 @@ def classes(docs: DataFrame, load: int = LOAD) -> DataFrame:
 
     removed(entries, needed, lows, left)
     joined = members.join(components(links), F.col("rep") == F.col("node"), "left")
-    return joined.select("doc_id", F.col("n").cast("long").alias("n_shingles"), F.coalesce("component", "rep", "doc_id").alias("component_id"))
+    return joined.select("doc_id", F.col("n").cast("long").alias("n_shingles"), F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "rep", "doc_id")).alias("component_id"))
 
 
 def keep(docs: DataFrame) -> DataFrame:

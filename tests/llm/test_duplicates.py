@@ -19,6 +19,47 @@ def test_query_equals_sql(spark, sf, duck, module):
     assert rows(module.query(spark, sf).toPandas()) == rows(duck.sql(module.ORACLE_SQL).df())
 
 
+def test_ids_with_several_vectors(spark):
+    """Nodes are vectors: what one vector of an id links with is no link of another, nor is the id's own."""
+    a, e = [1.0, 0.0, 0.0], [0.0, 1.0, 0.0]
+    rows = [(1, a, 0), (1, e, 0), (5, a, 0), (3, [0.0, 1.0, 0.01], 0), (4, [0.0, 1.0, 0.02], 0)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")
+    found = sorted((r.vec_id, r.n_links, r.component_id, r.kept) for r in vectors.near_duplicates(df).collect())
+    assert found == [(1, 1, 1, True), (1, 2, 1, True), (3, 2, 1, False), (4, 2, 1, False), (5, 1, 1, False)]
+    alone = spark.createDataFrame([(1, e, 0), (1, [0.0, 1.0, 0.01], 0), (1, e, 0), (1, e, 1)], "vec_id long, embedding array<double>, label int")
+    assert {(r.vec_id, r.n_links, r.component_id) for r in vectors.near_duplicates(alone).collect()} == {(1, 0, 1)}
+
+
+def test_vectors_at_the_threshold(spark):
+    """A cosine of exactly 0.98 links, the next smaller one doesn't."""
+    import math
+
+    y = math.sqrt(1 - 0.98**2)
+    for x, linked in ((0.98, True), (0.98 - 1e-9, False), (0.98 + 1e-9, True)):
+        v = vectors.unit(np.array([[1.0, 0.0], [x, y]]))
+        cosine = float((v[0] * v[1]).sum())
+        if x != 0.98:
+            assert (cosine >= 0.98) == linked
+        df = spark.createDataFrame([(1, [1.0, 0.0], 0), (2, [x, y], 0)], "vec_id long, embedding array<double>, label int")
+        assert {r.n_links for r in vectors.near_duplicates(df).collect()} == {int(cosine >= 0.98)}
+
+
+@pytest.mark.parametrize("turned", [False, True])
+def test_ids_with_several_texts(spark, turned):
+    a, b = " ".join(f"a{i}" for i in range(60)), " ".join(f"b{i}" for i in range(60))
+    rows = [(1, a), (1, b), (2, a + " x"), (3, b + " y"), (4, "other words entirely here now"), (1, a), (None, a), (6, None), (6, "")]
+    rows = rows[::-1] if turned else rows
+    found = jaccard.classes(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted((r.doc_id or 0, r.n_shingles, r.component_id or 0) for r in found) == [(0, 56, 0), (1, 56, 1), (1, 56, 1), (1, 56, 1), (2, 57, 1), (3, 57, 1), (4, 1, 4), (6, 0, 6), (6, 0, 6)]
+
+
+def test_very_long_text(spark):
+    """A long text links with its copy that lacks a word, and with nothing else."""
+    long = " ".join(f"w{i * i % 99991}" for i in range(120_000))
+    rows = [(9, long), (4, long.replace("w49 ", "", 1)), (5, long[: len(long) // 2])]
+    assert {r.doc_id: r.component_id for r in jaccard.classes(spark.createDataFrame(rows, "doc_id long, text string")).collect()} == {9: 4, 4: 4, 5: 5}
+
+
 def classes_by_force(items: dict[int, object], linked) -> dict[int, int]:
     best = {i: i for i in items}
     changed = True
@@ -155,6 +196,35 @@ def test_empty_jaccard(spark):
     assert jaccard.classes(spark.createDataFrame([], "doc_id long, text string")).count() == 0
 
 
+CLASHING = "doc_id long, text string, source string, lang string, n_words string, _m int, fail_bits string, toxic_score string, _s int, document string, found int, n int, node int"
+
+
+def test_stages_leave_columns_alone(spark, sf):
+    """Every stage on nulls, repeated ids, an empty table and columns with the names of results."""
+    plain = " ".join(f"word{i}" for i in range(80)) + "."
+    texts = [plain, None, "", "short text", plain, plain + " more"]
+    rows = [(i, t, None if i == 1 else "s", "en", "mine", 7, "bits", "score", 8, "doc", 9, 10, 11) for i, t in zip([1, 2, 3, 4, None, 6], texts)]
+    docs = spark.createDataFrame([*rows, rows[0]], CLASHING)
+    want = {"quality": [None, 1, 1, 6], "toxicity": [None, 1, 1, 2, 3, 4, 6], "near_duplicates": [None, 1, 1, 2, 3, 4]}
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        out = stage(spark, docs, sf)
+        assert out.schema == docs.schema
+        kept = out.collect()
+        assert sorted((r.doc_id for r in kept), key=lambda x: x or 0) == want[name], name
+        assert {tuple(r) for r in kept} <= {tuple(r) for r in rows}
+        assert stage(spark, docs.limit(0), sf).count() == 0
+    pieces = corpus_pipeline.packing(spark, docs, sf)
+    assert pieces.groupBy().sum("length").first()[0] == pieces.dropDuplicates(["doc_id"]).groupBy().sum("doc_tokens").first()[0] + pieces.where("doc_id = 1").first().doc_tokens
+    assert corpus_pipeline.packing(spark, docs.limit(0), sf).count() == 0
+
+
+def test_packing_stage_reads_added_tokens(spark, sf):
+    from passages.llm import op10_packing
+
+    docs = spark.createDataFrame([(1, "end<|endoftext|> next", "s")], "doc_id long, text string, source string")
+    assert corpus_pipeline.packing(spark, docs, sf).first().doc_tokens == 4 and op10_packing.END == 1
+
+
 def test_pipeline_stages(spark, sf):
     docs, kept = spark.read.parquet(f"{sf}/documents.parquet"), []
     for name, stage in corpus_pipeline.STAGES[:-1]:
