@@ -46,6 +46,8 @@ LARGE = 4096
 BROADCAST = 2_000_000
 #: Pairs that a task holds before it hands their sums on.
 HELD = 3_000_000
+#: Segments that a worker keeps, and characters up to which it keeps one.
+KEPT, LONG = 400_000, 256
 #: Rows of a task that can be told apart.
 ROW_BITS = 33
 
@@ -66,8 +68,8 @@ def pieces(model: str):
 def common_cuts(ends_a: list[int], ends_b: list[int]) -> tuple[list[int], list[int]]:
     """Tokens of A and of B before each common end."""
     index_a, index_b = dict(zip(ends_a, range(1, len(ends_a) + 1))), dict(zip(ends_b, range(1, len(ends_b) + 1)))
-    common = sorted(index_a.keys() & index_b.keys())
-    return [index_a[e] for e in common], [index_b[e] for e in common]
+    common = list(filter(index_b.__contains__, index_a))  # the ends of A come in order, so the common ones do
+    return list(map(index_a.__getitem__, common)), list(map(index_b.__getitem__, common))
 
 
 class Aligned(NamedTuple):
@@ -88,16 +90,43 @@ class Aligner:
         self.bytes_a = token_bytes(ranks)
         self.size_a, self.size_b = (np.array([len(x) for x in own], dtype=np.int64) for own in (self.bytes_a, self.bytes_b))
         self.kind = "<u4" if len(self.bytes_a) * len(self.bytes_b) < 1 << 32 else "<u8"
+        inside = any(" " in x.lstrip(b" ").decode("utf-8", "replace") for x in self.bytes_b)
+        self.segment = re.compile("(?s).+" if inside else " *[^ ]+| +")
+        self.known: dict[str, bytes | None] = {}
         self.names = [f"{i}{end}".encode() for ends, n in ((",|", len(self.bytes_a)), (",;", len(self.bytes_b))) for i in range(n) for end in ends]
 
+    def encoded_b(self, texts: list[str]) -> Iterator[np.ndarray | None]:
+        """B's ids of each text; None where their bytes aren't the space and the text.
+
+        No piece has a space after another character, so nothing is merged across a place where a space follows one:
+        the segments between them are encoded by themselves, each once, and the worker keeps what it has met."""
+        cut = [self.segment.findall(f" {t}") for t in texts]
+        new = set().union(*cut) - self.known.keys()
+        if len(self.known) + len(new) > KEPT:
+            self.known = {}
+            new = set().union(*cut)
+        names = list(new)
+        for name, ids in zip(names, self.own.encode([x[1:] for x in names], num_threads=1)):
+            same = b"".join(map(self.bytes_b.__getitem__, ids)) == name.encode("utf-8", "surrogatepass")
+            self.known[name] = np.array(ids, dtype="<i4").tobytes() if same else None
+        for own in cut:
+            try:
+                yield np.frombuffer(b"".join(map(self.known.__getitem__, own)), dtype="<i4").astype(np.int64)
+            except TypeError:
+                yield None
+        for name in names:
+            if len(name) > LONG:
+                del self.known[name]
+
     def align(self, texts: list[str]) -> Iterator[Aligned]:
         found_a = self.encoder.encode([f" {t}" for t in texts])
-        for text, a, b in zip(texts, found_a, self.own.encode(texts, num_threads=1)):
-            raw, ids_a = f" {text}".encode("utf-8", "surrogatepass"), a.tolist()
-            whole = text and b"".join(map(self.bytes_a.__getitem__, ids_a)) == raw and b"".join(map(self.bytes_b.__getitem__, b)) == raw
-            a, b = (np.asarray(x if whole else [], dtype=np.int64) for x in (a, b))
-            cuts = common_cuts(np.cumsum(self.size_a[a]).tolist(), np.cumsum(self.size_b[b]).tolist())
-            yield Aligned(a, b, *(np.array(x, dtype=np.int64) for x in cuts))
+        for text, a, b in zip(texts, found_a, self.encoded_b(texts)):
+            ends_a = np.cumsum(self.size_a[a])
+            ends_b = np.cumsum(self.size_b[b]) if text and b is not None else np.zeros(1, dtype=np.int64)
+            if ends_a[-1] != ends_b[-1]:  # A's slices are those of the text, by construction
+                a = b = ends_a = ends_b = np.zeros(0, dtype=np.int64)
+            cuts = common_cuts(ends_a.tolist(), ends_b.tolist())
+            yield Aligned(a.astype(np.int64), b, *(np.array(x, dtype=np.int64) for x in cuts))
 
     def listing(self, x: Aligned) -> bytes:
         """a1,a2|b1;a3|b2,b3"""
