@@ -107,6 +107,7 @@ class Aligner:
             new = set().union(*cut)
         names = list(new)
         for name, ids in zip(names, self.own.encode([x[1:] for x in names], num_threads=1)):
+            ids = ids or [self.own.piece_to_id("▁")]  # a space alone, which the tokenizer would add itself
             same = b"".join(map(self.bytes_b.__getitem__, ids)) == name.encode("utf-8", "surrogatepass")
             self.known[name] = np.array(ids, dtype="<i4").tobytes() if same else None
         for own in cut:
