@@ -131,6 +131,13 @@ def grounding(answer: Column, issues: Column, checked: Column, streamed: Column,
     )
 
 
+def repaired_grounding(status: Column, left: Column, streamed: Column) -> Column:
+    """Status after the repair of answers that failed: repaired if no issue is left of the mended text, else failed; a failed
+    answer that wasn't streamed yet is replaced and then lacks evidence. left: issues of the repaired text, null without a repair."""
+    after = F.when((status == "failed") & left.isNotNull() & (F.size(left) == 0), "repaired").otherwise(status)
+    return F.when((after == "failed") & ~F.coalesce(streamed, F.lit(False)), "insufficient_evidence").otherwise(after)
+
+
 def call_count(strategy: Column, corrected: Column, many: str = "multi_expert") -> Column:
     """Model calls of a run: 1; for the strategy of several reports 2, one a report and one a corrected report (an array of
     booleans, one a report; null: none)."""

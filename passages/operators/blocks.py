@@ -12,8 +12,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Queries in a block; rows multiplied at once.
-QUERIES, ROWS = 512, 256
+#: Queries in a block; rows multiplied at once; cells of a matrix at most (one query or row at least).
+QUERIES, ROWS, CELLS = 512, 256, 4_000_000
 
 
 class Best:
@@ -60,14 +60,27 @@ def term_counts(texts: list[str], terms: np.ndarray, sizes: tuple[int, ...]) ->
     return pairs // max(1, len(terms)), pairs % max(1, len(terms)), times
 
 
+def spans_of(texts: list[str], sizes: tuple[int, ...]) -> Iterator[tuple[int, int]]:
+    """Ranges of queries whose terms times queries stay within CELLS, QUERIES of them at most."""
+    first, grams = 0, 0
+    for i, t in enumerate(texts):
+        more = len(sizes) * len(t)
+        if i > first and (i - first == QUERIES or (grams + more) * (i - first + 1) > CELLS):
+            yield first, i
+            first, grams = i, 0
+        grams += more
+    yield first, len(texts)
+
+
 def bm25(queries: list[tuple[object, str]], kind: str, chunks: DataFrame, k: int, sizes: tuple[int, ...], k1: float, b: float) -> DataFrame:
     """Candidates (query_id, chunk_id, score) with the k best chunks of each query. queries: (id, lower-cased text)."""
     spark, rows = chunks.sparkSession, chunks.select("chunk_id", F.lower("content").alias("low")).where("low is not null")
     found = None
-    for a in range(0, max(1, len(queries)), QUERIES):
-        own = queries[a : a + QUERIES]
+    for a, z in spans_of([t for _, t in queries], sizes):
+        own = queries[a:z]
         codes, owner = gram_codes([t for _, t in own], sizes) if own else (np.zeros(0, np.uint64), np.zeros(0, np.int64))
         terms, inverse = np.unique(codes, return_inverse=True)
+        step = max(1, min(ROWS, CELLS // max(1, len(terms))))
         asked = np.zeros((len(terms), len(own)))
         asked[inverse, owner] = 1
         shared = spark.sparkContext.broadcast((terms, asked))  # a block of queries
@@ -97,11 +110,11 @@ def bm25(queries: list[tuple[object, str]], kind: str, chunks: DataFrame, k: int
         idf, mean = np.log(1 + (n - df + 0.5) / (df + 0.5)), total / n if n else 1.0
         ids = [q for q, _ in own]
 
-        def score(batches: Iterator[pd.DataFrame], shared=shared, idf=idf, mean=mean, ids=ids) -> Iterator[pd.DataFrame]:
+        def score(batches: Iterator[pd.DataFrame], shared=shared, idf=idf, mean=mean, ids=ids, step=step) -> Iterator[pd.DataFrame]:
             (terms, asked), best = shared.value, Best(len(ids), k)
             for batch in batches:
-                for i in range(0, len(batch), ROWS):
-                    part = batch.iloc[i : i + ROWS]
+                for i in range(0, len(batch), step):
+                    part = batch.iloc[i : i + step]
                     texts = part["low"].tolist()
                     lengths = np.array([sum(max(0, len(t) - s + 1) for s in sizes) for t in texts])
                     text, term, times = term_counts(texts, terms, sizes)

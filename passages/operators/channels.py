@@ -2,15 +2,16 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from passages.operators import blocks
+from passages.operators import blocks, lexindex
 from passages.operators.index import ngram_rows, ngrams, word_rows, words
+from passages.sources import scratch
 
 #: Query terms up to which they are broadcast to the postings (about 60 bytes each).
 BROADCAST_TERMS = 500_000
@@ -171,6 +172,16 @@ def bm25(queries: DataFrame, chunks: DataFrame, k: int, low: int = 2, high: int
     return top_k(united(found), k, "bm25")
 
 
+def bm25_stored(queries: DataFrame, path: str, k: int, low: int = 2, high: int = 3, k1: float = 1.2, b: float = 0.75, most: int = 20_000) -> DataFrame:
+    """The same from an index that lexindex.store has written at path: up to `most` queries are answered by one pass over the
+    columns of their terms' buckets."""
+    asked = queries.select("query_id", F.lower("query").alias("low")).where("low is not null")
+    kind = dict(asked.dtypes)["query_id"]
+    spark = queries.sparkSession
+    found = [lexindex.search(spark, path, [(r["query_id"], r["low"]) for r in rows], kind, k, tuple(range(low, high + 1)), k1, b) for rows in in_blocks(asked, most)]
+    return top_k(united(found), k, "bm25")
+
+
 # Words without content, and characters that part the anchors of a query.
 STOPWORDS = (
     "什么", "为什么", "怎么", "如何", "哪些", "这个", "那个", "人物", "小说", "文中",
@@ -180,27 +191,29 @@ PARTING = "和与及跟的在对把将由从向于、，。！？；："
 CJK = "\\x{3400}-\\x{9fff}"
 
 
-def tokenize_query(query: Column, most: int = 8, stopwords: tuple[str, ...] = STOPWORDS) -> Column:
+def tokenize_query(query: Column, most: int = 8, stopwords: tuple[str, ...] = STOPWORDS, segment: Callable[[Column], Column] | None = None) -> Column:
     """Up to `most` distinct lower-cased tokens of two characters or more: first the anchors (CJK runs of 2 to 6 and
-    words of the query without stopwords and parting characters), then the runs and words of the whole query."""
+    words of the query without stopwords and parting characters), then the tokens of the whole query: its runs and words or,
+    with `segment` (a function from a text column to an array of its words, as segment.segmenter gives), what that finds."""
     text = query
     for word in sorted(stopwords, key=lambda w: (-len(w), w)):
         text = F.replace(text, F.lit(word), F.lit(" "))
     text = F.regexp_replace(text, f"[{PARTING}\\s\\p{{Z}}]+", " ")
     anchors = F.regexp_extract_all(text, F.lit(f"([{CJK}]{{2,6}}|[A-Za-z0-9_]{{2,}})"), 1)
-    runs = F.regexp_extract_all(query, F.lit(f"([{CJK}]{{2,}}|[A-Za-z0-9_]{{2,}})"), 1)
+    runs = F.regexp_extract_all(query, F.lit(f"([{CJK}]{{2,}}|[A-Za-z0-9_]{{2,}})"), 1) if segment is None else segment(query)
     found = F.transform(F.concat(anchors, runs), F.lower)
-    told = F.filter(found, lambda t: ~t.isin(*stopwords) & t.rlike(f"[{CJK}a-z0-9]"))
+    told = F.filter(found, lambda t: (F.length(t) >= 2) & ~t.isin(*stopwords) & t.rlike(f"[{CJK}a-z0-9]"))
     return F.slice(F.array_distinct(told), 1, most)
 
 
-def lexical(queries: DataFrame, chunks: DataFrame, k: int, most: int = 8) -> DataFrame:
-    """Share of a query's tokens that occur in a chunk (as lower-cased substrings), weighted 0.85, plus 0.15
-    times the share of its trigrams that occur; every chunk that holds a token gets the whole score.
+def lexical(queries: DataFrame, chunks: DataFrame, k: int, most: int = 8, segment: Callable[[Column], Column] | None = None) -> DataFrame:
+    """Share of a query's tokens that occur in a chunk (as lower-cased substrings), weighted 0.85, plus 0.15 times the
+    similarity of its trigrams to the chunk's best extent.
 
     queries (query_id, query) are tokenised; chunks are pruned by the first two characters of the tokens, so only
-    chunks that share them are compared."""
-    tokens = queries.select("query_id", F.lower("query").alias("query"), tokenize_query(F.col("query"), most).alias("tokens")).where(F.size("tokens") > 0)
+    chunks that share them are compared. An extent's similarity is at most the share of the query's trigrams that occur anywhere,
+    and at least 0: only chunks that can still be among the k best by these bounds are given their texts and compared in full."""
+    tokens = queries.select("query_id", F.lower("query").alias("query"), tokenize_query(F.col("query"), most, segment=segment).alias("tokens")).where(F.size("tokens") > 0)
     each = tokens.select("query_id", F.size("tokens").alias("n"), F.explode("tokens").alias("token"))
     keyed = each.withColumn("term", F.substring("token", 1, 2))
     lowered = chunks.select("chunk_id", F.lower("content").alias("low"))
@@ -208,11 +221,52 @@ def lexical(queries: DataFrame, chunks: DataFrame, k: int, most: int = 8) -> Dat
     pairs = ngram_rows(lowered.select("chunk_id", "low"), "low", 2, 2).join(wanted, "term", "left_semi").distinct()
     near = pairs.join(small(keyed, BROADCAST_TERMS), "term").join(lowered, "chunk_id").where(F.contains(F.col("low"), F.col("token")))
     score = near.groupBy("query_id", "n", "chunk_id").agg(F.countDistinct("token").alias("c"))
-    score = score.select("query_id", "chunk_id", (F.col("c") / F.col("n")).alias("coverage"))
-    grams = small(tokens.select("query_id", ngrams(F.col("query"), 3).alias("grams")), BROADCAST_TERMS)
-    joined = score.join(grams, "query_id").join(lowered, "chunk_id")
-    total = 0.85 * F.col("coverage") + 0.15 * gram_share(F.col("grams"), F.col("low"))
-    return top_k(joined.select("query_id", "chunk_id", F.greatest(F.lit(0.0), F.least(F.lit(1.0), total)).alias("score")), k, "lexical")
+    score = score.select("query_id", "chunk_id", (0.85 * F.col("c") / F.col("n")).alias("least"))
+    score = scratch.kept(score, "lexical-coverage")
+    # the k-th best lower bound of each query; a chunk whose upper bound is below it is out
+    order = Window.partitionBy("query_id").orderBy(F.col("least").desc(), "chunk_id")
+    floor = score.withColumn("_n", F.row_number().over(order)).where(F.col("_n") == k).select("query_id", F.col("least").alias("floor"))
+    open_ = score.join(small(floor, BROADCAST_TERMS), "query_id", "left").where(F.col("floor").isNull() | (F.col("least") + 0.15 >= F.col("floor")))
+    texts = open_.join(small(tokens.select("query_id", "query"), BROADCAST_TERMS // 10), "query_id").join(lowered, "chunk_id")
+    texts = texts.where(F.col("floor").isNull() | (F.col("least") + 0.15 * gram_share(ngrams(F.col("query"), 3), F.col("low")) >= F.col("floor") - 1e-9))
+    total = F.col("least") + 0.15 * extent_similarity(F.col("query"), F.col("low"))
+    return top_k(texts.select("query_id", "chunk_id", F.greatest(F.lit(0.0), F.least(F.lit(1.0), total)).alias("score")), k, "lexical")
+
+
+def best_extent(query: str, content: str) -> float:
+    """Greatest Jaccard similarity between the query's distinct trigrams and those of a stretch of consecutive trigrams.
+
+    A best stretch begins and ends with a trigram of the query. From each such beginning, one pass to the right: a trigram is
+    new if its last place before lies left of the beginning."""
+    wanted = {query[i : i + 3] for i in range(len(query) - 2)}
+    if not wanted:
+        return 0.0
+    grams = [content[i : i + 3] for i in range(len(content) - 2)]
+    hit = np.fromiter((g in wanted for g in grams), bool, len(grams))
+    starts = np.flatnonzero(hit)
+    if not len(starts):
+        return 0.0
+    seen: dict[str, int] = {}
+    before = np.empty(len(grams), dtype=np.int64)
+    for i, g in enumerate(grams):
+        before[i] = seen.get(g, -1)
+        seen[g] = i
+    last, best = starts[-1] + 1, 0.0
+    for s in starts.tolist():
+        new = before[s:last] < s
+        shared = np.cumsum(new & hit[s:last])
+        best = max(best, float((shared / (len(wanted) + np.cumsum(new) - shared)).max()))
+    return best
+
+
+def extent_similarity(query: Column, content: Column) -> Column:
+    """best_extent of two lower-cased columns; nulls give 0."""
+
+    @F.pandas_udf("double")
+    def compare(queries: pd.Series, contents: pd.Series) -> pd.Series:
+        return pd.Series([best_extent(q, c) if isinstance(q, str) and isinstance(c, str) else 0.0 for q, c in zip(queries, contents)], dtype=float)
+
+    return compare(query, content)
 
 
 def gram_share(grams: Column, content: Column) -> Column:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from passages.functions.text import clean_text
@@ -81,18 +81,44 @@ def split_sections(sections: DataFrame, size: int = SIZE, overlap: int = OVERLAP
         for texts in batches:
             rows = []
             for t in texts:
-                own, at, length = [], 0, 0
-                for k, chunk in enumerate(recursive_split(t, size, overlap, separators) if t else []):
-                    at = t.find(chunk, max(0, at + length - overlap))
-                    length = len(chunk)
-                    own.append({"ord": k + 1, "local_start": at, "content": chunk})
-                rows.append(own)
+                found = placed(t, size, overlap, separators) if t else ()
+                rows.append([{"ord": k, "local_start": at, "content": chunk} for k, at, chunk in found])
             yield pd.Series(rows)
 
     keep = [c for c in sections.columns if c != text]
     return sections.select(*keep, F.explode(split(text)).alias("_c")).select(*keep, "_c.*")
 
 
+def placed(text: str, size: int, overlap: int, separators: tuple[str, ...] = SEPARATORS) -> Iterator[tuple[int, int, str]]:
+    """(ord, local_start, content) of a text's recursive chunks."""
+    at = length = 0
+    for k, chunk in enumerate(recursive_split(text, size, overlap, separators)):
+        at = text.find(chunk, max(0, at + length - overlap))
+        length = len(chunk)
+        yield k + 1, at, chunk
+
+
+class SplitText:
+    """A table function (text, size, overlap) -> ord, local_start, content, for lateral joins; a null or empty text has no rows."""
+
+    def eval(self, text: str, size: int, overlap: int) -> Iterator[tuple[int, int, str]]:
+        if text:
+            yield from placed(text, size, overlap)
+
+
+def register_split(spark: SparkSession, name: str = "split_text") -> None:
+    """Makes the table function known to SQL: SELECT s.*, c.* FROM sections s, LATERAL split_text(s.text, 650, 120) c."""
+    spark.udtf.register(name, F.udtf(SplitText, returnType="ord int, local_start int, content string"))
+
+
+def split_lateral(sections: DataFrame, size: int = SIZE, overlap: int = OVERLAP, text: str = "text") -> DataFrame:
+    """What split_sections gives, by a lateral join with the table function."""
+    split = F.udtf(SplitText, returnType="ord int, local_start int, content string")
+    keep = [c for c in sections.columns if c != text]
+    own = sections.alias("_s")
+    return own.lateralJoin(split(F.col(f"_s.{text}").outer(), F.lit(size), F.lit(overlap)).alias("_c")).select(*(F.col(f"_s.{c}") for c in keep), "_c.*")
+
+
 def section_offsets(chunks: DataFrame) -> DataFrame:
     """Adds char_start and char_end to chunks with section_start, local_start and content."""
     start = F.col("section_start") + F.col("local_start")

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from passages.operators import channels, fusion
+from passages.sources import scratch
 
 
 def annotate(results: DataFrame) -> DataFrame:
@@ -128,7 +129,7 @@ def retrieve_full(queries: DataFrame, chunks: DataFrame, config: Config = Config
     if "vector" in queries.columns and "embedding" in chunks.columns:
         lanes = {"vector": channels.knn(queries, chunks, config.pool)} | lanes
     columns = ("query_id", "chunk_id", "score", "rank", "channel")
-    candidates = channels.united([df.select(*columns) for df in lanes.values()])
+    candidates = scratch.kept(channels.united([df.select(*columns) for df in lanes.values()]), "lanes")  # config.pool rows a query and lane
     of = lambda test: F.max(F.when(test, F.col("score")))
     scores = candidates.groupBy("query_id", "chunk_id").agg(
         of(F.col("channel") == "vector").alias("vector"), of(F.col("channel") == "fts").alias("fts"), of(F.col("channel") != "vector").alias("lexical")
@@ -166,8 +167,8 @@ def retrieve(queries: DataFrame, chunks: DataFrame, config: Config = Config()) -
         "fts": channels.fts(queries, chunks, config.pool),
     }
     columns = ("query_id", "chunk_id", "score", "rank", "channel")
-    candidates = lanes["bm25"].select(*columns).unionByName(lanes["fts"].select(*columns))
-    fused = fusion.rrf(candidates, config.rrf_c, config.pool)
+    candidates = scratch.kept(lanes["bm25"].select(*columns).unionByName(lanes["fts"].select(*columns)), "lanes")  # config.pool rows a query and lane
+    fused = scratch.kept(fusion.rrf(candidates, config.rrf_c, config.pool), "fused")
     best = annotate(fused.where(F.col("rank") <= config.k).withColumn("score_type", F.lit("hybrid")))
     place = chunks.select("chunk_id", "file_id", "user_id", "source", "chapter_no", "chunk_no")
     primary = best.join(place, "chunk_id")

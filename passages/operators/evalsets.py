@@ -22,6 +22,24 @@ def merge_pools(pools: DataFrame, keep: int = 14, c: int = 60) -> DataFrame:
     return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= keep)
 
 
+def pool_texts(merged: DataFrame, topics: DataFrame, chunks: DataFrame, snippet: int = 400) -> DataFrame:
+    """merged rows (topic_id, chunk_no, found_by, rank) with the chapter and the text of their chunk: white space squeezed, `snippet`
+    characters; topics (topic_id, file_id), chunks (file_id, chunk_no, chapter_no, content). A chunk that isn't there has an empty
+    text."""
+    body = F.trim(F.regexp_replace(F.coalesce("content", F.lit("")), "(?U)\\s+", " "))
+    named = merged.join(topics.select("topic_id", "file_id"), "topic_id")
+    return named.join(chunks.select("file_id", "chunk_no", "chapter_no", "content"), ["file_id", "chunk_no"], "left").select(
+        "topic_id", "file_id", "rank", "chunk_no", "chapter_no", "found_by", F.substring(body, 1, snippet).alias("text")
+    )
+
+
+def pool_sizes(pools: DataFrame, topics: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(topic_id, size of each topic's pool, 0 where nothing was found; one row with topics, empty topics, mean, least and most)."""
+    found = pools.where("chunk_no is not null").groupBy("topic_id").agg(F.countDistinct("chunk_no").alias("n"))
+    sizes = topics.select("topic_id").distinct().join(found, "topic_id", "left").select("topic_id", F.coalesce("n", F.lit(0)).cast("long").alias("size"))
+    return sizes, sizes.agg(F.count(F.lit(1)).alias("topics"), F.count_if(F.col("size") == 0).alias("empty"), F.round(F.avg("size"), 1).alias("mean"), F.min("size").alias("least"), F.max("size").alias("most"))
+
+
 def batches(topics: DataFrame, key: str, size: int = 9) -> DataFrame:
     """Adds batch: topics in order of a numeric key, `size` to a batch, numbered by ranges of the key."""
     return numbered(topics, key, "_i").withColumn("batch", F.floor(F.col("_i") / size)).drop("_i")

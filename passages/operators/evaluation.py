@@ -115,6 +115,50 @@ def failure_reason(results: DataFrame, gold: DataFrame, k: int = 5) -> DataFrame
     return joined.select("query_id", reason.alias("reason"))
 
 
+def failure_reasons(results: DataFrame, gold: DataFrame, trace: DataFrame | None = None, context: DataFrame | None = None, prepared: DataFrame | None = None, k: int = 10, reranked: bool = True, lanes: tuple[str, ...] = ("vector", "bm25", "fts", "lexical")) -> DataFrame:
+    """(query_id, reason) of every query with gold; null where gold is among the first k.
+
+    In order: preparation_fallback (prepared (query_id, reason) says neither rewritten nor cached), gold_boundary_mismatch (the
+    chapter was hit and gold is among the neighbours in context), empty_retrieval, file_filter_mismatch (a row of another file),
+    chapter_hit_but_gold_chunk_missed; then, by the stages of the trace that hold gold, final_top_k_cut (ranked, or in the
+    pool of a run that doesn't rerank), reranker_loss (pool), candidate_filter_loss (rrf), rrf_fusion_loss (a lane),
+    candidate_generation_missed; without a trace not_in_final_top_k_after_rerank where a row's score_type says so, else
+    not_observed_in_final_top_k."""
+    keys = gold.where("relevance > 0")
+    cases = keys.groupBy("query_id").agg(F.min("file_id").alias("_file"))
+    chapters = keys.select("query_id", "file_id", "chapter_no", F.lit(True).alias("_c")).distinct()
+    top = results.join(keys.select("query_id", "chunk_id", F.lit(True).alias("_g")).distinct(), ["query_id", "chunk_id"], "left")
+    top = top.join(chapters, ["query_id", "file_id", "chapter_no"], "left").join(cases, "query_id")
+    within = F.col("rank") <= k
+    scored = F.col("score_type") == "reranker" if "score_type" in results.columns else F.lit(False)
+    seen = top.groupBy("query_id").agg(
+        F.bool_or(within & F.col("_g")).alias("hit"), F.bool_or(F.col("file_id") != F.col("_file")).alias("other"), F.bool_or(within & F.col("_c")).alias("chapter"), F.bool_or(scored).alias("scored"), F.lit(True).alias("any"),
+    )
+    joined = cases.join(seen, "query_id", "left")
+    stage = lambda c: F.coalesce(F.col(c), F.lit(False))
+    if trace is not None:
+        held = trace.join(keys.select("query_id", "chunk_id"), ["query_id", "chunk_id"], "left_semi").groupBy("query_id").agg(
+            F.bool_or(F.col("stage") == "ranked").alias("ranked"), F.bool_or(F.col("stage") == "pool").alias("pool"), F.bool_or(F.col("stage") == "rrf").alias("rrf"), F.bool_or(F.col("stage").isin(*lanes)).alias("lane"),
+        )
+        joined = joined.join(held, "query_id", "left")
+        lost = (
+            F.when(stage("ranked"), "final_top_k_cut").when(stage("pool"), "reranker_loss" if reranked else "final_top_k_cut").when(stage("rrf"), "candidate_filter_loss")
+            .when(stage("lane"), "rrf_fusion_loss").otherwise("candidate_generation_missed")
+        )
+    else:
+        lost = F.when(stage("scored"), "not_in_final_top_k_after_rerank").otherwise("not_observed_in_final_top_k")
+    reason = F.when(stage("hit"), None).when(F.col("any").isNull(), "empty_retrieval").when(stage("other"), "file_filter_mismatch").when(stage("chapter"), "chapter_hit_but_gold_chunk_missed").otherwise(lost)
+    if context is not None:
+        near = context.join(keys.select("query_id", "chunk_id"), ["query_id", "chunk_id"], "left_semi").select("query_id").distinct().withColumn("near", F.lit(True))
+        joined = joined.join(near, "query_id", "left")
+        reason = F.when(~stage("hit") & stage("chapter") & stage("near"), "gold_boundary_mismatch").otherwise(reason)
+    if prepared is not None:
+        told = prepared.select("query_id", (~F.col("reason").isin("rewritten", "cached")).alias("fell"))
+        joined = joined.join(told, "query_id", "left")
+        reason = F.when(reason.isNotNull() & stage("fell"), "preparation_fallback").otherwise(reason)
+    return joined.select("query_id", reason.alias("reason"))
+
+
 #: Labels that people give to cases, which summaries go by.
 LABELS = (
     "has_explicit_character", "has_alias_or_title", "has_pronoun", "has_chapter_hint", "requires_cross_chapter", "requires_multiple_evidence",
@@ -148,6 +192,34 @@ def summarize(rows: DataFrame, metrics: tuple[str, ...], dims: tuple[str, ...],
     )
 
 
+#: Columns of a case that the report takes the mean of, and the flags that it takes rates of, with their names.
+MEANS = (
+    "recall_at_1", "recall_at_5", "recall_at_10", "candidate_recall_vector", "candidate_recall_lexical", "candidate_recall_rrf", "pre_rerank_recall",
+    "precision_at_5", "mrr_at_10", "ndcg_at_10",
+)
+RATES = {"chapter_hit": "chapter_hit_rate", "chunk_hit": "chunk_hit_rate", "neighbor_hit": "neighbor_context_hit_rate", "empty": "empty_rate"}
+FEATURES = ("chapter_position", "query_length_bucket", "entity_count_bucket", *LABELS)
+
+
+def report(cases: DataFrame, dims: tuple[str, ...] = ("category", *FEATURES)) -> DataFrame:
+    """dim, value, questions, the MEANS, the RATES and the mean, median and 95 % point of latency_ms: for all cases (dim overall) and
+    each value of each dimension, by one aggregation over grouping sets. A missing metric counts as 0, a missing value is N/A."""
+    text = {d: F.coalesce(F.col(d).cast("string"), F.lit("N/A")) for d in dims}
+    zero = {m: F.coalesce(F.col(m).cast("double"), F.lit(0.0)) for m in (*MEANS, "latency_ms")}
+    flag = {c: F.coalesce(F.col(c).cast("boolean"), F.lit(False)).cast("int") for c in RATES}
+    rows = cases.select(*(text[d].alias(d) for d in dims), *(c.alias(m) for m, c in {**zero, **flag}.items()))
+    at = lambda p: F.round(F.percentile("latency_ms", F.lit(p)), 2)
+    found = rows.groupingSets([[], *([F.col(d)] for d in dims)], *(F.col(d) for d in dims)).agg(
+        F.grouping_id().alias("_set"), F.count(F.lit(1)).alias("questions"), *(F.round(F.avg(m), 4).alias(m) for m in MEANS), *(F.round(F.avg(c), 4).alias(name) for c, name in RATES.items()),
+        F.round(F.avg("latency_ms"), 4).alias("avg_latency_ms"), at(0.5).alias("p50_latency_ms"), at(0.95).alias("p95_latency_ms"),
+    )
+    every = (1 << len(dims)) - 1
+    own = {d: F.col("_set") == every - (1 << (len(dims) - 1 - i)) for i, d in enumerate(dims)}  # a bit is 0 where its column is grouped by
+    dim = F.coalesce(*(F.when(c, F.lit(d)) for d, c in own.items()), F.lit("overall"))
+    value = F.coalesce(*(F.when(c, F.col(d)) for d, c in own.items()), F.lit("all"))
+    return found.select(dim.alias("dim"), value.alias("value"), "questions", *MEANS, *RATES.values(), "avg_latency_ms", "p50_latency_ms", "p95_latency_ms")
+
+
 def percentile_index(rows: DataFrame, key: str, value: str, p: float) -> DataFrame:
     """sorted[min(n - 1, int(n p))] of each key, by counting: equal values are aggregated before the shuffle."""
     counts = rows.where(F.col(value).isNotNull()).groupBy(key, value).agg(F.count(F.lit(1)).alias("c"))

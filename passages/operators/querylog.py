@@ -12,7 +12,7 @@ def signals(col: Column, words: tuple[str, ...]) -> Column:
 
 
 def strategy(col: Column, words: tuple[str, ...]) -> Column:
-    """plan for complex queries (32 characters or 2 signals), direct for simple ones (16 and at most 1), else react."""
+    """The length and signal rules alone, with any words: plan (32 characters or 2 signals), direct (16 and at most 1), else react."""
     n = signals(col, words)
     return F.when((F.length(col) >= 32) | (n >= 2), "plan").when((F.length(col) <= 16) & (n <= 1), "direct").otherwise("react")
 
@@ -26,13 +26,30 @@ def tool_audit(calls: DataFrame, counted: str, budget: int) -> DataFrame:
 
 
 def run_rollup(events: DataFrame) -> DataFrame:
-    """events (run_id, seq, type, data) -> status and answer: tokens joined from the last replacement on."""
+    """events (run_id, seq, type, data) -> run_id, status, answer, sources, n_sources, tools, n_tool_calls.
+
+    The answer is the tokens joined from the last replacement on; an empty replacement counts for nothing. Sources are the data of
+    the last event of that type (a JSON array; null or empty: none). tools maps each tool, named by the data of its start, to
+    its number of starts. A run that was broken off (an event timeout or exception) is partial if it has an answer, else failed; one
+    that says done is completed; one with an error event is failed; any other partial."""
+    data = F.coalesce("data", F.lit(""))
     run = Window.partitionBy("run_id")
-    cut = F.coalesce(F.max(F.when(F.col("type") == "token_replace", F.col("seq"))).over(run), F.lit(-1))
-    kept = events.withColumn("_cut", cut).withColumn("_text", F.when(F.col("type").isin("token", "token_replace") & (F.col("seq") >= F.col("_cut")), F.struct("seq", "data")))
-    found = kept.groupBy("run_id").agg(F.array_sort(F.collect_list("_text")).alias("_t"), F.max((F.col("type") == "error").cast("int")).alias("_e"), F.max((F.col("type") == "done").cast("int")).alias("_d"))
-    status = F.when(F.col("_d") == 1, "completed").when(F.col("_e") == 1, "failed").otherwise("partial")
-    return found.select("run_id", status.alias("status"), F.array_join(F.col("_t.data"), "").alias("answer"))
+    cut = F.coalesce(F.max(F.when((F.col("type") == "token_replace") & (data != ""), F.col("seq"))).over(run), F.lit(-1))
+    text = F.when((F.col("seq") >= F.col("_cut")) & (F.col("type").isin("token", "token_replace")), F.struct("seq", data.alias("data")))
+    kept = events.withColumn("_cut", cut).withColumn("_text", text)
+    has = lambda *types: F.coalesce(F.bool_or(F.col("type").isin(*types)), F.lit(False))
+    found = kept.groupBy("run_id").agg(
+        F.array_sort(F.collect_list("_text")).alias("_t"), has("error").alias("_e"), has("done").alias("_d"), has("timeout", "exception").alias("_x"),
+        F.max_by("data", F.when(F.col("type") == "sources", F.col("seq"))).alias("_s"), F.count_if(F.col("type") == "tool_start").alias("n_tool_calls"),
+    )
+    tools = events.where("type = 'tool_start'").groupBy("run_id", F.coalesce("data", F.lit("")).alias("tool")).agg(F.count(F.lit(1)).alias("n"))
+    tools = tools.groupBy("run_id").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("tool", "n")))).alias("tools"))
+    answer = F.array_join(F.col("_t.data"), "")
+    told = F.length(bare(answer)) > 0
+    status = F.when(F.col("_x") & told, "partial").when(F.col("_x"), "failed").when(F.col("_d"), "completed").when(F.col("_e"), "failed").otherwise("partial")
+    sources = F.coalesce(F.nullif(F.col("_s"), F.lit("")), F.lit("[]"))
+    rows = found.join(tools, "run_id", "left").withColumns({"status": status, "answer": answer, "sources": sources, "n_sources": F.coalesce(F.json_array_length(sources), F.lit(0)).cast("long")})
+    return rows.select("run_id", "status", "answer", "sources", "n_sources", F.coalesce("tools", F.create_map().cast("map<string,bigint>")).alias("tools"), "n_tool_calls")
 
 
 def merge_policy(base: Column, over: Column, fields: tuple[str, ...]) -> Column:
@@ -158,21 +175,30 @@ def validate_requests(requests: DataFrame) -> DataFrame:
 
 # What a prepared query may say, and openings of answers.
 INTENTS = ("character", "character_relation", "plot_causality", "timeline", "chapter_locator", "factual", "user_preference", "other")
-MODES = ("evidence", "memory_context", "conversation")
 CITATIONS = ("chapter_only", "hidden", "normal")
 ANSWER_MARKERS = ("答案：", "回答：", "综上", "因此可以看出", "分析如下", "总结：")
+SWITCHES = ("summary_only", "show_source_text", "allow_direct_quotes", "show_citations", "show_agent_details")
 
 
 def validate_prepared(df: DataFrame, most: int = 400) -> DataFrame:
     """df with `verdict`: the first check that a prepared query fails, else ok. Columns: standalone_query, retrieval_query, intent,
     needs_retrieval, answer_mode, retrieval_reason, confidence (strings and a boolean), entities, evidence_focus (arrays), citation_style,
-    original, history, memory. Null intent, needs_retrieval, answer_mode, retrieval_reason and confidence take their defaults,
-    null arrays and citation_style none; texts are trimmed first."""
+    original, history, memory; where there is one, output_policy, a map of strings: its SWITCHES are true or false. Null intent,
+    needs_retrieval, answer_mode, retrieval_reason and confidence take their defaults, null arrays, maps and citation_style none;
+    texts are trimmed first. An original message that only says how sources are to be shown needs no retrieval, whatever the
+    prepared query says of its intent, mode, reason and search text."""
     bare = lambda c: F.regexp_replace(c, "^\\s+|\\s+$", "")
     alone, asked = bare(F.col("standalone_query")), bare(F.col("retrieval_query"))
     needs, mode = F.coalesce("needs_retrieval", F.lit(True)), F.coalesce("answer_mode", F.lit("evidence"))
     reason = F.coalesce("retrieval_reason", F.lit("legacy_query_preparation"))
     sure = F.coalesce("confidence", F.lit("0")).try_cast("double")
+    shown = directive(F.col("original"))
+    only = shown["no_source"] & shown["preference_only"]
+    needs, mode, reason = needs & ~only, F.when(only, "memory_context").otherwise(mode), F.when(only, "user_output_preference").otherwise(reason)
+    intent = F.when(only, "user_preference").otherwise(F.coalesce("intent", F.lit("other")))
+    asked = F.when(only & asked.isNotNull(), "").otherwise(asked)
+    policy = F.coalesce(F.col("output_policy") if "output_policy" in df.columns else F.lit(None), F.create_map()).cast("map<string,string>")
+    unclear = F.exists(F.map_entries(policy), lambda e: e["key"].isin(*SWITCHES) & ~F.coalesce(e["value"].isin("true", "false"), F.lit(False)))
     used = F.when(needs, asked).otherwise("")
     none = F.array().cast("array<string>")
 
@@ -189,14 +215,14 @@ def validate_prepared(df: DataFrame, most: int = 400) -> DataFrame:
         ("missing_query", alone.isNull() | asked.isNull()),
         ("empty_query", alone == ""),
         ("query_too_long", (F.length(alone) > most) | (F.length(asked) > most)),
-        ("invalid_intent", ~F.coalesce("intent", F.lit("other")).isin(*INTENTS)),
+        ("invalid_intent", ~intent.isin(*INTENTS)),
         ("invalid_answer_mode", ~mode.isin(*MODES)),
         ("invalid_retrieval_reason", (bare(reason) == "") | (F.length(reason) > 80)),
         ("missing_retrieval_query", needs & (asked == "")),
         ("inconsistent_answer_mode", needs != (mode == "evidence")),
         ("invalid_confidence", ~F.coalesce(sure.between(0.0, 1.0) & ~F.isnan(sure), F.lit(False))),
         ("invalid_list", wrong("entities", 12, 40) | wrong("evidence_focus", 8, 60)),
-        ("invalid_output_policy", ~F.coalesce("citation_style", F.lit("normal")).isin(*CITATIONS)),
+        ("invalid_output_policy", unclear | ~F.coalesce("citation_style", F.lit("normal")).isin(*CITATIONS)),
         ("invented_entity", invented),
         ("answer_like", told),
         ("multiline_query", F.contains(used, F.lit("\n")) | F.contains(alone, F.lit("\n"))),

@@ -5,8 +5,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from passages.operators import channels
 from passages.operators.chunking import stride_chunks
 
+#: Characters of a piece, and places between those of a chunk; passages have PIECE + STEP - 1 characters at least. Keys of
+#: passages, with their texts, up to which they are broadcast.
+PIECE, STEP, BROADCAST_KEYS = 10, 7, 50_000
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -32,17 +37,17 @@ def queries(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def gold(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Chunks that hold a passage (grade 2), and the chunks after them in their file (grade 1).
+    """Chunks that hold a passage of 16 characters or more (grade 2), and the chunks after them in their file (grade 1).
 
-    Passages are found by their first 16 characters: an equi-join, then the comparison."""
-    own = queries(spark, sf_dir).where("length(query) >= 16").withColumn("key", F.substring("query", 1, 16))
-    keys = own.select("key").distinct()
+    A passage is known by the pieces of PIECE characters at its first STEP places, a chunk by those at every STEP-th place: one of
+    these lies within any occurrence. An equi-join of pieces, then the comparison."""
+    own = queries(spark, sf_dir).where(F.length("query") >= PIECE + STEP - 1)
+    keys = own.select("query_id", "query", F.explode(F.array_distinct(F.array(*(F.substring("query", i + 1, PIECE) for i in range(STEP))))).alias("key"))
     found = chunks(spark, sf_dir)
     n = F.length("content")
     place = ("chunk_id", "file_id", "chapter_no", "chunk_no")
-    spans = found.where(n >= 16).select(*place, "content", F.explode(F.array_distinct(F.transform(F.sequence(F.lit(1), n - 15), lambda i: F.col("content").substr(i, F.lit(16))))).alias("key"))
-    spans = spans.join(F.broadcast(keys), "key", "left_semi")  # one key a benchmark passage
-    held = spans.join(own, "key").where(F.contains("content", "query")).select("query_id", *place, F.lit(2).alias("relevance"))
+    spans = found.where(n >= PIECE).select(*place, "content", F.explode(F.sequence(F.lit(1), n - (PIECE - 1), F.lit(STEP))).alias("at")).withColumn("key", F.col("content").substr(F.col("at"), F.lit(PIECE)))
+    held = spans.join(channels.small(keys, BROADCAST_KEYS), "key").where(F.contains("content", "query")).select("query_id", *place, F.lit(2).alias("relevance")).distinct()
     after = held.select("query_id", "file_id", (F.col("chunk_no") + 1).alias("chunk_no"), F.lit(1).alias("relevance")).join(found.select(*place), ["file_id", "chunk_no"])
     both = held.unionByName(after.select("query_id", *place, "relevance"))
     return both.groupBy("query_id", *place).agg(F.max("relevance").alias("relevance"))

@@ -227,10 +227,10 @@ def log5(spark, sf_dir):
     return querylog.validate_prepared(rows).select("conv_id", "turn", "verdict")
 
 
-@query("stm3_windowed_metrics", "SELECT event_type AS name, time_bucket(INTERVAL 1 HOUR, ts) AS start, count(*) AS n, round(avg(value), 6) AS avg FROM events GROUP BY ALL")
+@query("stm3_windowed_metrics", "SELECT event_type AS name, time_bucket(INTERVAL 1 HOUR, ts) AS start, count(*) AS n, round(avg(value), 6) AS avg, quantile_disc(value, 0.5) AS p50, quantile_disc(value, 0.95) AS p95 FROM events GROUP BY ALL")
 def stm3(spark, sf_dir):
     e = demo.table(spark, sf_dir, "events").select(F.col("event_type").alias("name"), "ts", "value")
-    return sessions.windowed_metrics(e, "1 hour").select("name", "start", "n", "avg")
+    return sessions.windowed_metrics(e, "1 hour").select("name", "start", "n", "avg", "p50", "p95")
 
 
 @query("stm7_run_status", "SELECT user_id AS run_id, arg_max(event_type, event_id) AS status, count(*) AS n FROM events GROUP BY user_id")

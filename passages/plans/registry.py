@@ -8,7 +8,7 @@ from importlib import import_module
 from pyspark.sql import DataFrame, SparkSession
 
 #: Modules with QUERIES and ORACLE dictionaries.
-MODULES: tuple[str, ...] = ("retrieval", "tables", "more", "rules", "ingest")
+MODULES: tuple[str, ...] = ("retrieval", "tables", "more", "rules", "ingest", "stored")
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

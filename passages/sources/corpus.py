@@ -13,12 +13,19 @@ ENDINGS, MOST_BYTES = ("pdf", "docx", "txt", "md"), 10 * 1024 * 1024
 
 
 def read_corpus(spark: SparkSession, path: str) -> DataFrame:
-    """One row a file below path: file, ext, size, raw, reject_reason (ending, size, or null). Empty files give no
-    row: Spark's file source leaves them out."""
-    found = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
+    """One row a file below path: file, ext, size, raw, reject_reason (ending, size, or null; raw is null where a file is rejected).
+    Empty files give no row: Spark's file source leaves them out.
+
+    The length of a file reaches the source as a filter, so bytes of files that are too large are never read; files are rejected by
+    listing alone."""
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
     ext = F.lower(F.regexp_extract("path", "\\.([^./]+)$", 1))
-    reason = F.when(~ext.isin(*ENDINGS), "ending").when(F.col("length") > MOST_BYTES, "size")
-    return found.select(F.element_at(F.split("path", "/"), -1).alias("file"), ext.alias("ext"), F.col("length").alias("size"), F.col("content").alias("raw"), reason.alias("reject_reason"))
+    file = F.element_at(F.split("path", "/"), -1).alias("file")
+    good = ext.isin(*ENDINGS) & (F.col("length") <= MOST_BYTES)
+    read = files.where((F.col("length") <= MOST_BYTES) & ext.isin(*ENDINGS)).select(file, ext.alias("ext"), F.col("length").alias("size"), F.col("content").alias("raw"), F.lit(None).cast("string").alias("reject_reason"))
+    listed = files.drop("content").where(~good)
+    reason = F.when(~ext.isin(*ENDINGS), "ending").otherwise("size")
+    return read.unionByName(listed.select(file, ext.alias("ext"), F.col("length").alias("size"), F.lit(None).cast("binary").alias("raw"), reason.alias("reject_reason")))
 
 
 def source_hash(raw: Column) -> Column:
@@ -67,12 +74,28 @@ def detect_decode(df: DataFrame, raw: str = "raw") -> DataFrame:
     return best.withColumn("text", F.col("_best.text")).withColumn("encoding", F.col("_best.encoding")).drop("_best", "_tried")
 
 
-def read_cases(spark: SparkSession, path: str) -> DataFrame:
-    """Evaluation cases, one JSON object a line: id, query, file_id, gold_chunks; blank lines and rows without id,
-    query or gold are left out."""
+def rated_cases(spark: SparkSession, path: str) -> DataFrame:
+    """Every line of a file of cases that isn't blank: id, query, category, file_id, gold_chunks, line, and reason: why it isn't a case
+    (bad_json, missing_id, missing_query, missing_gold), else null."""
     gold = "array<struct<chapter_no:int,chunk_no:int,relevance:int,evidence_quote:string>>"
-    rows = spark.read.schema(f"id string, query string, category string, file_id string, gold_chunks {gold}").json(path)
-    return rows.where((F.length(F.trim("id")) > 0) & (F.length(F.trim("query")) > 0) & (F.size("gold_chunks") > 0))
+    fields = ("id", "query", "category", "file_id", "gold_chunks")
+    schema = f"id string, query string, category string, file_id string, gold_chunks {gold}, broken string"
+    rows = spark.read.text(path).where(F.length(F.trim("value")) > 0).select(F.col("value").alias("line"), F.from_json("value", schema, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "broken"}).alias("r"))
+    empty = lambda c: F.length(F.trim(F.coalesce(c, F.lit("")))) == 0
+    reason = (
+        F.when(F.col("r").isNull() | F.col("r.broken").isNotNull(), "bad_json").when(empty("r.id"), "missing_id").when(empty("r.query"), "missing_query")
+        .when(F.coalesce(F.size("r.gold_chunks"), F.lit(0)) <= 0, "missing_gold")
+    )
+    return rows.select(*(F.col(f"r.{c}") for c in fields), "line", reason.alias("reason"))
+
+
+def read_cases(spark: SparkSession, path: str) -> DataFrame:
+    """Evaluation cases, one JSON object a line: id, query, category, file_id, gold_chunks; blank lines and rows without id, query or
+    gold (rated_cases tells why) are left out. ValueError if no case is left."""
+    kept = rated_cases(spark, path).where("reason is null").drop("line", "reason")
+    if not kept.take(1):
+        raise ValueError(f"{path} holds no case with an id, a query and gold chunks")
+    return kept
 
 
 def read_answers(spark: SparkSession, path: str, schema: str = "id string, answer string") -> DataFrame:
