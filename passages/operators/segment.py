@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+import re
 from collections.abc import Callable, Iterator
 
 import pandas as pd
@@ -58,11 +59,12 @@ class PrefixDictionary:
 
 
 def segmenter(counts: dict[str, int]) -> Callable[[Column], Column]:
-    """A function from a column of runs to a column of their words, for tokenize_query."""
-    held = PrefixDictionary(counts)
+    """A function from a text column to an array of its words, for tokenize_query: CJK runs are cut, runs of letters and digits of
+    ASCII are words."""
+    held, parts = PrefixDictionary(counts), re.compile("[\u3400-\u9fff]+|[A-Za-z0-9_]+")
 
     @F.pandas_udf("array<string>")
-    def words(runs: pd.Series) -> pd.Series:
-        return runs.map(lambda run: None if run is None else held.cut(run))
+    def words(texts: pd.Series) -> pd.Series:
+        return texts.map(lambda t: None if t is None else [w for run in parts.findall(t) for w in ([run] if run.isascii() else held.cut(run))])
 
     return words
