@@ -10,6 +10,18 @@ from pyspark.sql import functions as F
 from passages.operators import channels, context, fusion
 
 
+def extent(query: str, content: str) -> float:
+    """Best Jaccard similarity of the query's trigrams with those of any stretch of the content."""
+    wanted, grams = ({t[i : i + 3] for i in range(len(t) - 2)} if t is query else [t[i : i + 3] for i in range(len(t) - 2)] for t in (query, content))
+    best = 0.0
+    for a in range(len(grams)):
+        own: set[str] = set()
+        for g in grams[a:]:
+            own.add(g)
+            best = max(best, len(wanted & own) / len(wanted | own))
+    return best
+
+
 @pytest.mark.parametrize("k", [1, 3, 10])
 def test_lexical_by_force(spark, k):
     """Many chunks tie in coverage, and the best by trigrams have the largest ids."""
@@ -25,9 +37,8 @@ def test_lexical_by_force(spark, k):
         for c, content in chunks.items():
             low, own = (content or "").lower(), text.lower()
             held = sum(t in low for t in tokens[q])
-            grams = {own[i : i + 3] for i in range(len(own) - 2)}
             if held:
-                found.append((-round(0.85 * held / len(tokens[q]) + 0.15 * sum(g in low for g in grams) / max(1, len(grams)), 6), c))
+                found.append((-round(0.85 * held / len(tokens[q]) + 0.15 * extent(own, low), 6), c))
         want |= {(q, c, -score, rank + 1) for rank, (score, c) in enumerate(sorted(found)[:k])}
     got = channels.lexical(spark.createDataFrame(list(queries.items()), "query_id int, query string"), spark.createDataFrame(list(chunks.items()), "chunk_id string, content string"), k)
     assert {(r.query_id, r.chunk_id, round(r.score, 6), r.rank) for r in got.collect()} == want
