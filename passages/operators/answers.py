@@ -87,13 +87,13 @@ def strategy_comparison(rows: DataFrame, baseline: str = "direct", resamples: in
     fine = fine.groupBy("strategy", "id").agg(F.min("v").alias("v"))
     base = fine.where(F.col("strategy") == baseline).select("id", F.col("v").alias("w"))
     matched = fine.where(F.col("strategy") != baseline).join(base, "id")
-    order = Window.partitionBy("strategy", "metric").orderBy("id")
-    each = matched.select("strategy", "id", F.explode(F.arrays_zip("v", "w")).alias("x")).select("strategy", "id", "x.v.metric", (F.col("x.v.v") - F.col("x.w.v")).alias("delta"))
-    placed = each.withColumn("i", F.row_number().over(order) - 1)
-    by, judged = ["strategy", "metric"], F.col("metric").isin(*JUDGED)
-    counts = each.groupBy(*by).agg(*(F.count_if(c).alias(n) for n, c in (("wins", F.col("delta") > 1e-9), ("ties", F.abs("delta") <= 1e-9), ("losses", F.col("delta") < -1e-9))))
-    found = bootstrap_groups(placed, by, resamples, seed).join(counts, by)
-    return found.select(*by, "n", "mean", "low", "high", "significant", *(F.when(judged, F.col(c)).alias(c) for c in ("wins", "ties", "losses")))
+    deltas = matched.select("strategy", "id", *((F.col("v")[k]["v"] - F.col("w")[k]["v"]).alias(c) for k, c in enumerate(COMPARED)))
+    placed = deltas.withColumn("i", F.row_number().over(Window.partitionBy("strategy").orderBy("id")) - 1)
+    tests = {"wins": lambda d: d > 1e-9, "ties": lambda d: F.abs(d) <= 1e-9, "losses": lambda d: d < -1e-9}
+    counts = deltas.groupBy("strategy").agg(*(F.struct(F.lit(c).alias("metric"), *(F.count_if(test(F.col(c))).alias(name) for name, test in tests.items())).alias(c) for c in JUDGED))
+    counts = counts.select("strategy", F.inline(F.array(*JUDGED)))
+    found = bootstrap_groups(placed, ["strategy"], resamples, seed, values=COMPARED).join(counts, ["strategy", "metric"], "left")
+    return found.select("strategy", "metric", "n", "mean", "low", "high", "significant", *tests)
 
 
 def backfill_evidence(runs: DataFrame, chunks: DataFrame) -> DataFrame:

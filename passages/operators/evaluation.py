@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -282,27 +284,76 @@ def numbered(df: DataFrame, key: str, name: str, parts: int = 200) -> DataFrame:
 
 
 def paired_bootstrap(pairs: DataFrame, resamples: int = 10_000, seed: int = 42, digits: int = 6) -> DataFrame:
-    """pairs (id, delta) -> one row: mean difference, its 95 % interval over resamples, significance. Ids are numbers.
-
-    Every pair asks for its place by rank; a resample's places are drawn by hash, joined to the deltas and
-    summed before the shuffle, so that carries one row a resample and task."""
+    """pairs (id, delta) -> one row: mean difference, its 95 % interval over resamples, significance. Ids are numbers; every pair
+    has its place by rank."""
     placed = numbered(pairs.select("id", "delta"), "id", "i").withColumn("g", F.lit(0))
     found = bootstrap_groups(placed, ["g"], resamples, seed, digits)
     n = pairs.agg(F.round(F.avg("delta"), digits).alias("mean"))
-    return n.join(F.broadcast(found.drop("g", "mean", "n")), F.lit(True), "left")  # one row each
-
-
-def bootstrap_groups(placed: DataFrame, by: list[str], resamples: int = 10_000, seed: int = 42, digits: int = 6) -> DataFrame:
-    """placed (by..., i from 0, delta) -> by..., n, mean, low, high, significant: the paired bootstrap of each group."""
-    sizes = placed.groupBy(*by).agg(F.count(F.lit(1)).alias("n"), F.round(F.avg("delta"), digits).alias("mean"))
-    grid = sizes.select(*by, "n", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(resamples - 1).cast("long"))).alias("b"))
-    grid = grid.repartition(grid.sparkSession.sparkContext.defaultParallelism, "b").select(*by, "b", "n", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1)).alias("k"))
-    drawn = grid.select(*by, "b", draw(F.col("b"), F.col("k"), F.col("n"), seed).alias("i"))
-    means = drawn.join(placed.select(*by, "i", "delta"), [*by, "i"]).groupBy(*by, "b").agg(F.round(F.avg("delta"), digits).alias("m"))
-    ranked = means.withColumn("r", F.row_number().over(Window.partitionBy(*by).orderBy("m", "b")) - 1)  # `resamples` rows a group
+    return n.join(F.broadcast(found.drop("g", "metric", "mean", "n")), F.lit(True), "left")  # one row each
+
+
+#: Places in a packed row, places that a task holds at most, and resamples that it draws.
+PACK, BLOCK, RANGE = 4096, 1 << 20, 200
+
+
+def drawn_sums(placed: np.ndarray, first: int, n: int, resamples: range, seed: int) -> np.ndarray:
+    """[resample, value]: sums of those rows of placed [place from first on, value] that a resample draws with n draws.
+
+    draw multiplies modulo a prime, so its number for (b, k) is that of (b, 0) plus that of (0, k)."""
+    prime, sums = 2_147_483_647, np.zeros((len(resamples), placed.shape[1]))
+    mixed = lambda x: x % prime * 48_271 % prime * 48_271 % prime
+    starts = [mixed(b * 1_000_003 + seed * 104_729) for b in resamples]
+    size, whole, finite = np.uint32(min(n, prime)), len(placed) == n, np.isfinite(placed).all()
+    for a in range(0, n, BLOCK):
+        step = mixed(np.arange(a, min(n, a + BLOCK), dtype=np.int64) * 7_919).astype(np.uint32)
+        for r, start in enumerate(starts):
+            x = step + np.uint32(start)
+            x = np.minimum(x, x - np.uint32(prime))  # the smaller one is below the prime, the other has wrapped round
+            at = x - x // size * size
+            if not whole:
+                at = at[(at >= first) & (at < first + len(placed))].astype(np.int64) - first
+            sums[r] += np.bincount(at, minlength=len(placed)) @ placed if finite else placed[at].sum(0)
+    return sums
+
+
+def bootstrap_groups(placed: DataFrame, by: list[str], resamples: int = 10_000, seed: int = 42, digits: int = 6, values: tuple[str, ...] = ("delta",)) -> DataFrame:
+    """placed (by..., i from 0, values) -> by..., metric (the value's name), n, mean, low, high, significant: the paired bootstrap of
+    each group.
+
+    A task takes RANGE resamples of a group and up to BLOCK of its places, makes all draws and sums the places that are its own: the
+    values are shuffled once a range, then one sum a resample and block. Draws aren't rows, so none is joined. Beyond BLOCK places
+    each block makes all draws again."""
+    sizes = placed.groupBy(*by).agg(F.count(F.lit(1)).alias("n"), *(F.round(F.avg(c), digits).alias(c) for c in values))
+    cells = F.struct("i", *(F.col(c).cast("double").alias(c) for c in values))
+    packs = placed.groupBy(*by, F.floor(F.col("i") / PACK).alias("p")).agg(F.array_sort(F.collect_list(cells)).alias("v"))
+    ranges = F.explode(F.sequence(F.lit(0).cast("long"), F.lit(resamples - 1).cast("long"), F.lit(RANGE).cast("long"))).alias("b")
+    rows = packs.join(sizes.select(*by, "n"), by).select(*by, "n", "p", F.floor(F.col("p") * PACK / BLOCK).alias("block"), *(F.col(f"v.{c}").alias(f"v{x}") for x, c in enumerate(values)), ranges)
+    kinds = dict(placed.dtypes)
+
+    def draws(table: pa.Table) -> pa.Table:
+        table = table.sort_by("p")
+        flat = [table.column(f"v{x}").combine_chunks().flatten() for x in range(len(values))]
+        own = np.stack([v.fill_null(0.0).to_numpy(zero_copy_only=False) for v in flat], axis=1)
+        held = np.stack([v.is_valid().to_numpy(zero_copy_only=False) for v in flat], axis=1).astype(float)  # nulls count in no mean
+        held = held[:, :1] if held.all() else held
+        first = {c: table.column(c)[0].as_py() for c in (*by, "n", "p", "b")}
+        drawn = range(first["b"], min(resamples, first["b"] + RANGE))
+        sums = drawn_sums(np.hstack([own, held]), first["p"] * PACK, first["n"], drawn, seed)
+        counts = np.broadcast_to(sums[:, len(values) :], (len(drawn), len(values)))
+        found = {c: pa.array([first[c]] * len(drawn), table.schema.field(c).type) for c in by} | {"b": pa.array(drawn, pa.int64())}
+        return pa.table(found | {f"s{x}": sums[:, x] for x in range(len(values))} | {f"c{x}": counts[:, x] for x in range(len(values))})
+
+    numbers = [f"{kind}{x}" for kind in "sc" for x in range(len(values))]
+    schema = ", ".join([*(f"`{c}` {kinds[c]}" for c in by), "b long", *(f"{c} double" for c in numbers)])
+    tasks, keys = 4 * placed.sparkSession.sparkContext.defaultParallelism, [*by, "block", "b"]
+    sums = rows.repartition(tasks, *keys).groupBy(*keys).applyInArrow(draws, schema).groupBy(*by, "b").agg(*(F.sum(c).alias(c) for c in numbers))
+    named = lambda value: F.inline(F.array(*(F.struct(F.lit(c).alias("metric"), value(x, c)) for x, c in enumerate(values))))
+    means = sums.select(*by, "b", named(lambda x, _: F.round(F.when(F.col(f"c{x}") > 0, F.col(f"s{x}") / F.col(f"c{x}")), digits).alias("m")))
+    ranked = means.withColumn("r", F.row_number().over(Window.partitionBy(*by, "metric").orderBy("m", "b")) - 1)  # `resamples` rows a group
     at = lambda p: F.max(F.when(F.col("r") == int(p * (resamples - 1)), F.col("m")))
-    ends = ranked.groupBy(*by).agg(at(0.025).alias("low"), at(0.975).alias("high"))
-    return sizes.join(ends, by).withColumn("significant", (F.col("low") > 0) | (F.col("high") < 0))
+    ends = ranked.groupBy(*by, "metric").agg(at(0.025).alias("low"), at(0.975).alias("high"))
+    found = sizes.select(*by, "n", named(lambda _, c: F.col(c).alias("mean"))).join(ends, [*by, "metric"])
+    return found.select(*by, "metric", "n", "mean", "low", "high", ((F.col("low") > 0) | (F.col("high") < 0)).alias("significant"))
 
 
 def win_tie_loss(pairs: DataFrame, tolerance: float = 1e-9) -> DataFrame:
