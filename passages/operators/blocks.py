@@ -51,24 +51,93 @@ def gram_codes(texts: list[str], sizes: tuple[int, ...]) -> tuple[np.ndarray, np
     return np.concatenate(codes), np.concatenate(owners)
 
 
-def term_counts(texts: list[str], terms: np.ndarray, sizes: tuple[int, ...]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(text, term, times) of the n-grams of texts that are among the sorted terms."""
-    codes, owner = gram_codes(texts, sizes)
-    at = np.minimum(np.searchsorted(terms, codes), max(0, len(terms) - 1))
-    hit = terms[at] == codes if len(terms) else np.zeros(len(codes), dtype=bool)
-    pairs, times = np.unique(owner[hit] * np.int64(max(1, len(terms))) + at[hit], return_counts=True)
-    return pairs // max(1, len(terms)), pairs % max(1, len(terms)), times
+class Grams:
+    """The character n-grams of some texts, numbered: a chain of tables from an n-gram one shorter and a character to an n-gram.
+
+    An n-gram of the texts begins with one that is a character shorter, so whatever leaves the chain is no n-gram of theirs. A table
+    of up to TABLE cells is an array, a larger one is searched."""
+
+    TABLE = 1 << 22
+
+    def __init__(self, texts: list[str], sizes: tuple[int, ...]):
+        self.sizes, self.keys = sizes, []
+        points, _, ends = joined(texts)
+        self.characters = np.unique(np.delete(points, ends))
+        self.width = len(self.characters) + 1
+        ids = own = self.classes(points, ends)
+        for n in range(2, max(sizes) + 1):
+            key, dead = self.step(ids, own, n)
+            self.keys.append(np.unique(key[~dead]))
+            ids = np.where(dead, 0, np.searchsorted(self.keys[-1], key) + 1)
+        counts = [len(self.characters), *map(len, self.keys)]
+        self.base = {n: sum(counts[m - 1] for m in sizes if m < n) for n in sizes}
+        self.size = sum(counts[n - 1] for n in sizes)
+
+    def classes(self, points: np.ndarray, ends: np.ndarray) -> np.ndarray:
+        """Place of each character among the known ones, from 1; 0 for others and between texts."""
+        if "_of" not in self.__dict__:
+            self._of = np.zeros(0x110000, dtype=np.int32)
+            self._of[self.characters] = np.arange(1, self.width)
+        found = self._of[points]
+        found[ends] = 0
+        return found
+
+    def step(self, ids: np.ndarray, own: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
+        """Keys of the n-grams that begin with those of ids, and where there is none."""
+        first, last = ids[: len(own) - n + 1], own[n - 1 :]
+        return first.astype(np.int64) * self.width + last, (first == 0) | (last == 0)
+
+    def table(self, n: int) -> np.ndarray | None:
+        if "_tables" not in self.__dict__:
+            self._tables = {}
+        if n not in self._tables:
+            keys, before = self.keys[n - 2], len(self.characters) if n == 2 else len(self.keys[n - 3])
+            made = np.zeros((before + 1) * self.width, dtype=np.int32) if (before + 1) * self.width <= self.TABLE else None
+            if made is not None:
+                made[keys] = np.arange(1, len(keys) + 1)
+            self._tables[n] = made
+        return self._tables[n]
+
+    def __getstate__(self) -> dict:
+        return {k: v for k, v in self.__dict__.items() if not k.startswith("_")}  # tables are made again where they are used
+
+    def counts(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(text, term, times) of the n-grams of texts that are known."""
+        points, owner, ends = joined(texts)
+        ids = own = self.classes(points, ends)
+        pairs = []
+        for n in range(1, max(self.sizes) + 1):
+            if n > 1:
+                key, dead = self.step(ids, own, n)
+                if (table := self.table(n)) is not None:
+                    ids = table[key]  # a character of class 0 has no key in the table, nor has an n-gram 0
+                else:
+                    at = np.minimum(np.searchsorted(self.keys[n - 2], key), max(0, len(self.keys[n - 2]) - 1))
+                    ids = np.where(~dead & (self.keys[n - 2][at] == key), at + 1, 0) if len(self.keys[n - 2]) else np.zeros(len(key), dtype=np.int64)
+            if n in self.sizes:
+                hit = np.flatnonzero(ids)
+                pairs.append(owner[hit] * self.size + (ids[hit] - 1 + self.base[n]))
+        found = np.sort(np.concatenate(pairs))
+        first = np.flatnonzero(np.concatenate([[True], found[1:] != found[:-1]])) if len(found) else np.zeros(0, dtype=np.int64)
+        return found[first] // max(1, self.size), found[first] % max(1, self.size), np.diff(np.append(first, len(found)))
+
+
+def joined(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Code points of texts with one character after each, the text of each, and the places of these characters."""
+    points = np.frombuffer("".join(t + "\n" for t in texts).encode("utf-32-le", "surrogatepass"), dtype="<u4")
+    lengths = np.fromiter(map(len, texts), np.int64, len(texts)) + 1
+    return points, np.repeat(np.arange(len(texts)), lengths), np.cumsum(lengths) - 1
 
 
 def spans_of(texts: list[str], sizes: tuple[int, ...]) -> Iterator[tuple[int, int]]:
-    """Ranges of queries whose terms times queries stay within CELLS, QUERIES of them at most."""
-    first, grams = 0, 0
+    """Ranges of queries whose distinct terms times queries stay within CELLS, QUERIES of them at most."""
+    first, grams = 0, set()
     for i, t in enumerate(texts):
-        more = len(sizes) * len(t)
-        if i > first and (i - first == QUERIES or (grams + more) * (i - first + 1) > CELLS):
+        own = {t[p : p + n] for n in sizes for p in range(len(t) - n + 1)}
+        if i > first and (i - first == QUERIES or len(grams | own) * (i - first + 1) > CELLS):
             yield first, i
-            first, grams = i, 0
-        grams += more
+            first, grams = i, set()
+        grams |= own
     yield first, len(texts)
 
 
@@ -78,27 +147,27 @@ def bm25(queries: list[tuple[object, str]], kind: str, chunks: DataFrame, k: int
     found = None
     for a, z in spans_of([t for _, t in queries], sizes):
         own = queries[a:z]
-        codes, owner = gram_codes([t for _, t in own], sizes) if own else (np.zeros(0, np.uint64), np.zeros(0, np.int64))
-        terms, inverse = np.unique(codes, return_inverse=True)
-        step = max(1, min(ROWS, CELLS // max(1, len(terms))))
-        asked = np.zeros((len(terms), len(own)))
-        asked[inverse, owner] = 1
-        shared = spark.sparkContext.broadcast((terms, asked))  # a block of queries
+        grams = Grams([t for _, t in own], sizes)
+        step = max(1, min(ROWS, CELLS // max(1, grams.size)))
+        query, term, _ = grams.counts([t for _, t in own])
+        asked = np.zeros((grams.size, len(own)))
+        asked[term, query] = 1
+        shared = spark.sparkContext.broadcast((grams, asked))  # a block of queries
 
         def tally(batches: Iterator[pd.DataFrame], shared=shared) -> Iterator[pd.DataFrame]:
-            terms, _ = shared.value
-            df, n, total = np.zeros(len(terms), dtype=np.int64), 0, 0
+            grams, _ = shared.value
+            df, n, total = np.zeros(grams.size, dtype=np.int64), 0, 0
             for batch in batches:
                 texts = batch["low"].tolist()
                 for i in range(0, len(texts), ROWS):
-                    _, term, _ = term_counts(texts[i : i + ROWS], terms, sizes)
-                    df += np.bincount(term, minlength=len(terms))
+                    _, term, _ = grams.counts(texts[i : i + ROWS])
+                    df += np.bincount(term, minlength=grams.size)
                 n += len(texts)
                 total += sum(max(0, len(t) - s + 1) for t in texts for s in sizes)
             some = np.flatnonzero(df)
             yield pd.DataFrame({"term": [*some.tolist(), -1, -2], "df": [*df[some].tolist(), n, total]})
 
-        df = np.zeros(len(terms))
+        df = np.zeros(grams.size)
         n = total = 0
         for r in rows.mapInPandas(tally, "term int, df long").groupBy("term").agg(F.sum("df").alias("df")).collect():  # one row a term
             if r["term"] >= 0:
@@ -111,16 +180,17 @@ def bm25(queries: list[tuple[object, str]], kind: str, chunks: DataFrame, k: int
         ids = [q for q, _ in own]
 
         def score(batches: Iterator[pd.DataFrame], shared=shared, idf=idf, mean=mean, ids=ids, step=step) -> Iterator[pd.DataFrame]:
-            (terms, asked), best = shared.value, Best(len(ids), k)
+            (grams, asked), best = shared.value, Best(len(ids), k)
+            weights = np.zeros((step, grams.size))
             for batch in batches:
                 for i in range(0, len(batch), step):
                     part = batch.iloc[i : i + step]
                     texts = part["low"].tolist()
                     lengths = np.array([sum(max(0, len(t) - s + 1) for s in sizes) for t in texts])
-                    text, term, times = term_counts(texts, terms, sizes)
-                    weights = np.zeros((len(texts), len(terms)))
+                    text, term, times = grams.counts(texts)
                     weights[text, term] = idf[term] * times * (k1 + 1) / (times + k1 * (1 - b + b * lengths[text] / mean))
-                    scores = np.round(weights @ asked, 6)
+                    scores = np.round(weights[: len(texts)] @ asked, 6)
+                    weights[text, term] = 0
                     scores[scores <= 0] = -np.inf
                     row, query = best.passing(scores)
                     if len(row):

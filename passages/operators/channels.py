@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from passages.operators import blocks, lexindex
-from passages.operators.index import ngram_rows, ngrams, word_rows, words
+from passages.operators.index import ngram_rows, ngrams, words
 from passages.sources import scratch
 
 #: Query terms up to which they are broadcast to the postings (about 60 bytes each).
@@ -152,15 +152,23 @@ class HashedGrams:
 def fts(queries: DataFrame, chunks: DataFrame, k: int) -> DataFrame:
     """Chunks with all words of a query; score sum of 1 - 1 / (1 + tf), at most 1 after scaling.
 
-    queries (query_id, query); chunks (chunk_id, content)."""
-    terms = queries.select("query_id", F.array_distinct(words(F.col("query"))).alias("_w")).where(F.size("_w") > 0)
-    terms = terms.select("query_id", F.size("_w").alias("n_terms"), F.explode("_w").alias("term"))
-    wanted = small(terms.select("term").distinct(), BROADCAST_TERMS)
-    found = word_rows(chunks.select("chunk_id", "content"), "content").join(wanted, "term", "left_semi")
-    found = found.groupBy("chunk_id", "term").agg(F.count(F.lit(1)).alias("tf"))
-    hits = found.join(small(terms, BROADCAST_TERMS), "term").groupBy("query_id", "chunk_id", "n_terms")
-    hits = hits.agg(F.count(F.lit(1)).alias("_n"), F.sum(1 - 1 / (1 + F.col("tf"))).alias("_s")).where("_n = n_terms")
-    return top_k(hits.select("query_id", "chunk_id", F.least(F.lit(1.0), F.col("_s")).alias("score")), k, "fts")
+    queries (query_id, query); chunks (chunk_id, content). Words are counted first; then a chunk is only compared with the queries
+    whose rarest word it holds, and a query with a word that no chunk holds has no rows. So pairs of a chunk and a query come from rare
+    words alone, however many frequent words both share."""
+    terms = queries.select("query_id", F.array_distinct(words(F.col("query"))).alias("terms")).where(F.size("terms") > 0)
+    each = terms.select("query_id", F.explode("terms").alias("term"))
+    rows = chunks.select("chunk_id", words(F.col("content")).alias("_w"))
+    counts = rows.select(F.explode(F.array_distinct("_w")).alias("term")).join(small(each.select("term").distinct(), BROADCAST_TERMS), "term", "left_semi").groupBy("term").agg(F.count(F.lit(1)).alias("n"))
+    rarest = each.join(counts, "term", "left").groupBy("query_id").agg(F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "term")).alias("r")).where("r.n > 0")
+    asked = scratch.kept(rarest.select("query_id", "r.term").join(terms, "query_id"), "fts-terms")
+    if asked.count() <= BROADCAST_TERMS // 10:
+        near = rows.select("chunk_id", "_w", F.explode(F.array_distinct("_w")).alias("term")).join(F.broadcast(asked), "term")
+    else:
+        held = rows.select("chunk_id", F.explode(F.array_distinct("_w")).alias("term"))
+        near = held.join(asked.select("query_id", "term"), "term").join(asked.select("query_id", "terms"), "query_id").join(rows, "chunk_id")
+    hits = near.where(F.forall("terms", lambda t: F.array_contains(F.col("_w"), t)))
+    total = F.aggregate("terms", F.lit(0.0), lambda s, t: s + 1 - 1 / (1 + F.size(F.filter("_w", lambda w: w == t))))
+    return top_k(hits.select("query_id", "chunk_id", F.least(F.lit(1.0), total).alias("score")), k, "fts")
 
 
 def bm25(queries: DataFrame, chunks: DataFrame, k: int, low: int = 2, high: int = 3, k1: float = 1.2, b: float = 0.75, most: int = 20_000) -> DataFrame:

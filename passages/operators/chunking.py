@@ -12,23 +12,32 @@ from passages.functions.text import clean_text
 from passages.operators import structure
 
 SIZE, OVERLAP = 650, 120
+#: Chunks of a text that are cut from one piece of it.
+STRIDES = 16
 #: Separators in order of preference; the empty one cuts anywhere.
 SEPARATORS = ("\n\n", "\n", "。", "！", "？", "；", "，", " ", "")
 
 
 def stride_chunks(docs: DataFrame, size: int = SIZE, overlap: int = OVERLAP, text: str = "text") -> DataFrame:
     """docs with one row per chunk of `size` characters that starts every `size - overlap` characters:
-    chunk_no (from 1), char_start, char_end, content. Texts that are null or empty have no chunk."""
+    chunk_no (from 1), char_start, char_end, content. Texts that are null or empty have no chunk.
+
+    A place in a text is found by counting characters from its beginning, so chunks are cut from pieces of STRIDES chunks."""
     step = size - overlap
     n = F.greatest(F.lit(1), F.ceil((F.length(text) - overlap) / F.lit(float(step)))).cast("long")
-    rows = docs.where(F.length(text) > 0).withColumn("_k", F.explode(F.sequence(F.lit(0).cast("long"), n - 1)))
-    start = F.col("_k") * step
+    keep = [c for c in docs.columns if c != text]
+    whole = docs.where(F.length(text) > 0).select(*keep, text, F.length(text).cast("long").alias("_size"), n.alias("_n"))
+    pieces = whole.withColumn("_p", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_n") - 1, F.lit(STRIDES).cast("long"))))
+    piece = F.substring(F.col(text), (F.col("_p") * step + 1).cast("int"), F.lit(STRIDES * step + max(0, overlap)))
+    pieces = pieces.select(*keep, "_size", "_n", "_p", piece.alias("_piece"))
+    rows = pieces.select(*keep, "_size", "_p", "_piece", F.explode(F.sequence(F.lit(0).cast("long"), F.least(F.lit(STRIDES), F.col("_n") - F.col("_p")) - 1)).alias("_k"))
+    start = (F.col("_p") + F.col("_k")) * step
     return rows.select(
-        *[c for c in docs.columns if c != text],
-        (F.col("_k") + 1).alias("chunk_no"),
+        *keep,
+        (F.col("_p") + F.col("_k") + 1).alias("chunk_no"),
         start.alias("char_start"),
-        F.least(F.length(text).cast("long"), start + size).alias("char_end"),
-        F.substring(F.col(text), (start + 1).cast("int"), F.lit(size)).alias("content"),
+        F.least(F.col("_size"), start + size).alias("char_end"),
+        F.substring(F.col("_piece"), (F.col("_k") * step + 1).cast("int"), F.lit(size)).alias("content"),
     )
 
 

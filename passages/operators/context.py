@@ -144,12 +144,12 @@ def retrieve_full(queries: DataFrame, chunks: DataFrame, config: Config = Config
     if config.rerank:
         texts = pool.join(chunks.select("chunk_id", "content"), "chunk_id").join(queries.select("query_id", "query"), "query_id")
         ranked = fusion.rerank_rank(fusion.blend(fusion.calibrate(fusion.score_pairs(texts, scorer)), config.weights)).drop("content", "query")
-        stages["ranked"] = ranked
+        stages["ranked"] = ranked = scratch.kept(ranked, "ranked")
         chosen = fusion.protect(ranked.select("query_id", "chunk_id", "rank", "rrf"), config.k, config.top_n, config.slots)
         best = ranked.drop("rank").join(chosen, ["query_id", "chunk_id"])
     else:
         best = pool.withColumn("final", F.col("rrf")).withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy("rank"))).where(F.col("rank") <= config.k)
-    primary = annotate(best)
+    primary = scratch.kept(annotate(best), "primary")
     shown = ("query_id", "chunk_id", "file_id", "source", "chapter_no", "chunk_no")
     around = neighbors(primary.select("query_id", "user_id", "file_id", "chapter_no", "chunk_no"), place, config.width)
     around = budget_neighbors(fusion.within_chapter(around.join(bound, "query_id")), config.width)
@@ -171,7 +171,7 @@ def retrieve(queries: DataFrame, chunks: DataFrame, config: Config = Config()) -
     fused = scratch.kept(fusion.rrf(candidates, config.rrf_c, config.pool), "fused")
     best = annotate(fused.where(F.col("rank") <= config.k).withColumn("score_type", F.lit("hybrid")))
     place = chunks.select("chunk_id", "file_id", "user_id", "source", "chapter_no", "chunk_no")
-    primary = best.join(place, "chunk_id")
+    primary = scratch.kept(best.join(place, "chunk_id"), "primary")
     around = budget_neighbors(neighbors(primary.select("query_id", "user_id", "file_id", "chapter_no", "chunk_no"), place, config.width), config.width)
     both = primary.select("query_id", "chunk_id", "file_id", "source", "chapter_no", "chunk_no", "rrf", "rank", "neighbor").unionByName(
         around.select("query_id", "chunk_id", "file_id", "source", "chapter_no", "chunk_no", F.lit(None).cast("double").alias("rrf"), F.lit(None).cast("int").alias("rank"), F.lit(True).alias("neighbor"))

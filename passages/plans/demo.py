@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from passages.operators import channels
 from passages.operators.chunking import stride_chunks
+from passages.sources import scratch
 
 #: Characters of a piece, and places between those of a chunk; passages have PIECE + STEP - 1 characters at least. Keys of
 #: passages, with their texts, up to which they are broadcast.
@@ -48,9 +49,10 @@ def gold(spark: SparkSession, sf_dir: str) -> DataFrame:
     place = ("chunk_id", "file_id", "chapter_no", "chunk_no")
     spans = found.where(n >= PIECE).select(*place, "content", F.explode(F.sequence(F.lit(1), n - (PIECE - 1), F.lit(STEP))).alias("at")).withColumn("key", F.col("content").substr(F.col("at"), F.lit(PIECE)))
     held = spans.join(channels.small(keys, BROADCAST_KEYS), "key").where(F.contains("content", "query")).select("query_id", *place, F.lit(2).alias("relevance")).distinct()
+    held = scratch.kept(held, "held")
     after = held.select("query_id", "file_id", (F.col("chunk_no") + 1).alias("chunk_no"), F.lit(1).alias("relevance")).join(found.select(*place), ["file_id", "chunk_no"])
     both = held.unionByName(after.select("query_id", *place, "relevance"))
-    return both.groupBy("query_id", *place).agg(F.max("relevance").alias("relevance"))
+    return scratch.kept(both.groupBy("query_id", *place).agg(F.max("relevance").alias("relevance")), "gold")
 
 
 def vectors(spark: SparkSession, sf_dir: str) -> DataFrame:

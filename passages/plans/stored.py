@@ -73,7 +73,7 @@ def chk1_lateral(spark, sf_dir):
 )
 def evl9_reasons(spark, sf_dir):
     """The first three of the fused rows; every seventh query fell back in its preparation."""
-    lanes = scratch.kept(retrieval.candidates(spark, sf_dir), "lanes")
+    lanes = retrieval.candidates(spark, sf_dir)
     fused = retrieval.fusion.rrf(lanes, 60, 20)
     found = fused.where("rank <= 3").join(demo.chunks(spark, sf_dir).drop("content"), "chunk_id")
     trace = retrieval.context.trace({"bm25": lanes.where("channel = 'bm25'"), "fts": lanes.where("channel = 'fts'"), "rrf": fused})
