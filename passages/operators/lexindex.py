@@ -9,6 +9,7 @@ greatest weight in it, is below a query's k-th score so far is left out for that
 from __future__ import annotations
 
 from collections.abc import Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pandas as pd
@@ -17,10 +18,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from passages.operators.blocks import Best, gram_codes
+from passages.sources import scratch
 
 BUCKETS = 16
-#: Chunks and characters of a block at most (one chunk at least).
-CHUNKS, CHARS = 2048, 4_000_000
+#: Chunks and characters of a block at most (one chunk at least): a row is about half a megabyte, since Parquet's writer looks at its
+#: size only every 100 rows. Rows that a worker gets at once, and bytes of a row group.
+CHUNKS, CHARS = 128, 250_000
+BATCH, GROUP = 32, 32 << 20
 #: Queries, terms and chunks that are multiplied at once.
 QUERIES, TERMS, ROWS = 512, 4096, 256
 
@@ -68,7 +72,19 @@ def store(chunks: DataFrame, path: str, sizes: tuple[int, ...] = (2, 3), mode: s
             yield pd.DataFrame([block_row(number, ids, texts, sizes)])
 
     rows = chunks.select(F.col("chunk_id").cast("string").alias("chunk_id"), F.lower("content").alias("low")).where("low is not null")
-    rows.mapInPandas(build, SCHEMA).write.mode(mode).parquet(path)
+    rows.mapInPandas(build, SCHEMA).write.mode(mode).option("parquet.block.size", GROUP).parquet(path)
+
+
+@contextmanager
+def few_rows(spark: SparkSession) -> Iterator[None]:
+    """Jobs inside hand BATCH rows at once to Python workers."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(key)
+    spark.conf.set(key, BATCH)
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
 
 
 class Asked:
@@ -147,7 +163,8 @@ def search(spark: SparkSession, path: str, queries: list[tuple[object, str]], ki
         yield pd.DataFrame({"term": [*some.tolist(), -1, -2], "df": [*df[some].tolist(), n, total]})
 
     read = index.select("n", "total", *(f"{p}{x:02}" for x in asked.buckets for p in "tc"))
-    sums = read.mapInPandas(tally, "term int, df long").groupBy("term").agg(F.sum("df").alias("df")).toArrow()  # a row a term
+    with few_rows(spark):
+        sums = read.mapInPandas(tally, "term int, df long").groupBy("term").agg(F.sum("df").alias("df")).toArrow()  # a row a term
     term, counts = sums["term"].to_numpy(), sums["df"].to_numpy()
     n, total = (int(counts[term == mark].sum()) for mark in (-1, -2))
     df = np.zeros(len(asked.terms))
@@ -180,4 +197,5 @@ def search(spark: SparkSession, path: str, queries: list[tuple[object, str]], ki
                         yield pd.DataFrame({"query_id": [ids[a + q] for q in query.tolist()], "chunk_id": names[at], "score": scores[at, query]})
 
     read = index.select("chunk_ids", "lengths", *(f"{p}{x:02}" for x in asked.buckets for p in PARTS))
-    return read.mapInPandas(score, f"query_id {kind}, chunk_id string, score double")
+    with few_rows(spark):
+        return scratch.kept(read.mapInPandas(score, f"query_id {kind}, chunk_id string, score double"), "stored-lane")  # little more than k rows a query and task
