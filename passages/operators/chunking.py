@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from passages.functions.text import clean_text
 from passages.operators import structure
+from passages.sources import scratch
 
 SIZE, OVERLAP = 650, 120
 #: Chunks of a text that are cut from one piece of it.
@@ -151,14 +152,18 @@ def build_chunks(docs: DataFrame, size: int = SIZE, overlap: int = OVERLAP, unas
     """docs (file_id, text) -> (chunks, stats): texts are cleaned, cut into sections at whole-line headings (what comes before the
     first, or a text without any, is unassigned, with chapter 0), and the sections into numbered chunks. Null texts have no
     chunk; every file has a row of stats (structure.split_stats)."""
-    docs = docs.select("file_id", clean_text(F.col("text")).alias("text"))
-    headings = structure.strict_headings(structure.line_table(docs, "file_id"), "file_id")
-    found = structure.sections(docs, headings, "file_id").select("file_id", "start", "stop", "title", "chapter_no")
+    docs = scratch.kept(docs.select("file_id", clean_text(F.col("text")).alias("text")), "clean")
+    patterns = "|".join(f"^ *(?:{p.strip('^$')}) *$" for p in (structure.MAIN, structure.INTRO, structure.TAIL))
+    lines = structure.line_table(docs.where(F.col("text").rlike(f"(?m){patterns}")), "file_id")  # other texts have no heading
+    headings = scratch.kept(structure.strict_headings(lines, "file_id"), "headings")
+    found = structure.sections(docs, headings, "file_id").select("file_id", F.struct("start", "stop", "title", "chapter_no").alias("s"))
+    parts = found.groupBy("file_id").agg(F.collect_list("s").alias("_s"))
     first = headings.groupBy("file_id").agg(F.min("start").alias("_first"))
-    size_of = F.length("text").cast("long")
-    before = docs.join(first, "file_id", "left").select("file_id", F.lit(0).cast("long").alias("start"), F.coalesce("_first", size_of).alias("stop"), F.lit(unassigned).alias("title"), F.lit(0).cast("long").alias("chapter_no"))
-    parts = found.unionByName(before.where("stop > 0")).groupBy("file_id").agg(F.collect_list(F.struct("start", "stop", "title", "chapter_no")).alias("_s"))
-    cut_at = docs.join(parts, "file_id").select("file_id", "text", F.explode("_s").alias("_s"))
+    stop = F.coalesce(F.array_min(F.transform("_s", lambda x: x["start"])), F.length("text").cast("long"))
+    before = F.struct(F.lit(0).cast("long").alias("start"), stop.alias("stop"), F.lit(unassigned).alias("title"), F.lit(0).cast("long").alias("chapter_no"))
+    none = F.array().cast(dict(parts.dtypes)["_s"])
+    held = docs.join(parts, "file_id", "left").select("file_id", "text", F.concat(F.when(stop > 0, F.array(before)).otherwise(none), F.coalesce("_s", none)).alias("_s"))
+    cut_at = held.select("file_id", "text", F.explode("_s").alias("_s"))
     own = cut_at.select("file_id", F.col("_s.title").alias("chapter"), F.col("_s.chapter_no").alias("chapter_no"), F.col("_s.start").alias("section_start"), F.substring("text", (F.col("_s.start") + 1).cast("int"), (F.col("_s.stop") - F.col("_s.start")).cast("int")).alias("text"))
     chunks = number_chunks(section_offsets(split_sections(own, size, overlap)).withColumn("doc_ord", F.lit(0))).drop("doc_ord", "ord", "local_start", "section_start")
     modes = docs.select("file_id").distinct().join(first, "file_id", "left").select("file_id", F.when(F.col("_first").isNotNull(), "strict").otherwise("none").alias("mode"))
