@@ -1,7 +1,7 @@
 """Lanes that compare a stated set of queries with all rows, as matrix products of blocks.
 
-Spark deals the rows; each task reads its own once, keeps what can still be among the k best of a query, and
-hands on little more than k rows a query. The set of queries is of checked size: it is cut into blocks."""
+Spark deals the rows; each task reads its own once, keeps the k best of a query, and hands on
+k rows a query. The set of queries is of checked size: it is cut into blocks."""
 
 from __future__ import annotations
 
@@ -12,22 +12,65 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Queries in a block; rows multiplied at once; cells of a matrix at most (one query or row at least).
-QUERIES, ROWS, CELLS = 512, 256, 4_000_000
+#: Queries in a block; rows multiplied at once; cells of a matrix at most (one query or row at least); rows handed on at once.
+QUERIES, ROWS, CELLS, HANDED = 512, 256, 4_000_000, 65_536
+#: Digits that scores are rounded to, and what rounding may add to one.
+DIGITS, SLACK = 6, 1e-6
+#: Cells for each n-gram of a text up to which n-grams are counted in a table of all cells, not by sorting.
+DENSE = 16
 
 
 class Best:
-    """Scores of rows seen by a task: a row is handed on if fewer than k rows before it beat it."""
+    """The k best rows of each of n queries that a task has seen, by scores rounded to DIGITS, then by id.
 
-    def __init__(self, n: int, k: int):
-        self.scores = np.full((n, k), -np.inf)
+    A row is held if its score reaches the floor, the k-th best as far as known. What is held is cut to the k best whenever it has
+    grown to LIMIT times that, so a task hands on k rows a query at most."""
+
+    LIMIT = 4
 
-    def passing(self, scores: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(row, query) of scores [row, query] that reach the k best so far, ties included."""
-        k = self.scores.shape[1]
-        both = np.concatenate([self.scores, scores.T], axis=1)
-        self.scores = -np.partition(-both, k - 1, axis=1)[:, :k]
-        return np.nonzero((scores >= self.scores.min(1)) & (scores > -np.inf))
+    def __init__(self, n: int, k: int):
+        self.n, self.k, self.size = n, k, 0
+        self.floor = np.full(n, -np.inf)
+        self.held: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+
+    def add(self, scores: np.ndarray, ids: np.ndarray, who: np.ndarray) -> None:
+        """scores [row, query] of rows `ids` and queries `who`; -inf stands for no score."""
+        floor = self.floor[who]
+        hit = scores >= floor - SLACK
+        if len(ids) > self.k and np.count_nonzero(hit) > 2 * self.k * len(who):
+            known = np.where(np.isnan(scores), -np.inf, scores)
+            kth = np.partition(known, len(ids) - self.k, axis=0)[len(ids) - self.k]  # as many rows reach it here alone
+            self.floor[who] = floor = np.maximum(floor, np.round(kth, DIGITS))
+            hit = scores >= floor - SLACK
+        row, query = np.nonzero(hit)
+        found = np.round(scores[row, query], DIGITS)
+        fit = (found >= floor[query]) & (found > -np.inf)
+        if fit.any():
+            self.held.append((who[query[fit]], found[fit], ids[row[fit]]))
+            self.size += len(self.held[-1][0])
+            if self.size > max(1 << 14, self.LIMIT * self.n * self.k):
+                self.cut()
+
+    def cut(self) -> None:
+        query, score, ids = (np.concatenate(x) for x in zip(*self.held))
+        place = np.unique(ids, return_inverse=True)[1]
+        order = np.lexsort((place, -score, query))
+        query, score, ids = query[order], score[order], ids[order]
+        first = np.flatnonzero(np.diff(query, prepend=-1))
+        rank = np.arange(len(query)) - np.repeat(first, np.diff(first, append=len(query)))
+        last = rank == self.k - 1
+        self.floor[query[last]] = score[last]
+        best = rank < self.k
+        self.held, self.size = [(query[best], score[best], ids[best])], int(best.sum())
+
+    def rows(self, names: list) -> Iterator[pd.DataFrame]:
+        """(query_id, chunk_id, score) of the best rows; names: ids of the queries."""
+        if self.held:
+            self.cut()
+            query, score, ids = self.held[0]
+            for i in range(0, len(query), HANDED):
+                part = slice(i, i + HANDED)
+                yield pd.DataFrame({"query_id": [names[q] for q in query[part].tolist()], "chunk_id": ids[part], "score": score[part]})
 
 
 def gram_codes(texts: list[str], sizes: tuple[int, ...]) -> tuple[np.ndarray, np.ndarray]:
@@ -117,7 +160,12 @@ class Grams:
             if n in self.sizes:
                 hit = np.flatnonzero(ids)
                 pairs.append(owner[hit] * self.size + (ids[hit] - 1 + self.base[n]))
-        found = np.sort(np.concatenate(pairs))
+        found = np.concatenate(pairs)
+        if len(texts) * self.size <= DENSE * len(found):
+            times = np.bincount(found, minlength=len(texts) * self.size)
+            found = np.flatnonzero(times)
+            return found // self.size, found % self.size, times[found]
+        found.sort()
         first = np.flatnonzero(np.concatenate([[True], found[1:] != found[:-1]])) if len(found) else np.zeros(0, dtype=np.int64)
         return found[first] // max(1, self.size), found[first] % max(1, self.size), np.diff(np.append(first, len(found)))
 
@@ -154,13 +202,13 @@ def bm25(queries: list[tuple[object, str]], kind: str, chunks: DataFrame, k: int
         asked[term, query] = 1
         shared = spark.sparkContext.broadcast((grams, asked))  # a block of queries
 
-        def tally(batches: Iterator[pd.DataFrame], shared=shared) -> Iterator[pd.DataFrame]:
+        def tally(batches: Iterator[pd.DataFrame], shared=shared, step=step) -> Iterator[pd.DataFrame]:
             grams, _ = shared.value
             df, n, total = np.zeros(grams.size, dtype=np.int64), 0, 0
             for batch in batches:
                 texts = batch["low"].tolist()
-                for i in range(0, len(texts), ROWS):
-                    _, term, _ = grams.counts(texts[i : i + ROWS])
+                for i in range(0, len(texts), step):
+                    _, term, _ = grams.counts(texts[i : i + step])
                     df += np.bincount(term, minlength=grams.size)
                 n += len(texts)
                 total += sum(max(0, len(t) - s + 1) for t in texts for s in sizes)
@@ -180,7 +228,7 @@ def bm25(queries: list[tuple[object, str]], kind: str, chunks: DataFrame, k: int
         ids = [q for q, _ in own]
 
         def score(batches: Iterator[pd.DataFrame], shared=shared, idf=idf, mean=mean, ids=ids, step=step) -> Iterator[pd.DataFrame]:
-            (grams, asked), best = shared.value, Best(len(ids), k)
+            (grams, asked), best, who = shared.value, Best(len(ids), k), np.arange(len(ids))
             weights = np.zeros((step, grams.size))
             for batch in batches:
                 for i in range(0, len(batch), step):
@@ -189,12 +237,11 @@ def bm25(queries: list[tuple[object, str]], kind: str, chunks: DataFrame, k: int
                     lengths = np.array([sum(max(0, len(t) - s + 1) for s in sizes) for t in texts])
                     text, term, times = grams.counts(texts)
                     weights[text, term] = idf[term] * times * (k1 + 1) / (times + k1 * (1 - b + b * lengths[text] / mean))
-                    scores = np.round(weights[: len(texts)] @ asked, 6)
+                    scores = weights[: len(texts)] @ asked
                     weights[text, term] = 0
-                    scores[scores <= 0] = -np.inf
-                    row, query = best.passing(scores)
-                    if len(row):
-                        yield pd.DataFrame({"query_id": [ids[q] for q in query.tolist()], "chunk_id": part["chunk_id"].to_numpy()[row], "score": scores[row, query]})
+                    scores[scores <= SLACK / 2] = -np.inf
+                    best.add(scores, part["chunk_id"].to_numpy(), who)
+            yield from best.rows(ids)
 
         made = rows.mapInPandas(score, f"query_id {kind}, chunk_id string, score double")
         found = made if found is None else found.unionByName(made)
@@ -202,34 +249,33 @@ def bm25(queries: list[tuple[object, str]], kind: str, chunks: DataFrame, k: int
 
 
 def cosine(queries: list[tuple[object, np.ndarray]], kind: str, chunks: DataFrame, k: int) -> DataFrame:
-    """Candidates (query_id, chunk_id, score) with the k nearest rows of each query. Vectors have length one; rows of
-    another length than a query's are compared with nothing."""
-    spark = chunks.sparkSession
-    found = None
-    for a in range(0, max(1, len(queries)), QUERIES):
-        own = queries[a : a + QUERIES]
-        shared = spark.sparkContext.broadcast(own)
-
-        def score(batches: Iterator[pd.DataFrame], shared=shared) -> Iterator[pd.DataFrame]:
-            own = shared.value
-            sizes = {len(v) for _, v in own}
-            asked = {s: ([q for q, v in own if len(v) == s], np.stack([v for _, v in own if len(v) == s]).T) for s in sizes}
-            best = {s: Best(len(ids), k) for s, (ids, _) in asked.items()}
-            for batch in batches:
-                lengths = batch["e"].map(len).to_numpy()
-                for s in set(lengths.tolist()) & sizes:
-                    same = batch[lengths == s]
-                    ids, matrix = asked[s]
-                    for i in range(0, len(same), ROWS):
-                        part = same.iloc[i : i + ROWS]
-                        scores = np.round(np.maximum(np.stack(part["e"].to_numpy()) @ matrix, 0.0), 6)
-                        row, query = best[s].passing(scores)
-                        if len(row):
-                            yield pd.DataFrame({"query_id": [ids[q] for q in query.tolist()], "chunk_id": part["chunk_id"].to_numpy()[row], "score": scores[row, query]})
-
-        made = chunks.mapInPandas(score, f"query_id {kind}, chunk_id string, score double")
-        found = made if found is None else found.unionByName(made)
-    return found
+    """Candidates (query_id, chunk_id, score) with the k nearest rows of each query, in one pass over the rows. Vectors have length
+    one; rows of another length than a query's are compared with nothing."""
+    shared = chunks.sparkSession.sparkContext.broadcast(queries)
+
+    def score(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        own = shared.value
+        sizes = {len(v) for _, v in own}
+        asked = {s: ([q for q, v in own if len(v) == s], np.stack([v for _, v in own if len(v) == s])) for s in sizes}
+        best = {s: Best(len(ids), k) for s, (ids, _) in asked.items()}
+        for batch in batches:
+            lengths = batch["e"].map(len).to_numpy()
+            for s in set(lengths.tolist()) & sizes:
+                same = batch[lengths == s]
+                compare(np.stack(same["e"].to_numpy()), same["chunk_id"].to_numpy(), asked[s][1], np.arange(len(asked[s][1])), best[s])
+        for s, (ids, _) in asked.items():
+            yield from best[s].rows(ids)
+
+    return chunks.mapInPandas(score, f"query_id {kind}, chunk_id string, score double")
+
+
+def compare(rows: np.ndarray, ids: np.ndarray, asked: np.ndarray, who: np.ndarray, best: Best) -> None:
+    """Adds the products of rows with the queries `who`, block by block."""
+    for a in range(0, len(who), QUERIES):
+        block = who[a : a + QUERIES]
+        matrix = asked[block].T
+        for i in range(0, len(rows), ROWS):
+            best.add(np.maximum(rows[i : i + ROWS] @ matrix, 0.0), ids[i : i + ROWS], block)
 
 
 def nearest(rows: np.ndarray, centres: np.ndarray, n: int) -> np.ndarray:
@@ -237,37 +283,32 @@ def nearest(rows: np.ndarray, centres: np.ndarray, n: int) -> np.ndarray:
     return np.argpartition(-(rows @ centres.T), n - 1, axis=1)[:, :n]
 
 
+def probing(asked: np.ndarray, centres: np.ndarray, probes: int) -> np.ndarray:
+    """Whether each query looks into each cell: the `probes` nearest ones."""
+    probed = np.zeros((len(asked), len(centres)), dtype=bool)
+    np.put_along_axis(probed, nearest(asked, centres, min(probes, len(centres))), True, axis=1)
+    return probed
+
+
 def cosine_cells(queries: list[tuple[object, np.ndarray]], kind: str, chunks: DataFrame, k: int, centres: np.ndarray, probes: int) -> DataFrame:
     """Like cosine, but a row is compared only with the queries that probe its cell: those with its nearest centre among their
     `probes` nearest. All vectors have the length of the centres."""
-    spark = chunks.sparkSession
-    found = None
-    for a in range(0, max(1, len(queries)), QUERIES):
-        own = queries[a : a + QUERIES]
-        shared = spark.sparkContext.broadcast((own, centres))  # a block of queries and a fixed number of centres
-
-        def score(batches: Iterator[pd.DataFrame], shared=shared) -> Iterator[pd.DataFrame]:
-            own, centres = shared.value
-            if not own:
-                return
-            ids = [q for q, _ in own]
-            asked = np.stack([v for _, v in own])
-            probed = np.zeros((len(own), len(centres)), dtype=bool)
-            np.put_along_axis(probed, nearest(asked, centres, min(probes, len(centres))), True, axis=1)
-            best = Best(len(own), k)
-            for batch in batches:
-                for i in range(0, len(batch), ROWS):
-                    part = batch.iloc[i : i + ROWS]
-                    rows = np.stack(part["e"].to_numpy())
-                    cells = nearest(rows, centres, 1)[:, 0]
-                    scores = np.full((len(part), len(own)), -np.inf)
-                    for cell in np.unique(cells):
-                        at, who = np.flatnonzero(cells == cell), np.flatnonzero(probed[:, cell])
-                        scores[np.ix_(at, who)] = np.round(np.maximum(rows[at] @ asked[who].T, 0.0), 6)
-                    row, query = best.passing(scores)
-                    if len(row):
-                        yield pd.DataFrame({"query_id": [ids[q] for q in query.tolist()], "chunk_id": part["chunk_id"].to_numpy()[row], "score": scores[row, query]})
-
-        made = chunks.mapInPandas(score, f"query_id {kind}, chunk_id string, score double")
-        found = made if found is None else found.unionByName(made)
-    return found
+    shared = chunks.sparkSession.sparkContext.broadcast((queries, centres))  # stated queries and a fixed number of centres
+
+    def score(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        own, centres = shared.value
+        if not own:
+            return
+        asked = np.stack([v for _, v in own])
+        probed, best = probing(asked, centres, probes), Best(len(own), k)
+        for batch in batches:
+            if not len(batch):
+                continue
+            rows, ids = np.stack(batch["e"].to_numpy()), batch["chunk_id"].to_numpy()
+            cells = nearest(rows, centres, 1)[:, 0]
+            for cell in np.unique(cells).tolist():
+                at = np.flatnonzero(cells == cell)
+                compare(rows[at], ids[at], asked, np.flatnonzero(probed[:, cell]), best)
+        yield from best.rows([q for q, _ in own])
+
+    return chunks.mapInPandas(score, f"query_id {kind}, chunk_id string, score double")

@@ -49,10 +49,12 @@ def scan_chunks(chunks: DataFrame, user: str | None = None, source: str | None =
 
 
 def normalised(vector: Column) -> Column:
-    """The vector over its length, in double precision; null for a zero vector."""
+    """The vector over its length, in double precision; null for a zero vector.
+
+    The length is bound to a variable: as an expression inside the lambda it would be summed again for every component."""
     wide = F.transform(vector, lambda x: x.cast("double"))
     norm = F.sqrt(F.aggregate(wide, F.lit(0.0), lambda s, x: s + x * x))
-    return F.when(norm > 0, F.transform(wide, lambda x: x / norm))
+    return F.when(norm > 0, F.transform(F.array(norm), lambda n: F.transform(wide, lambda x: x / n))[0])
 
 
 def dot(a: Column, b: Column) -> Column:
@@ -102,7 +104,7 @@ def knn_ann(queries: DataFrame, chunks: DataFrame, k: int, cells: int = 32, prob
     cells, and what is compared is compared exactly. Centres are fitted on a bounded sample; every row is indexed. All vectors
     have one dimension, that of the first chunk; others, null and zero vectors are compared with nothing. With probes = cells it
     is exact."""
-    right = chunks.select("chunk_id", normalised(F.col("embedding")).alias("e")).where("e is not null")
+    right = scratch.kept(chunks.select("chunk_id", normalised(F.col("embedding")).alias("e")), "unit-vectors").where("e is not null")
     head = right.first()
     size = len(head["e"]) if head else 0
     left = queries.select("query_id", normalised(F.col("vector")).alias("q")).where(F.size("q") == size)

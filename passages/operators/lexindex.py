@@ -17,7 +17,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from passages.operators.blocks import Best, gram_codes
+from passages.operators.blocks import SLACK, Best, gram_codes
 from passages.sources import scratch
 
 BUCKETS = 16
@@ -173,7 +173,7 @@ def search(spark: SparkSession, path: str, queries: list[tuple[object, str]], ki
 
     def score(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         own, ids = shared.value
-        best = {a: Best(len(ids[a : a + QUERIES]), k) for a in range(0, len(ids), QUERIES)}
+        best = Best(len(ids), k)
         for batch in batches:
             for row in batch.itertuples(index=False):
                 lengths, names = np.frombuffer(row.lengths, "<u4"), np.asarray(row.chunk_ids, dtype=object)
@@ -184,18 +184,15 @@ def search(spark: SparkSession, path: str, queries: list[tuple[object, str]], ki
                 greatest = np.zeros(len(own.terms))
                 np.maximum.at(greatest, term, weight)
                 reach = np.bincount(own.query, greatest[own.term], len(ids))
-                for a, seen in best.items():
+                for a in range(0, len(ids), QUERIES):
                     block = reach[a : a + QUERIES]
-                    active = np.flatnonzero((block > 0) & (np.round(block + 1e-6, 6) >= seen.scores.min(1)))
-                    if not len(active):
-                        continue
-                    scores = np.full((len(names), len(block)), -np.inf)
-                    made = np.round(products(term, chunk, weight, own, len(names), a + active), 6)
-                    scores[:, active] = np.where(made > 0, made, -np.inf)
-                    at, query = seen.passing(scores)
-                    if len(at):
-                        yield pd.DataFrame({"query_id": [ids[a + q] for q in query.tolist()], "chunk_id": names[at], "score": scores[at, query]})
+                    active = a + np.flatnonzero((block > 0) & (np.round(block + 1e-6, 6) >= best.floor[a : a + QUERIES]))
+                    if len(active):
+                        scores = products(term, chunk, weight, own, len(names), active)
+                        scores[scores <= SLACK / 2] = -np.inf
+                        best.add(scores, names, active)
+        yield from best.rows(ids)
 
     read = index.select("chunk_ids", "lengths", *(f"{p}{x:02}" for x in asked.buckets for p in PARTS))
     with few_rows(spark):
-        return scratch.kept(read.mapInPandas(score, f"query_id {kind}, chunk_id string, score double"), "stored-lane")  # little more than k rows a query and task
+        return scratch.kept(read.mapInPandas(score, f"query_id {kind}, chunk_id string, score double"), "stored-lane")  # k rows a query and task

@@ -9,15 +9,16 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from passages.operators.blocks import QUERIES, ROWS, Best, nearest
+from passages.operators.blocks import Best, compare, nearest, probing
 from passages.operators.channels import cell_centres, in_blocks, normalised, top_k, united
+from passages.sources import scratch
 
 
 def store(chunks: DataFrame, path: str, cells: int = 64, spill: int = 2, sample: int = 20_000, seed: int = 7) -> None:
     """Writes chunks (chunk_id, embedding) below path: centres, and unit vectors partitioned by cell, each in the `spill` cells of its
     nearest centres. Centres are fitted on a bounded sample, every row is indexed. All vectors have one length, that of the
     first chunk; others, null and zero vectors are left out."""
-    rows = chunks.select("chunk_id", normalised(F.col("embedding")).alias("e")).where("e is not null")
+    rows = scratch.kept(chunks.select("chunk_id", normalised(F.col("embedding")).alias("e")), "unit-vectors").where("e is not null")
     head = rows.first()
     size = len(head["e"]) if head else 0
     rows = rows.where(F.size("e") == size)
@@ -33,7 +34,8 @@ def store(chunks: DataFrame, path: str, cells: int = 64, spill: int = 2, sample:
                 cell = nearest(np.stack(batch["e"].to_numpy()), own, min(spill, len(own)))
                 yield batch.loc[np.repeat(batch.index, cell.shape[1])].assign(cell=cell.ravel().astype(np.int32))
 
-    rows.mapInPandas(deal, "chunk_id string, e array<double>, cell int").write.partitionBy("cell").parquet(f"{path}/vectors")
+    dealt = rows.mapInPandas(deal, "chunk_id string, e array<double>, cell int").hint("rebalance", "cell")  # a cell in few files
+    dealt.write.partitionBy("cell").parquet(f"{path}/vectors")
 
 
 def read_cells(spark: SparkSession, path: str, cells: list[int]) -> DataFrame:
@@ -57,27 +59,20 @@ def nearby(spark: SparkSession, path: str, queries: list[tuple[object, np.ndarra
     """Candidates of a stated set of queries, in one pass over the cells that any of them probes."""
     ids = [q for q, _ in queries]
     asked = np.stack([v for _, v in queries]) if queries else np.zeros((0, centres.shape[1] if centres.ndim == 2 else 0))
-    probed = np.zeros((len(ids), len(centres)), dtype=bool)
-    if len(ids):
-        np.put_along_axis(probed, nearest(asked, centres, min(probes, len(centres))), True, axis=1)
+    probed = probing(asked, centres, probes) if queries else np.zeros((0, len(centres)), dtype=bool)
     shared = spark.sparkContext.broadcast((ids, asked, probed))
 
     def score(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         ids, asked, probed = shared.value
-        # a row can stand in several cells, so a task keeps its best rows of each cell apart
-        best: dict[tuple[int, int], Best] = {}
+        # a row can stand in several cells, so a task keeps its best rows of each cell apart, of one at a time: files hold one cell
+        held, best = None, Best(len(ids), k)
         for batch in batches:
             for cell, own in batch.groupby("cell"):
-                who = np.flatnonzero(probed[:, cell])
-                for i in range(0, len(own), ROWS):
-                    part = own.iloc[i : i + ROWS]
-                    rows = np.stack(part["e"].to_numpy())
-                    for a in range(0, len(who), QUERIES):
-                        block = who[a : a + QUERIES]
-                        scores = np.round(np.maximum(rows @ asked[block].T, 0.0), 6)
-                        row, query = best.setdefault((cell, a), Best(len(block), k)).passing(scores)
-                        if len(row):
-                            yield pd.DataFrame({"query_id": [ids[q] for q in block[query].tolist()], "chunk_id": part["chunk_id"].to_numpy()[row], "score": scores[row, query]})
+                if cell != held:
+                    yield from best.rows(ids)
+                    held, best = cell, Best(len(ids), k)
+                compare(np.stack(own["e"].to_numpy()), own["chunk_id"].to_numpy(), asked, np.flatnonzero(probed[:, cell]), best)
+        yield from best.rows(ids)
 
     cells = np.flatnonzero(probed.any(0)).tolist()
     return read_cells(spark, path, cells).mapInPandas(score, f"query_id {kind}, chunk_id string, score double")
