@@ -5,6 +5,7 @@ from __future__ import annotations
 import unicodedata
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -13,14 +14,23 @@ INVISIBLE = "[\\x{200b}\\x{200c}\\x{200d}\\x{2060}\\x{feff}]"
 CONTROLS = "[\\x00-\\x08\\x0b-\\x1f\\x7f]"
 
 
-def nfkc(col: Column) -> Column:
-    """NFKC; texts that are ASCII stay in the JVM."""
+#: Texts that are Python strings at once.
+SOME = 256
 
-    @F.pandas_udf("string")
-    def normal(texts: pd.Series) -> pd.Series:
-        return texts.map(lambda t: None if t is None else unicodedata.normalize("NFKC", t))
 
-    return F.when(col.rlike("[^\\x00-\\x7f]"), normal(col)).otherwise(col)
+def nfkc(col: Column) -> Column:
+    """NFKC; texts that are ASCII stay in the JVM: Spark runs Python code on every row, whatever condition stands around it, so
+    the function gets nulls for them. Batches stay Arrow arrays, of which SOME texts at a time become strings."""
+
+    @F.arrow_udf("string")
+    def normal(texts: pa.Array) -> pa.Array:
+        parts = []
+        for i in range(0, len(texts), SOME):
+            own = texts.slice(i, SOME).to_pylist()
+            parts.append(pa.array([None if t is None else unicodedata.normalize("NFKC", t) for t in own], pa.string()))
+        return pa.concat_arrays(parts) if parts else pa.array([], pa.string())
+
+    return F.coalesce(normal(F.when(col.rlike("[^\\x00-\\x7f]"), col)), col)
 
 
 def structure_text(col: Column) -> Column:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -13,8 +13,8 @@ from passages.operators import structure
 from passages.sources import scratch
 
 SIZE, OVERLAP = 650, 120
-#: Chunks of a text that are cut from one piece of it.
-STRIDES = 16
+#: Chunks of a text that are cut from one piece of it; sections that are split at once.
+STRIDES, SOME = 16, 256
 #: Separators in order of preference; the empty one cuts anywhere.
 SEPARATORS = ("\n\n", "\n", "。", "！", "？", "；", "，", " ", "")
 
@@ -84,21 +84,31 @@ def recursive_split(text: str, size: int, overlap: int, separators: tuple[str, .
 
 def split_sections(sections: DataFrame, size: int = SIZE, overlap: int = OVERLAP, separators: tuple[str, ...] = SEPARATORS, text: str = "text") -> DataFrame:
     """sections with one row per recursive chunk: ord, local_start, content. Sections are independent of one
-    another, so they are spread over the tasks."""
+    another, so they are spread over the tasks. The chunks of SOME sections are held at once."""
 
-    @F.pandas_udf("array<struct<ord:int,local_start:int,content:string>>")
-    def split(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        for texts in batches:
-            rows = []
-            for t in texts:
-                found = placed(t, size, overlap, separators) if t else ()
-                rows.append([{"ord": k, "local_start": at, "content": chunk} for k, at, chunk in found])
-            yield pd.Series(rows)
+
+    @F.arrow_udf("array<struct<ord:int,local_start:int,content:string>>")
+    def split(texts: pa.Array) -> pa.Array:
+        return split_texts(texts, size, overlap, separators)
 
     keep = [c for c in sections.columns if c != text]
     return sections.select(*keep, F.explode(split(text)).alias("_c")).select(*keep, "_c.*")
 
 
+def split_texts(texts: pa.Array, size: int, overlap: int, separators: tuple[str, ...] = SEPARATORS) -> pa.Array:
+    """Lists of (ord, local_start, content). Texts and chunks stay in Arrow; SOME texts at a time are Python strings."""
+    parts = [pa.array([], pa.list_(pa.struct([("ord", pa.int32()), ("local_start", pa.int32()), ("content", pa.string())])))]
+    for i in range(0, len(texts), SOME):
+        ends, rows = [0], []
+        for t in texts.slice(i, SOME).to_pylist():
+            rows += placed(t, size, overlap, separators) if t else ()
+            ends.append(len(rows))
+        ords, starts, contents = zip(*rows) if rows else ((), (), ())
+        cells = pa.StructArray.from_arrays([pa.array(ords, pa.int32()), pa.array(starts, pa.int32()), pa.array(contents, pa.string())], ["ord", "local_start", "content"])
+        parts.append(pa.ListArray.from_arrays(pa.array(ends, pa.int32()), cells))
+    return pa.concat_arrays(parts)
+
+
 def placed(text: str, size: int, overlap: int, separators: tuple[str, ...] = SEPARATORS) -> Iterator[tuple[int, int, str]]:
     """(ord, local_start, content) of a text's recursive chunks."""
     at = length = 0
