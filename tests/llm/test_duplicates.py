@@ -243,3 +243,14 @@ def test_pipeline_stages(spark, sf):
     assert kept == sorted(kept, reverse=True) and toxic.THRESHOLD == 0.7
     pieces = corpus_pipeline.run(spark, sf).toPandas()
     assert set(pieces.doc_id) == after and pieces.groupby("doc_id").length.sum().eq(pieces.groupby("doc_id").doc_tokens.first()).all()
+
+
+def test_jaccard_workers_get_few_rows(spark, monkeypatch):
+    """Whatever op8 writes is made with few rows at once; the session's setting comes back."""
+    key, seen, written = "spark.sql.execution.arrow.maxRecordsPerBatch", {}, jaccard.written
+    monkeypatch.setattr(jaccard, "written", lambda df, name: (seen.setdefault(name, spark.conf.get(key)), written(df, name))[1])
+    before = spark.conf.get(key)
+    found = jaccard.classes(spark.createDataFrame(list(enumerate(copies(8))), "doc_id long, text string"))
+    steps = {f"jaccard-{n}": seen.get(f"jaccard-{n}") for n in ("profiles", "combinations", "family-sets", "family-links", "prefixes", "near", "sets", "links")}
+    assert {int(v) for v in steps.values()} == {jaccard.BATCH} and jaccard.BATCH < int(before) == int(spark.conf.get(key))
+    assert found.count() == len(copies(8))
