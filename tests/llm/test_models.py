@@ -261,3 +261,12 @@ def test_pages_without_markup_for_their_main_text(spark, sf):
     assert pages.learn(given.limit(0)).p["out"].any()  # an empty table: the seed alone
     twice = given.limit(5).unionByName(given.limit(5)).withColumn("text", F.lit(1)).withColumn("n_chars", F.lit("x"))
     assert twice.select(pages.main_text(spark, F.col("html"), network).alias("t")).count() == 10
+
+
+def test_every_level_learns_from_all_training_rows(spark, monkeypatch):
+    """Each level's gradient is summed over every training token, not over those of a part of the rows."""
+    rows = [(i, f"one two {'three' if i % 2 else 'four'} w{i % 7}") for i in range(60)] + [(None, "not learned from")]
+    df, seen, gradients = spark.createDataFrame(rows, "doc_id long, text string"), [], lm.gradients
+    monkeypatch.setattr(lm, "gradients", lambda *a: (seen.append(gradients(*a)), seen[-1])[1])
+    total = lm.learn(df, F.col("doc_id").isNotNull())[3]
+    assert total == 60 * 5 and [int(found[3][1]) for found in seen] == [total] * len(lm.LEVELS)
