@@ -5,7 +5,7 @@ k rows a query. The set of queries is of checked size: it is cut into blocks."""
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -14,6 +14,8 @@ from pyspark.sql import functions as F
 
 #: Queries in a block; rows multiplied at once; cells of a matrix at most (one query or row at least); rows handed on at once.
 QUERIES, ROWS, CELLS, HANDED = 512, 256, 4_000_000, 65_536
+#: Texts whose n-grams are counted at once in a matrix: few, so that its cells stay in the processor's cache.
+TEXTS = 64
 #: Digits that scores are rounded to, and what rounding may add to one.
 DIGITS, SLACK = 6, 1e-6
 #: Cells for each n-gram of a text up to which n-grams are counted in a table of all cells, not by sorting.
@@ -33,17 +35,20 @@ class Best:
         self.floor = np.full(n, -np.inf)
         self.held: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
 
-    def add(self, scores: np.ndarray, ids: np.ndarray, who: np.ndarray) -> None:
-        """scores [row, query] of rows `ids` and queries `who`; -inf stands for no score."""
+    def add(self, scores: np.ndarray, ids: np.ndarray, who: np.ndarray, exact: Callable[[np.ndarray, np.ndarray], np.ndarray] | None = None, off: float = 0.0) -> None:
+        """scores [row, query] of rows `ids` and queries `who`; -inf stands for no score.
+
+        With `exact` they are estimates, not below zero, that may be off by a share `off` of the score: those that can reach the floor
+        are replaced by exact(row, query)."""
         floor = self.floor[who]
-        hit = scores >= floor - SLACK
+        hit = scores >= (floor - SLACK) * (1 - off)
         if len(ids) > self.k and np.count_nonzero(hit) > 2 * self.k * len(who):
             known = np.where(np.isnan(scores), -np.inf, scores)
             kth = np.partition(known, len(ids) - self.k, axis=0)[len(ids) - self.k]  # as many rows reach it here alone
-            self.floor[who] = floor = np.maximum(floor, np.round(kth, DIGITS))
-            hit = scores >= floor - SLACK
-        row, query = np.nonzero(hit)
-        found = np.round(scores[row, query], DIGITS)
+            self.floor[who] = floor = np.maximum(floor, np.round(kth.astype(np.float64) * (1 - off), DIGITS))
+            hit = scores >= (floor - SLACK) * (1 - off)
+        row, query = np.nonzero(hit & (scores > -np.inf))
+        found = np.round(scores[row, query] if exact is None else exact(row, query), DIGITS)
         fit = (found >= floor[query]) & (found > -np.inf)
         if fit.any():
             self.held.append((who[query[fit]], found[fit], ids[row[fit]]))
@@ -144,22 +149,39 @@ class Grams:
     def __getstate__(self) -> dict:
         return {k: v for k, v in self.__dict__.items() if not k.startswith("_")}  # tables are made again where they are used
 
-    def counts(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(text, term, times) of the n-grams of texts that are known."""
+    def places(self, texts: list[str]) -> tuple[np.ndarray, dict[int, np.ndarray]]:
+        """The text of each character and, for each size, the number of the n-gram that begins there among those of its size; 0 for none."""
         points, owner, ends = joined(texts)
         ids = own = self.classes(points, ends)
-        pairs = []
-        for n in range(1, max(self.sizes) + 1):
-            if n > 1:
+        found = {1: ids}
+        for n in range(2, max(self.sizes) + 1):
+            if (table := self.table(n)) is not None:
+                key = ids[: len(own) - n + 1] * np.int32(self.width) + own[n - 1 :]  # below TABLE
+                ids = table[key]  # a character of class 0 has no key in the table, nor has an n-gram 0
+            else:
                 key, dead = self.step(ids, own, n)
-                if (table := self.table(n)) is not None:
-                    ids = table[key]  # a character of class 0 has no key in the table, nor has an n-gram 0
-                else:
-                    at = np.minimum(np.searchsorted(self.keys[n - 2], key), max(0, len(self.keys[n - 2]) - 1))
-                    ids = np.where(~dead & (self.keys[n - 2][at] == key), at + 1, 0) if len(self.keys[n - 2]) else np.zeros(len(key), dtype=np.int64)
-            if n in self.sizes:
-                hit = np.flatnonzero(ids)
-                pairs.append(owner[hit] * self.size + (ids[hit] - 1 + self.base[n]))
+                at = np.minimum(np.searchsorted(self.keys[n - 2], key), max(0, len(self.keys[n - 2]) - 1))
+                ids = np.where(~dead & (self.keys[n - 2][at] == key), at + 1, 0).astype(np.int32) if len(self.keys[n - 2]) else np.zeros(len(key), dtype=np.int32)
+            found[n] = ids
+        return owner, {n: found[n] for n in self.sizes}
+
+    def matrix(self, texts: list[str]) -> np.ndarray:
+        """Times [text, term] of the n-grams of texts that are known: a cell for each, so for as many texts as the caller has room for."""
+        owner, found = self.places(texts)
+        row, cells = owner * (self.size + 1), []
+        for n, ids in found.items():
+            term = ids + np.int32(self.base[n])
+            term[ids == 0] = 0  # what isn't known is counted in a column of its own
+            cells.append(row[: len(ids)] + term)
+        return np.bincount(np.concatenate(cells), minlength=len(texts) * (self.size + 1)).reshape(len(texts), -1)[:, 1:]
+
+    def counts(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(text, term, times) of the n-grams of texts that are known."""
+        owner, places = self.places(texts)
+        pairs = []
+        for n, ids in places.items():
+            hit = np.flatnonzero(ids)
+            pairs.append(owner[hit] * self.size + (ids[hit] - 1 + self.base[n]))
         found = np.concatenate(pairs)
         if len(texts) * self.size <= DENSE * len(found):
             times = np.bincount(found, minlength=len(texts) * self.size)
@@ -189,31 +211,77 @@ def spans_of(texts: list[str], sizes: tuple[int, ...]) -> Iterator[tuple[int, in
     yield first, len(texts)
 
 
-def bm25(queries: list[tuple[object, str]], kind: str, chunks: DataFrame, k: int, sizes: tuple[int, ...], k1: float, b: float) -> DataFrame:
-    """Candidates (query_id, chunk_id, score) with the k best chunks of each query. queries: (id, lower-cased text)."""
-    spark, rows = chunks.sparkSession, chunks.select("chunk_id", F.lower("content").alias("low")).where("low is not null")
+class Asked:
+    """The terms of a block of queries, listed query by query, and the n-grams that each query's words hold."""
+
+    def __init__(self, grams: Grams, texts: list[str], words: list[list[str]] | None):
+        self.query, self.term, _ = grams.counts(texts)
+        self.size = np.bincount(self.query, minlength=len(texts))
+        self.first = np.cumsum(self.size) - self.size
+        self.needed = None if words is None else [np.unique(grams.counts(own)[1]) for own in words]
+
+    def exact(self, times: np.ndarray, spread: np.ndarray, weight: np.ndarray, row: np.ndarray, query: np.ndarray) -> np.ndarray:
+        """Scores of pairs of a row of `times` and a query, in double precision."""
+        found, some = np.empty(len(row)), max(1, CELLS // max(1, self.size.max(initial=1)))
+        for i in range(0, len(row), some):
+            r, q = row[i : i + some], query[i : i + some]
+            n = self.size[q]
+            start = np.cumsum(n) - n
+            term = self.term[np.repeat(self.first[q] - start, n) + np.arange(n.sum())]
+            own = np.repeat(r, n)
+            x = times[own, term].astype(np.float64)
+            found[i : i + some] = np.bincount(np.repeat(np.arange(len(r)), n), weight[term] * (x / (x + spread[own])), minlength=len(r))
+        return np.where(found > SLACK / 2, found, -np.inf)
+
+    def order(self, df: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Queries that some row may hold, and the n-grams of their words, the rarest first, the last one repeated."""
+        some = [(i, own[np.argsort(df[own], kind="stable")]) for i, own in enumerate(self.needed) if len(own) and df[own].min() > 0]
+        longest = max((len(own) for _, own in some), default=1)
+        return np.array([i for i, _ in some], dtype=np.int64), np.array([np.pad(own, (0, longest - len(own)), "edge") for _, own in some], dtype=np.int64).reshape(-1, longest)
+
+
+def holding(times: np.ndarray, asked: np.ndarray, needed: np.ndarray) -> dict[int, list[int]]:
+    """For a row of `times`, the queries `asked` that have all n-grams `needed` there. Pairs are sieved, by few n-grams first."""
+    row, at = np.nonzero(times[:, needed[:, 0]] > 0)
+    i = 1
+    while len(row) and i < needed.shape[1]:
+        z = i + max(1, min(i, CELLS // len(row)))
+        kept = (times[row[:, None], needed[at, i:z]] > 0).all(axis=1)
+        row, at, i = row[kept], at[kept], z
+    found: dict[int, list[int]] = {}
+    for r, j in zip(row.tolist(), at.tolist()):
+        found.setdefault(r, []).append(int(asked[j]))
+    return found
+
+
+def bm25(queries: list[tuple[object, str]], kind: str, chunks: DataFrame, k: int, sizes: tuple[int, ...], k1: float, b: float, words: list[list[str]] | None = None) -> DataFrame:
+    """Candidates (query_id, chunk_id, score) with the k best chunks of each query. queries: (id, lower-cased text).
+
+    A block's products are estimates in single precision, and what they can't rule out is summed in double precision. With the words of
+    each query there are rows (chunk_id, low, held) beside these: chunks, lower-cased, with the ids of the queries all of whose words
+    they may hold, since they have the words' n-grams; words without n-grams of these sizes rule nothing out, and a query that has
+    no others isn't held by any."""
+    # null texts go in Python: a filter here would cut and lower-case every text twice
+    spark, rows = chunks.sparkSession, chunks.select("chunk_id", F.lower("content").alias("low"))
+    schema = f"query_id {kind}, chunk_id string, score double" + ("" if words is None else f", low string, held array<{kind}>")
     found = None
     for a, z in spans_of([t for _, t in queries], sizes):
         own = queries[a:z]
         grams = Grams([t for _, t in own], sizes)
         step = max(1, min(ROWS, CELLS // max(1, grams.size)))
-        query, term, _ = grams.counts([t for _, t in own])
-        asked = np.zeros((grams.size, len(own)))
-        asked[term, query] = 1
-        shared = spark.sparkContext.broadcast((grams, asked))  # a block of queries
+        shared = spark.sparkContext.broadcast((grams, Asked(grams, [t for _, t in own], None if words is None else words[a:z])))  # a block of queries
 
         def tally(batches: Iterator[pd.DataFrame], shared=shared, step=step) -> Iterator[pd.DataFrame]:
             grams, _ = shared.value
             df, n, total = np.zeros(grams.size, dtype=np.int64), 0, 0
             for batch in batches:
-                texts = batch["low"].tolist()
-                for i in range(0, len(texts), step):
-                    _, term, _ = grams.counts(texts[i : i + step])
-                    df += np.bincount(term, minlength=grams.size)
+                texts = batch["low"].dropna().tolist()
+                for i in range(0, len(texts), some := min(step, TEXTS)):
+                    df += np.count_nonzero(grams.matrix(texts[i : i + some]), axis=0)
                 n += len(texts)
                 total += sum(max(0, len(t) - s + 1) for t in texts for s in sizes)
-            some = np.flatnonzero(df)
-            yield pd.DataFrame({"term": [*some.tolist(), -1, -2], "df": [*df[some].tolist(), n, total]})
+            held = np.flatnonzero(df)
+            yield pd.DataFrame({"term": [*held.tolist(), -1, -2], "df": [*df[held].tolist(), n, total]})
 
         df = np.zeros(grams.size)
         n = total = 0
@@ -224,30 +292,91 @@ def bm25(queries: list[tuple[object, str]], kind: str, chunks: DataFrame, k: int
                 n = r["df"]
             else:
                 total = r["df"]
-        idf, mean = np.log(1 + (n - df + 0.5) / (df + 0.5)), total / n if n else 1.0
+        mean = total / n if n else 1.0
         ids = [q for q, _ in own]
 
-        def score(batches: Iterator[pd.DataFrame], shared=shared, idf=idf, mean=mean, ids=ids, step=step) -> Iterator[pd.DataFrame]:
+        def score(batches: Iterator[pd.DataFrame], shared=shared, df=df, n=n, mean=mean, ids=ids, step=step) -> Iterator[pd.DataFrame]:
             (grams, asked), best, who = shared.value, Best(len(ids), k), np.arange(len(ids))
-            weights = np.zeros((step, grams.size))
+            weight = np.log(1 + (n - df + 0.5) / (df + 0.5)) * (k1 + 1)
+            matrix = np.zeros((grams.size, len(ids)), dtype=np.float32)
+            matrix[asked.term, asked.query] = weight[asked.term]
+            off = (asked.size.max(initial=0) + 8) * 2.0**-23  # roundings of a sum without negative parts, doubled
+            wanted, needed = (None, None) if asked.needed is None else asked.order(df)
+            times, shares = np.empty((step, grams.size), dtype=np.float32), np.empty((step, grams.size), dtype=np.float32)
             for batch in batches:
-                for i in range(0, len(batch), step):
-                    part = batch.iloc[i : i + step]
-                    texts = part["low"].tolist()
-                    lengths = np.array([sum(max(0, len(t) - s + 1) for s in sizes) for t in texts])
-                    text, term, times = grams.counts(texts)
-                    weights[text, term] = idf[term] * times * (k1 + 1) / (times + k1 * (1 - b + b * lengths[text] / mean))
-                    scores = weights[: len(texts)] @ asked
-                    weights[text, term] = 0
-                    scores[scores <= SLACK / 2] = -np.inf
-                    best.add(scores, part["chunk_id"].to_numpy(), who)
-            yield from best.rows(ids)
-
-        made = rows.mapInPandas(score, f"query_id {kind}, chunk_id string, score double")
+                batch = batch.dropna(subset=["low"])
+                names, lows, kept = batch["chunk_id"].to_numpy(), batch["low"].tolist(), []
+                for i in range(0, len(lows), step):
+                    texts = lows[i : i + step]
+                    for j in range(0, len(texts), TEXTS):
+                        part = grams.matrix(texts[j : j + TEXTS])
+                        times[j : j + len(part)] = part
+                    own, share = times[: len(texts)], shares[: len(texts)]
+                    spread = k1 * (1 - b + b * np.array([sum(max(0, len(t) - s + 1) for s in sizes) for t in texts]) / mean)
+                    spread = np.maximum(spread, np.finfo(np.float32).tiny)  # 0 for a text without n-grams at b = 1
+                    np.add(own, spread.astype(np.float32)[:, None], out=share)
+                    np.divide(own, share, out=share)
+                    scores = share @ matrix
+                    scores[scores <= SLACK / 4] = -np.inf
+                    best.add(scores, names[i : i + step], who, lambda row, query: asked.exact(own, spread, weight, row, query), off)  # noqa: B023  called at once
+                    if wanted is not None and len(wanted):
+                        kept += [(names[i + r], texts[r], [ids[q] for q in held]) for r, held in holding(own, wanted, needed).items()]
+                if kept:
+                    chunk, low, held = zip(*kept)
+                    yield pd.DataFrame({"query_id": None, "chunk_id": chunk, "score": None, "low": low, "held": held})
+            for part in best.rows(ids):
+                yield part if wanted is None else part.assign(low=None, held=None)
+
+        made = rows.mapInPandas(score, schema)
         found = made if found is None else found.unionByName(made)
     return found
 
 
+def piece_hashes(texts: list[str], piece: int, step: int) -> tuple[np.ndarray, np.ndarray]:
+    """(hash, text) of the pieces of `piece` characters at every step-th place of each text."""
+    points, _, ends = joined(texts)
+    first = np.concatenate([[0], ends[:-1] + 1]) if len(ends) else ends
+    n = np.maximum(0, (ends - first - piece) // step + 1)
+    owner = np.repeat(np.arange(len(texts)), n)
+    at = first[owner] + step * (np.arange(len(owner)) - (np.cumsum(n) - n)[owner])
+    found = np.zeros(len(at), dtype=np.uint64)
+    for i in range(piece):
+        found = (found ^ (found >> np.uint64(29))) * np.uint64(0x9E3779B97F4A7C15) + points[at + i]
+    return found, owner
+
+
+def containing(queries: list[tuple[object, str]], kind: str, chunks: DataFrame, piece: int, step: int) -> DataFrame:
+    """Rows of chunks, without their content, that contain the text of a query, with query_id. queries: (id, text of piece + step - 1
+    characters or more). A query is known by the pieces at its first `step` places, a chunk by those at every step-th: one of these
+    lies within any occurrence. Then the texts are compared."""
+    shared = chunks.sparkSession.sparkContext.broadcast(queries)  # a stated set of them
+    fields = [f for f in chunks.schema.fields if f.name != "content"]
+
+    def find(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        own = shared.value
+        heads = [t[i : i + piece] for _, t in own for i in range(step)]
+        keys, who = piece_hashes(heads, piece, piece)
+        order = np.argsort(keys, kind="stable")
+        keys, who = keys[order], who[order] // step
+        marked = np.zeros(1 << 20, dtype=bool)
+        marked[keys >> np.uint64(44)] = True
+        for batch in batches:
+            batch = batch.dropna(subset=["content"])
+            texts = batch["content"].tolist()
+            for i in range(0, len(texts), ROWS):
+                part = texts[i : i + ROWS]
+                hashes, owner = piece_hashes(part, piece, step)
+                maybe = np.flatnonzero(marked[hashes >> np.uint64(44)])
+                left, right = (np.searchsorted(keys, hashes[maybe], side) for side in ("left", "right"))
+                pairs = {(r, q) for r, a, z in zip(owner[maybe].tolist(), left.tolist(), right.tolist()) for q in who[a:z].tolist()}
+                held = sorted((r, q) for r, q in pairs if own[q][1] in part[r])
+                if held:
+                    rows = batch.iloc[[i + r for r, _ in held]].drop(columns="content")
+                    yield rows.assign(query_id=[own[q][0] for _, q in held])[["query_id", *(f.name for f in fields)]]
+
+    return chunks.mapInPandas(find, f"query_id {kind}, " + ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in fields))
+
+
 def cosine(queries: list[tuple[object, np.ndarray]], kind: str, chunks: DataFrame, k: int) -> DataFrame:
     """Candidates (query_id, chunk_id, score) with the k nearest rows of each query, in one pass over the rows. Vectors have length
     one; rows of another length than a query's are compared with nothing."""

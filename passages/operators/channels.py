@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from passages.operators import blocks, lexindex
-from passages.operators.index import ngram_rows, ngrams, words
+from passages.operators.index import BETWEEN, ngram_rows, ngrams, words
 from passages.sources import scratch
 
 #: Query terms up to which they are broadcast to the postings (about 60 bytes each).
@@ -168,9 +168,14 @@ def fts(queries: DataFrame, chunks: DataFrame, k: int) -> DataFrame:
     else:
         held = rows.select("chunk_id", F.explode(F.array_distinct("_w")).alias("term"))
         near = held.join(asked.select("query_id", "term"), "term").join(asked.select("query_id", "terms"), "query_id").join(rows, "chunk_id")
+    return top_k(word_hits(near), k, "fts")
+
+
+def word_hits(near: DataFrame) -> DataFrame:
+    """Candidates of the full-text lane: rows (query_id, terms, chunk_id, _w, the chunk's words) that hold all terms, scored."""
     hits = near.where(F.forall("terms", lambda t: F.array_contains(F.col("_w"), t)))
     total = F.aggregate("terms", F.lit(0.0), lambda s, t: s + 1 - 1 / (1 + F.size(F.filter("_w", lambda w: w == t))))
-    return top_k(hits.select("query_id", "chunk_id", F.least(F.lit(1.0), total).alias("score")), k, "fts")
+    return hits.select("query_id", "chunk_id", F.least(F.lit(1.0), total).alias("score"))
 
 
 def bm25(queries: DataFrame, chunks: DataFrame, k: int, low: int = 2, high: int = 3, k1: float = 1.2, b: float = 0.75, most: int = 20_000) -> DataFrame:
@@ -182,6 +187,28 @@ def bm25(queries: DataFrame, chunks: DataFrame, k: int, low: int = 2, high: int
     return top_k(united(found), k, "bm25")
 
 
+def bm25_fts(queries: DataFrame, chunks: DataFrame, k: int, low: int = 2, high: int = 3, k1: float = 1.2, b: float = 0.75, most: int = 20_000) -> DataFrame:
+    """The rows of bm25 and of fts from the same two passes over the chunks, written once.
+
+    A chunk that holds all words of a query has all n-grams of these words, so the pass that scores n-grams finds the few
+    chunks that the full-text lane must compare. Queries whose words are all too short for n-grams go to fts itself."""
+    asked = queries.select("query_id", F.lower("query").alias("low"), F.array_distinct(words(F.col("query"))).alias("terms")).where("low is not null")
+    kind = dict(asked.dtypes)["query_id"]
+    found, brief = [], False
+    for rows in in_blocks(asked, most):
+        brief |= any(r["terms"] and max(map(len, r["terms"])) < low for r in rows)
+        found.append(blocks.bm25([(r["query_id"], r["low"]) for r in rows], kind, chunks, k, tuple(range(low, high + 1)), k1, b, [r["terms"] for r in rows]))
+    both = scratch.kept(united(found), "bm25-fts")
+    columns = ("query_id", "chunk_id", "score", "rank", "channel")
+    lanes = [top_k(both.where("held is null").select("query_id", "chunk_id", "score"), k, "bm25").select(*columns)]
+    near = both.where("held is not null").select("chunk_id", F.filter(F.split("low", BETWEEN), lambda w: w != "").alias("_w"), F.explode("held").alias("query_id"))
+    near = near.join(small(asked.select("query_id", "terms"), BROADCAST_TERMS // 10), "query_id")
+    hits = top_k(word_hits(near), k, "fts").select(*columns)
+    if brief:
+        hits = hits.unionByName(fts(queries.where(F.coalesce(F.forall(words(F.col("query")), lambda w: F.length(w) < low), F.lit(False))), chunks, k).select(*columns))
+    return united([*lanes, hits])
+
+
 def bm25_stored(queries: DataFrame, path: str, k: int, low: int = 2, high: int = 3, k1: float = 1.2, b: float = 0.75, most: int = 20_000) -> DataFrame:
     """The same from an index that lexindex.store has written at path: up to `most` queries are answered by one pass over the
     columns of their terms' buckets."""

@@ -125,11 +125,12 @@ def retrieve_full(queries: DataFrame, chunks: DataFrame, config: Config = Config
     joined to the pool, at most config.pool rows a query, for the scorer alone."""
     if "hint" in queries.columns:
         queries = channels.merge_query(queries).withColumn("query", F.col("merged")).drop("merged")
-    lanes = {"bm25": channels.bm25(queries, chunks, config.pool, config.low, config.high), "fts": channels.fts(queries, chunks, config.pool)}
+    lanes, columns = ["bm25", "fts"], ("query_id", "chunk_id", "score", "rank", "channel")
+    candidates = channels.bm25_fts(queries, chunks, config.pool, config.low, config.high)
     if "vector" in queries.columns and "embedding" in chunks.columns:
-        lanes = {"vector": channels.knn(queries, chunks, config.pool)} | lanes
-    columns = ("query_id", "chunk_id", "score", "rank", "channel")
-    candidates = scratch.kept(channels.united([df.select(*columns) for df in lanes.values()]), "lanes")  # config.pool rows a query and lane
+        lanes = ["vector", *lanes]
+        candidates = channels.knn(queries, chunks, config.pool).select(*columns).unionByName(candidates)
+    candidates = scratch.kept(candidates, "lanes")  # config.pool rows a query and lane
     of = lambda test: F.max(F.when(test, F.col("score")))
     scores = candidates.groupBy("query_id", "chunk_id").agg(
         of(F.col("channel") == "vector").alias("vector"), of(F.col("channel") == "fts").alias("fts"), of(F.col("channel") != "vector").alias("lexical")
@@ -162,12 +163,7 @@ def retrieve(queries: DataFrame, chunks: DataFrame, config: Config = Config()) -
     """(results, trace) of a table of queries (query_id, query): lanes, fusion, rank, neighbours.
 
     Ids and scores travel through the lanes; texts aren't joined before the end."""
-    lanes = {
-        "bm25": channels.bm25(queries, chunks, config.pool, config.low, config.high),
-        "fts": channels.fts(queries, chunks, config.pool),
-    }
-    columns = ("query_id", "chunk_id", "score", "rank", "channel")
-    candidates = scratch.kept(lanes["bm25"].select(*columns).unionByName(lanes["fts"].select(*columns)), "lanes")  # config.pool rows a query and lane
+    candidates = scratch.kept(channels.bm25_fts(queries, chunks, config.pool, config.low, config.high), "lanes")  # config.pool rows a query and lane
     fused = scratch.kept(fusion.rrf(candidates, config.rrf_c, config.pool), "fused")
     best = annotate(fused.where(F.col("rank") <= config.k).withColumn("score_type", F.lit("hybrid")))
     place = chunks.select("chunk_id", "file_id", "user_id", "source", "chapter_no", "chunk_no")
@@ -176,5 +172,5 @@ def retrieve(queries: DataFrame, chunks: DataFrame, config: Config = Config()) -
     both = primary.select("query_id", "chunk_id", "file_id", "source", "chapter_no", "chunk_no", "rrf", "rank", "neighbor").unionByName(
         around.select("query_id", "chunk_id", "file_id", "source", "chapter_no", "chunk_no", F.lit(None).cast("double").alias("rrf"), F.lit(None).cast("int").alias("rank"), F.lit(True).alias("neighbor"))
     )
-    stages = {name: candidates.where(F.col("channel") == name) for name in lanes}
+    stages = {name: candidates.where(F.col("channel") == name) for name in ("bm25", "fts")}
     return reading_order(both), trace(stages | {"rrf": fused, "final": best})

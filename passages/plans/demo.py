@@ -5,13 +5,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from passages.operators import channels
+from passages.operators import blocks, channels
 from passages.operators.chunking import stride_chunks
 from passages.sources import scratch
 
-#: Characters of a piece, and places between those of a chunk; passages have PIECE + STEP - 1 characters at least. Keys of
-#: passages, with their texts, up to which they are broadcast.
-PIECE, STEP, BROADCAST_KEYS = 10, 7, 50_000
+#: Characters of a piece, and places between those of a chunk; passages have PIECE + STEP - 1 characters at least.
+PIECE, STEP = 10, 7
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -40,15 +39,12 @@ def queries(spark: SparkSession, sf_dir: str) -> DataFrame:
 def gold(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Chunks that hold a passage of 16 characters or more (grade 2), and the chunks after them in their file (grade 1).
 
-    A passage is known by the pieces of PIECE characters at its first STEP places, a chunk by those at every STEP-th place: one of
-    these lies within any occurrence. An equi-join of pieces, then the comparison."""
+    Passages are looked up by pieces of PIECE characters in one pass over the chunks, up to 20 000 of them at a time."""
     own = queries(spark, sf_dir).where(F.length("query") >= PIECE + STEP - 1)
-    keys = own.select("query_id", "query", F.explode(F.array_distinct(F.array(*(F.substring("query", i + 1, PIECE) for i in range(STEP))))).alias("key"))
-    found = chunks(spark, sf_dir)
-    n = F.length("content")
+    kind, found = dict(own.dtypes)["query_id"], chunks(spark, sf_dir)
     place = ("chunk_id", "file_id", "chapter_no", "chunk_no")
-    spans = found.where(n >= PIECE).select(*place, "content", F.explode(F.sequence(F.lit(1), n - (PIECE - 1), F.lit(STEP))).alias("at")).withColumn("key", F.col("content").substr(F.col("at"), F.lit(PIECE)))
-    held = spans.join(channels.small(keys, BROADCAST_KEYS), "key").where(F.contains("content", "query")).select("query_id", *place, F.lit(2).alias("relevance")).distinct()
+    held = [blocks.containing([(r["query_id"], r["query"]) for r in rows], kind, found.select(*place, "content"), PIECE, STEP) for rows in channels.in_blocks(own, 20_000)]
+    held = channels.united(held).withColumn("relevance", F.lit(2)).distinct()
     held = scratch.kept(held, "held")
     after = held.select("query_id", "file_id", (F.col("chunk_no") + 1).alias("chunk_no"), F.lit(1).alias("relevance")).join(found.select(*place), ["file_id", "chunk_no"])
     both = held.unionByName(after.select("query_id", *place, "relevance"))
