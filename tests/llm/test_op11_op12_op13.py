@@ -11,6 +11,7 @@ from collections import Counter, defaultdict
 import numpy as np
 import pytest
 
+from passages.llm import common
 from passages.llm import op11_secret_scans as secrets
 from passages.llm import op12_alignment as alignment
 from passages.llm import op13_spelling_groups as spelling
@@ -292,3 +293,19 @@ def test_spelling_edges(spark, monkeypatch):
     monkeypatch.setattr(spelling, "CELLS", 1)
     assert {k for _, x in spelling.by_length([b"abcdefg"]) for y in spelling.neighbour_keys(x) for k in y.ravel().tolist()} >= {k for w in (b"abcdefg", b"abcefg", b"abcdxfg", b"abcdefgh", b"zabcdefg") for _, x in spelling.by_length([w]) for k in spelling.own_keys(x).tolist()}
     assert spelling.group_spellings(docs.limit(0)).count() == 0
+
+
+def test_spelling_broadcasts_go_by_counts(spark, sf, monkeypatch):
+    """Beyond the bound no table is broadcast, however small Spark takes it for: neighbourhoods and dealt rows are many for their files."""
+    plans, want = [], grouped(spelling.query(spark, sf))
+
+    def noted(df, name, write=common.written):
+        plans.append(df._jdf.queryExecution().executedPlan().toString())
+        return write(df, name)
+
+    monkeypatch.setattr(spelling, "written", noted)
+    monkeypatch.setattr(spelling, "BROADCAST", -1)
+    found = spelling.query(spark, sf)
+    plans.append(found._jdf.queryExecution().executedPlan().toString())
+    assert sum("SortMergeJoin" in p for p in plans) >= 3 and not any("Broadcast" in p for p in plans)
+    assert grouped(found) == want
