@@ -5,7 +5,10 @@ k rows a query. The set of queries is of checked size: it is cut into blocks."""
 
 from __future__ import annotations
 
+import bisect
+import math
 from collections.abc import Callable, Iterator
+from decimal import ROUND_HALF_UP, Decimal
 
 import numpy as np
 import pandas as pd
@@ -18,6 +21,8 @@ QUERIES, ROWS, CELLS, HANDED = 512, 256, 4_000_000, 65_536
 TEXTS = 64
 #: Digits that scores are rounded to, and what rounding may add to one.
 DIGITS, SLACK = 6, 1e-6
+#: Beginnings, and ends, of stretches that are bounded together.
+GROUP = 8
 #: Cells for each n-gram of a text up to which n-grams are counted in a table of all cells, not by sorting.
 DENSE = 16
 
@@ -332,6 +337,226 @@ def bm25(queries: list[tuple[object, str]], kind: str, chunks: DataFrame, k: int
     return found
 
 
+class Tokens:
+    """Distinct tokens as a tree of their beginnings: level n has a node for each beginning of n characters."""
+
+    TABLE = 1 << 22
+
+    def __init__(self, tokens: list[str]):
+        self.tokens = tokens
+        self.characters = np.unique(joined(tokens)[0]) if tokens else np.zeros(0, dtype=np.uint32)
+        self.width = len(self.characters) + 1
+        place = {chr(c): i + 1 for i, c in enumerate(self.characters.tolist())}
+        self.levels: list[tuple[np.ndarray, np.ndarray]] = []  # sorted keys (node above, character), and the token that ends there or -1
+        node, alive = {i: 0 for i in range(len(tokens))}, list(range(len(tokens)))
+        for n in range(max(map(len, tokens), default=0)):
+            alive = [i for i in alive if len(tokens[i]) > n]
+            own = {i: node[i] * self.width + place[tokens[i][n]] for i in alive}
+            keys = sorted(set(own.values()))
+            number, ends = {key: j for j, key in enumerate(keys)}, np.full(len(keys), -1, dtype=np.int64)
+            for i in alive:
+                node[i] = number[own[i]]
+                if len(tokens[i]) == n + 1:
+                    ends[node[i]] = i
+            self.levels.append((np.array(keys, dtype=np.int64), ends))
+
+    def __getstate__(self) -> dict:
+        return {k: v for k, v in self.__dict__.items() if not k.startswith("_")}  # tables are made again where they are used
+
+    def tables(self) -> list[np.ndarray | None]:
+        if "_tables" not in self.__dict__:
+            self._tables, above = [], 1
+            for keys, _ in self.levels:
+                made = np.full(above * self.width, -1, dtype=np.int32) if above * self.width <= self.TABLE else None
+                if made is not None:
+                    made[keys] = np.arange(len(keys))
+                self._tables.append(made)
+                above = len(keys)
+        return self._tables
+
+    def held(self, texts: list[str]) -> np.ndarray:
+        """Whether each text contains each token: [text, token]. A place is followed as long as some token begins like it."""
+        found = np.zeros((len(texts), len(self.tokens)), dtype=bool)
+        points, owner, ends = joined(texts)
+        if "_of" not in self.__dict__:
+            self._of = np.zeros(0x110000, dtype=np.int32)
+            self._of[self.characters] = np.arange(1, self.width)
+        own = self._of[points]
+        own[ends] = 0
+        at, node = np.arange(len(own)), np.zeros(len(own), dtype=np.int32)
+        for n, ((keys, tokens), table) in enumerate(zip(self.levels, self.tables())):
+            key = node.astype(np.int64) * self.width + own[at + n]  # what lives lies within a text, so at + n is its end at most
+            if table is None:
+                place = np.minimum(np.searchsorted(keys, key), len(keys) - 1)
+                node = np.where(keys[place] == key, place, -1).astype(np.int32)
+            else:
+                node = table[key]
+            alive = node >= 0
+            at, node = at[alive], node[alive]
+            token = tokens[node]
+            hit = token >= 0
+            found[owner[at[hit]], token[hit]] = True
+        return found
+
+
+def last_before(text: str) -> np.ndarray:
+    """For each trigram of a text, its last place before; -1 if there is none."""
+    points = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), dtype="<u4").astype(np.int64)
+    codes = points[:-2] << 42 | points[1:-1] << 21 | points[2:]
+    order = np.argsort(codes, kind="stable")
+    before = np.full(len(codes), -1, dtype=np.int64)
+    before[order[1:]] = np.where(codes[order[1:]] == codes[order[:-1]], order[:-1], -1)
+    return before
+
+
+def table_sums(low: np.ndarray, high: np.ndarray, end: np.ndarray, rows: int, columns: int) -> np.ndarray:
+    """[beginning, end]: how many trigrams are in the rows from low to high, without it, and the columns from end on."""
+    cells = (rows + 1) * (columns + 1)
+    found = np.bincount(low * (columns + 1) + end, minlength=cells) - np.bincount(high * (columns + 1) + end, minlength=cells)
+    return found.astype(np.int32).reshape(rows + 1, columns + 1)[:rows, :columns].cumsum(axis=0, dtype=np.int32).cumsum(axis=1, dtype=np.int32)
+
+
+def begun(hit: np.ndarray, before: np.ndarray, starts: np.ndarray, wanted: int) -> float:
+    """Greatest similarity of stretches that begin at one of `starts`, in order, and end at a hit.
+
+    A trigram is new in a stretch that ends with or after it and begins between its last place before and itself."""
+    best, upto = 0.0, np.cumsum(hit)
+    m = int(upto[-1])
+    some = max(1, CELLS // 4 // m)
+    for i in range(0, len(starts), some):
+        part = starts[i : i + some]
+        low, high, end = np.searchsorted(part, before, "right"), np.searchsorted(part, np.arange(len(hit)), "right"), upto - hit
+        shared, others = (table_sums(low[x], high[x], end[x], len(part), m) for x in (hit, ~hit))
+        best = max(best, float((shared / (wanted + others)).max()))
+    return best
+
+
+def best_stretch(hit: np.ndarray, before: np.ndarray, wanted: int, least: float = 0.0) -> float:
+    """channels.best_extent of a text whose trigrams are wanted ones at `hit`, or less than `least` if it is.
+
+    Beginnings and ends are bounded GROUP at a time: shared trigrams are counted from a group's first beginning to a group's last
+    end, others from the last beginning to the first end. Only groups that may be best are compared in full."""
+    at = np.flatnonzero(hit)
+    if not len(at):
+        return 0.0
+    group = max(GROUP, -(-len(hit) // math.isqrt(CELLS)))
+    n, place = -(-len(hit) // group), np.arange(len(hit))
+    own = place[hit] // group
+    shared = table_sums(before[hit] // group + 1, own + 1, own, n, n)
+    own = place[~hit]
+    others = table_sums((before[~hit] + 1) // group, (own + 1) // group, (own + group - 1) // group, n, n)
+    bound = (shared / (wanted + others)).max(axis=1)
+    first = int(np.argmax(bound))
+    if bound[first] < least:
+        return float(bound[first])
+    own = at // group
+    best = begun(hit, before, at[own == first], wanted) if (own == first).any() else 0.0
+    rest = at[(bound[own] > max(best, least - SLACK)) & (own != first)]
+    return max(best, begun(hit, before, rest, wanted)) if len(rest) else best
+
+
+def rounded(score: float) -> float:
+    """As Spark rounds a double to DIGITS."""
+    return float(Decimal(repr(score)).quantize(Decimal(1).scaleb(-DIGITS), ROUND_HALF_UP))
+
+
+class Lexical:
+    """The k best rows of each query of the lexical lane that a task has seen; floor: what the k-th best has at least, as far as known."""
+
+    def __init__(self, queries: list[tuple[object, str, list[str]]], grams: Grams, tokens: Tokens, k: int):
+        self.grams, self.tokens, self.k = grams, tokens, k
+        place = {t: i for i, t in enumerate(tokens.tokens)}
+        self.asked = np.zeros((len(place), len(queries)), dtype=np.float32)
+        for q, (_, _, own) in enumerate(queries):
+            self.asked[[place[t] for t in own], q] = 1
+        self.n = np.array([len(set(own)) for *_, own in queries], dtype=np.int64)
+        query, self.term, _ = grams.counts([low for _, low, _ in queries])
+        self.wanted = np.bincount(query, minlength=len(queries))
+        self.first = np.cumsum(self.wanted) - self.wanted
+        self.member = np.zeros((len(queries), grams.size + 1), dtype=bool)
+        self.member[query, self.term + 1] = True
+        self.floor = np.full(len(queries), -np.inf)
+        self.best: list[list[tuple[float, object, float]]] = [[] for _ in queries]
+
+    def shares(self, present: np.ndarray, row: np.ndarray, query: np.ndarray) -> np.ndarray:
+        """Share of a query's trigrams that a row holds; present: [row, trigram from 1]."""
+        found, some = np.zeros(len(row)), max(1, CELLS // max(1, self.wanted.max(initial=1)))
+        for i in range(0, len(row), some):
+            r, q = row[i : i + some], query[i : i + some]
+            n = self.wanted[q]
+            term = self.term[np.repeat(self.first[q] - (np.cumsum(n) - n), n) + np.arange(n.sum())]
+            held = np.bincount(np.repeat(np.arange(len(r)), n), present[np.repeat(r, n), term + 1], minlength=len(r))
+            found[i : i + some] = held / np.maximum(1, n)
+        return found
+
+    def add(self, texts: list[str], ids: np.ndarray) -> None:
+        held = np.rint(self.tokens.held(texts).astype(np.float32) @ self.asked).astype(np.int64)
+        least = 0.85 * held / self.n
+        if len(texts) > self.k:
+            kth = np.partition(np.where(held > 0, least, -np.inf), len(texts) - self.k, axis=0)[len(texts) - self.k]
+            self.floor = np.maximum(self.floor, kth)  # as many rows have it here alone
+        row, query = np.nonzero((held > 0) & (least + np.where(self.wanted > 0, 0.15, 0.0) >= self.floor - 2 * SLACK))
+        if not len(row):
+            return
+        rows, row = np.unique(row, return_inverse=True)
+        owner, places = self.grams.places([texts[r] for r in rows.tolist()])
+        places = places[3]
+        present = np.zeros((len(rows), self.grams.size + 1), dtype=bool)
+        present[owner[: len(places)], places] = True
+        lower = least[rows[row], query]
+        upper = lower + 0.15 * self.shares(present, row, query)
+        order = np.argsort(-upper, kind="stable")
+        order = order[upper[order] >= self.floor[query[order]] - 2 * SLACK]
+        lengths = np.array([len(texts[r]) for r in rows.tolist()])
+        start, known = np.cumsum(lengths + 1) - lengths - 1, {}
+        for r, q, low, high in zip(row[order].tolist(), query[order].tolist(), lower[order].tolist(), upper[order].tolist()):
+            floor, similar = self.floor[q] - 2 * SLACK, 0.0
+            if high < floor:
+                continue
+            if high > low:  # some trigram is shared
+                if r not in known:
+                    known[r] = last_before(texts[rows[r]])
+                least = (floor - low) / 0.15
+                similar = best_stretch(self.member[q, places[start[r] : start[r] + lengths[r] - 2]], known[r], self.wanted[q], least)
+                if similar < least:
+                    continue
+            score = max(0.0, min(1.0, low + 0.15 * similar))
+            bisect.insort(self.best[q], (-rounded(score), ids[rows[r]], score))
+            if len(self.best[q]) >= self.k:
+                del self.best[q][self.k :]
+                self.floor[q] = max(self.floor[q], -self.best[q][-1][0])
+
+
+def lexical(queries: list[tuple[object, str, list[str]]], kind: str, chunks: DataFrame, k: int) -> DataFrame:
+    """Candidates (query_id, chunk_id, score) with the k best chunks of each query in each task, compared as channels.lexical says.
+    queries: (id, lower-cased text, tokens)."""
+    spark, rows = chunks.sparkSession, chunks.select("chunk_id", F.lower("content").alias("low"))
+    found = None
+    for a, z in spans_of([low for _, low, _ in queries], (3,)):
+        own = queries[a:z]
+        tables = Grams([low for _, low, _ in own], (3,)), Tokens(sorted({t for *_, tokens in own for t in tokens}))
+        shared = spark.sparkContext.broadcast((own, *tables))  # a block of queries
+
+        def score(batches: Iterator[pd.DataFrame], shared=shared) -> Iterator[pd.DataFrame]:
+            own, grams, tokens = shared.value
+            if not own:
+                return
+            best = Lexical(own, grams, tokens, k)
+            for batch in batches:
+                batch = batch.dropna()
+                ids, texts = batch["chunk_id"].to_numpy(), batch["low"].tolist()
+                for i in range(0, len(texts), ROWS):
+                    best.add(texts[i : i + ROWS], ids[i : i + ROWS])
+            for i in range(0, len(own), some := max(1, HANDED // k)):
+                made = [(own[i + j][0], chunk, score) for j, held in enumerate(best.best[i : i + some]) for _, chunk, score in held]
+                if made:
+                    yield pd.DataFrame(made, columns=["query_id", "chunk_id", "score"])
+
+        made = rows.mapInPandas(score, f"query_id {kind}, chunk_id {dict(rows.dtypes)['chunk_id']}, score double")
+        found = made if found is None else found.unionByName(made)
+    return found
+
+
 def piece_hashes(texts: list[str], piece: int, step: int) -> tuple[np.ndarray, np.ndarray]:
     """(hash, text) of the pieces of `piece` characters at every step-th place of each text."""
     points, _, ends = joined(texts)

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from passages.operators import blocks, lexindex
-from passages.operators.index import BETWEEN, ngram_rows, ngrams, words
+from passages.operators.index import BETWEEN, ngrams, words
 from passages.sources import scratch
 
 #: Query terms up to which they are broadcast to the postings (about 60 bytes each).
@@ -243,31 +243,18 @@ def tokenize_query(query: Column, most: int = 8, stopwords: tuple[str, ...] = ST
     return F.slice(F.array_distinct(told), 1, most)
 
 
-def lexical(queries: DataFrame, chunks: DataFrame, k: int, most: int = 8, segment: Callable[[Column], Column] | None = None) -> DataFrame:
+def lexical(queries: DataFrame, chunks: DataFrame, k: int, most: int = 8, segment: Callable[[Column], Column] | None = None, block: int = 20_000) -> DataFrame:
     """Share of a query's tokens that occur in a chunk (as lower-cased substrings), weighted 0.85, plus 0.15 times the
     similarity of its trigrams to the chunk's best extent.
 
-    queries (query_id, query) are tokenised; chunks are pruned by the first two characters of the tokens, so only
-    chunks that share them are compared. An extent's similarity is at most the share of the query's trigrams that occur anywhere,
-    and at least 0: only chunks that can still be among the k best by these bounds are given their texts and compared in full."""
-    tokens = queries.select("query_id", F.lower("query").alias("query"), tokenize_query(F.col("query"), most, segment=segment).alias("tokens")).where(F.size("tokens") > 0)
-    each = tokens.select("query_id", F.size("tokens").alias("n"), F.explode("tokens").alias("token"))
-    keyed = each.withColumn("term", F.substring("token", 1, 2))
-    lowered = chunks.select("chunk_id", F.lower("content").alias("low"))
-    wanted = small(keyed.select("term").distinct(), BROADCAST_TERMS)
-    pairs = ngram_rows(lowered.select("chunk_id", "low"), "low", 2, 2).join(wanted, "term", "left_semi").distinct()
-    near = pairs.join(small(keyed, BROADCAST_TERMS), "term").join(lowered, "chunk_id").where(F.contains(F.col("low"), F.col("token")))
-    score = near.groupBy("query_id", "n", "chunk_id").agg(F.countDistinct("token").alias("c"))
-    score = score.select("query_id", "chunk_id", (0.85 * F.col("c") / F.col("n")).alias("least"))
-    score = scratch.kept(score, "lexical-coverage")
-    # the k-th best lower bound of each query; a chunk whose upper bound is below it is out
-    order = Window.partitionBy("query_id").orderBy(F.col("least").desc(), "chunk_id")
-    floor = score.withColumn("_n", F.row_number().over(order)).where(F.col("_n") == k).select("query_id", F.col("least").alias("floor"))
-    open_ = score.join(small(floor, BROADCAST_TERMS), "query_id", "left").where(F.col("floor").isNull() | (F.col("least") + 0.15 >= F.col("floor")))
-    texts = open_.join(small(tokens.select("query_id", "query"), BROADCAST_TERMS // 10), "query_id").join(lowered, "chunk_id")
-    texts = texts.where(F.col("floor").isNull() | (F.col("least") + 0.15 * gram_share(ngrams(F.col("query"), 3), F.col("low")) >= F.col("floor") - 1e-9))
-    total = F.col("least") + 0.15 * extent_similarity(F.col("query"), F.col("low"))
-    return top_k(texts.select("query_id", "chunk_id", F.greatest(F.lit(0.0), F.least(F.lit(1.0), total)).alias("score")), k, "lexical")
+    queries (query_id, query) are a stated set. Each task reads its chunks (chunk_id, content) once, counts the tokens they hold and
+    keeps its own k best, so k rows a query and task are shuffled, however many chunks share a token. An extent's similarity is at
+    most the share of the query's trigrams that occur anywhere, and at least 0: only chunks that can still be among the k best by
+    these bounds are compared in full. Each row is a chunk of its own."""
+    asked = queries.select("query_id", F.lower("query").alias("low"), tokenize_query(F.col("query"), most, segment=segment).alias("tokens")).where(F.size("tokens") > 0)
+    kind = dict(asked.dtypes)["query_id"]
+    found = [blocks.lexical([(r["query_id"], r["low"], r["tokens"]) for r in rows], kind, chunks, k) for rows in in_blocks(asked, block)]
+    return top_k(united(found), k, "lexical")
 
 
 def best_extent(query: str, content: str) -> float:
