@@ -15,12 +15,16 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from passages.sources import scratch
+
 #: Queries in a block; rows multiplied at once; cells of a matrix at most (one query or row at least); rows handed on at once.
 QUERIES, ROWS, CELLS, HANDED = 512, 256, 4_000_000, 65_536
 #: Texts whose n-grams are counted at once in a matrix: few, so that its cells stay in the processor's cache.
 TEXTS = 64
 #: Digits that scores are rounded to, and what rounding may add to one.
 DIGITS, SLACK = 6, 1e-6
+#: Rows, and queries, of a group that meet in a task; groups whose sizes are broadcast at most.
+GROUPED, GROUPS = 8192, 100_000
 #: Beginnings, and ends, of stretches that are bounded together.
 GROUP = 8
 #: Cells for each n-gram of a text up to which n-grams are counted in a table of all cells, not by sorting.
@@ -666,3 +670,47 @@ def cosine_cells(queries: list[tuple[object, np.ndarray]], kind: str, chunks: Da
         yield from best.rows([q for q, _ in own])
 
     return chunks.mapInPandas(score, f"query_id {kind}, chunk_id string, score double")
+
+
+def cosine_groups(asked: DataFrame, rows: DataFrame, keys: list[str], k: int) -> DataFrame:
+    """Candidates (query_id, chunk_id, score) with the k nearest rows of each query in the groups it asks for: asked (keys, query_id, q),
+    rows (keys, chunk_id, e), vectors of length one. A vector that is null or of another length than a row's scores 0.
+
+    Rows and queries of a group meet as matrix products, GROUPED of each at most in a task, which hands on k rows a query."""
+    sizes = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).join(asked.groupBy(*keys).agg(F.count(F.lit(1)).alias("_m")), keys)
+    sizes = scratch.kept(sizes.select(*keys, F.ceil(F.col("_n") / GROUPED).alias("_rows"), F.ceil(F.col("_m") / GROUPED).alias("_asked")), "group-sizes")
+    sizes = F.broadcast(sizes) if sizes.count() <= GROUPS else sizes.hint("merge")
+
+    def dealt(df: DataFrame, name: str, own: str, other: str) -> DataFrame:
+        found = df.join(sizes, keys).withColumn("_own", F.pmod(F.xxhash64(name), F.col(own))).withColumn("_other", F.explode(F.sequence(F.lit(0).cast("long"), F.col(other) - 1)))
+        return found.withColumnsRenamed({"_own": own + "_part", "_other": other + "_part"}).drop("_rows", "_asked")
+
+    def compare(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+        right = right.sort_values("chunk_id", kind="stable")
+        names, ids = left["query_id"].to_numpy(), right["chunk_id"].to_numpy()
+        of, by = ([-1 if v is None else len(v) for v in vectors] for vectors in (left["q"], right["e"]))
+        of, by = np.array(of, dtype=np.int64), np.array(by, dtype=np.int64)
+        made = [(names[:0], ids[:0], np.zeros(0))]
+        some = max(1, CELLS // max(1, len(ids)))
+        for i in range(0, len(names) if len(ids) else 0, some):
+            part = slice(i, i + some)
+            scores = np.zeros((len(names[part]), len(ids)))
+            for size in set(of[part].tolist()) & set(by.tolist()) - {-1}:
+                q, r = np.flatnonzero(of[part] == size), np.flatnonzero(by == size)
+                scores[np.ix_(q, r)] = np.stack(left["q"].iloc[part].iloc[q].to_numpy()) @ np.stack(right["e"].iloc[r].to_numpy()).T
+            scores = np.maximum(scores, 0.0)
+            scores[np.isnan(scores)] = np.inf  # which ranks before all numbers
+            kth = np.partition(scores, len(ids) - k, axis=1)[:, len(ids) - k] if len(ids) > k else np.full(len(scores), -np.inf)
+            query, row = np.nonzero(scores >= (kth - SLACK)[:, None])
+            score = np.round(scores[query, row], DIGITS)
+            order = np.lexsort((row, -score, query))
+            query, row, score = query[order], row[order], score[order]
+            first = np.flatnonzero(np.diff(query, prepend=-1))
+            best = np.arange(len(query)) - np.repeat(first, np.diff(first, append=len(query))) < k
+            made.append((names[part][query[best]], ids[row[best]], np.where(np.isinf(score[best]), np.nan, score[best])))
+        return pd.DataFrame(dict(zip(("query_id", "chunk_id", "score"), map(np.concatenate, zip(*made)))))
+
+    parts = [*keys, "_rows_part", "_asked_part"]
+    kinds = dict(asked.dtypes)["query_id"], dict(rows.dtypes)["chunk_id"]
+    left, right = dealt(asked, "query_id", "_asked", "_rows"), dealt(rows, "chunk_id", "_rows", "_asked")
+    return left.groupBy(*parts).cogroup(right.groupBy(*parts)).applyInPandas(compare, f"query_id {kinds[0]}, chunk_id {kinds[1]}, score double")

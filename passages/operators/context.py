@@ -7,7 +7,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from passages.operators import channels, fusion
+from passages.operators import blocks, channels, fusion
 from passages.sources import scratch
 
 
@@ -47,11 +47,14 @@ def reading_order(rows: DataFrame) -> DataFrame:
 
 
 def chapter_refine(queries: DataFrame, primary: DataFrame, chunks: DataFrame, k: int) -> DataFrame:
-    """Vector search inside the chapters that primary rows hit (at most max(4 k, 40) for a query); the k best."""
-    hit = primary.select("query_id", "file_id", "chapter_no").distinct()
-    pool = chunks.join(hit, ["file_id", "chapter_no"]).join(queries.select("query_id", channels.normalised(F.col("vector")).alias("q")), "query_id")
-    scored = pool.select("query_id", "chunk_id", F.greatest(F.lit(0.0), channels.dot(F.col("q"), channels.normalised(F.col("embedding")))).alias("score"))
-    near = channels.top_k(scored, max(4 * k, 40), "vector").select("query_id", "chunk_id", "score")
+    """Vector search inside the chapters that primary rows hit (at most max(4 k, 40) for a query); the k best.
+
+    A chapter's chunks and the queries that hit it meet as matrix products, so no pair of them is a row."""
+    most, keys = max(4 * k, 40), ["file_id", "chapter_no"]
+    hit = primary.select("query_id", *keys).distinct()
+    asked = hit.join(queries.select("query_id", channels.normalised(F.col("vector")).alias("q")), "query_id")
+    scored = blocks.cosine_groups(asked, chunks.select(*keys, "chunk_id", channels.normalised(F.col("embedding")).alias("e")), keys, most)
+    near = channels.top_k(scored, most, "vector").select("query_id", "chunk_id", "score")
     both = near.unionByName(primary.select("query_id", "chunk_id", F.round("score", channels.DIGITS).alias("score")))
     return channels.top_k(both.groupBy("query_id", "chunk_id").agg(F.max("score").alias("score")), k, "refined")
 
