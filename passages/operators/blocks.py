@@ -25,8 +25,8 @@ TEXTS = 64
 DIGITS, SLACK = 6, 1e-6
 #: Rows, and queries, of a group that meet in a task; groups whose sizes are broadcast at most.
 GROUPED, GROUPS = 8192, 100_000
-#: Beginnings, and ends, of stretches that are bounded together.
-GROUP = 8
+#: Beginnings, and ends, of stretches that are bounded together, and for many texts at once.
+GROUP, COARSE = 8, 32
 #: Cells for each n-gram of a text up to which n-grams are counted in a table of all cells, not by sorting.
 DENSE = 16
 
@@ -435,28 +435,64 @@ def begun(hit: np.ndarray, before: np.ndarray, starts: np.ndarray, wanted: int)
     return best
 
 
-def best_stretch(hit: np.ndarray, before: np.ndarray, wanted: int, least: float = 0.0) -> float:
-    """channels.best_extent of a text whose trigrams are wanted ones at `hit`, or less than `least` if it is.
-
-    Beginnings and ends are bounded GROUP at a time: shared trigrams are counted from a group's first beginning to a group's last
-    end, others from the last beginning to the first end. Only groups that may be best are compared in full."""
-    at = np.flatnonzero(hit)
-    if not len(at):
-        return 0.0
-    group = max(GROUP, -(-len(hit) // math.isqrt(CELLS)))
-    n, place = -(-len(hit) // group), np.arange(len(hit))
-    own = place[hit] // group
-    shared = table_sums(before[hit] // group + 1, own + 1, own, n, n)
-    own = place[~hit]
-    others = table_sums((before[~hit] + 1) // group, (own + 1) // group, (own + group - 1) // group, n, n)
-    bound = (shared / (wanted + others)).max(axis=1)
-    first = int(np.argmax(bound))
-    if bound[first] < least:
-        return float(bound[first])
-    own = at // group
-    best = begun(hit, before, at[own == first], wanted) if (own == first).any() else 0.0
-    rest = at[(bound[own] > max(best, least - SLACK)) & (own != first)]
-    return max(best, begun(hit, before, rest, wanted)) if len(rest) else best
+class Stretches:
+    """Stretches of a text's trigrams, bounded GROUP beginnings and ends at a time: shared trigrams are counted from a group's first
+    beginning to a group's last end, all of them from the last beginning to the first end."""
+
+    def __init__(self, before: np.ndarray):
+        self.before = before
+        self.group = max(GROUP, -(-len(self.before) // math.isqrt(CELLS)))
+        place = np.arange(len(self.before))
+        self.n, self.of = -(-len(place) // self.group), place // self.group
+        self.first = (self.before // self.group + 1) * self.n + self.of
+        self.last = (self.of + 1) * self.n + self.of
+        self.every = table_sums((self.before + 1) // self.group, (place + 1) // self.group, (place + self.group - 1) // self.group, self.n, self.n)
+
+    def best(self, hit: np.ndarray, wanted: int, least: float = 0.0) -> float:
+        """channels.best_extent where the text's trigrams are wanted ones at `hit`, or something less than `least` if it is."""
+        at = np.flatnonzero(hit)
+        if not len(at):
+            return 0.0
+        cells = (self.n + 1) * self.n
+        shared = np.bincount(self.first[at], minlength=cells) - np.bincount(self.last[at], minlength=cells)
+        shared = shared.astype(np.int32).reshape(self.n + 1, self.n)[:-1].cumsum(axis=0, dtype=np.int32).cumsum(axis=1, dtype=np.int32)
+        bound = (shared / (wanted + np.maximum(self.every - shared, 0))).max(axis=1)
+        first = int(np.argmax(bound))
+        if bound[first] < least:
+            return float(bound[first])
+        own = self.of[at]
+        best = begun(hit, self.before, at[own == first], wanted) if (own == first).any() else 0.0
+        rest = at[(bound[own] > max(best, least - SLACK)) & (own != first)]
+        return max(best, begun(hit, self.before, rest, wanted)) if len(rest) else best
+
+
+def coarse(member: np.ndarray, wanted: np.ndarray, ids: np.ndarray, start: np.ndarray, before: list[np.ndarray], row: np.ndarray, query: np.ndarray) -> np.ndarray:
+    """What the similarity of a query to the best stretch of a row is at most, for pairs of these: as Stretches bounds it, COARSE
+    beginnings and ends at a time and for many pairs at once. ids: trigrams of the rows' texts, each from `start` on."""
+    size = np.array([len(b) for b in before])
+    longest = max(1, int(size.max(initial=1)))
+    group = max(COARSE, -(-longest // math.isqrt(CELLS)))
+    n = -(-longest // group)
+    first, last, every = [], [], np.zeros((len(before), n, n), dtype=np.int32)
+    for r in range(len(before)):
+        place = np.arange(size[r])
+        first.append((before[r] // group + 1) * n + place // group)
+        last.append((place // group + 1) * n + place // group)
+        if size[r]:
+            every[r] = table_sums((before[r] + 1) // group, (place + 1) // group, (place + group - 1) // group, n, n)
+    first, last, offset, cells = np.concatenate(first), np.concatenate(last), np.cumsum(size) - size, (n + 1) * n
+    found, flat = np.zeros(len(row)), member.ravel()
+    some = max(1, CELLS // 8 // max(longest, cells))
+    for i in range(0, len(row), some):
+        r, q = row[i : i + some], query[i : i + some]
+        m = size[r]
+        pair, at = np.repeat(np.arange(len(r)), m), np.arange(m.sum()) - np.repeat(np.cumsum(m) - m, m)
+        hit = flat[np.repeat(q * member.shape[1], m) + ids[np.repeat(start[r], m) + at]]
+        pair, at = pair[hit] * cells, (np.repeat(offset[r], m) + at)[hit]
+        shared = np.bincount(pair + first[at], minlength=len(r) * cells) - np.bincount(pair + last[at], minlength=len(r) * cells)
+        shared = shared.astype(np.int32).reshape(len(r), n + 1, n)[:, :-1].cumsum(axis=1, dtype=np.int32).cumsum(axis=2, dtype=np.int32)
+        found[i : i + some] = (shared / (np.maximum(1, wanted[q])[:, None, None] + np.maximum(every[r] - shared, 0))).max(axis=(1, 2))
+    return found
 
 
 def rounded(score: float) -> float:
@@ -474,25 +510,14 @@ class Lexical:
         for q, (_, _, own) in enumerate(queries):
             self.asked[[place[t] for t in own], q] = 1
         self.n = np.array([len(set(own)) for *_, own in queries], dtype=np.int64)
-        query, self.term, _ = grams.counts([low for _, low, _ in queries])
+        query, term, _ = grams.counts([low for _, low, _ in queries])
         self.wanted = np.bincount(query, minlength=len(queries))
-        self.first = np.cumsum(self.wanted) - self.wanted
-        self.member = np.zeros((len(queries), grams.size + 1), dtype=bool)
-        self.member[query, self.term + 1] = True
+        self.member = np.zeros((len(queries), grams.size + 1), dtype=bool)  # trigrams from 1
+        self.member[query, term + 1] = True
+        self.weights = np.ascontiguousarray(self.member.T, dtype=np.float32)
         self.floor = np.full(len(queries), -np.inf)
         self.best: list[list[tuple[float, object, float]]] = [[] for _ in queries]
 
-    def shares(self, present: np.ndarray, row: np.ndarray, query: np.ndarray) -> np.ndarray:
-        """Share of a query's trigrams that a row holds; present: [row, trigram from 1]."""
-        found, some = np.zeros(len(row)), max(1, CELLS // max(1, self.wanted.max(initial=1)))
-        for i in range(0, len(row), some):
-            r, q = row[i : i + some], query[i : i + some]
-            n = self.wanted[q]
-            term = self.term[np.repeat(self.first[q] - (np.cumsum(n) - n), n) + np.arange(n.sum())]
-            held = np.bincount(np.repeat(np.arange(len(r)), n), present[np.repeat(r, n), term + 1], minlength=len(r))
-            found[i : i + some] = held / np.maximum(1, n)
-        return found
-
     def add(self, texts: list[str], ids: np.ndarray) -> None:
         held = np.rint(self.tokens.held(texts).astype(np.float32) @ self.asked).astype(np.int64)
         least = 0.85 * held / self.n
@@ -505,23 +530,27 @@ class Lexical:
         rows, row = np.unique(row, return_inverse=True)
         owner, places = self.grams.places([texts[r] for r in rows.tolist()])
         places = places[3]
-        present = np.zeros((len(rows), self.grams.size + 1), dtype=bool)
-        present[owner[: len(places)], places] = True
+        present = np.zeros((len(rows), self.grams.size + 1), dtype=np.float32)
+        present[owner[: len(places)], places] = 1
         lower = least[rows[row], query]
-        upper = lower + 0.15 * self.shares(present, row, query)
+        upper = lower + 0.15 * (np.rint(present @ self.weights)[row, query] / np.maximum(1, self.wanted[query]))
         order = np.argsort(-upper, kind="stable")
         order = order[upper[order] >= self.floor[query[order]] - 2 * SLACK]
         lengths = np.array([len(texts[r]) for r in rows.tolist()])
-        start, known = np.cumsum(lengths + 1) - lengths - 1, {}
+        start, before = np.cumsum(lengths + 1) - lengths - 1, [last_before(texts[r]) for r in rows.tolist()]
+        row, query, lower = row[order], query[order], lower[order]
+        upper = np.minimum(upper[order], lower + 0.15 * coarse(self.member, self.wanted, places, start, before, row, query))
+        order = np.argsort(-upper, kind="stable")
+        known = {}
         for r, q, low, high in zip(row[order].tolist(), query[order].tolist(), lower[order].tolist(), upper[order].tolist()):
             floor, similar = self.floor[q] - 2 * SLACK, 0.0
             if high < floor:
                 continue
             if high > low:  # some trigram is shared
                 if r not in known:
-                    known[r] = last_before(texts[rows[r]])
+                    known[r] = Stretches(before[r])
                 least = (floor - low) / 0.15
-                similar = best_stretch(self.member[q, places[start[r] : start[r] + lengths[r] - 2]], known[r], self.wanted[q], least)
+                similar = known[r].best(self.member[q, places[start[r] : start[r] + lengths[r] - 2]], self.wanted[q], least)
                 if similar < least:
                     continue
             score = max(0.0, min(1.0, low + 0.15 * similar))
@@ -541,7 +570,9 @@ def lexical(queries: list[tuple[object, str, list[str]]], kind: str, chunks: Dat
         tables = Grams([low for _, low, _ in own], (3,)), Tokens(sorted({t for *_, tokens in own for t in tokens}))
         shared = spark.sparkContext.broadcast((own, *tables))  # a block of queries
 
-        def score(batches: Iterator[pd.DataFrame], shared=shared) -> Iterator[pd.DataFrame]:
+        step = max(1, min(ROWS, CELLS // max(1, tables[0].size)))
+
+        def score(batches: Iterator[pd.DataFrame], shared=shared, step=step) -> Iterator[pd.DataFrame]:
             own, grams, tokens = shared.value
             if not own:
                 return
@@ -549,8 +580,8 @@ def lexical(queries: list[tuple[object, str, list[str]]], kind: str, chunks: Dat
             for batch in batches:
                 batch = batch.dropna()
                 ids, texts = batch["chunk_id"].to_numpy(), batch["low"].tolist()
-                for i in range(0, len(texts), ROWS):
-                    best.add(texts[i : i + ROWS], ids[i : i + ROWS])
+                for i in range(0, len(texts), step):
+                    best.add(texts[i : i + step], ids[i : i + step])
             for i in range(0, len(own), some := max(1, HANDED // k)):
                 made = [(own[i + j][0], chunk, score) for j, held in enumerate(best.best[i : i + some]) for _, chunk, score in held]
                 if made:

@@ -48,6 +48,6 @@ def test_best_stretch_by_force(monkeypatch, cells, group):
         wanted = {query[i : i + 3] for i in range(len(query) - 2)}
         hit = np.array([text[i : i + 3] in wanted for i in range(len(text) - 2)])
         best, least = channels.best_extent(query, text), d.random() / 2
-        assert blocks.best_stretch(hit, blocks.last_before(text), len(wanted)) == best
-        found = blocks.best_stretch(hit, blocks.last_before(text), len(wanted), least)
+        assert blocks.Stretches(blocks.last_before(text)).best(hit, len(wanted)) == best
+        found = blocks.Stretches(blocks.last_before(text)).best(hit, len(wanted), least)
         assert found == best if best >= least else found < least
