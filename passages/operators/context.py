@@ -170,7 +170,7 @@ def retrieve(queries: DataFrame, chunks: DataFrame, config: Config = Config()) -
     fused = scratch.kept(fusion.rrf(candidates, config.rrf_c, config.pool), "fused")
     best = annotate(fused.where(F.col("rank") <= config.k).withColumn("score_type", F.lit("hybrid")))
     place = chunks.select("chunk_id", "file_id", "user_id", "source", "chapter_no", "chunk_no")
-    primary = scratch.kept(best.join(place, "chunk_id"), "primary")
+    primary = scratch.kept(best.join(place, "chunk_id"), "fused-places")
     around = budget_neighbors(neighbors(primary.select("query_id", "user_id", "file_id", "chapter_no", "chunk_no"), place, config.width), config.width)
     both = primary.select("query_id", "chunk_id", "file_id", "source", "chapter_no", "chunk_no", "rrf", "rank", "neighbor").unionByName(
         around.select("query_id", "chunk_id", "file_id", "source", "chapter_no", "chunk_no", F.lit(None).cast("double").alias("rrf"), F.lit(None).cast("int").alias("rank"), F.lit(True).alias("neighbor"))
